@@ -25,11 +25,15 @@ IDS_PER_BUCKET = 256
 
 
 def nodes_from(sources: DataFrame, make_parser: Callable[[], Callable[[str], Iterator[tuple]]],
-               key: str = "file_id", content: str = "content", rows_per_batch: int = 50_000) -> DataFrame:
+               key: str = "file_id", content: str = "content", rows_per_batch: int = 50_000,
+               partitions: int | None = None) -> DataFrame:
     """Node table of source texts; the parser is the user's.
 
     ``make_parser`` builds, once per task, a function from a text to its nodes as tuples
-    in the order of the node table without its ``file_id``.
+    in the order of the node table without its ``file_id``.  ``partitions`` spreads the
+    texts first, where they come in few large splits.  Many facts are read from a node
+    table, so write it (:func:`unitloom.session.cut_lineage`, or a table of its own)
+    before use: otherwise each of them parses again.
     """
     names = NODE_COLUMNS
 
@@ -54,7 +58,10 @@ def nodes_from(sources: DataFrame, make_parser: Callable[[], Callable[[str], Ite
         if rows:
             yield batch_of(rows)
 
-    return sources.select(F.col(key).cast("bigint"), F.col(content)).mapInArrow(parse, NODE_SCHEMA)
+    texts = sources.select(F.col(key).cast("bigint"), F.col(content))
+    if partitions is not None:
+        texts = texts.repartition(partitions)
+    return texts.mapInArrow(parse, NODE_SCHEMA)
 
 
 def children(parents: DataFrame, nodes: DataFrame, type: str | None = None, field: str | None = None,
@@ -99,35 +106,44 @@ def node_struct(*extra: str) -> Column:
     return F.struct("node_id", "last_desc_id", "start_byte", "end_byte", *extra)
 
 
-def enclosing(is_owner: Column, value: Column | None = None) -> Column:
-    """Innermost-so-far owner node around a node, for owners that do not nest.
+def look_back(nodes: DataFrame, **wanted: tuple[Column, Column]) -> DataFrame:
+    """Latest value at or before each node in preorder (J12), one window for all.
 
-    A window column: the last owner at or before the node in preorder, if its range
-    reaches the node.  ``value`` is the struct to return, with a ``last_desc_id``.
+    ``wanted`` maps a new column to (condition, value).
     """
     preorder = Window.partitionBy("file_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    owner = F.last(F.when(is_owner, node_struct() if value is None else value), ignorenulls=True).over(preorder)
-    return F.when(owner["last_desc_id"] >= F.col("node_id"), owner)
+    return nodes.select("*", *[
+        F.last(F.when(condition, value), ignorenulls=True).over(preorder).alias(name)
+        for name, (condition, value) in wanted.items()
+    ])
 
 
-def first_below(is_wanted: Column, value: Column | None = None) -> Column:
-    """First descendant that is wanted, the node itself included.
+def enclosing(nodes: DataFrame, **owners: tuple[Column, Column]) -> DataFrame:
+    """The owner node around each node, for owners that do not nest.
 
-    In preorder this is simply the next wanted node, if it is still in the node's range:
-    a window column over the file, no join.
+    That is the latest owner in preorder, if its range reaches the node: no join.  The
+    values must be structs with a ``last_desc_id``.
     """
-    ahead = Window.partitionBy("file_id").orderBy(F.col("node_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(F.when(is_wanted, node_struct() if value is None else value), ignorenulls=True).over(ahead)
-    return F.when(found["node_id"] <= F.col("last_desc_id"), found)
+    found = look_back(nodes, **owners)
+    return found.withColumns({
+        name: F.when(F.col(name)["last_desc_id"] >= F.col("node_id"), F.col(name)) for name in owners
+    })
 
 
-def previous_named(value: Column) -> Column:
-    """A value of the named sibling just before a node (W2), as a window column.
+def first_below(nodes: DataFrame, **wanted: tuple[Column, Column]) -> DataFrame:
+    """First descendant that meets a condition, the node itself included.
 
-    Meant for tables that hold all named children of a node.
+    In preorder this is simply the next such node, if it is still in the node's range: a
+    window over the file, no join.  The values must be structs with a ``node_id``.
     """
-    siblings = Window.partitionBy("file_id", "parent_id").orderBy("ord")
-    return F.lag(value).over(siblings)
+    ahead = Window.partitionBy("file_id").orderBy(F.col("node_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = nodes.select("*", *[
+        F.last(F.when(condition, value), ignorenulls=True).over(ahead).alias(name)
+        for name, (condition, value) in wanted.items()
+    ])
+    return found.withColumns({
+        name: F.when(F.col(name)["node_id"] <= F.col("last_desc_id"), F.col(name)) for name in wanted
+    })
 
 
 def with_text(rows: DataFrame, sources: DataFrame, **spans: Column | tuple[Column, Column]) -> DataFrame:

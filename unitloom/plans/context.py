@@ -10,8 +10,17 @@ from unitloom.functions.templates import (
 )
 from unitloom.functions.tokens import TokenCounter, choose_level, count_tokens, token_count
 from unitloom.operators.ordered import ordered_parts
+from unitloom.session import cut_lineage
 
 RELATED = ("related_methods", "related_classes")
+ITEM_KEY = ["project", "method_id"]
+CLASS_KEY = ["project", "package", "class_identifier"]
+
+#: Placeholders of the level templates and the columns that fill them.
+_VALUE_COLUMNS = {
+    "method_name": "method_identifier", "class_name": "class_identifier", "method_code": "full_text",
+    "package": "package", "imports": "imports", "class_header": "header",
+}
 
 
 def render_blocks(edges: DataFrame, key: list[str], order: list[str], text: Column, title: Column | None = None,
@@ -28,6 +37,10 @@ def or_no_relations(blocks: Column) -> Column:
     return F.coalesce(blocks, F.lit(NO_RELATIONS))
 
 
+def _values() -> dict[str, Column]:
+    return {name: F.col(column) for name, column in _VALUE_COLUMNS.items()}
+
+
 def _method_block(language: str) -> Column:
     title = member_title(F.col("method_identifier"), F.col("class_identifier"))
     return code_block(F.col("full_text"), title, language)
@@ -39,10 +52,10 @@ def _gather(edges: DataFrame, blocks: DataFrame, on: list[str], name: str) -> Da
     Only called with the edges of items whose related texts are known to fit a budget,
     so a group is no longer than that budget.
     """
-    texts = edges.join(blocks, on).groupBy("project", "method_id").agg(
+    texts = edges.join(blocks, on).groupBy(*ITEM_KEY).agg(
         F.sort_array(F.collect_list(F.struct("ord", "block"))).alias("_sorted")
     )
-    return texts.select("project", "method_id", F.array_join(F.col("_sorted")["block"], "").alias(name))
+    return texts.select(*ITEM_KEY, F.array_join(F.col("_sorted")["block"], "").alias(name))
 
 
 def gather_context(tables: dict[str, DataFrame], budget: int = INPUT_BUDGET, levels: tuple[str, ...] = LEVELS,
@@ -61,105 +74,117 @@ def gather_context(tables: dict[str, DataFrame], budget: int = INPUT_BUDGET, lev
     budget, even where one method has a third of all calls.
     """
     classes, methods = tables["classes"], tables["methods"]
-    method_blocks = methods.select(
-        "project", F.col("method_id").alias("target_id"), _method_block(language).alias("block")
-    )
-    class_blocks = classes.select(
-        "project", "package", "class_identifier", code_block(F.col("full_text"), None, language).alias("block")
-    )
     method_edges = tables["related_methods"].select("project", F.col("source_id").alias("method_id"), "target_id", "ord")
     class_edges = tables["related_classes"].select("project", "method_id", "package", "class_identifier", "ord")
-    picked = methods
+    related = {
+        "related_methods": (method_edges, ["project", "target_id"], methods.select(
+            "project", F.col("method_id").alias("target_id"), _method_block(language).alias("block"))),
+        "related_classes": (class_edges, ["project", "package", "class_identifier"], classes.select(
+            "project", "package", "class_identifier", code_block(F.col("full_text"), None, language).alias("block"))),
+    }
     if only is not None:
-        picked, method_edges, class_edges = methods.where(only), method_edges.where(only), class_edges.where(only)
-    method_keys, class_keys = ["project", "target_id"], ["project", "package", "class_identifier"]
+        methods = methods.where(only)
+        related = {name: (edges.where(only), on, blocks) for name, (edges, on, blocks) in related.items()}
 
-    values = {
-        "method_name": F.col("method_identifier"), "class_name": F.col("class_identifier"),
-        "method_code": F.col("full_text"), "package": F.col("package"), "imports": F.col("imports"),
-        "class_header": F.col("header"),
-    }
-    all_values = {**FRAMEWORKS, **values, **{name: F.lit("") for name in RELATED}}
-    parts = [token_parts(level, all_values) for level in levels]
+    parts = [token_parts(level, {**FRAMEWORKS, **_values(), **dict.fromkeys(RELATED, F.lit(""))}) for level in levels]
     additive = counter is None and all(part is not None for part in parts)
-    # from this size on, related texts are certain not to fit: tokens of separate blocks
-    # add up, but for one that may fuse with the text before it; a user's token is no
-    # longer than max_chars_per_token
-    measure = token_count(F.col("block")) if counter is None else F.length("block")
-    limit = budget + 1 if counter is None else budget * counter.max_chars_per_token
-
-    def measured(edges: DataFrame, blocks: DataFrame, on: list[str], name: str) -> DataFrame:
-        sizes = blocks.select(*on, measure.cast("bigint").alias("_size"))
-        return edges.select("project", "method_id", *[c for c in on if c != "project"]).join(sizes, on).groupBy(
-            "project", "method_id").agg(F.sum("_size").alias(name))
-
-    owner = classes.select("project", "package", "class_identifier", "imports", "header", "filepath")
-    items = (
-        picked.join(owner, ["project", "package", "class_identifier"], "left")
-        .join(measured(method_edges, method_blocks, method_keys, "_methods_size"), ["project", "method_id"], "left")
-        .join(measured(class_edges, class_blocks, class_keys, "_classes_size"), ["project", "method_id"], "left")
-    )
-    kept = ["project", "method_id", "method_identifier", "class_identifier", "filepath"]
     if additive:
-        tokens_of = {name: token_count(F.coalesce(value, F.lit("None"))) for name, value in values.items()}
-        fallback = F.lit(len(NO_RELATIONS.split()))
-        tokens_of["related_methods"] = F.coalesce("_methods_size", fallback)
-        tokens_of["related_classes"] = F.coalesce("_classes_size", fallback)
-        items = items.withColumns({f"_size_of_{name}": size.cast("bigint") for name, size in tokens_of.items()})
-        counts = [
-            sum((F.col(f"_size_of_{name}") for name in columns), F.lit(own).cast("bigint")) for own, columns in parts
-        ]
-        sized = items.withColumns({f"_tokens_{n}": count for n, count in enumerate(counts, 1)})
-        count_columns = [F.col(f"_tokens_{n}") for n in range(1, len(levels) + 1)]
-        sized = sized.withColumn("level", choose_level(count_columns, budget))
-        sized = sized.withColumn("tokens", F.try_element_at(F.array(*count_columns), F.nullif(F.col("level"), F.lit(0))))
-        uses = {
-            name: F.col("level").isin([n for n, level in enumerate(levels, 1) if name in placeholders(level)])
-            for name in RELATED
-        }
+        plan = _levels_by_sums(methods, classes, related, parts, levels, budget)
     else:
-        sized = items
-        uses = {
-            "related_methods": F.coalesce("_methods_size", F.lit(0)) < limit,
-            "related_classes": F.coalesce("_classes_size", F.lit(0)) < limit,
-        }
-
-    has = {"related_methods": F.col("_methods_size").isNotNull(), "related_classes": F.col("_classes_size").isNotNull()}
-    wanting = {name: sized.where(uses[name] & has[name]).select("project", "method_id") for name in RELATED}
-    method_texts = _gather(method_edges.join(wanting["related_methods"], ["project", "method_id"], "left_semi"),
-                           method_blocks, method_keys, "_methods_text")
-    class_texts = _gather(class_edges.join(wanting["related_classes"], ["project", "method_id"], "left_semi"),
-                          class_blocks, class_keys, "_classes_text")
-    full = sized.join(method_texts, ["project", "method_id"], "left").join(class_texts, ["project", "method_id"], "left")
-    related = {"related_methods": or_no_relations(F.col("_methods_text")),
-               "related_classes": or_no_relations(F.col("_classes_text"))}
-    prompts = render_levels({**values, **related}, levels)
+        plan = _candidates(methods, related, budget, counter)
+    plan = cut_lineage(plan, "levels")  # numbers only, read once per related table and once below
+
+    full = methods.join(
+        classes.select(*CLASS_KEY, "imports", "header", "filepath"), CLASS_KEY, "left"
+    ).join(plan, ITEM_KEY)
+    texts = {}
+    for name, (edges, on, blocks) in related.items():
+        wanted = plan.where(F.col(f"take_{name}")).select(*ITEM_KEY)
+        full = full.join(_gather(edges.join(wanted, ITEM_KEY, "left_semi"), blocks, on, f"_{name}"), ITEM_KEY, "left")
+        texts[name] = or_no_relations(F.col(f"_{name}"))
+    prompts = render_levels({**_values(), **texts}, levels)
+    kept = [*ITEM_KEY, "method_identifier", "class_identifier", "filepath"]
 
     if additive:
-        chain = None
+        chosen = None
         for number, prompt in enumerate(prompts, 1):
             hit = F.col("level") == number
-            chain = F.when(hit, prompt) if chain is None else chain.when(hit, prompt)
-        return full.select(*kept, "level", "tokens", chain.alias("prompt"))
+            chosen = F.when(hit, prompt) if chosen is None else chosen.when(hit, prompt)
+        return full.select(*kept, "level", "tokens", chosen.alias("prompt"))
 
-    # a text too long for any budget counts as one token too many; it was not gathered
-    over = F.lit(budget)
+    numbers = range(1, len(levels) + 1)
     rendered = full.select(*kept, *[
-        F.when(_fits_all(uses, placeholders(level)), prompt).alias(f"_prompt_{n}")
-        for n, (level, prompt) in enumerate(zip(levels, prompts), 1)
+        F.when(_fits_all(placeholders(level)), prompt).alias(f"_prompt_{n}") for n, level, prompt in zip(numbers, levels, prompts)
     ])
+    # a prompt that cannot fit was not rendered and counts as a misfit
     counted = rendered.withColumns({
-        f"_tokens_{n}": F.coalesce(count_tokens(F.col(f"_prompt_{n}"), counter), over) for n in range(1, len(levels) + 1)
+        f"_tokens_{n}": F.coalesce(count_tokens(F.col(f"_prompt_{n}"), counter), F.lit(budget)) for n in numbers
     })
-    counted = counted.withColumn("level", choose_level([F.col(f"_tokens_{n}") for n in range(1, len(levels) + 1)], budget))
-    position = F.nullif(F.col("level"), F.lit(0))
-    pick = lambda stem: F.try_element_at(F.array(*[F.col(f"{stem}_{n}") for n in range(1, len(levels) + 1)]), position)
-    return counted.select(*kept, "level", pick("_tokens").cast("bigint").alias("tokens"), pick("_prompt").alias("prompt"))
+    counted = counted.withColumn("level", choose_level([F.col(f"_tokens_{n}") for n in numbers], budget))
+
+    def at_level(stem: str) -> Column:
+        return F.try_element_at(F.array(*[F.col(f"{stem}_{n}") for n in numbers]), F.nullif(F.col("level"), F.lit(0)))
+
+    return counted.select(*kept, "level", at_level("_tokens").cast("bigint").alias("tokens"), at_level("_prompt").alias("prompt"))
+
+
+def _sums(edges: DataFrame, on: list[str], blocks: DataFrame, measure: Column, name: str) -> DataFrame:
+    """Sum of a measure of the related blocks, per item; texts stay where they are."""
+    sizes = blocks.select(*on, measure.cast("bigint").alias("_size"))
+    thin = edges.select(*ITEM_KEY, *[column for column in on if column not in ITEM_KEY])
+    return thin.join(sizes, on).groupBy(*ITEM_KEY).agg(F.sum("_size").alias(name))
+
+
+def _levels_by_sums(methods, classes, related, parts, levels, budget) -> DataFrame:
+    """Level and tokens of every item from token counts of its parts alone.
+
+    Counts are taken below the joins, so each text is read once and never shuffled.
+    """
+    def size(name: str) -> Column:
+        return token_count(F.coalesce(F.col(_VALUE_COLUMNS[name]), F.lit("None"))).cast("bigint").alias(f"_{name}")
+
+    of_method = [size(name) for name in ("method_name", "class_name", "method_code", "package")]
+    of_class = [size(name) for name in ("imports", "class_header")]
+    sized = methods.select(*ITEM_KEY, "package", "class_identifier", *of_method).join(
+        classes.select(*CLASS_KEY, *of_class), CLASS_KEY, "left"
+    )
+    for name, (edges, on, blocks) in related.items():
+        sized = sized.join(_sums(edges, on, blocks, token_count(F.col("block")), f"_{name}"), ITEM_KEY, "left")
+    fallback = {"imports": 1, "class_header": 1, **dict.fromkeys(RELATED, len(NO_RELATIONS.split()))}
+    counts = [
+        sum((F.coalesce(f"_{name}", F.lit(fallback.get(name, 0))) for name in columns), F.lit(own).cast("bigint"))
+        for own, columns in parts
+    ]
+    level = choose_level(counts, budget)
+    takes = []
+    for name in RELATED:
+        users = [number for number, text in enumerate(levels, 1) if name in placeholders(text)]
+        takes.append((level.isin(users) & F.col(f"_{name}").isNotNull()).alias(f"take_{name}"))
+    tokens = F.try_element_at(F.array(*counts), F.nullif(level, F.lit(0)))
+    return sized.select(*ITEM_KEY, level.alias("level"), tokens.alias("tokens"), *takes)
+
+
+def _candidates(methods, related, budget, counter) -> DataFrame:
+    """Which related texts of an item could fit at all, by a measure that adds up.
+
+    White-space tokens of separate blocks add up, but for one that may fuse with the text
+    before it; a user's token is no longer than ``max_chars_per_token``.
+    """
+    measure = token_count(F.col("block")) if counter is None else F.length("block")
+    limit = budget + 1 if counter is None else budget * counter.max_chars_per_token
+    out = methods.select(*ITEM_KEY)
+    for name, (edges, on, blocks) in related.items():
+        out = out.join(_sums(edges, on, blocks, measure, f"_{name}"), ITEM_KEY, "left")
+    columns = []
+    for name in related:
+        fits = F.coalesce(f"_{name}", F.lit(0)) < limit
+        columns += [fits.alias(f"fits_{name}"), (fits & F.col(f"_{name}").isNotNull()).alias(f"take_{name}")]
+    return out.select(*ITEM_KEY, *columns)
 
 
-def _fits_all(uses: dict[str, Column], names: set[str]) -> Column:
+def _fits_all(names: set[str]) -> Column:
     fits = F.lit(True)
     for name in RELATED:
         if name in names:
-            fits = fits & uses[name]
+            fits = fits & F.col(f"fits_{name}")
     return fits

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from unitloom.functions.text import declarator_name, utf8
 from unitloom.operators.filters import TEST_MARKER
 from unitloom.operators.joins import resolve_cascade
-from unitloom.operators.nodes import enclosing, first_below, node_struct, with_text
+from unitloom.operators.nodes import enclosing, first_below, look_back, node_struct, with_text
 from unitloom.operators.ordered import last_wins, ordered_join
+from unitloom.session import cut_lineage
 from unitloom.sources.records import METHOD_RECORD
 
 # Node and field names of the grammar.
@@ -55,23 +56,23 @@ def annotate(nodes: DataFrame) -> DataFrame:
     ``first_declarator`` (first such descendant), and ``in_body`` for a body's children.
     Unnamed nodes (punctuation, keywords) are never needed and stay in the scan.
     """
-    kind = F.col("type")
+    kind, node, span = F.col("type"), node_struct(), F.struct("node_id", "start_byte", "end_byte")
     out = nodes.where(F.col("is_named"))
-    # looking ahead: one sort by descending id serves all four
-    out = out.withColumn("first_block", first_below(kind == METHOD_BODY))
-    out = out.withColumn("first_type", first_below(kind == "type_identifier"))
-    out = out.withColumn("first_identifier", first_below(kind == "identifier"))
-    declarator = F.struct("node_id", "last_desc_id", "start_byte", "end_byte", "first_identifier")
-    out = out.withColumn("first_declarator", first_below(kind == "variable_declarator", declarator))
-    # looking back: one sort by ascending id serves these, and later windows of the facts
-    out = out.withColumn("cls", enclosing((F.col("parent_id") == 0) & (kind == CLASS)))
-    out = out.withColumn("body", enclosing((kind == BODY) & (F.col("parent_id") == F.col("cls.node_id"))))
-    out = out.withColumn("in_body", F.coalesce(F.col("parent_id") == F.col("body.node_id"), F.lit(False)))
-    is_member = F.col("in_body") & kind.isin(METHOD, CONSTRUCTOR)
-    member = node_struct(kind.alias("kind"), F.col("first_block").alias("block"))
-    out = out.withColumn("member", enclosing(is_member, member)).withColumn("block", F.col("member.block"))
+    # looking ahead: one sort by descending id
+    out = first_below(out, first_block=(kind == METHOD_BODY, F.struct("node_id", "last_desc_id")),
+                      first_type=(kind == "type_identifier", span), first_identifier=(kind == "identifier", span))
+    declared = F.struct("node_id", F.when(F.col("first_identifier.node_id") <= F.col("last_desc_id"),
+                                          F.col("first_identifier")).alias("first_identifier"))
+    out = first_below(out, first_declarator=(kind == "variable_declarator", declared))
+    # looking back: one sort by ascending id
+    out = enclosing(out, cls=((F.col("parent_id") == 0) & (kind == CLASS), node))
+    out = look_back(out, body_id=((kind == BODY) & (F.col("parent_id") == F.col("cls.node_id")), F.col("node_id")))
+    out = out.withColumn("in_body", F.coalesce(F.col("parent_id") == F.col("body_id"), F.lit(False)))
+    member = F.struct("node_id", "last_desc_id", kind.alias("kind"), F.col("first_block").alias("block"))
+    out = enclosing(out, member=(F.col("in_body") & kind.isin(METHOD, CONSTRUCTOR), member))
     used = kind.isin(*USED_TYPES) | F.col("field_name").isin(*USED_FIELDS) | F.col("in_body")
-    return out.where(F.col("cls").isNotNull() & used).drop("body", "first_block", "first_identifier")
+    return out.where(F.col("cls").isNotNull() & used).withColumn("block", F.col("member.block")).drop(
+        "is_named", "body_id", "first_block", "first_identifier")
 
 
 def _first_children(wanted: dict[str, Column]) -> list[Column]:
@@ -145,10 +146,9 @@ def unit_facts(annotated: DataFrame, nodes: DataFrame, sources: DataFrame,
 def field_facts(annotated: DataFrame, sources: DataFrame) -> DataFrame:
     """Fields of a class: name and type, first declarator only."""
     kind = F.col("type")
-    parent = F.last(F.when(F.col("in_body") & (kind == FIELD), node_struct("ord")), ignorenulls=True).over(
-        Window.partitionBy("file_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    found = annotated.withColumn("field", parent).where(F.col("parent_id") == F.col("field.node_id"))
+    declaring = F.col("in_body") & (kind == FIELD)
+    near = annotated.where(declaring | kind.isin("type_identifier", "variable_declarator"))
+    found = look_back(near, field=(declaring, F.struct("node_id", "ord"))).where(F.col("parent_id") == F.col("field.node_id"))
     parts = found.groupBy(*_class_key(), F.col("field.ord").alias("ord")).agg(*_first_children({
         "type_node": kind == "type_identifier", "name_node": kind == "variable_declarator",
     }))
@@ -165,7 +165,7 @@ def member_facts(annotated: DataFrame, sources: DataFrame, kind: str = METHOD) -
     A method's text starts with the comment that stands just before it (W2).
     """
     siblings = Window.partitionBy("file_id", "parent_id").orderBy("ord")
-    direct = annotated.where(F.col("in_body") & F.col("is_named"))
+    direct = annotated.where(F.col("in_body"))
     before = F.lag(node_struct("type")).over(siblings)
     comment = F.when((F.col("type") == METHOD) & before["type"].isin(*COMMENTS), before)
     members = direct.withColumn("comment", comment).where(F.col("type") == kind)
@@ -182,19 +182,12 @@ def member_facts(annotated: DataFrame, sources: DataFrame, kind: str = METHOD) -
 
 def parameter_facts(annotated: DataFrame, sources: DataFrame) -> DataFrame:
     """Parameters whose first child is a plain type name (X6), for methods and constructors."""
-    preorder = Window.partitionBy("file_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    container = F.last(
-        F.when((F.col("type") == "formal_parameters") & (F.col("parent_id") == F.col("member.node_id")), F.col("node_id")),
-        ignorenulls=True,
-    ).over(preorder)
-    parameter = F.last(
-        F.when((F.col("type") == "formal_parameter") & (F.col("parent_id") == F.col("container")), node_struct("ord")),
-        ignorenulls=True,
-    ).over(preorder)
-    found = (
-        annotated.withColumn("container", container).withColumn("parameter", parameter)
-        .where(F.col("parent_id") == F.col("parameter.node_id"))
-    )
+    kind = F.col("type")
+    near = annotated.where(kind.isin("formal_parameters", "formal_parameter") | F.col("ord").isin(0, 1))
+    own_list = (kind == "formal_parameters") & (F.col("parent_id") == F.col("member.node_id"))
+    listed = look_back(near, container=(own_list, F.col("node_id")))
+    own = (kind == "formal_parameter") & (F.col("parent_id") == F.col("container"))
+    found = look_back(listed, parameter=(own, F.struct("node_id", "ord"))).where(F.col("parent_id") == F.col("parameter.node_id"))
     parts = found.groupBy(*_member_key(), F.col("parameter.ord").alias("ord")).agg(
         F.min_by(node_struct(), F.when((F.col("ord") == 0) & (F.col("type") == "type_identifier"), 0)).alias("type_node"),
         F.min_by(node_struct(), F.when(F.col("ord") == 1, 1)).alias("name_node"),
@@ -213,7 +206,8 @@ def _body_of_member() -> Column:
 
 def created_types(annotated: DataFrame, sources: DataFrame) -> DataFrame:
     """Classes created in a member's body, in order, repeats kept."""
-    inside = annotated.withColumn("own_body", enclosing(_body_of_member())).where(
+    near = annotated.where(F.col("type").isin(CREATION, METHOD_BODY, CONSTRUCTOR_BODY))
+    inside = enclosing(near, own_body=(_body_of_member(), F.struct("last_desc_id"))).where(
         (F.col("type") == CREATION) & F.col("own_body").isNotNull() & F.col("first_type").isNotNull()
     )
     keyed = inside.select(*_member_key(), F.col("node_id").alias("ord"), "first_type")
@@ -332,11 +326,11 @@ def class_records(nodes: DataFrame, sources: DataFrame, marker: str = TEST_MARKE
                   annotated: DataFrame | None = None) -> DataFrame:
     """One row per class: (project, class_record, methods), in the shape of the JSON records.
 
-    ``sources`` is (file_id, project, path, content).  ``annotated`` may be a persisted
-    ``annotate(nodes)``: ten facts are read from it, and a persisted table keeps its
-    partitioning by file, so none of them shuffles it again.
+    ``sources`` is (file_id, project, path, content).  A dozen facts are read from the
+    annotated nodes, so these are written once, unless given as ``annotated``.
     """
-    ready, placed = prepare_sources(sources), annotate(nodes) if annotated is None else annotated
+    ready = prepare_sources(sources)
+    placed = cut_lineage(annotate(nodes), "annotated") if annotated is None else annotated
     key, member = ["file_id", "class_id"], ["file_id", "class_id", "member_id"]
     units = unit_facts(placed, nodes, ready, marker)
     parameters = parameter_facts(placed, ready)

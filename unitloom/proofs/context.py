@@ -36,11 +36,11 @@ def shop_tables(spark, folder):
         F.concat(F.lit("Customer"), "o_custkey").alias("class_identifier"),
         F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("full_text"), F.lit(0).alias("ord"),
     ).unionByName(parts.select(
-        project, package, (-F.col("p_partkey")).alias("method_id"), F.col("p_name").alias("method_identifier"),
+        project, package, (-F.col("p_partkey") - 1).alias("method_id"), F.col("p_name").alias("method_identifier"),
         F.col("p_brand").alias("class_identifier"), F.concat_ws(" ", "p_type", "p_size").alias("full_text"), F.lit(0).alias("ord"),
     ))
     related_methods = lines.select(
-        project, F.col("l_orderkey").alias("source_id"), (-F.col("l_partkey")).alias("target_id"),
+        project, F.col("l_orderkey").alias("source_id"), (-F.col("l_partkey") - 1).alias("target_id"),
         (F.col("l_linenumber").cast("bigint") * ORD + F.col("l_partkey")).alias("ord"))
     related_classes = lines.select(
         project, F.col("l_orderkey").alias("method_id"), package,
@@ -61,11 +61,11 @@ SHOP_SQL = f"""
         select o_orderkey as id, 'order' || o_orderkey as name, 'Customer' || o_custkey as cls,
                o_orderstatus || ' ' || o_orderpriority as code, o_custkey as cust from orders
         union all
-        select -p_partkey, p_name, p_brand, p_type || ' ' || p_size, null from part),
+        select -p_partkey - 1, p_name, p_brand, p_type || ' ' || p_size, null from part),
     ms as (
         select l_orderkey as id, string_agg('Method: ' || name || ' of the class ' || cls || ':' || chr(10) || '```java' || chr(10)
                || code || chr(10) || '```' || chr(10), '' order by l_linenumber, l_partkey) as ms
-        from lineitem join methods on id = -l_partkey group by l_orderkey),
+        from lineitem join methods on id = -l_partkey - 1 group by l_orderkey),
     cs as (
         select l_orderkey as id, string_agg('```java' || chr(10) || s_name || ' of nation ' || s_nationkey || chr(10) || '```' || chr(10),
                '' order by l_linenumber, l_suppkey) as cs

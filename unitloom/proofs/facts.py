@@ -16,104 +16,109 @@ from pyspark.sql import functions as F
 from unitloom.operators.nodes import nodes_from
 from unitloom.plans import extract, load
 from unitloom.proofs.registry import proof, table
+from unitloom.session import cut_lineage
 
 MARKER = "ndst"
 
 
 def line_parser():
-    import re
-
-    words = re.compile(rb"[^ ]+")
-
-    def parse(text):
-        data = text.encode()
-        rows = []
-
-        def open_node(parent, ord_, type, start, end, field=None):
-            rows.append([len(rows), None, parent, ord_, type, True, field, start, end])
-            return len(rows) - 1
-
-        def close(node):
-            rows[node][1] = len(rows) - 1
-
-        def leaf(*args):
-            close(open_node(*args))
-
-        def comma(span):
-            return data[span[1] - 1:span[1]] == b","
-
-        lines, at = [], 0
-        for line in data.split(b"\n"):
-            spans = [(at + m.start(), at + m.end()) for m in words.finditer(line)]
-            if spans:
-                lines.append((at, at + len(line), spans))
-            at += len(line) + 1
-
-        root = open_node(None, 0, "program", 0, len(data))
-        imports = [line for line in lines if len(line[2]) == 1]
-        for ord_, (start, end, _) in enumerate(imports):
-            leaf(root, ord_, "import_declaration", start, end)
-        if lines:
-            unit = open_node(root, len(imports), "class_declaration", 0, len(data))
-            leaf(unit, 0, "identifier", *lines[0][2][0], "name")
-            body = open_node(unit, 1, "class_body", 0, len(data), "body")
-            kept = [line for line in lines if len(line[2]) > 1]
-            for ord_, (start, end, spans) in enumerate(kept):
-                if len(spans) == 2:
-                    leaf(body, ord_, "comment", start, end)
-                elif len(spans) == 3:
-                    node = open_node(body, ord_, "field_declaration", start, end)
-                    leaf(node, 0, "integral_type" if comma(spans[0]) else "type_identifier", *spans[0], "type")
-                    leaf(node, 1, "variable_declarator", *spans[1], "declarator")
-                    close(node)
-                else:
-                    made = comma(spans[1])
-                    node = open_node(body, ord_, "constructor_declaration" if made else "method_declaration", start, end)
-                    if not made:
-                        leaf(node, 0, "type_identifier", *spans[0], "type")
-                    leaf(node, 1, "identifier", *spans[1], "name")
-                    holder = open_node(node, 2, "formal_parameters", spans[2][0], spans[3][1], "parameters")
-                    one = open_node(holder, 0, "formal_parameter", spans[2][0], spans[3][1])
-                    leaf(one, 0, "generic_type" if comma(spans[2]) else "type_identifier", *spans[2], "type")
-                    leaf(one, 1, "identifier", *spans[3], "name")
-                    close(one)
-                    close(holder)
-                    inner = open_node(node, 3, "constructor_body" if made else "block", spans[3][1], end, "body")
-                    for group in range((len(spans) - 4) // 6):
-                        a, b, c, d, e, f = spans[4 + 6 * group:10 + 6 * group]
-                        local = open_node(inner, 3 * group, "local_variable_declaration", a[0], b[1])
-                        leaf(local, 0, "type_identifier", *a, "type")
-                        declarator = open_node(local, 1, "variable_declarator", *b, "declarator")
-                        leaf(declarator, 0, "identifier", *b, "name")
-                        close(declarator)
-                        close(local)
-                        call = open_node(inner, 3 * group + 1, "method_invocation", c[0], e[1])
-                        if data[c[1] - 1:c[1]] != b".":
-                            leaf(call, 0, "field_access" if comma(c) else "identifier", *c, "object")
-                        leaf(call, 1, "identifier", *d, "name")
-                        arguments = open_node(call, 2, "argument_list", *e, "arguments")
-                        leaf(arguments, 0, "identifier", *e)
-                        close(arguments)
-                        close(call)
-                        made_here = open_node(inner, 3 * group + 2, "object_creation_expression", *f)
-                        leaf(made_here, 0, "type_identifier", *f, "type")
-                        close(made_here)
-                    close(inner)
-                    close(node)
-            close(body)
-            close(unit)
-        close(root)
-        return [tuple(row) for row in rows]
-
-    return parse
+    """Maker of the parser; nested, so that it travels to the workers by value."""
+    def make():
+        import re
+
+        words = re.compile(rb"[^ ]+")
+
+        def parse(text):
+            data = text.encode()
+            rows = []
+
+            def open_node(parent, ord_, type, start, end, field=None):
+                rows.append([len(rows), None, parent, ord_, type, True, field, start, end])
+                return len(rows) - 1
+
+            def close(node):
+                rows[node][1] = len(rows) - 1
+
+            def leaf(*args):
+                close(open_node(*args))
+
+            def comma(span):
+                return data[span[1] - 1:span[1]] == b","
+
+            lines, at = [], 0
+            for line in data.split(b"\n"):
+                spans = [(at + m.start(), at + m.end()) for m in words.finditer(line)]
+                if spans:
+                    lines.append((at, at + len(line), spans))
+                at += len(line) + 1
+
+            root = open_node(None, 0, "program", 0, len(data))
+            imports = [line for line in lines if len(line[2]) == 1]
+            for ord_, (start, end, _) in enumerate(imports):
+                leaf(root, ord_, "import_declaration", start, end)
+            if lines:
+                unit = open_node(root, len(imports), "class_declaration", 0, len(data))
+                leaf(unit, 0, "identifier", *lines[0][2][0], "name")
+                body = open_node(unit, 1, "class_body", 0, len(data), "body")
+                kept = [line for line in lines if len(line[2]) > 1]
+                for ord_, (start, end, spans) in enumerate(kept):
+                    if len(spans) == 2:
+                        leaf(body, ord_, "comment", start, end)
+                    elif len(spans) == 3:
+                        node = open_node(body, ord_, "field_declaration", start, end)
+                        leaf(node, 0, "integral_type" if comma(spans[0]) else "type_identifier", *spans[0], "type")
+                        leaf(node, 1, "variable_declarator", *spans[1], "declarator")
+                        close(node)
+                    else:
+                        made = comma(spans[1])
+                        node = open_node(body, ord_, "constructor_declaration" if made else "method_declaration", start, end)
+                        if not made:
+                            leaf(node, 0, "type_identifier", *spans[0], "type")
+                        leaf(node, 1, "identifier", *spans[1], "name")
+                        holder = open_node(node, 2, "formal_parameters", spans[2][0], spans[3][1], "parameters")
+                        one = open_node(holder, 0, "formal_parameter", spans[2][0], spans[3][1])
+                        leaf(one, 0, "generic_type" if comma(spans[2]) else "type_identifier", *spans[2], "type")
+                        leaf(one, 1, "identifier", *spans[3], "name")
+                        close(one)
+                        close(holder)
+                        inner = open_node(node, 3, "constructor_body" if made else "block", spans[3][1], end, "body")
+                        for group in range((len(spans) - 4) // 6):
+                            a, b, c, d, e, f = spans[4 + 6 * group:10 + 6 * group]
+                            local = open_node(inner, 3 * group, "local_variable_declaration", a[0], b[1])
+                            leaf(local, 0, "type_identifier", *a, "type")
+                            declarator = open_node(local, 1, "variable_declarator", *b, "declarator")
+                            leaf(declarator, 0, "identifier", *b, "name")
+                            close(declarator)
+                            close(local)
+                            call = open_node(inner, 3 * group + 1, "method_invocation", c[0], e[1])
+                            if data[c[1] - 1:c[1]] != b".":
+                                leaf(call, 0, "field_access" if comma(c) else "identifier", *c, "object")
+                            leaf(call, 1, "identifier", *d, "name")
+                            arguments = open_node(call, 2, "argument_list", *e, "arguments")
+                            leaf(arguments, 0, "identifier", *e)
+                            close(arguments)
+                            close(call)
+                            made_here = open_node(inner, 3 * group + 2, "object_creation_expression", *f)
+                            leaf(made_here, 0, "type_identifier", *f, "type")
+                            close(made_here)
+                        close(inner)
+                        close(node)
+                close(body)
+                close(unit)
+            close(root)
+            return [tuple(row) for row in rows]
+
+        return parse
+
+    return make
 
 
 def corpus(spark, folder):
     docs = table(spark, folder, "documents")
     path = F.concat_ws("/", "source", F.lit("src/main/java"), "lang", F.concat("doc_id", F.lit(".java")))
     sources = docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("project"), path.alias("path"), F.col("text").alias("content"))
-    nodes = nodes_from(sources, line_parser)
-    return sources, nodes
+    nodes = nodes_from(sources, line_parser(), partitions=spark.sparkContext.defaultParallelism)
+    return sources, cut_lineage(nodes, "nodes")
 
 
 def placed(spark, folder):

@@ -103,17 +103,17 @@ def owner_attribute(spark, folder):
 
 
 @proof("""
-    with known as (select p_type, min(p_partkey) as first_key from part where p_retailprice > 1100 group by p_type)
+    with known as (select p_type, min(p_partkey) as first_key from part where p_retailprice > 990 group by p_type)
     select p_partkey, p_type, first_key from part join known using (p_type)
 """)
 def link_by_type(spark, folder):
     parts = table(spark, folder, "part")
-    known = parts.where(F.col("p_retailprice") > 1100)
+    known = parts.where(F.col("p_retailprice") > 990)
     return joins.link_by_type(parts.select("p_partkey", "p_type"), known, {"p_type": "p_type"}, {"first_key": "p_partkey"})
 
 
 @proof("""
-    with first as (select p_brand, p_size, min(p_partkey) as target_id from part where p_retailprice > 1000 group by all)
+    with first as (select p_brand, p_size, min(p_partkey) as target_id from part where p_retailprice > 940 group by all)
     select l_orderkey, l_linenumber, l_partkey, target_id
     from lineitem join part on l_partkey = p_partkey join first using (p_brand, p_size)
 """)
@@ -121,7 +121,7 @@ def first_match(spark, folder):
     parts = table(spark, folder, "part")
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     refs = lines.join(parts.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size"), "l_partkey")
-    targets = parts.where(F.col("p_retailprice") > 1000)
+    targets = parts.where(F.col("p_retailprice") > 940)
     found = joins.resolve_references(refs, targets, {"p_brand": "p_brand", "p_size": "p_size"}, "p_partkey")
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "target_id")
 

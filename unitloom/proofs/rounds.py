@@ -152,18 +152,21 @@ def routed_outcomes(spark, folder):
 
 def stub_model():
     """Answers by what the prompt holds; fixes what a repair prompt shows it."""
-    def answer(prompt):
-        if "compile error" in prompt or "execution error" in prompt:
-            code = prompt.rsplit("```java\n", 1)[1].split("\n```", 1)[0]
-            fixed = code.replace("broken", "slow", 1) if "broken" in code else code.replace("slow", "fine", 1)
-            return f"fixed:\n```java\n{fixed}\n```\n"
-        name = prompt.split("\nMethod: ", 1)[1].split("\n", 1)[0]
-        if not name.startswith("order"):
-            return "I have no code for you."
-        number = int(name[len("order"):])
-        flaw = ("broken", "slow", "fine")[number % 3]
-        return f"Here:\n```java\npackage old;\npublic class Made {{ // {flaw}\n  Made() {{}}\n}}\n```\n"
-    return answer
+    def make():
+        def answer(prompt):
+            if "compile error" in prompt or "execution error" in prompt:
+                code = prompt.rsplit("```java\n", 1)[1].split("\n```", 1)[0]
+                fixed = code.replace("broken", "slow", 1) if "broken" in code else code.replace("slow", "fine", 1)
+                return f"fixed:\n```java\n{fixed}\n```\n"
+            name = prompt.split("\nMethod: ", 1)[1].split("\n", 1)[0]
+            if not name.startswith("order"):
+                return "I have no code for you."
+            number = int(name[len("order"):])
+            flaw = ("broken", "slow", "fine")[number % 3]
+            return f"Here:\n```java\npackage old;\npublic class Made {{ // {flaw}\n  Made() {{}}\n}}\n```\n"
+        return answer
+
+    return make
 
 
 @proof("""
@@ -173,13 +176,13 @@ def stub_model():
                     cast([1, 0, 0][k + 1] as integer) as compile_repairs, cast([1, 1, 0][k + 1] as integer) as repairs
              from m, (values (1), (2)) as t(run))
     select id as method_id, run, 'passed' as outcome, compile_repairs, repairs,
-           'package java.src;' || chr(10) || chr(10) || 'public class ' || cls || 'Test_Method_' || id || '_Run_r1 { // ' || flaw
+           'package java.src;' || chr(10) || chr(10) || repeat(chr(10), compile_repairs + repairs) || 'public class ' || cls || 'Test_Method_' || id || '_Run_r1 { // ' || flaw
            || chr(10) || '  ' || cls || 'Test_Method_' || id || '_Run_r1() {}' || chr(10) || '}' as text,
            array_to_string(list_concat(
                ['Compilation Successful Round ' || compile_repairs], ['Execution Successful after ' || repairs || ' repairs']), '|') as events
     from runs
     union all
-    select -p_partkey, cast(run as integer), 'answer_error', 0, 0, null,
+    select -p_partkey - 1, cast(run as integer), 'answer_error', 0, 0, null,
            'No Source Code in Answer Error|Answer Extraction Error'
     from part, (values (1), (2)) as t(run)
 """)
@@ -197,7 +200,7 @@ def generated_outcomes(spark, folder):
     tables["classes"] = tables["classes"].unionByName(brands.select(
         F.lit("shop").alias("project"), F.lit("src").alias("package"), "class_identifier", F.lit("").alias("full_text"),
         F.lit("").alias("header"), F.lit("").alias("imports"), F.lit("shop/java/java/src/B").alias("filepath")))
-    made = generate.generate_units(tables, stub_model, lacks("broken"), lacks("slow"), "r1", runs=2, levels=LEVELS,
+    made = generate.generate_units(tables, stub_model(), lacks("broken"), lacks("slow"), "r1", runs=2, levels=LEVELS,
                                    compile_rounds=2, run_rounds=2)
     return made.select("method_id", "run", "outcome", "compile_repairs", "repairs", "text",
                        F.array_join(F.col("events")["event"], "|").alias("events"))

@@ -60,7 +60,7 @@ def tag_descendants(spark, folder):
     where a.type in ('nav', 'ul', 'article', 'p', 'footer') group by all
 """)
 def first_descendant(spark, folder):
-    found = tag_nodes(spark, folder).withColumn("first", first_below(F.col("type") == "p"))
+    found = first_below(tag_nodes(spark, folder), first=(F.col("type") == "p", F.struct("node_id")))
     wanted = found.where(F.col("type").isin("nav", "ul", "article", "p", "footer"))
     return wanted.select("file_id", "node_id", "type", F.col("first.node_id").alias("first_id"))
 
