@@ -58,7 +58,8 @@ def facts(spark):
         ("p1", "p1/src/main/java/Checked.java", tested),
     ])
     nodes = nodes.cache()
-    return sources, nodes, X.prepare_sources(sources), X.annotate(nodes).persist()
+    ready = X.prepare_sources(sources)
+    return sources, nodes, ready, X.annotate(nodes, ready).persist()
 
 
 def rows(df, *columns):
@@ -79,13 +80,13 @@ def test_units(facts):
 
 def test_fields(facts):
     _, _, ready, placed = facts
-    found = rows(X.field_facts(placed, ready).orderBy("ord"), "variable_identifier", "variable_type")
+    found = rows(X.field_facts(placed).orderBy("ord"), "variable_identifier", "variable_type")
     assert found == [("repo", "Repo"), ("count", "primitive_type"), ("gruß", "Grüße"), ("tail", "Tail")]
 
 
 def test_members(facts):
     _, _, ready, placed = facts
-    found = {row.identifier: row.full_text for row in X.member_facts(placed, ready).where("file_id = 1").collect()}
+    found = {row.identifier: row.full_text for row in X.member_facts(placed).where("file_id = 1").collect()}
     assert set(found) == {"run", "abs", "after"}
     assert found["run"].startswith("/* adds ü */\npublic Result run(")
     assert found["abs"].startswith("abstract int abs")  # a line_comment is none of the two kinds
@@ -94,35 +95,35 @@ def test_members(facts):
 
 def test_constructors(facts):
     _, _, ready, placed = facts
-    found = rows(X.constructor_facts(placed, ready), "identifier", "parameter_types", "related_classes")
+    found = rows(X.constructor_facts(placed), "identifier", "parameter_types", "related_classes")
     assert found == [("Alpha", ["Repo"], ["Helper"])]
 
 
 def test_parameters(facts):
     _, _, ready, placed = facts
-    found = rows(X.parameter_facts(placed, ready).orderBy("member_id", "ord"), "parameter_name", "parameter_type")
+    found = rows(X.parameter_facts(placed).orderBy("member_id", "ord"), "parameter_name", "parameter_type")
     assert found == [("r", "Repo"), ("task", "Task")]  # no primitive, generic or final ones
 
 
 def test_created(facts):
     _, _, ready, placed = facts
-    found = rows(X.created_types(placed, ready).orderBy("ord"), "created_type")
+    found = rows(X.created_types(placed).orderBy("ord"), "created_type")
     assert [kind for kind, in found] == ["Helper", "Box", "Helper", "Helper"]
 
 
 def test_locals(facts):
     _, _, ready, placed = facts
-    assert sorted(rows(X.local_facts(placed, ready), "name", "variable_type")) == [("box", "Box"), ("twice", "Late")]
+    assert sorted(rows(X.local_facts(placed), "name", "variable_type")) == [("box", "Box"), ("twice", "Late")]
 
 
 def test_calls(facts):
     _, _, ready, placed = facts
-    found = rows(X.call_facts(placed, ready).where("file_id = 1").orderBy("ord"), "method_name", "method_class", "argument_types")
+    found = rows(X.call_facts(placed).where("file_id = 1").orderBy("ord"), "method_name", "method_class", "argument_types")
     assert found == [
         ("open", "Box", []), ("go", "Task", ["Box", "Late"]), ("save", "Repo", []), ("bare", "repo", []),
         ("own", "Alpha", []), ("of", "List", []), ("f", "f", []), ("outer", "twice.inner()", []), ("inner", "Late", []),
     ]
-    other = rows(X.call_facts(placed, ready).where("file_id = 2"), "method_name", "method_class")
+    other = rows(X.call_facts(placed).where("file_id = 2"), "method_name", "method_class")
     assert other == [("run", "Plain")]
 
 
@@ -141,6 +142,6 @@ def test_records(facts):
 
 def test_one_shuffle_of_nodes(facts, capsys):
     _, _, ready, placed = facts
-    X.member_facts(placed, ready).explain()
+    X.member_facts(placed).explain()
     plan = capsys.readouterr().out
     assert plan.count("NestedLoop") == 0 and plan.count("CartesianProduct") == 0

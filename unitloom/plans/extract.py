@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from unitloom.functions.text import declarator_name, utf8
+from unitloom.functions.text import declarator_name, node_text, utf8
 from unitloom.operators.filters import TEST_MARKER
 from unitloom.operators.joins import resolve_cascade
 from unitloom.operators.nodes import enclosing, first_below, look_back, node_struct, with_text
@@ -41,6 +41,8 @@ USED_TYPES = (
     "formal_parameters", "formal_parameter", "type_identifier", "variable_declarator", "argument_list",
 )
 USED_FIELDS = ("type", "name", "object", "arguments")
+SHOWN_TYPES = ("identifier", "type_identifier", "modifiers", "super_interfaces", "variable_declarator")
+SHOWN_FIELDS = ("type", "name", "object")
 
 
 def prepare_sources(sources: DataFrame) -> DataFrame:
@@ -48,13 +50,18 @@ def prepare_sources(sources: DataFrame) -> DataFrame:
     return sources.select("file_id", "project", "path", utf8(F.col("content")).alias("content_bytes"))
 
 
-def annotate(nodes: DataFrame) -> DataFrame:
-    """Nodes inside classes, with their class, member and first descendants.
+def annotate(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Nodes inside classes, with their class, member, first descendants and texts.
 
     Adds the structs ``cls`` (top-level class), ``member`` (method or constructor right in
-    that class's body, with ``kind``), ``block`` (its first block), ``first_type`` and
-    ``first_declarator`` (first such descendant), and ``in_body`` for a body's children.
-    Unnamed nodes (punctuation, keywords) are never needed and stay in the scan.
+    that class's body, with ``kind``) and ``block`` (its first block); the flag ``in_body``
+    for a body's children; and the texts ``text`` (of nodes a fact shows), ``first_type``
+    and ``first_name`` (of the first type name below, and of the first identifier below
+    the first declarator below).
+
+    The node table is shuffled once, by file.  Texts are cut in one merge join with the
+    sources at the end, so no later fact reads the sources again.  Unnamed nodes
+    (punctuation, keywords) are never needed and stay in the scan.
     """
     kind, node, span = F.col("type"), node_struct(), F.struct("node_id", "start_byte", "end_byte")
     out = nodes.where(F.col("is_named"))
@@ -62,7 +69,7 @@ def annotate(nodes: DataFrame) -> DataFrame:
     out = first_below(out, first_block=(kind == METHOD_BODY, F.struct("node_id", "last_desc_id")),
                       first_type=(kind == "type_identifier", span), first_identifier=(kind == "identifier", span))
     declared = F.struct("node_id", F.when(F.col("first_identifier.node_id") <= F.col("last_desc_id"),
-                                          F.col("first_identifier")).alias("first_identifier"))
+                                          F.col("first_identifier")).alias("name"))
     out = first_below(out, first_declarator=(kind == "variable_declarator", declared))
     # looking back: one sort by ascending id
     out = enclosing(out, cls=((F.col("parent_id") == 0) & (kind == CLASS), node))
@@ -71,13 +78,26 @@ def annotate(nodes: DataFrame) -> DataFrame:
     member = F.struct("node_id", "last_desc_id", kind.alias("kind"), F.col("first_block").alias("block"))
     out = enclosing(out, member=(F.col("in_body") & kind.isin(METHOD, CONSTRUCTOR), member))
     used = kind.isin(*USED_TYPES) | F.col("field_name").isin(*USED_FIELDS) | F.col("in_body")
-    return out.where(F.col("cls").isNotNull() & used).withColumn("block", F.col("member.block")).drop(
-        "is_named", "body_id", "first_block", "first_identifier")
+    out = out.where(F.col("cls").isNotNull() & used)
+    shown = (
+        kind.isin(*SHOWN_TYPES) | F.col("field_name").isin(*SHOWN_FIELDS) | (F.col("node_id") == F.col("cls.node_id"))
+        | (F.col("in_body") & kind.isin(METHOD, CONSTRUCTOR, *COMMENTS))
+    )
+    # only creations and local declarations ask for what comes first below them
+    ahead = {"first_type": (kind == CREATION, F.col("first_type")), "first_name": (kind == LOCAL, F.col("first_declarator.name"))}
+    texts = with_text(out, sources, text=(F.when(shown, F.col("start_byte")), F.col("end_byte")), **{
+        f"_{name}": (F.when(condition, found["start_byte"]), found["end_byte"]) for name, (condition, found) in ahead.items()
+    })
+    return texts.select(
+        "file_id", "node_id", "last_desc_id", "parent_id", "ord", "type", "field_name", "start_byte", "end_byte",
+        "cls", F.struct("member.node_id", "member.kind").alias("member"), F.col("member.block").alias("block"), "in_body",
+        "text", F.col("_first_type").alias("first_type"), F.col("_first_name").alias("first_name"),
+    )
 
 
 def _first_children(wanted: dict[str, Column]) -> list[Column]:
     """Per parent, the first child meeting each condition, as aggregates."""
-    child = node_struct("type")
+    child = F.struct("text", "type", "node_id")
     return [F.min_by(child, F.when(condition, F.col("ord"))).alias(name) for name, condition in wanted.items()]
 
 
@@ -115,8 +135,9 @@ def unit_facts(annotated: DataFrame, nodes: DataFrame, sources: DataFrame,
     """
     kind = F.col("type")
     below_class = F.col("parent_id") == F.col("cls.node_id")
-    parts = annotated.where(below_class | F.col("in_body")).groupBy(*_class_key()).agg(
-        F.first("cls").alias("cls"),
+    itself = F.col("node_id") == F.col("cls.node_id")
+    parts = annotated.where(below_class | F.col("in_body") | itself).groupBy(*_class_key()).agg(
+        F.max(F.when(itself, F.col("text"))).alias("full_text"), F.max("cls.start_byte").alias("start"),
         *_first_children({
             "name_node": below_class & (kind == "identifier"),
             "modifier_node": below_class & (kind == "modifiers"),
@@ -124,26 +145,24 @@ def unit_facts(annotated: DataFrame, nodes: DataFrame, sources: DataFrame,
         }),
         F.max_by("end_byte", F.when(F.col("in_body") & kind.isin(CONSTRUCTOR, FIELD), F.col("ord"))).alias("header_end"),
     )
-    texts = with_text(
-        parts, sources, class_identifier=F.col("name_node"), modifier=F.col("modifier_node"),
-        super_interfaces=F.col("interface_node"), full_text=F.col("cls"),
-        header=(F.col("cls.start_byte"), F.col("header_end")),
-    ).where(~F.col("full_text").contains(marker))
+    header = node_text(utf8(F.col("full_text")), F.lit(0), F.col("header_end") - F.col("start"))
     empty = F.lit("")
     files = sources.select("file_id", "project", "path")
     return (
-        texts.join(files, "file_id").join(file_facts(nodes, sources), "file_id", "left")
+        parts.where(~F.col("full_text").contains(marker)).join(files, "file_id")
+        .join(file_facts(nodes, sources), "file_id", "left")
         .select(
-            "file_id", "class_id", "project", F.coalesce("package", empty).alias("package"), "class_identifier",
-            F.coalesce("modifier", empty).alias("modifier"),
-            F.coalesce("super_interfaces", empty).alias("super_interfaces"), "full_text",
-            F.coalesce("header", empty).alias("header"), F.coalesce("imports", empty).alias("imports"),
+            "file_id", "class_id", "project", F.coalesce("package", empty).alias("package"),
+            F.col("name_node.text").alias("class_identifier"),
+            F.coalesce("modifier_node.text", empty).alias("modifier"),
+            F.coalesce("interface_node.text", empty).alias("super_interfaces"), "full_text",
+            F.coalesce(header, empty).alias("header"), F.coalesce("imports", empty).alias("imports"),
             F.col("path").alias("filepath"),
         )
     )
 
 
-def field_facts(annotated: DataFrame, sources: DataFrame) -> DataFrame:
+def field_facts(annotated: DataFrame) -> DataFrame:
     """Fields of a class: name and type, first declarator only."""
     kind = F.col("type")
     declaring = F.col("in_body") & (kind == FIELD)
@@ -152,35 +171,32 @@ def field_facts(annotated: DataFrame, sources: DataFrame) -> DataFrame:
     parts = found.groupBy(*_class_key(), F.col("field.ord").alias("ord")).agg(*_first_children({
         "type_node": kind == "type_identifier", "name_node": kind == "variable_declarator",
     }))
-    texts = with_text(parts, sources, declarator=F.col("name_node"), declared=F.col("type_node"))
-    return texts.select(
-        "file_id", "class_id", "ord", declarator_name(F.col("declarator")).alias("variable_identifier"),
-        F.coalesce("declared", F.lit(UNKNOWN_TYPE)).alias("variable_type"),
+    return parts.select(
+        "file_id", "class_id", "ord", declarator_name(F.col("name_node.text")).alias("variable_identifier"),
+        F.coalesce("type_node.text", F.lit(UNKNOWN_TYPE)).alias("variable_type"),
     )
 
 
-def member_facts(annotated: DataFrame, sources: DataFrame, kind: str = METHOD) -> DataFrame:
+def member_facts(annotated: DataFrame, kind: str = METHOD) -> DataFrame:
     """Methods (X5) or constructors (X4) right in a class body: name and text.
 
     A method's text starts with the comment that stands just before it (W2).
     """
     siblings = Window.partitionBy("file_id", "parent_id").orderBy("ord")
-    direct = annotated.where(F.col("in_body"))
-    before = F.lag(node_struct("type")).over(siblings)
-    comment = F.when((F.col("type") == METHOD) & before["type"].isin(*COMMENTS), before)
-    members = direct.withColumn("comment", comment).where(F.col("type") == kind)
+    comment = F.lag(F.when(F.col("type").isin(*COMMENTS), F.col("text"))).over(siblings)
+    members = annotated.where(F.col("in_body")).withColumn("comment", comment).where(F.col("type") == kind)
     own = F.col("parent_id") == F.col("member.node_id")
     names = annotated.where(own & (F.col("type") == "identifier")).groupBy(*_member_key()).agg(
-        F.min_by(node_struct(), "ord").alias("name_node")
+        F.min_by("text", "ord").alias("identifier")
     )
-    keyed = members.select(*_member_key(), "ord", node_struct().alias("node"), "comment")
-    texts = with_text(keyed.join(names, ["file_id", "class_id", "member_id"]), sources,
-                      identifier=F.col("name_node"), bare=F.col("node"), lead=F.col("comment"))
-    text = F.coalesce(F.concat("lead", F.lit("\n"), "bare"), F.col("bare"))
-    return texts.select("file_id", "class_id", "member_id", "ord", "identifier", text.alias("full_text"))
+    lead = F.col("comment") if kind == METHOD else F.lit(None).cast("string")
+    text = F.coalesce(F.concat(lead, F.lit("\n"), "text"), F.col("text"))
+    keyed = members.select(*_member_key(), "ord", text.alias("full_text"))
+    return keyed.join(names, ["file_id", "class_id", "member_id"]).select(
+        "file_id", "class_id", "member_id", "ord", "identifier", "full_text")
 
 
-def parameter_facts(annotated: DataFrame, sources: DataFrame) -> DataFrame:
+def parameter_facts(annotated: DataFrame) -> DataFrame:
     """Parameters whose first child is a plain type name (X6), for methods and constructors."""
     kind = F.col("type")
     near = annotated.where(kind.isin("formal_parameters", "formal_parameter") | F.col("ord").isin(0, 1))
@@ -189,11 +205,11 @@ def parameter_facts(annotated: DataFrame, sources: DataFrame) -> DataFrame:
     own = (kind == "formal_parameter") & (F.col("parent_id") == F.col("container"))
     found = look_back(listed, parameter=(own, F.struct("node_id", "ord"))).where(F.col("parent_id") == F.col("parameter.node_id"))
     parts = found.groupBy(*_member_key(), F.col("parameter.ord").alias("ord")).agg(
-        F.min_by(node_struct(), F.when((F.col("ord") == 0) & (F.col("type") == "type_identifier"), 0)).alias("type_node"),
-        F.min_by(node_struct(), F.when(F.col("ord") == 1, 1)).alias("name_node"),
-    ).where(F.col("type_node").isNotNull())
-    texts = with_text(parts, sources, parameter_name=F.col("name_node"), parameter_type=F.col("type_node"))
-    return texts.select("file_id", "class_id", "member_id", "ord", "parameter_name", "parameter_type")
+        F.max(F.when((F.col("ord") == 0) & (kind == "type_identifier"), F.col("text"))).alias("parameter_type"),
+        F.max(F.when(F.col("ord") == 1, F.col("text"))).alias("parameter_name"),
+    )
+    return parts.where(F.col("parameter_type").isNotNull()).select(
+        "file_id", "class_id", "member_id", "ord", "parameter_name", "parameter_type")
 
 
 def _body_of_member() -> Column:
@@ -204,73 +220,64 @@ def _body_of_member() -> Column:
     return own & (method | constructor)
 
 
-def created_types(annotated: DataFrame, sources: DataFrame) -> DataFrame:
+def created_types(annotated: DataFrame) -> DataFrame:
     """Classes created in a member's body, in order, repeats kept."""
     near = annotated.where(F.col("type").isin(CREATION, METHOD_BODY, CONSTRUCTOR_BODY))
-    inside = enclosing(near, own_body=(_body_of_member(), F.struct("last_desc_id"))).where(
-        (F.col("type") == CREATION) & F.col("own_body").isNotNull() & F.col("first_type").isNotNull()
-    )
-    keyed = inside.select(*_member_key(), F.col("node_id").alias("ord"), "first_type")
-    return with_text(keyed, sources, created_type=F.col("first_type")).drop("first_type")
+    inside = enclosing(near, own_body=(_body_of_member(), F.struct("last_desc_id")))
+    made = inside.where((F.col("type") == CREATION) & F.col("own_body").isNotNull() & F.col("first_type").isNotNull())
+    return made.select(*_member_key(), F.col("node_id").alias("ord"), F.col("first_type").alias("created_type"))
 
 
 def _in_block() -> Column:
     return F.col("node_id").between(F.col("block.node_id"), F.col("block.last_desc_id"))
 
 
-def local_facts(annotated: DataFrame, sources: DataFrame) -> DataFrame:
+def local_facts(annotated: DataFrame) -> DataFrame:
     """Local variables of a method: name and type, the last declaration wins."""
-    type_child = annotated.where((F.col("field_name") == "type") & F.col("member").isNotNull()).groupBy(
+    declared = annotated.where((F.col("type") == LOCAL) & (F.col("member.kind") == METHOD) & _in_block()).select(
+        *_member_key(), "node_id", F.col("first_name").alias("name")
+    )
+    types = annotated.where((F.col("field_name") == "type") & F.col("member.node_id").isNotNull()).groupBy(
         "file_id", F.col("parent_id").alias("node_id")
-    ).agg(F.min_by(F.struct("start_byte", "end_byte"), "ord").alias("type_node"))
-    declared = annotated.where(
-        (F.col("type") == LOCAL) & (F.col("member.kind") == METHOD) & _in_block()
-    ).select(*_member_key(), "node_id", "first_declarator")
-    keyed = declared.join(type_child, ["file_id", "node_id"])
-    texts = with_text(keyed, sources, name=F.col("first_declarator.first_identifier"), variable_type=F.col("type_node"))
-    return last_wins(texts, ["file_id", "class_id", "member_id", "name"], "variable_type", ["node_id"], "variable_type")
+    ).agg(F.min_by("text", "ord").alias("variable_type"))
+    keyed = declared.join(types, ["file_id", "node_id"])
+    return last_wins(keyed, ["file_id", "class_id", "member_id", "name"], "variable_type", ["node_id"], "variable_type")
 
 
-def call_sites(annotated: DataFrame, sources: DataFrame) -> DataFrame:
+def call_sites(annotated: DataFrame) -> DataFrame:
     """Calls in a method's body with the text and type of their receiver."""
     sites = annotated.where((F.col("type") == CALL) & (F.col("member.kind") == METHOD) & _in_block())
-    fields = annotated.where(F.col("field_name").isin("name", "object", "arguments") & F.col("member").isNotNull())
+    field = F.col("field_name")
+    fields = annotated.where(field.isin("name", "object", "arguments") & (F.col("member.kind") == METHOD))
     parts = fields.groupBy("file_id", F.col("parent_id").alias("node_id")).agg(*_first_children({
-        "name_node": F.col("field_name") == "name", "object_node": F.col("field_name") == "object",
-        "argument_node": F.col("field_name") == "arguments",
+        "name_node": field == "name", "object_node": field == "object", "argument_node": field == "arguments",
     }))
     keyed = sites.select(*_member_key(), "node_id").join(parts, ["file_id", "node_id"])
-    texts = with_text(keyed, sources, method_name=F.col("name_node"), object_text=F.col("object_node"))
-    return texts.select(
-        "file_id", "class_id", "member_id", "node_id", "method_name",
-        F.coalesce("object_text", F.lit(ITSELF)).alias("object_text"),
+    return keyed.select(
+        "file_id", "class_id", "member_id", "node_id", F.col("name_node.text").alias("method_name"),
+        F.coalesce("object_node.text", F.lit(ITSELF)).alias("object_text"),
         F.col("object_node.type").alias("object_type"), F.col("argument_node.node_id").alias("arguments_id"),
     )
 
 
-def call_facts(annotated: DataFrame, sources: DataFrame) -> DataFrame:
+def call_facts(annotated: DataFrame) -> DataFrame:
     """Calls with resolved receiver and the types of known arguments.
 
     A receiver is a local variable, else a parameter, else a field written as field
     access, else the class itself; otherwise its own text stands.
     """
     member = ["file_id", "class_id", "member_id"]
-    calls = call_sites(annotated, sources)
-    variables = local_facts(annotated, sources).select(*member, "name", F.col("variable_type").alias("value"))
+    variables = local_facts(annotated).select(*member, "name", F.col("variable_type").alias("value"))
     parameters = last_wins(
-        parameter_facts(annotated, sources).withColumnRenamed("parameter_name", "name"), [*member, "name"],
-        "parameter_type", ["ord"],
+        parameter_facts(annotated).withColumnRenamed("parameter_name", "name"), [*member, "name"], "parameter_type", ["ord"],
     )
-    fields = field_facts(annotated, sources).groupBy(
-        "file_id", "class_id", F.col("variable_identifier").alias("name")
-    ).agg(F.min_by("variable_type", "ord").alias("value"))
-    identity = annotated.where((F.col("parent_id") == F.col("cls.node_id")) & (F.col("type") == "identifier")).groupBy(
-        *_class_key()
-    ).agg(F.min_by(node_struct(), "ord").alias("name_node"))
-    owners = with_text(identity, sources, name_text=F.col("name_node"))
-    itself = owners.select("file_id", "class_id", F.lit(ITSELF).alias("name"), F.col("name_text").alias("value"))
+    fields = field_facts(annotated).groupBy("file_id", "class_id", F.col("variable_identifier").alias("name")).agg(
+        F.min_by("variable_type", "ord").alias("value")
+    )
+    named = annotated.where((F.col("parent_id") == F.col("cls.node_id")) & (F.col("type") == "identifier"))
+    itself = named.groupBy(*_class_key()).agg(F.min_by("text", "ord").alias("value")).withColumn("name", F.lit(ITSELF))
     resolved = resolve_cascade(
-        calls, F.col("object_text"),
+        call_sites(annotated), F.col("object_text"),
         [
             (variables, member, None, None),
             (parameters, member, None, None),
@@ -280,8 +287,7 @@ def call_facts(annotated: DataFrame, sources: DataFrame) -> DataFrame:
         ],
         F.col("object_text"), "method_class",
     )
-    arguments = argument_types(annotated, sources, variables)
-    typed = resolved.join(arguments, ["file_id", "arguments_id"], "left")
+    typed = resolved.join(argument_types(annotated, variables), ["file_id", "arguments_id"], "left")
     none = F.array().cast("array<string>")
     return typed.select(
         *member, F.col("node_id").alias("ord"), "method_name", "method_class",
@@ -289,25 +295,25 @@ def call_facts(annotated: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def argument_types(annotated: DataFrame, sources: DataFrame, variables: DataFrame) -> DataFrame:
+def argument_types(annotated: DataFrame, variables: DataFrame) -> DataFrame:
     """Types of a call's arguments that are local variables, in order."""
-    candidates = annotated.where((F.col("type") == "identifier") & F.col("member").isNotNull()).select(
-        *_member_key(), F.col("parent_id").alias("arguments_id"), "ord", "start_byte", "end_byte"
-    )
-    lists = annotated.where(F.col("field_name") == "arguments").select("file_id", F.col("node_id").alias("arguments_id"))
-    names = with_text(candidates.join(lists, ["file_id", "arguments_id"], "left_semi"), sources,
-                      name=(F.col("start_byte"), F.col("end_byte")))
+    in_method = F.col("member.kind") == METHOD
+    lists = annotated.where((F.col("field_name") == "arguments") & in_method).select(
+        "file_id", F.col("node_id").alias("arguments_id"))
+    names = annotated.where((F.col("type") == "identifier") & in_method).select(
+        *_member_key(), F.col("parent_id").alias("arguments_id"), "ord", F.col("text").alias("name")
+    ).join(lists, ["file_id", "arguments_id"], "left_semi")
     known = names.join(variables, ["file_id", "class_id", "member_id", "name"])
     gathered = F.sort_array(F.collect_list(F.struct("ord", "value")))
     return known.groupBy("file_id", "arguments_id").agg(gathered["value"].alias("argument_types"))
 
 
-def constructor_facts(annotated: DataFrame, sources: DataFrame) -> DataFrame:
+def constructor_facts(annotated: DataFrame) -> DataFrame:
     """Constructors: name, parameter types, created classes, text."""
     key = ["file_id", "class_id", "member_id"]
-    made = member_facts(annotated, sources, CONSTRUCTOR)
-    return made.join(_listed(parameter_facts(annotated, sources), "parameter_type", "parameter_types"), key, "left").join(
-        _listed(created_types(annotated, sources), "created_type", "related_classes"), key, "left"
+    made = member_facts(annotated, CONSTRUCTOR)
+    return made.join(_listed(parameter_facts(annotated), "parameter_type", "parameter_types"), key, "left").join(
+        _listed(created_types(annotated), "created_type", "related_classes"), key, "left"
     ).select(
         *key, "ord", "identifier", _or_empty("parameter_types"), _or_empty("related_classes"), "full_text"
     )
@@ -330,10 +336,10 @@ def class_records(nodes: DataFrame, sources: DataFrame, marker: str = TEST_MARKE
     annotated nodes, so these are written once, unless given as ``annotated``.
     """
     ready = prepare_sources(sources)
-    placed = cut_lineage(annotate(nodes), "annotated") if annotated is None else annotated
+    placed = cut_lineage(annotate(nodes, ready), "annotated") if annotated is None else annotated
     key, member = ["file_id", "class_id"], ["file_id", "class_id", "member_id"]
     units = unit_facts(placed, nodes, ready, marker)
-    parameters = parameter_facts(placed, ready)
+    parameters = parameter_facts(placed)
 
     def by_class(rows: DataFrame, name: str, **fields: str) -> DataFrame:
         record = F.struct("ord", F.struct(*[F.col(old).alias(new) for new, old in fields.items()]).alias("record"))
@@ -349,11 +355,11 @@ def class_records(nodes: DataFrame, sources: DataFrame, marker: str = TEST_MARKE
         F.map_from_entries(F.collect_list(F.struct("parameter_name", "parameter_type"))).alias("parameter_map")
     )
     call = F.struct("method_name", "method_class", "argument_types")
-    members = member_facts(placed, ready)
+    members = member_facts(placed)
     for rows in (
         by_member(parameters, "parameter_types", F.col("parameter_type")), parameter_map,
-        by_member(created_types(placed, ready), "related_classes", F.col("created_type")),
-        by_member(call_facts(placed, ready), "related_methods", call),
+        by_member(created_types(placed), "related_classes", F.col("created_type")),
+        by_member(call_facts(placed), "related_methods", call),
     ):
         members = members.join(rows, member, "left")
     no_calls = F.array().cast("array<struct<method_name:string,method_class:string,argument_types:array<string>>>")
@@ -369,10 +375,10 @@ def class_records(nodes: DataFrame, sources: DataFrame, marker: str = TEST_MARKE
                   related_classes="related_classes", related_methods="related_methods"), METHOD_LIST, "methods"),
         (by_class(members, "class_methods", method_identifier="identifier", method_parameter_types="parameter_types"),
          SIGNATURE_LIST, "class_methods"),
-        (by_class(constructor_facts(placed, ready), "class_constructors", constructor_identifier="identifier",
+        (by_class(constructor_facts(placed), "class_constructors", constructor_identifier="identifier",
                   constructor_parameter_types="parameter_types", related_classes="related_classes",
                   constructor_full_text="full_text"), CONSTRUCTOR_LIST, "class_constructors"),
-        (by_class(field_facts(placed, ready), "class_variable_declarations",
+        (by_class(field_facts(placed), "class_variable_declarations",
                   variable_identifier="variable_identifier", variable_type="variable_type"),
          VARIABLE_LIST, "class_variable_declarations"),
     )

@@ -123,7 +123,8 @@ def corpus(spark, folder):
 
 def placed(spark, folder):
     sources, nodes = corpus(spark, folder)
-    return extract.annotate(nodes), extract.prepare_sources(sources), nodes
+    ready = extract.prepare_sources(sources)
+    return cut_lineage(extract.annotate(nodes, ready), "annotated"), ready, nodes
 
 
 CTE = """
@@ -183,7 +184,7 @@ def top_units(spark, folder):
 @proof(CTE + "select doc_id as file_id, cast(ord as integer) as ord, name as variable_identifier, type as variable_type from fields")
 def field_facts(spark, folder):
     marked, sources, _ = placed(spark, folder)
-    return extract.field_facts(marked, sources).select("file_id", "ord", "variable_identifier", "variable_type")
+    return extract.field_facts(marked).select("file_id", "ord", "variable_identifier", "variable_type")
 
 
 @proof(CTE + """
@@ -191,7 +192,7 @@ def field_facts(spark, folder):
 """)
 def member_facts(spark, folder):
     marked, sources, _ = placed(spark, folder)
-    return extract.member_facts(marked, sources).select("file_id", "ord", "identifier", F.md5("full_text").alias("full_text"))
+    return extract.member_facts(marked).select("file_id", "ord", "identifier", F.md5("full_text").alias("full_text"))
 
 
 @proof(CTE + """
@@ -203,7 +204,7 @@ def member_facts(spark, folder):
 """)
 def constructor_facts(spark, folder):
     marked, sources, _ = placed(spark, folder)
-    return extract.constructor_facts(marked, sources).select(
+    return extract.constructor_facts(marked).select(
         "file_id", "ord", "identifier", F.array_join("parameter_types", " ").alias("parameter_types"),
         F.array_join("related_classes", " ").alias("related_classes"), F.md5("full_text").alias("full_text"))
 
@@ -211,7 +212,7 @@ def constructor_facts(spark, folder):
 @proof(CTE + "select doc_id as file_id, i as line, name as parameter_name, type as parameter_type from params")
 def parameter_facts(spark, folder):
     marked, sources, nodes = placed(spark, folder)
-    found = extract.parameter_facts(marked, sources)
+    found = extract.parameter_facts(marked)
     return _with_line(found, nodes, sources).select("file_id", "line", "parameter_name", "parameter_type")
 
 
@@ -220,7 +221,7 @@ def created_types(spark, folder):
     from pyspark.sql import Window
 
     marked, sources, nodes = placed(spark, folder)
-    found = _with_line(extract.created_types(marked, sources), nodes, sources)
+    found = _with_line(extract.created_types(marked), nodes, sources)
     place = F.row_number().over(Window.partitionBy("file_id", "member_id").orderBy("ord")) - 1
     return found.select("file_id", "line", "created_type", place.cast("bigint").alias("g"))
 
@@ -239,7 +240,7 @@ def _with_line(found, nodes, sources):
 @proof(CTE + "select doc_id as file_id, i as line, name, type as variable_type from locals")
 def local_facts(spark, folder):
     marked, sources, nodes = placed(spark, folder)
-    found = extract.local_facts(marked, sources)
+    found = extract.local_facts(marked)
     return _with_line(found, nodes, sources).select("file_id", "line", "name", "variable_type")
 
 
@@ -249,7 +250,7 @@ def local_facts(spark, folder):
 """)
 def call_facts(spark, folder):
     marked, sources, nodes = placed(spark, folder)
-    found = _with_line(extract.call_facts(marked, sources), nodes, sources)
+    found = _with_line(extract.call_facts(marked), nodes, sources)
     return found.groupBy("file_id", "line", "method_name", "method_class", F.array_join("argument_types", " ").alias("argument_types")).agg(
         F.count(F.lit(1)).alias("n"))
 
