@@ -93,8 +93,9 @@ def generate_units(tables: dict[str, DataFrame], make_model: Callable[[], Callab
     items = prepare_answer(answered, run_id).withColumn("paths", target_paths(F.col("filepath"), F.col("project")))
     repair = lambda template: model_repair(make_model, template, budget, counter, max_tries, partitions)
     compiled = cut_lineage(
-        repair_rounds(items, compile_check, repair(COMPILE_REPAIR), compile_rounds, COMPILE_STAGE), "compiled"
+        repair_rounds(items, compile_check, repair(COMPILE_REPAIR), compile_rounds, COMPILE_STAGE,
+                      partitions=partitions), "compiled"
     )
     # repairs are counted per stage
     fresh = compiled.withColumn("compile_repairs", F.col("repairs")).withColumn("repairs", F.lit(0))
-    return repair_rounds(fresh, run_check, repair(EXECUTION_REPAIR), run_rounds, EXECUTION_STAGE, gate=compile_check)
+    return repair_rounds(fresh, run_check, repair(EXECUTION_REPAIR), run_rounds, EXECUTION_STAGE, compile_check, partitions)

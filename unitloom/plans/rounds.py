@@ -163,8 +163,8 @@ def start_items(items: DataFrame) -> DataFrame:
 
 
 def repair_rounds(items: DataFrame, check: Callable[[DataFrame], DataFrame], repair: Callable[[DataFrame], DataFrame],
-                  rounds: int, stage: Stage = COMPILE_STAGE,
-                  gate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                  rounds: int, stage: Stage = COMPILE_STAGE, gate: Callable[[DataFrame], DataFrame] | None = None,
+                  partitions: int | None = None) -> DataFrame:
     """Check items, repair what failed, check again; at most ``rounds`` repairs.
 
     ``items`` come from :func:`start_items` and have a ``text``; items that already have
@@ -172,7 +172,7 @@ def repair_rounds(items: DataFrame, check: Callable[[DataFrame], DataFrame], rep
     add ``check_error``.  ``repair`` sees the columns ``text`` and ``output`` and adds
     ``repaired``, null or '' where there is none, and may add ``repair_events``.  With a
     ``gate``, a repaired text must pass it before it is checked, or the item stops with
-    the result it had.
+    the result it had.  ``partitions`` spreads the items before checks that take long (I5).
 
     Each round handles only what is still pending and is written once, so a model is
     never asked twice for one answer.  Every item is in exactly one of the pieces that
@@ -180,6 +180,8 @@ def repair_rounds(items: DataFrame, check: Callable[[DataFrame], DataFrame], rep
     """
     columns = items.columns
     busy = items.where(F.col("outcome").isNull())
+    if partitions is not None:
+        busy = busy.repartition(partitions)
     first = cut_lineage(_plain(check(busy)), "check")
     settled = [items.where(F.col("outcome").isNotNull()), _errors(first, columns), _passed(first, stage, columns)]
     pending = _failing(first)

@@ -91,7 +91,8 @@ COMPILED = PRICES.format(steps=_START + ",".join(_STEP.format(n=n, m=n - 1) for
     select id as method_id, cast(v as varchar) as text, repairs, coalesce(outcome, 'ready') as outcome from compiled
 """)
 def repair_rounds(spark, folder):
-    done = rounds.repair_rounds(priced_items(spark, folder), below(6_000_000), halve, 3)
+    done = rounds.repair_rounds(priced_items(spark, folder), below(6_000_000), halve, 3,
+                                partitions=spark.sparkContext.defaultParallelism)
     return done.select("method_id", "text", "repairs", F.coalesce("outcome", F.lit("ready")).alias("outcome"))
 
 
@@ -104,7 +105,8 @@ def repair_rounds(spark, folder):
            case when outcome = 'compile_error' then v || ' is high' else '' end as add_info from events
 """)
 def event_rows(spark, folder):
-    done = rounds.repair_rounds(priced_items(spark, folder), below(6_000_000), halve, 3)
+    done = rounds.repair_rounds(priced_items(spark, folder), below(6_000_000), halve, 3,
+                                partitions=spark.sparkContext.defaultParallelism)
     return rounds.to_events(done).select("project_name", "method_id", "event", "result_code", "add_info")
 
 
@@ -134,7 +136,8 @@ def gated_items(spark, folder):
         broken = F.when(F.col("text").endswith("7"), F.lit("9000000")).otherwise(half)
         return df.withColumn("repaired", F.when(~F.col("text").endswith("9"), broken))
 
-    compiled = rounds.repair_rounds(priced_items(spark, folder), below(6_000_000), halve, 3)
+    compiled = rounds.repair_rounds(priced_items(spark, folder), below(6_000_000), halve, 3,
+                                partitions=spark.sparkContext.defaultParallelism)
     return rounds.repair_rounds(compiled.withColumn("repairs", F.lit(0)), below(2_000_000), halve_or_break, 2,
                                 rounds.EXECUTION_STAGE, gate=below(6_000_000))
 
@@ -201,6 +204,6 @@ def generated_outcomes(spark, folder):
         F.lit("shop").alias("project"), F.lit("src").alias("package"), "class_identifier", F.lit("").alias("full_text"),
         F.lit("").alias("header"), F.lit("").alias("imports"), F.lit("shop/java/java/src/B").alias("filepath")))
     made = generate.generate_units(tables, stub_model(), lacks("broken"), lacks("slow"), "r1", runs=2, levels=LEVELS,
-                                   compile_rounds=2, run_rounds=2)
+                                   compile_rounds=2, run_rounds=2, partitions=spark.sparkContext.defaultParallelism)
     return made.select("method_id", "run", "outcome", "compile_repairs", "repairs", "text",
                        F.array_join(F.col("events")["event"], "|").alias("events"))

@@ -53,8 +53,8 @@ def count_by_group(df: DataFrame, key: str, name: str = "n") -> DataFrame:
 
 
 def missing_groups(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """Groups that should have rows and have none (S3)."""
-    return expected.select(key).distinct().join(found.select(key), key, "left_anti")
+    """Groups that should have rows and have none (S3); both sides are one row per group."""
+    return expected.select(key).distinct().join(found.select(key).distinct(), key, "left_anti")
 
 
 def require_groups(expected: DataFrame, found: DataFrame, key: str) -> None:

@@ -19,13 +19,22 @@ FACT_TABLES = {
 }
 
 
+def write_by(df: DataFrame, keys: list[str], path: str, mode: str, fmt: str = "parquet", **options) -> None:
+    """Write partitioned by ``keys``.
+
+    Rows are rebalanced by the keys first: a small partition becomes one file instead of
+    one per task, and a partition that holds a third of all rows is split into many.
+    """
+    writer = df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).options(**options)
+    writer.format(fmt).save(path)
+
+
 def write_fact_tables(tables: dict[str, DataFrame], root: str) -> None:
     """Replace the given projects in every fact table, leave the others alone."""
     for name, table in tables.items():
         if name == "projects":  # a partitioned table needs one column besides its key
             table = table.select("project", F.lit(True).alias("listed"))
-        (table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("project").parquet(f"{root}/{name}"))
+        write_by(table, ["project"], f"{root}/{name}", "overwrite", partitionOverwriteMode="dynamic")
 
 
 def read_fact_tables(spark: SparkSession, root: str, project: str | None = None) -> dict[str, DataFrame]:
@@ -42,9 +51,9 @@ def read_fact_tables(spark: SparkSession, root: str, project: str | None = None)
 
 def write_artifacts(items: DataFrame, path: str, mode: str = "append") -> None:
     """Prompt and generated text of each item, by project and package."""
-    items.write.mode(mode).partitionBy("project", "package").parquet(path)
+    write_by(items, ["project", "package"], path, mode)
 
 
 def route_by_outcome(items: DataFrame, path: str, mode: str = "append") -> None:
     """File each item under its outcome."""
-    items.write.mode(mode).partitionBy("outcome").parquet(path)
+    write_by(items, ["outcome"], path, mode)
