@@ -63,16 +63,17 @@ def model_repair(make_model: Callable[[], Callable[[str], str]], template: str,
                  partitions: int | None = None) -> Callable[[DataFrame], DataFrame]:
     """A repair that asks the model, for :func:`repair_rounds`."""
     def apply(df: DataFrame) -> DataFrame:
-        prompt = F.nullif(repair_prompt(F.col("text"), F.col("output"), budget, template, counter), F.lit(""))
-        asked = infer(df.withColumn("_repair_prompt", prompt), "_repair_prompt", make_model, max_tries,
-                      "_repair_answer", "_repair_error", partitions)
-        block = last_block(F.col("_repair_answer"))
+        prompted = df.withColumn("_repair_prompt", repair_prompt(F.col("text"), F.col("output"), budget, template, counter))
+        prompted = prompted.withColumn("_repair_prompt", F.nullif(F.col("_repair_prompt"), F.lit("")))
+        asked = infer(prompted, "_repair_prompt", make_model, max_tries, "_repair_answer", "_repair_error", partitions)
+        asked = asked.withColumn("_block", last_block(F.col("_repair_answer")))
+        block = F.col("_block")
         lost = F.col("_repair_answer").isNotNull() & block.isNull()
         note = F.struct(F.lit(NO_CODE).alias("event"), F.lit(1).alias("result_code"), F.lit("").alias("add_info"))
         return asked.withColumns({
             "repaired": F.when(block != "", set_package(block, F.col("package"))),
             "repair_events": F.when(lost, F.array(note)).cast(f"array<{EVENT}>"),
-        }).drop("_repair_prompt", "_repair_answer", "_repair_error")
+        }).drop("_repair_prompt", "_repair_answer", "_repair_error", "_block")
     return apply
 
 
@@ -89,9 +90,13 @@ def generate_units(tables: dict[str, DataFrame], make_model: Callable[[], Callab
     """
     context = gather_context(tables, budget, levels, counter, only=only)
     asked = cross_runs(context, runs)
-    answered = cut_lineage(infer(asked, "prompt", make_model, max_tries, partitions=partitions), "answers")
+    answered = infer(asked, "prompt", make_model, max_tries, partitions=partitions)
     items = prepare_answer(answered, run_id).withColumn("paths", target_paths(F.col("filepath"), F.col("project")))
-    repair = lambda template: model_repair(make_model, template, budget, counter, max_tries, partitions)
+    items = cut_lineage(items, "answers")  # no answer is asked for, or cleaned, twice
+
+    def repair(template: str) -> Callable[[DataFrame], DataFrame]:
+        return model_repair(make_model, template, budget, counter, max_tries, partitions)
+
     compiled = cut_lineage(
         repair_rounds(items, compile_check, repair(COMPILE_REPAIR), compile_rounds, COMPILE_STAGE,
                       partitions=partitions), "compiled"
