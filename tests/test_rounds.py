@@ -148,6 +148,8 @@ def test_whole_job(spark):
             name = prompt.split("Method: ")[1].split("\n")[0]
             if name == "down":
                 raise ConnectionError("no service")
+            if name == "big":
+                raise TimeoutError
             return {"mute": "sorry", "nameless": "```\nint x;\n```"}.get(name, "```java\npackage q;\nclass T { T() }\n```")
         return answer
 
@@ -158,7 +160,8 @@ def test_whole_job(spark):
     outcome = {k: (r.outcome, [e.event for e in r.events]) for k, r in rows.items()}
     passed = ("passed", ["Compilation Successful Round 0", "Execution Successful after 0 repairs"])
     for run in (1, 2):
-        assert outcome[1, run] == outcome[2, run] == passed
+        assert outcome[1, run] == passed
+        assert outcome[2, run] == ("other_error", ["Timeout Error"])
         assert outcome[3, run] == ("other_error", ["Other Error"])  # its path has no source root
         assert outcome[4, run] == ("answer_error", ["No Source Code in Answer Error", "Answer Extraction Error"])
         assert outcome[5, run] == ("answer_error", ["Class Name Extraction Error"])

@@ -64,7 +64,7 @@ def annotate(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     (punctuation, keywords) are never needed and stay in the scan.
     """
     kind, node, span = F.col("type"), node_struct(), F.struct("node_id", "start_byte", "end_byte")
-    out = nodes.where(F.col("is_named"))
+    out = nodes.where(F.col("is_named")).drop("is_named")
     # looking ahead: one sort by descending id
     out = first_below(out, first_block=(kind == METHOD_BODY, F.struct("node_id", "last_desc_id")),
                       first_type=(kind == "type_identifier", span), first_identifier=(kind == "identifier", span))

@@ -15,7 +15,7 @@ from unitloom.operators.joins import cross_runs
 from unitloom.plans.context import gather_context
 from unitloom.plans.rounds import (
     ANSWER_ERROR, ANSWER_FAILED, CLASS_NAME_ERROR, COMPILE_STAGE, EVENT, EXECUTION_STAGE, NO_CODE, OTHER, OTHER_ERROR,
-    OVER_BUDGET, infer, repair_rounds, start_items,
+    OVER_BUDGET, TIMEOUT, TIMEOUT_ERROR, infer, repair_rounds, start_items,
 )
 from unitloom.session import cut_lineage
 
@@ -42,6 +42,7 @@ def prepare_answer(answered: DataFrame, run_id: str) -> DataFrame:
         return F.array(*made).cast(f"array<{EVENT}>")
 
     cases = [
+        (F.col("error") == TIMEOUT, OTHER, events((TIMEOUT_ERROR, ""))),
         (F.col("error").isNotNull(), OTHER, events((OTHER_ERROR, F.col("error")))),
         (F.col("prompt").isNull(), OVER_BUDGET, F.array().cast(f"array<{EVENT}>")),
         (F.col("block").isNull(), ANSWER_FAILED, events((NO_CODE, ""), (ANSWER_ERROR, ""))),

@@ -20,6 +20,7 @@ ANSWER_ERROR = "Answer Extraction Error"
 CLASS_NAME_ERROR = "Class Name Extraction Error"
 OTHER_ERROR = "Other Error"
 TIMEOUT_ERROR = "Timeout Error"
+TIMEOUT = "Timeout"
 PASSED, COMPILE_ERROR, EXECUTION_ERROR = "passed", "compile_error", "execution_error"
 
 #: Outcomes of items that end before a check decides.
@@ -61,8 +62,8 @@ def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Calla
     The function is built once per task.  It sees the value of ``columns``, or a dict of
     values where that is a list.  Other columns pass through untouched, and a row whose
     (first) column is null is not shown to the function.  A row whose function raises is tried again,
-    at most ``max_tries`` times, and then carries the message in ``error`` (U4);
-    ``fallback`` turns an exception into a value instead where it returns one.
+    at most ``max_tries`` times, and then carries the message in ``error`` (U4), which is
+    ``Timeout`` for a TimeoutError; ``fallback`` turns an exception into a value instead where it returns one.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -74,6 +75,8 @@ def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Calla
     if error:
         schema = schema.add(error, "string")
 
+    late = TIMEOUT
+
     def run(batches):
         import pyarrow as pa
 
@@ -88,7 +91,7 @@ def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Calla
                     value = fallback(raised) if fallback else None
                     if value is not None:
                         return value, None
-                    message = str(raised) or type(raised).__name__
+                    message = late if isinstance(raised, TimeoutError) else str(raised) or type(raised).__name__
             return None, message
 
         for batch in batches:
@@ -127,8 +130,10 @@ def row_check(make_fn: Callable[[], Callable], columns: str | list[str] = "text"
     A TimeoutError of the function is the result (1, 'Timeout') (F17); any other
     exception makes the row end as an error, and no other row with it (U4).
     """
+    timed_out = {"code": 1, "output": TIMEOUT}
+
     def late(raised):
-        return {"code": 1, "output": "Timeout"} if isinstance(raised, TimeoutError) else None
+        return timed_out if isinstance(raised, TimeoutError) else None
 
     def make():
         fn = make_fn()
