@@ -13,7 +13,8 @@ from unitloom.session import tune  # noqa: E402
 def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("unitloom-tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
         .getOrCreate()
     )

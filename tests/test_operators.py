@@ -123,3 +123,29 @@ def test_range_join_is_an_equi_join(spark):
     _, df = random_tree(spark, 50, 1)
     plan = nodes.descendants(df, df)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_hot_key_is_split(spark):
+    """A target with a third of all edges: the skew rule splits its rows, and all of them arrive."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        edges = spark.range(0, 60000, 1, 8).select(
+            F.col("id").alias("source"), F.when(F.col("id") < 20000, 7).otherwise(F.col("id") % 5000).alias("target"),
+            F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+        units = spark.range(5000).select("id", F.concat(F.lit("u"), "id").alias("text"))
+        made = joins.related_units(edges, units, {"target": "id"})
+        assert made.groupBy("source").agg(F.count("*").alias("n")).where("n = 1").count() == 60000
+        rows = made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) == 60000 and all(r.text == f"u{r.target}" for r in rows)
+        assert "skew=true" in plan
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -56,7 +56,8 @@ EXECUTION_STAGE = Stage(
 )
 
 
-def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Callable], kind: T.DataType | str, name: str, max_tries: int = 1, error: str | None = "error", fallback: Callable | None = None) -> DataFrame:
+def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Callable], kind: T.DataType | str, name: str,
+            max_tries: int = 1, error: str | None = "error", fallback: Callable | None = None) -> DataFrame:
     """Append a user function's value for each row, over Arrow batches.
 
     The function is built once per task.  It sees the value of ``columns``, or a dict of
