@@ -29,15 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder; a cluster without the
     setting is an error, since a machine-local folder would lose rows with its host.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="unitloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="unitloom-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
