@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from unitloom.llm import block_naming
+from unitloom.llm import block_naming, topk_search
 
 #: name -> (query, SQL or None)
 LLM_QUERIES = {
+    "op1_topk_search": (topk_search.op1_topk_search, topk_search.SQL),
     "op4_exact_dedup": (block_naming.op4_exact_dedup, block_naming.SQL),
 }
