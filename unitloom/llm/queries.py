@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from unitloom.llm import block_naming, topk_search
+from unitloom.llm import block_naming, chat_format, topk_search
 
 #: name -> (query, SQL or None)
 LLM_QUERIES = {
     "op1_topk_search": (topk_search.op1_topk_search, topk_search.SQL),
+    "op3_chat_format": (chat_format.op3_chat_format, chat_format.SQL),
     "op4_exact_dedup": (block_naming.op4_exact_dedup, block_naming.SQL),
 }
