@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from unitloom.llm import block_naming, chat_format, pieces, topk_search
+from unitloom.llm import block_naming, chat_format, packing, pieces, topk_search
 
 #: name -> (query, SQL or None)
 LLM_QUERIES = {
@@ -10,4 +10,5 @@ LLM_QUERIES = {
     "op3_chat_format": (chat_format.op3_chat_format, chat_format.SQL),
     "op4_exact_dedup": (block_naming.op4_exact_dedup, block_naming.SQL),
     "op7_sentencepiece": (pieces.op7_sentencepiece, None),
+    "op9_bestfit_packing": (packing.op9_bestfit_packing, None),
 }
