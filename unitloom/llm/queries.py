@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from unitloom.llm import block_naming, chat_format, packing, pieces, topk_search
+from unitloom.llm import block_naming, chat_format, packing, pieces, topk_search, toxicity
 
 #: name -> (query, SQL or None)
 LLM_QUERIES = {
     "op1_topk_search": (topk_search.op1_topk_search, topk_search.SQL),
+    "op2_toxicity": (toxicity.op2_toxicity, None),
     "op3_chat_format": (chat_format.op3_chat_format, chat_format.SQL),
     "op4_exact_dedup": (block_naming.op4_exact_dedup, block_naming.SQL),
     "op7_sentencepiece": (pieces.op7_sentencepiece, None),
