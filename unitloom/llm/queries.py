@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from unitloom.llm import block_naming, chat_format, packing, pieces, topk_search, toxicity
+from unitloom.llm import block_naming, chat_format, jaccard, packing, pieces, topk_search, toxicity
 
 #: name -> (query, SQL or None)
 LLM_QUERIES = {
@@ -12,4 +12,5 @@ LLM_QUERIES = {
     "op4_exact_dedup": (block_naming.op4_exact_dedup, block_naming.SQL),
     "op7_sentencepiece": (pieces.op7_sentencepiece, None),
     "op9_bestfit_packing": (packing.op9_bestfit_packing, None),
+    "op10_jaccard_join": (jaccard.op10_jaccard_join, jaccard.SQL),
 }
