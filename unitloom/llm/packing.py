@@ -33,55 +33,83 @@ PART_PIECES = 100_000
 GIVEN_UP, GIVEN_UP_PER_GAP = 1, 8
 
 _WORD = re.compile(r"[^ \t\n\r]+")
-_BREAK = "<|startoftext|>"
+#: Words of characters that any Unicode version lower-cases and sorts into letters and numbers alike.
+_SIMPLE = "[!-~\u00a1-\u012f\u0131-\u0148\u014a-\u017e]"
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_END = "</w>"
 
 
-def independent_words(tokenizer) -> bool:
-    """Whether the tokenizer drops white space before it cuts, so that words are encoded one by one."""
+def cuts_words_alike(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and cuts by ``_CUT``, each cut ending in a marked id."""
     import json
 
     spec = json.loads(tokenizer.to_str())
-    cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
-    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    steps = [step["type"] for step in (spec.get("normalizer") or {}).get("normalizers") or []]
     return (
-        cut[0].get("type") == "Split" and cut[0].get("behavior") == "Removed" and cut[0].get("invert") is True
-        and r"[^\s\p{L}\p{N}]+" in cut[0]["pattern"].get("Regex", "") and {s["type"] for s in steps} <= {"NFC", "Replace", "Lowercase"})
+        steps == ["NFC", "Replace", "Lowercase"] and [c.get("type") for c in cut] == ["Split", "ByteLevel"]
+        and cut[0].get("pattern") == {"Regex": _CUT} and cut[0].get("behavior") == "Removed" and cut[0].get("invert") is True
+        and not cut[1].get("use_regex") and spec["model"].get("end_of_word_suffix") == _END)
 
 
 class WordEncoder:
-    """Ids of texts; each distinct word is encoded once, many words in one call."""
+    """Ids of texts.  A text falls apart at white space, a word into the tokenizer's cuts; each distinct cut is encoded once.
+
+    A tokenizer that cuts otherwise gets whole texts, each distinct one once.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             self.tokenizer = Tokenizer.from_str(file.read())
-        self.by_word = independent_words(self.tokenizer)
-        self.mark = self.tokenizer.token_to_id(_BREAK)
-        self.table = ChunkTable(self._words if self.by_word and self.mark is not None else self._texts)
+        self.by_word = cuts_words_alike(self.tokenizer)
+        self.cut = regex.compile(_CUT)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(_END)]] = True
+        starts = {token.content[0] for token in self.tokenizer.get_added_tokens_decoder().values()}
+        self.simple = re.compile("".join(["(?:(?![", *map(re.escape, sorted(starts)), "])", _SIMPLE, ")+"]) if starts else f"{_SIMPLE}+")
+        self.known: dict[str, list[int]] = {}
+        self.table = ChunkTable(self._words if self.by_word else self._texts)
 
     def _texts(self, texts):
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cuts(self, cuts: list[str]) -> None:
+        """Encode cuts that are not known yet, many in one call, as the end marks tell them apart."""
+        groups = [cuts[i:i + 1000] for i in range(0, len(cuts), 1000)]
+        for group, ids in zip(groups, self._texts([" ".join(group) for group in groups])):
+            marks = np.flatnonzero(self.ends[ids]) + 1
+            if len(marks) != len(group):
+                self.known.update(zip(group, self._texts(group)))
+                continue
+            start = 0
+            for cut, end in zip(group, marks.tolist()):
+                self.known[cut] = ids[start:end]
+                start = end
+
     def _words(self, words):
-        out = [None] * len(words)
-        plain = [i for i, word in enumerate(words) if _BREAK not in word]
-        odd = [i for i, word in enumerate(words) if _BREAK in word]
-        groups = [plain[i:i + 500] for i in range(0, len(plain), 500)]
-        joined = self._texts([_BREAK.join(words[i] for i in group) for group in groups])
-        for group, ids in zip(groups, joined):
-            ids = np.array(ids, dtype=np.int32)
-            for i, piece in zip(group, np.split(ids, np.flatnonzero(ids == self.mark))):
-                out[i] = piece.tolist()
-            for i in group[1:]:
-                del out[i][0]
-        for i, ids in zip(odd, self._texts([words[i] for i in odd])):
-            out[i] = ids
+        simple, cut = self.simple.fullmatch, self.cut.findall
+        parts = [None if not simple(word) else [word.lower()] if word.isalpha() else cut(word.lower()) for word in words]
+        if len(self.known) > self.table.most:
+            self.known.clear()
+        self._cuts(list({cut for part in parts if part for cut in part if cut not in self.known}))
+        whole = iter(self._texts([word for word, part in zip(words, parts) if part is None]))
+        known = self.known
+        out = []
+        for part in parts:
+            if part is None:
+                out.append(next(whole))
+            elif len(part) == 1:
+                out.append(known[part[0]])
+            else:
+                out.append([i for cut in part for i in known[cut]])
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = _WORD.findall if self.table.tokenize == self._words else lambda text: [text]
+        cut = _WORD.findall if self.by_word else lambda text: [text]
         return self.table.encode([cut(text) for text in texts])
 
 
