@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from unitloom.llm import block_naming, chat_format, jaccard, packing, pieces, substring_dedup, topk_search, toxicity
+from unitloom.llm import block_naming, chat_format, jaccard, packing, pieces, sanitise, substring_dedup, topk_search, toxicity
 
 #: name -> (query, SQL or None)
 LLM_QUERIES = {
@@ -10,6 +10,7 @@ LLM_QUERIES = {
     "op2_toxicity": (toxicity.op2_toxicity, None),
     "op3_chat_format": (chat_format.op3_chat_format, chat_format.SQL),
     "op4_exact_dedup": (block_naming.op4_exact_dedup, block_naming.SQL),
+    "op5_pii": (sanitise.op5_pii, None),
     "op6_substring_dedup": (substring_dedup.op6_substring_dedup, substring_dedup.SQL),
     "op7_sentencepiece": (pieces.op7_sentencepiece, None),
     "op9_bestfit_packing": (packing.op9_bestfit_packing, None),
