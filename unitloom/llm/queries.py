@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from unitloom.llm import block_naming, chat_format, jaccard, packing, pieces, sanitise, substring_dedup, topk_search, toxicity
+from unitloom.llm import block_naming, chat_format, jaccard, line_dedup, packing, pieces, sanitise, substring_dedup, topk_search, toxicity
 
 #: name -> (query, SQL or None)
 LLM_QUERIES = {
@@ -13,6 +13,7 @@ LLM_QUERIES = {
     "op5_pii": (sanitise.op5_pii, None),
     "op6_substring_dedup": (substring_dedup.op6_substring_dedup, substring_dedup.SQL),
     "op7_sentencepiece": (pieces.op7_sentencepiece, None),
+    "op8_line_dedup": (line_dedup.op8_line_dedup, line_dedup.SQL),
     "op9_bestfit_packing": (packing.op9_bestfit_packing, None),
     "op10_jaccard_join": (jaccard.op10_jaccard_join, jaccard.SQL),
 }
