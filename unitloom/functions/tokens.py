@@ -20,12 +20,14 @@ class TokenCounter:
 
     ``make`` builds a function text -> number of tokens; it is called once per Python
     worker task, so a vocabulary is loaded once and not per row.
-    ``max_chars_per_token`` is the longest token of the vocabulary.  It lets a plan rule
-    out texts that cannot fit a budget by their length alone, before they are gathered.
+    ``max_chars_per_token``, where given, is the most characters of a text that one counted
+    token stands for, characters that are not counted included.  It lets a plan rule out
+    texts that cannot fit a budget by their length, before they are gathered; a text that
+    breaks the bound is an error.  Without it texts are gathered first and then counted.
     """
 
     make: Callable[[], Callable[[str], int]]
-    max_chars_per_token: int
+    max_chars_per_token: int | None = None
 
     def column(self, text: Column) -> Column:
         make = self.make

@@ -168,16 +168,25 @@ def _candidates(methods, related, budget, counter) -> DataFrame:
     """Which related texts of an item could fit at all, by a measure that adds up.
 
     White-space tokens of separate blocks add up, but for one that may fuse with the text
-    before it; a user's token is no longer than ``max_chars_per_token``.
+    before it.  A user's counter rules nothing out, unless it states how many characters a
+    token stands for at most; each block is then held to that.
     """
-    measure = token_count(F.col("block")) if counter is None else F.length("block")
-    limit = budget + 1 if counter is None else budget * counter.max_chars_per_token
+    block, limit = F.col("block"), None
+    if counter is None:
+        measure, limit = token_count(block), budget + 1
+    elif counter.max_chars_per_token is None:
+        measure = F.lit(0)
+    else:
+        most = counter.max_chars_per_token
+        broken = F.length(block) > counter.column(block) * most
+        measure = F.when(broken, F.raise_error(F.lit(f"a text has more than {most} characters per token")).cast("int")).otherwise(F.length(block))
+        limit = budget * most
     out = methods.select(*ITEM_KEY)
     for name, (edges, on, blocks) in related.items():
         out = out.join(_sums(edges, on, blocks, measure, f"_{name}"), ITEM_KEY, "left")
     columns = []
     for name in related:
-        fits = F.coalesce(f"_{name}", F.lit(0)) < limit
+        fits = F.lit(True) if limit is None else F.coalesce(f"_{name}", F.lit(0)) < limit
         columns += [fits.alias(f"fits_{name}"), (fits & F.col(f"_{name}").isNotNull()).alias(f"take_{name}")]
     return out.select(*ITEM_KEY, *columns)
 

@@ -350,10 +350,12 @@ def class_records(nodes: DataFrame, sources: DataFrame, marker: str = TEST_MARKE
         gathered = F.sort_array(F.collect_list(F.struct("ord", value.alias("value"))))["value"]
         return rows.groupBy(*member).agg(gathered.alias(name))
 
-    last = last_wins(parameters, [*member, "parameter_name"], "parameter_type", ["ord"], "parameter_type")
-    parameter_map = last.groupBy(*member).agg(
-        F.map_from_entries(F.collect_list(F.struct("parameter_name", "parameter_type"))).alias("parameter_map")
-    )
+    # a name keeps its first place and its last type; the map keeps the order of its entries
+    last = parameters.groupBy(*member, "parameter_name").agg(
+        F.min("ord").alias("first"), F.max_by("parameter_type", "ord").alias("parameter_type"))
+    in_order = F.sort_array(F.collect_list(F.struct("first", "parameter_name", "parameter_type")))
+    parameter_map = last.groupBy(*member).agg(F.map_from_entries(
+        F.transform(in_order, lambda p: F.struct(p["parameter_name"], p["parameter_type"]))).alias("parameter_map"))
     call = F.struct("method_name", "method_class", "argument_types")
     members = member_facts(placed)
     for rows in (

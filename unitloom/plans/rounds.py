@@ -39,6 +39,9 @@ class Stage:
     outcome_passed: str | None = None
 
 
+#: What the log says of a check that gave no code.
+NO_RESULT = "no result"
+
 # The event names of both stages (one word twice is meant so).
 COMPILE_STAGE = Stage(
     passed="Compilation Successful Round {n}",
@@ -180,10 +183,12 @@ def repair_rounds(items: DataFrame, check: Callable[[DataFrame], DataFrame], rep
     ``gate``, a repaired text must pass it before it is checked, or the item stops with
     the result it had.  ``partitions`` spreads the items before checks that take long (I5).
 
-    Each round handles only what is still pending and is written once, so a model is
-    never asked twice for one answer.  Every item is in exactly one of the pieces that
+    The items and each round, which handles only what is still pending, are written once, so
+    a plan never asks a model twice for one answer; a task that Spark runs again does ask
+    again.  An item whose check gives no code, or that has no text, ends as an error.  Every item is in exactly one of the pieces that
     are put together at the end.
     """
+    items = cut_lineage(items, "items")
     columns = items.columns
     busy = items.where(F.col("outcome").isNull())
     if partitions is not None:
@@ -200,7 +205,7 @@ def repair_rounds(items: DataFrame, check: Callable[[DataFrame], DataFrame], rep
             "repaired": F.nullif(F.col("repaired"), F.lit("")), "_old_text": F.col("text"), "_old": F.col("checked"),
         }).withColumn("text", F.col("repaired")).drop("checked", "check_error")
         if gate is not None:
-            gated = _with_default(gate(made), "check_error", "string")
+            gated = _plain(gate(made))
             made = gated.withColumns({
                 "_gate": F.col("checked"), "_gate_error": F.col("check_error"), "_new_text": F.col("text"),
                 "text": F.when(F.col("checked.code") == 0, F.col("text")),
@@ -239,7 +244,9 @@ def _with_default(df: DataFrame, name: str, kind: str) -> DataFrame:
 
 
 def _plain(checked: DataFrame) -> DataFrame:
-    return _with_default(checked, "check_error", "string")
+    """Checked rows with an error where the check gave no code, so that no row is lost."""
+    known = _with_default(checked, "check_error", "string")
+    return known.withColumn("check_error", F.coalesce("check_error", F.when(F.col("checked.code").isNull(), F.lit(NO_RESULT))))
 
 
 def _end(rows: DataFrame, columns: list[str], outcome: str | None, text: Column, *events: Column) -> DataFrame:

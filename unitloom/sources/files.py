@@ -11,6 +11,9 @@ SOURCE_SUFFIX = ".java"
 TEST_NAME_MARKER = "Test"
 TEST_FOLDER = "test"
 
+#: An error names so many groups, and says how many more there are.
+NAMED = 20
+
 
 def path_filter(path: Column, suffix: str = SOURCE_SUFFIX, name_marker: str = TEST_NAME_MARKER,
                 dir_word: str = TEST_FOLDER) -> Column:
@@ -61,9 +64,11 @@ def require_groups(expected: DataFrame, found: DataFrame, key: str) -> None:
     """Fail if there is no group at all, or one of them has no rows (S3)."""
     if expected.select(key).isEmpty():
         raise ValueError(f"no {key} found")
-    lost = [row[0] for row in missing_groups(expected, found, key).limit(20).collect()]
+    missing = missing_groups(expected, found, key)
+    lost = [row[0] for row in missing.limit(NAMED + 1).collect()]
     if lost:
-        raise ValueError(f"no sources left in {key}: {', '.join(map(str, lost))}")
+        more = f" and {missing.count() - NAMED} more" if len(lost) > NAMED else ""
+        raise ValueError(f"no sources left in {key}: {', '.join(map(str, lost[:NAMED]))}{more}")
 
 
 def project_sources(spark: SparkSession, root: str, glob: str = "*" + SOURCE_SUFFIX) -> DataFrame:

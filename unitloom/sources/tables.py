@@ -30,10 +30,14 @@ def write_by(df: DataFrame, keys: list[str], path: str, mode: str, fmt: str = "p
 
 
 def write_fact_tables(tables: dict[str, DataFrame], root: str) -> None:
-    """Replace the given projects in every fact table, leave the others alone."""
+    """Replace the given projects in every fact table, leave the others alone.
+
+    Only partitions that get a row are overwritten, so every table gets a row that is not
+    listed for each project; a project that has lost its last edge then loses the old ones.
+    """
+    blank = tables["projects"].select("project").distinct().withColumn("listed", F.lit(False))
     for name, table in tables.items():
-        if name == "projects":  # a partitioned table needs one column besides its key
-            table = table.select("project", F.lit(True).alias("listed"))
+        table = table.withColumn("listed", F.lit(True)).unionByName(blank, allowMissingColumns=True)
         write_by(table, ["project"], f"{root}/{name}", "overwrite", partitionOverwriteMode="dynamic")
 
 
@@ -41,10 +45,7 @@ def read_fact_tables(spark: SparkSession, root: str, project: str | None = None)
     """Fact tables of all projects, or of one: a filter that prunes partitions."""
     tables = {}
     for name, schema in FACT_TABLES.items():
-        if name == "projects":
-            table = spark.read.schema("listed boolean, project string").parquet(f"{root}/{name}").select("project")
-        else:
-            table = spark.read.schema(schema).parquet(f"{root}/{name}")
+        table = spark.read.schema(f"{schema}, listed boolean").parquet(f"{root}/{name}").where("listed").drop("listed")
         tables[name] = table if project is None else table.where(F.col("project") == project)
     return tables
 
