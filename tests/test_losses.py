@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from unitloom.operators.filters import choose_groups, exists_in
 from unitloom.operators.joins import link_by_type, resolve_references
-from unitloom.plans.rounds import OTHER, column_check, repair_rounds, row_check, start_items
+from unitloom.plans.rounds import OTHER, column_check, infer, repair_rounds, row_check, start_items
 from unitloom.sources.files import require_groups
 from unitloom.sources.records import CLASS_RECORD, METHOD_RECORD, read_facts_json, write_facts_json
 from unitloom.sources.tables import FACT_TABLES, read_fact_tables, write_fact_tables
@@ -98,3 +98,25 @@ def test_hot_keys_of_grouped_lookups_are_split(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_hanging_checks_time_out_alone(spark):
+    def make():
+        import time
+        return lambda text: time.sleep(30) if text == "hang" else (0, text)
+    items = start_items(spark.createDataFrame([(1, "hang"), (2, "fine")], "id int, text string"))
+    rows = {r.id: r.checked for r in row_check(make, time_limit=0.5)(items).collect()}
+    assert tuple(rows[1]) == (1, "Timeout") and tuple(rows[2]) == (0, "fine")
+
+
+def test_models_can_take_lists(spark):
+    def make():
+        def answer(prompts):
+            assert len(prompts) <= 3
+            if "bad" in prompts:
+                raise ValueError("no")
+            return [p.upper() for p in prompts]
+        return answer
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", None, "bad", "c", "d", "e"])], "id int, prompt string").coalesce(1)
+    rows = {r.id: (r.answer, r.error) for r in infer(df, "prompt", make, at_once=3).collect()}
+    assert rows == {0: ("A", None), 1: ("B", None), 2: (None, None), 3: (None, "no"), 4: ("C", None), 5: ("D", None), 6: ("E", None)}

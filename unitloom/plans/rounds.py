@@ -39,6 +39,9 @@ class Stage:
     outcome_passed: str | None = None
 
 
+#: Rows whose results a task passes on together.
+ROWS_PASSED_ON = 16
+
 #: What the log says of a check that gave no code.
 NO_RESULT = "no result"
 
@@ -59,8 +62,29 @@ EXECUTION_STAGE = Stage(
 )
 
 
+def _limited(fn: Callable, seconds: float | None) -> Callable:
+    """``fn``, stopped with a TimeoutError after so many seconds; for the main thread of a worker."""
+    if seconds is None:
+        return fn
+
+    def run(value):
+        import signal
+
+        def late(number, frame):
+            raise TimeoutError
+        before = signal.signal(signal.SIGALRM, late)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return fn(value)
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+    return run
+
+
 def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Callable], kind: T.DataType | str, name: str,
-            max_tries: int = 1, error: str | None = "error", fallback: Callable | None = None) -> DataFrame:
+            max_tries: int = 1, error: str | None = "error", fallback: Callable | None = None,
+            time_limit: float | None = None, at_once: int | None = None) -> DataFrame:
     """Append a user function's value for each row, over Arrow batches.
 
     The function is built once per task.  It sees the value of ``columns``, or a dict of
@@ -68,6 +92,11 @@ def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Calla
     (first) column is null is not shown to the function.  A row whose function raises is tried again,
     at most ``max_tries`` times, and then carries the message in ``error`` (U4), which is
     ``Timeout`` for a TimeoutError; ``fallback`` turns an exception into a value instead where it returns one.
+
+    A call that takes longer than ``time_limit`` seconds is stopped by a timer and counts as a
+    TimeoutError.  With ``at_once``, the function gets a list of so many rows at most and
+    returns a list; rows of a list that fails are tried one by one.  Results are passed on
+    every few rows, so a lost task has lost few answers in memory.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -84,13 +113,16 @@ def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Calla
     def run(batches):
         import pyarrow as pa
 
-        fn = make_fn()
+        fn = _limited(make_fn(), time_limit)
+
+        def value_of(row):
+            return row[shown[0]] if single else row
 
         def attempt(row):
             message = None
             for _ in range(max_tries):
                 try:
-                    return fn(row[shown[0]] if single else row), None
+                    return fn(value_of(row)) if at_once is None else fn([value_of(row)])[0], None
                 except Exception as raised:
                     value = fallback(raised) if fallback else None
                     if value is not None:
@@ -98,9 +130,22 @@ def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Calla
                     message = late if isinstance(raised, TimeoutError) else str(raised) or type(raised).__name__
             return None, message
 
-        for batch in batches:
+        def attempt_all(rows):
+            if at_once is None or len(rows) < 2:
+                return [attempt(row) for row in rows]
+            try:
+                values = list(fn([value_of(row) for row in rows]))
+                if len(values) == len(rows):
+                    return [(value, None) for value in values]
+            except Exception:  # which row it was shows below
+                pass
+            return [attempt(row) for row in rows]
+
+        size = at_once or ROWS_PASSED_ON
+        for batch in (whole.slice(start, size) for whole in batches for start in range(0, whole.num_rows, size)):
             rows = batch.select(shown).to_pylist()
-            results = [(None, None) if row[shown[0]] is None else attempt(row) for row in rows]
+            answered = iter(attempt_all([row for row in rows if row[shown[0]] is not None]))
+            results = [(None, None) if row[shown[0]] is None else next(answered) for row in rows]
             arrays = [*batch.columns, pa.array([value for value, _ in results], arrow_type)]
             names = [*batch.schema.names, name]
             if error:
@@ -112,13 +157,15 @@ def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Calla
 
 
 def infer(df: DataFrame, prompt: str, make_fn: Callable[[], Callable[[str], str]], max_tries: int = 3,
-          answer: str = "answer", error: str = "error", partitions: int | None = None) -> DataFrame:
+          answer: str = "answer", error: str = "error", partitions: int | None = None,
+          time_limit: float | None = None, at_once: int | None = None) -> DataFrame:
     """Answer of a model for each prompt.
 
-    ``partitions`` spreads the prompts evenly first, for calls that take long.
+    ``partitions`` spreads the prompts evenly first, for calls that take long.  With
+    ``at_once`` the model gets lists of prompts.  ``time_limit`` bounds each call in seconds.
     """
     spread = df if partitions is None else df.repartition(partitions)
-    return per_row(spread, prompt, make_fn, "string", answer, max_tries, error)
+    return per_row(spread, prompt, make_fn, "string", answer, max_tries, error, time_limit=time_limit, at_once=at_once)
 
 
 def column_check(check: Callable[[Column], Column], text: str = "text") -> Callable[[DataFrame], DataFrame]:
@@ -128,10 +175,12 @@ def column_check(check: Callable[[Column], Column], text: str = "text") -> Calla
     return apply
 
 
-def row_check(make_fn: Callable[[], Callable], columns: str | list[str] = "text") -> Callable[[DataFrame], DataFrame]:
+def row_check(make_fn: Callable[[], Callable], columns: str | list[str] = "text",
+              time_limit: float | None = None) -> Callable[[DataFrame], DataFrame]:
     """A check written in Python: text, or a dict of columns, -> (code, output).
 
-    A TimeoutError of the function is the result (1, 'Timeout') (F17); any other
+    A TimeoutError of the function, or a call of over ``time_limit`` seconds, is the result
+    (1, 'Timeout') (F17); any other
     exception makes the row end as an error, and no other row with it (U4).
     """
     timed_out = {"code": 1, "output": TIMEOUT}
@@ -148,7 +197,7 @@ def row_check(make_fn: Callable[[], Callable], columns: str | list[str] = "text"
         return run
 
     def apply(df: DataFrame) -> DataFrame:
-        return per_row(df, columns, make, RESULT, "checked", error="check_error", fallback=late)
+        return per_row(df, columns, make, RESULT, "checked", error="check_error", fallback=late, time_limit=time_limit)
     return apply
 
 
