@@ -100,15 +100,16 @@ def _emit_anchors(window: int):
                     rows.append(np.full(len(found), row, np.int64))
                 h, row = np.concatenate(hashes), np.concatenate(rows)
                 order = np.argsort(h, kind="stable")
-                h, row = h[order], row[order]
-                new = np.concatenate([[True], h[1:] != h[:-1]])[:len(h)]
-                shared = ~new | np.concatenate([~new[1:], [False]])[:len(h)]
-                route = mixed((row[shared] ^ h[shared]).view(np.uint64)).view(np.int64)
+                new = np.ones(len(h), bool)
+                new[order[1:]] = h[order[1:]] != h[order[:-1]]
+                shared = np.zeros(len(h), bool)
+                shared[order[1:]] = ~new[order[1:]]
+                shared[order[:-1]] |= ~new[order[1:]]
+                # documents stay in order, so that all columns but the hashes compress well
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([h[new], route])), pa.array(np.concatenate([h[new], h[shared]])),
-                     pa.array(np.concatenate([row[new], row[shared]])),
+                    [pa.array(np.concatenate([h[new], h[shared]])), pa.array(np.concatenate([row[new], row[shared]])),
                      pa.array(np.concatenate([np.zeros(new.sum(), bool), np.ones(shared.sum(), bool)]))],
-                    names=["route", "h", ROW, "known"])
+                    names=["h", ROW, "known"])
     return emit
 
 
@@ -116,7 +117,7 @@ def _shared_anchors(batches):
     """Of rows sorted by hash: those whose hash another document has too."""
     held = None
     for batch in batches:
-        h, row, known = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+        h, row, known = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         yield pa.RecordBatch.from_arrays([pa.array(row[known]), pa.array(h[known])], names=[ROW, "h"])
         h, row = h[~known], row[~known]
         if not len(h):
@@ -153,15 +154,18 @@ def _emit_windows(window: int):
                     columns[4].append(starts)
                 h1, h2, doc, row, place = (np.concatenate(c) for c in columns)
                 order = np.lexsort((doc, h2, h1))
-                h1, h2, doc, row, place = (c[order] for c in (h1, h2, doc, row, place))
-                new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[:len(h1)]
-                least = doc[np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))] if len(h1) else doc
-                gone = doc > least
-                route = np.where(gone, mixed(h1 ^ row.view(np.uint64) ^ place.view(np.uint64)), h1)
+                s1, s2, by_key = h1[order], h2[order], doc[order]
+                new = np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])[:len(s1)]
+                least = by_key[np.maximum.accumulate(np.where(new, np.arange(len(s1)), 0))] if len(s1) else by_key
+                gone = np.zeros(len(s1), bool)
+                gone[order] = by_key > least
+                # what is settled needs no hash; its document's key spreads it
+                h1 = np.where(gone, mixed(row.view(np.uint64)), h1)
+                h2, doc = np.where(gone, np.uint64(0), h2), np.where(gone, 0, doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(route.view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(row),
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(row),
                      pa.array(place.astype(np.int32)), pa.array(gone)],
-                    names=["route", "h1", "h2", "doc", ROW, "place", "gone"])
+                    names=["h1", "h2", "doc", ROW, "place", "gone"])
     return emit
 
 
@@ -169,7 +173,7 @@ def _repeated_windows(batches):
     """Of rows sorted by hashes and id: windows that a smaller id has too."""
     last = None
     for batch in batches:
-        h1, h2, doc, row, place, gone = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7))
+        h1, h2, doc, row, place, gone = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         yield pa.RecordBatch.from_arrays([pa.array(row[gone]), pa.array(place[gone])], names=[ROW, "place"])
         h1, h2, doc, row, place = (c[~gone] for c in (h1, h2, doc, row, place))
         if not len(h1):
@@ -212,15 +216,15 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError(f"a window needs at least {PERIOD} words")
     texts = with_row_key(docs, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     anchors = (
-        texts.mapInArrow(_emit_anchors(window), f"route long, h long, {ROW} long, known boolean")
-        .repartition("route").sortWithinPartitions("h").mapInArrow(_shared_anchors, f"{ROW} long, h long"))
+        texts.mapInArrow(_emit_anchors(window), f"h long, {ROW} long, known boolean")
+        .repartition(F.when(F.col("known"), F.xxhash64(ROW)).otherwise(F.col("h"))).sortWithinPartitions("h").mapInArrow(_shared_anchors, f"{ROW} long, h long"))
     # both joins below read this one shuffle of the texts
     placed = texts.repartition(F.col(ROW))
     shared = anchors.groupBy(ROW).agg(F.collect_list("h").alias("shared"))
     windows = (
         placed.join(shared, ROW).select(ROW, "doc_id", "text", "shared")
-        .mapInArrow(_emit_windows(window), f"route long, h1 long, h2 long, doc long, {ROW} long, place int, gone boolean")
-        .repartition("route").sortWithinPartitions("h1", "h2", "doc").mapInArrow(_repeated_windows, f"{ROW} long, place int"))
+        .mapInArrow(_emit_windows(window), f"h1 long, h2 long, doc long, {ROW} long, place int, gone boolean")
+        .repartition("h1").sortWithinPartitions("h1", "h2", "doc").mapInArrow(_repeated_windows, f"{ROW} long, place int"))
     repeated = windows.groupBy(ROW).agg(F.collect_list("place").alias("places"))
     return placed.join(repeated, ROW, "left").select(ROW, "doc_id", "text", "places").mapInArrow(
         _keep_words(window), f"{ROW} long, doc_id long, n_words long, n_removed long, kept string")
