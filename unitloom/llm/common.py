@@ -21,10 +21,23 @@ def with_row_key(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias(ROW), *columns)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {column.lower() for column in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """A stored table joined with a table that has its row keys; the key itself is left out."""
+    key = free_name(ROW, docs.columns)
+    return docs.withColumn(key, F.monotonically_increasing_id()).join(rows.withColumnRenamed(ROW, key), key, how).drop(key)
+
+
 def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of a stored table whose key is in ``rows``; columns as in ``docs``."""
-    marked = docs.withColumn(ROW, F.monotonically_increasing_id())
-    return marked.join(rows.select(ROW), ROW, "left_semi").drop(ROW)
+    return join_by_row(docs, rows.select(ROW), "left_semi")
 
 
 def ascii_lower(text: Column) -> Column:
