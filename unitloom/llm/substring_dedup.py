@@ -11,7 +11,7 @@ What a batch of documents repeats is settled in the batch, which sends each anch
 on once; so a passage that a third of all rows holds reaches a task once per batch.  Sorted rows are
 read as a stream: no task gathers a group.  Texts are shuffled once, and read again for the result.
 
-Null texts have no words.  A null id is smaller than any other.  Rows that repeat an id do not
+Windows are told apart by 96 bits of hash.  Null texts have no words.  A null id is smaller than any other.  Rows that repeat an id do not
 remove each other's words.
 """
 
@@ -29,6 +29,7 @@ WINDOW = 13
 PERIOD, COVER = 7, (1, 2, 4)
 BATCH_BYTES = 16 << 20
 _NULL_ID = -(1 << 63)
+_LOW = (1 << 32) - 1
 
 
 class _WordHash(dict):
@@ -148,7 +149,7 @@ def _emit_windows(window: int):
                     np.add.at(marks, places + 1, -1)
                     starts = np.flatnonzero(np.cumsum(marks)[:len(words) - window + 1] > 0)
                     columns[0].append(window_hashes(words, starts, window, 2))
-                    columns[1].append(window_hashes(words, starts, window, 3))
+                    columns[1].append(window_hashes(words, starts, window, 3) >> np.uint64(32))
                     columns[2].append(np.full(len(starts), _NULL_ID if doc is None else doc, np.int64))
                     columns[3].append(np.full(len(starts), row, np.int64))
                     columns[4].append(starts)
@@ -162,10 +163,11 @@ def _emit_windows(window: int):
                 # what is settled needs no hash; its document's key spreads it
                 h1 = np.where(gone, mixed(row.view(np.uint64)), h1)
                 h2, doc = np.where(gone, np.uint64(0), h2), np.where(gone, 0, doc)
+                # one column for the second hash and the place: what changes from row to row lies together
+                placed = (place.astype(np.uint64) << np.uint64(32)) | h2
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(row),
-                     pa.array(place.astype(np.int32)), pa.array(gone)],
-                    names=["h1", "h2", "doc", ROW, "place", "gone"])
+                    [pa.array(h1.view(np.int64)), pa.array(placed.view(np.int64)), pa.array(doc), pa.array(row), pa.array(gone)],
+                    names=["h1", "placed", "doc", ROW, "gone"])
     return emit
 
 
@@ -173,7 +175,8 @@ def _repeated_windows(batches):
     """Of rows sorted by hashes and id: windows that a smaller id has too."""
     last = None
     for batch in batches:
-        h1, h2, doc, row, place, gone = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        h1, placed, doc, row, gone = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        h2, place = placed & _LOW, (placed >> 32).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(row[gone]), pa.array(place[gone])], names=[ROW, "place"])
         h1, h2, doc, row, place = (c[~gone] for c in (h1, h2, doc, row, place))
         if not len(h1):
@@ -223,8 +226,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = anchors.groupBy(ROW).agg(F.collect_list("h").alias("shared"))
     windows = (
         placed.join(shared, ROW).select(ROW, "doc_id", "text", "shared")
-        .mapInArrow(_emit_windows(window), f"h1 long, h2 long, doc long, {ROW} long, place int, gone boolean")
-        .repartition("h1").sortWithinPartitions("h1", "h2", "doc").mapInArrow(_repeated_windows, f"{ROW} long, place int"))
+        .mapInArrow(_emit_windows(window), f"h1 long, placed long, doc long, {ROW} long, gone boolean")
+        .repartition("h1").sortWithinPartitions("h1", F.col("placed").bitwiseAND(F.lit(_LOW)), "doc").mapInArrow(_repeated_windows, f"{ROW} long, place int"))
     repeated = windows.groupBy(ROW).agg(F.collect_list("place").alias("places"))
     return placed.join(repeated, ROW, "left").select(ROW, "doc_id", "text", "places").mapInArrow(
         _keep_words(window), f"{ROW} long, doc_id long, n_words long, n_removed long, kept string")
