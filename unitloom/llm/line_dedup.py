@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from unitloom.llm.common import ROW, table, with_row_key
+from unitloom.llm.common import ROW, free_name, join_by_row, table, with_row_key
 from unitloom.llm.components import components
 from unitloom.session import cut_lineage
 
@@ -60,15 +60,11 @@ def near(x: Column, y: Column, edits: int) -> Column:
     """
     width = 2 * edits + 1
     band = (1 << width) - 1
-    xs, ys = F.split(x, ""), F.split(y, "")
-    chars = F.transform(ys, lambda c, j: F.struct(c.alias("c"), j.alias("j")))
     # before any character, diagonal edits + d lies d characters of x ahead, which d deletions allow
     first = [sum(1 << (edits + ahead) for ahead in range(d + 1)) for d in range(edits + 1)]
+    start = F.struct(*[F.lit(bits).alias(f"r{d}") for d, bits in enumerate(first)])
 
-    def step(state, char):
-        same = F.lit(0)
-        for i in range(width):
-            same = same.bitwiseOR(F.when(F.get(xs, char["j"] + (i - edits)) == char["c"], 1 << i).otherwise(0))
+    def step(state, same):
         out = []
         for d in range(edits + 1):
             to = state[f"r{d}"].bitwiseAND(same)
@@ -77,10 +73,21 @@ def near(x: Column, y: Column, edits: int) -> Column:
                 to = to.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(F.lit(band))
             out.append(to)
         return F.struct(*[to.alias(f"r{d}") for d, to in enumerate(out)])
-    start = F.struct(*[F.lit(bits).alias(f"r{d}") for d, bits in enumerate(first)])
-    last = F.aggregate(chars, start, step, lambda state: state[f"r{edits}"])
-    end = F.length(x) - F.length(y) + edits
-    return (F.abs(F.length(x) - F.length(y)) <= edits) & (F.call_function("shiftright", last, end).bitwiseAND(F.lit(1)) == 1)
+
+    def compared(both):
+        def matching(c, j):
+            """Bits of the diagonals on which the character of ``y`` equals that of ``x``."""
+            bits = F.lit(0)
+            for i in range(width):
+                bits = bits + F.when(F.get(both["xs"], j + (i - edits)) == c, 1 << i).otherwise(0)
+            return bits
+        last = F.aggregate(F.transform(both["ys"], matching), start, step, lambda state: state[f"r{edits}"])
+        end = F.size(both["xs"]) - F.size(both["ys"]) + edits
+        return F.call_function("shiftright", last, end).bitwiseAND(F.lit(1)) == 1
+    # a list of one, whose function sees both texts cut into characters once
+    cut = F.array(F.struct(F.split(x, "").alias("xs"), F.split(y, "").alias("ys")))
+    fits = F.abs(F.length(x) - F.length(y)) <= edits
+    return fits & F.when(fits, F.get(F.transform(cut, compared), F.lit(0)))
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -97,7 +104,8 @@ def _apart(near_pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
         F.struct(F.lit(0).alias("side"), F.col("a_row").alias("row"), F.col("a_pos").alias("pos")),
         F.struct(F.lit(1).alias("side"), F.col("b_row").alias("row"), F.col("b_pos").alias("pos")))).alias("s"))
     asked = sides.select("a", "b", "s.side", F.col("s.row").alias(ROW), "s.pos")
-    told = asked.join(texts.select(ROW, "text"), ROW).select(
+    # merged at every size: the texts are shuffled once, and a hot row key is split
+    told = asked.hint("merge").join(texts.select(ROW, "text"), ROW).select(
         "a", "b", "side", F.get(F.split("text", "\n", -1), F.col("pos")).alias("line"))
     both = told.groupBy("a", "b").agg(
         F.max(F.when(F.col("side") == 0, F.col("line"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("y"))
@@ -175,10 +183,10 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edit
 
 def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` without the lines that go; null texts stay null."""
-    gone = line_dedup(docs, doc_id, text, **settings).select(ROW, F.col("removed").alias("_gone"))
-    keyed = docs.withColumn(ROW, F.monotonically_increasing_id()).join(gone, ROW)
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    return keyed.withColumn(text, F.when(F.size("_gone") == 0, F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    name = free_name("_gone", docs.columns)
+    met = join_by_row(docs, line_dedup(docs, doc_id, text, **settings).select(ROW, F.col("removed").alias(name)), "inner")
+    kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col(name), i))
+    return met.withColumn(text, F.when(F.size(name) == 0, F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
 
 
 def op8_line_dedup(spark, folder: str) -> DataFrame:
