@@ -8,7 +8,8 @@ disclosure; beside the entity it is generalised, or removed where it nearly name
 
 Everything is column functions; no Python runs on the executors.  Each text is searched once, and only
 spans and the terms beside them go on.  The patterns start a run of characters once: a run that fails
-from its start fails from within, so long runs cost no more than their length.
+from its start fails from within, so long runs cost no more than their length.  Repeated groups are matched as runs of characters in a
+masked text of the same length.
 
 A null text counts as empty.  Rows that repeat an id are documents of their own.  Positions count code
 points.  A match that fails its check is dropped, without a second try inside it.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from unitloom.llm.common import ROW, sha256_hex, table, with_row_key
+from unitloom.llm.common import ROW, free_name, join_by_row, sha256_hex, table, with_row_key
 from unitloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -30,11 +31,14 @@ LEAST_SURROUNDINGS, LEAST_LIKELIHOOD, LEAST_BITS = 5, 0.5, 3
 #: Terms that make the entity at least so likely are removed, others generalised.
 REMOVE_LIKELIHOOD = 0.9
 
-_LOCAL, _DIGIT = "[A-Za-z0-9._%+-]", "[0-9]"
+#: Stands for a character that may be part of a run but ends a repeated group; the text's own are put aside.
+_MASK, _ASIDE = "\ue000", "\ue001"
+_LOCAL, _DIGIT = f"[A-Za-z0-9._%+{_MASK}-]", "[0-9]"
+#: Patterns for masked texts: repeated groups are runs of one class there, which take no stack however long.
 PATTERNS = {
-    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++",
     "ip": rf"(?:(?<!{_DIGIT})|\G)[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    "card": r"[0-9][0-9\x20-]++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _IP = r"^(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.|$)){4}$"
@@ -42,6 +46,18 @@ _WORD = r"\p{L}{3,}"
 _SPAN = "array<struct<start:int,stop:int,value:string>>"
 
 
+def _masked(kind: str, text: Column) -> Column:
+    """The text with one character in place of each that cannot be inside a match's repeated group.
+
+    A domain's dot has to stand before a label, a card's separator between digits.
+    """
+    if kind == "email":
+        return F.regexp_replace(F.translate(text, _MASK, _ASIDE), r"\.(?![A-Za-z0-9-])", _MASK)
+    if kind == "card":
+        return F.regexp_replace(F.translate(text, _MASK, _ASIDE), r"(?<![0-9])[\x20-]|[\x20-](?![0-9])", _MASK)
+    return text
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches of a pattern with their places: array of (start, stop, value)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -80,7 +96,7 @@ def base_spans(text: Column) -> Column:
     may_hold = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
     lists = []
     for number, kind in enumerate(KINDS):
-        spans = _kept(kind, number, matches(text, PATTERNS[kind]))
+        spans = _kept(kind, number, matches(_masked(kind, text), PATTERNS[kind]))
         lists.append(F.when(may_hold.get(kind, text.rlike("[0-9]")), spans).otherwise(F.expr(
             "cast(array() AS array<struct<start:int,kind:int,stop:int,value:string>>)")))
     return F.array_sort(F.concat(*lists))
@@ -88,7 +104,7 @@ def base_spans(text: Column) -> Column:
 
 def entity_of(span: Column) -> Column:
     """A number for the entity a span names; spelling by case or separators does not count."""
-    plain = F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"] == 1, span["value"]).otherwise(
+    plain = F.when(span["kind"] == 0, F.lower(F.translate(span["value"], _MASK, "."))).when(span["kind"] == 1, span["value"]).otherwise(
         F.regexp_replace(span["value"], "[^0-9]", ""))
     return F.xxhash64(span["kind"], plain)
 
@@ -136,7 +152,8 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str, least_surroundings
         return None
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
     wanted = pairs.select("term").distinct()
-    spread = docs.select(F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("held"))
+    # counted before the join, so that a frequent term is one row there
+    spread = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("held")).join(wanted, "term", "left_semi")
     holders = met.select("entity", ROW).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("holders"))
     total = found.count()
     given = F.col("together") / F.col("held")
@@ -176,7 +193,8 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **thr
         s["start"].alias("start"), s["stop"].alias("stop"), F.element_at(names, s["kind"] + 1).alias("put")))
     terms = F.transform("terms", lambda s: F.struct(
         s["start"].alias("start"), s["stop"].alias("stop"), F.when(s["removed"], "").otherwise("[TERM]").alias("put")))
-    cuts = spans.select(ROW, F.array_sort(F.concat(base, terms)).alias("_cuts")).where(F.size("_cuts") > 0)
+    name = free_name("_cuts", docs.columns)
+    cuts = spans.select(ROW, F.array_sort(F.concat(base, terms)).alias(name)).where(F.size(name) > 0)
     body = F.coalesce(F.col(text), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<string>)").alias("parts"))
 
@@ -185,10 +203,10 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **thr
         parts = F.array_append(F.array_append(state["parts"], gap), s["put"])
         return F.when(s["start"] < state["at"], F.struct(F.greatest(state["at"], s["stop"]).alias("at"), state["parts"].alias("parts"))).otherwise(
             F.struct(s["stop"].alias("at"), parts.alias("parts")))
-    rewritten = F.aggregate("_cuts", start, cut, lambda state: F.concat(
+    rewritten = F.aggregate(name, start, cut, lambda state: F.concat(
         F.array_join(state["parts"], ""), F.substring(body, state["at"] + 1, F.length(body))))
-    keyed = docs.withColumn(ROW, F.monotonically_increasing_id()).join(cuts, ROW, "left")
-    return keyed.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(rewritten)).select(*docs.columns)
+    met = join_by_row(docs, cuts, "left")
+    return met.withColumn(text, F.when(F.col(name).isNull(), F.col(text)).otherwise(rewritten)).select(*docs.columns)
 
 
 def op5_pii(spark, folder: str) -> DataFrame:
