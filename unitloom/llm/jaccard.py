@@ -10,8 +10,8 @@ many segments get threshold 2 is chosen by cost, from the measured number of set
 
 Sets meet by the hash of a subset.  Equal sets are one node.  A subset that a whole Arrow batch
 repeats is sent on once, so a bucket receives a row per batch at most, and sets are compared with
-the first of their bucket; only buckets whose sets still lie in different components are then
-compared further, and there only sets of different components.  Every comparison is exact, on
+the first of their bucket, then, where a bucket holds several components, with the set that lies in
+most buckets; only buckets that still hold several are compared across components.  Every comparison is exact, on
 words.  A skipped comparison lies within a component, so no component loses a link.
 
 Null texts and texts without words have the empty set, which is linked with nothing.  Rows that
@@ -33,6 +33,8 @@ from unitloom.llm.components import components
 from unitloom.session import cut_lineage
 
 WORDS, SIMILAR = 4, 85
+#: Rounds that compare with central sets before sets are compared across components.
+CENTRES = 2
 #: Each band's sizes reach up to this many times its least.
 BAND_RATIO = 1.5
 #: Thresholds beyond H, as a share of H + 1; at least one.
@@ -260,7 +262,8 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words: i
     """The pairs (a, b) of row keys whose sets are similar, compared word by word."""
     sides = pairs.select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     asked = sides.withColumn(ROW, F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
-    told = asked.join(_texts(docs, doc_id, text).select(ROW, "text"), ROW).select("a", "b", "side", "text")
+    # merged at every size: the texts are shuffled once, and a hot row key is split
+    told = asked.hint("merge").join(_texts(docs, doc_id, text).select(ROW, "text"), ROW).select("a", "b", "side", "text")
     placed = told.repartition("a", "b").sortWithinPartitions("a", "b", "side")
     return placed.mapInArrow(_compare(words, similar), "a long, b long")
 
@@ -294,9 +297,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     tried = cut_lineage(fitting(first).select("a", "b").distinct(), "pairs")
     links = cut_lineage(verified(tried, docs, doc_id, text, words, similar), "links")
     reached = components(links)
-    rest = _remaining(met, nodes, reached, tried, bands, similar)
-    if not rest.isEmpty():
-        more = cut_lineage(verified(rest, docs, doc_id, text, words, similar), "links")
+    for step in range(CENTRES + 1):
+        held = _mixed(met, nodes, reached)
+        pairs = _central(held, similar) if step < CENTRES else _remaining(held, bands, similar)
+        pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        more = cut_lineage(verified(pairs, docs, doc_id, text, words, similar), "links")
+        tried = tried.unionByName(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
             reached = components(links)
@@ -307,19 +315,37 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return placed.join(smallest, "class").select(ROW, "doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _remaining(met: DataFrame, nodes: DataFrame, reached: DataFrame, tried: DataFrame, bands: Bands, similar: int) -> DataFrame:
-    """Pairs that share a bucket across components, were not compared, and share subsets enough to be similar."""
+def _mixed(met: DataFrame, nodes: DataFrame, reached: DataFrame) -> DataFrame:
+    """(sig, rep, n, component): the sets of buckets that hold several components."""
     rows = met.select("sig", F.explode(F.array("hub", "row")).alias(ROW))
     of = nodes.select(ROW, "rep", "n").join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
         ROW, "rep", "n", F.coalesce("component", "rep").alias("component"))
     held = cut_lineage(rows.join(cut_lineage(of, "classes"), ROW).select("sig", "rep", "n", "component"), "held")
     ends = held.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    mixed_up = cut_lineage(held.join(cut_lineage(ends.select("sig"), "mixed"), "sig").distinct(), "mixed")
-    left = mixed_up.select("sig", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_class"))
-    right = mixed_up.select("sig", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_class"))
+    return cut_lineage(held.join(cut_lineage(ends.select("sig"), "mixed"), "sig").distinct(), "mixed")
+
+
+def _fits(similar: int):
+    a, b = F.col("a_n"), F.col("b_n")
+    return (F.col("a_class") != F.col("b_class")) & (100 * a >= similar * b) & (100 * b >= similar * a)
+
+
+def _central(held: DataFrame, similar: int) -> DataFrame:
+    """Pairs of each bucket's sets with the one of them that lies in most buckets, as the original of many copies does."""
+    often = cut_lineage(held.groupBy("rep").agg(F.count(F.lit(1)).alias("buckets")), "often")
+    ranked = held.join(often, "rep")
+    hubs = cut_lineage(ranked.groupBy("sig").agg(F.max(F.struct("buckets", "rep", "n", "component")).alias("hub")), "hubs")
+    hubs = hubs.select("sig", F.col("hub.rep").alias("b"), F.col("hub.n").alias("b_n"), F.col("hub.component").alias("b_class"))
+    pairs = held.select("sig", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_class")).join(hubs, "sig")
+    return pairs.where(_fits(similar)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _remaining(held: DataFrame, bands: Bands, similar: int) -> DataFrame:
+    """Pairs that share a bucket across components, and subsets enough to be similar."""
+    left = held.select("sig", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_class"))
+    right = held.select("sig", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_class"))
     a, b = F.col("a_n"), F.col("b_n")
-    pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class"))
-                                          & (100 * a >= similar * b) & (100 * b >= similar * a))
+    pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & _fits(similar))
     # thresholds of unmet segments sum to at most the number of elements in which the sets differ
     weight = F.sum(1 + F.col("sig").bitwiseAND(1))
     band = F.shiftright(F.col("sig").bitwiseAND(255), 1)
@@ -328,7 +354,7 @@ def _remaining(met: DataFrame, nodes: DataFrame, reached: DataFrame, tried: Data
     slack = F.array([F.lit(slack) for _, _, slack in bands.plans])
     shared = pairs.groupBy("a", "b", "a_n", "b_n", band.cast("int").alias("band")).agg(weight.alias("weight"))
     enough = F.col("weight") + F.element_at(slack, F.col("band") + 1) >= F.element_at(sums, F.col("band") + 1) - most
-    return cut_lineage(shared.where(enough).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    return shared.where(enough).select("a", "b").distinct()
 
 
 def op10_jaccard_join(spark, folder: str) -> DataFrame:
