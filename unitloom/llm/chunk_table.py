@@ -24,7 +24,7 @@ class _Places(dict):
 class ChunkTable:
     """``tokenize`` maps a list of chunks to their lists of ids; the table starts anew beyond ``most`` chunks."""
 
-    def __init__(self, tokenize: Callable[[list[str]], Iterable[Iterable[int]]], most: int = 600_000):
+    def __init__(self, tokenize: Callable[[list[str]], Iterable[Iterable[int]]], most: int = 1_000_000):
         self.tokenize, self.most = tokenize, most
         self._clear()
 

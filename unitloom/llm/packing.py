@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -33,10 +34,16 @@ PART_PIECES = 100_000
 GIVEN_UP, GIVEN_UP_PER_GAP = 1, 8
 
 _WORD = re.compile(r"[^ \t\n\r]+")
-#: Words of characters that any Unicode version lower-cases and sorts into letters and numbers alike.
-_SIMPLE = "[!-~\u00a1-\u012f\u0131-\u0148\u014a-\u017e]"
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _END = "</w>"
+#: Characters that any Unicode version lower-cases and sorts into letters and numbers alike.
+_PLAIN = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x17F)]) if len(c.lower()) == 1 and len(c.upper()) == 1 and c != "\u00ad"]
+
+
+def _plain_cut() -> re.Pattern:
+    """``_CUT`` for lower-cased texts of plain characters, which need no Unicode tables."""
+    kinds = {kind: "".join(re.escape(c) for c in _PLAIN if unicodedata.category(c)[0] == kind) for kind in "LN"}
+    return re.compile(_CUT.replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]))
 
 
 def cuts_words_alike(tokenizer) -> bool:
@@ -53,64 +60,57 @@ def cuts_words_alike(tokenizer) -> bool:
 
 
 class WordEncoder:
-    """Ids of texts.  A text falls apart at white space, a word into the tokenizer's cuts; each distinct cut is encoded once.
+    """Ids of texts.  A text falls apart into the tokenizer's cuts, and each distinct cut is encoded once.
 
-    A tokenizer that cuts otherwise gets whole texts, each distinct one once.
+    Words with other than plain characters are encoded whole.  A tokenizer that cuts otherwise gets
+    whole texts, each distinct one once.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             self.tokenizer = Tokenizer.from_str(file.read())
-        self.by_word = cuts_words_alike(self.tokenizer)
-        self.cut = regex.compile(_CUT)
+        self.by_cut = cuts_words_alike(self.tokenizer)
+        starts = {token.content[0] for token in self.tokenizer.get_added_tokens_decoder().values()}
+        plain = "".join(re.escape(c) for c in _PLAIN if c not in starts)
+        self.plain_text, self.plain_word = re.compile(f"[ \t\n\r{plain}]*").fullmatch, re.compile(f"[{plain}]*").fullmatch
+        self.cuts = _plain_cut().findall
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(_END)]] = True
-        starts = {token.content[0] for token in self.tokenizer.get_added_tokens_decoder().values()}
-        self.simple = re.compile("".join(["(?:(?![", *map(re.escape, sorted(starts)), "])", _SIMPLE, ")+"]) if starts else f"{_SIMPLE}+")
-        self.known: dict[str, list[int]] = {}
-        self.table = ChunkTable(self._words if self.by_word else self._texts)
+        self.table = ChunkTable(self._chunks if self.by_cut else self._texts)
 
     def _texts(self, texts):
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cuts(self, cuts: list[str]) -> None:
-        """Encode cuts that are not known yet, many in one call, as the end marks tell them apart."""
-        groups = [cuts[i:i + 1000] for i in range(0, len(cuts), 1000)]
-        for group, ids in zip(groups, self._texts([" ".join(group) for group in groups])):
+    def _chunks(self, chunks: list[str]):
+        """Ids of chunks; plain ones go many in a call, as the end marks tell them apart."""
+        out: list = [None] * len(chunks)
+        alone = [i for i, chunk in enumerate(chunks) if not self.plain_word(chunk)]
+        odd = set(alone)
+        plain = [i for i in range(len(chunks)) if i not in odd] if odd else range(len(chunks))
+        groups = [plain[i:i + 1000] for i in range(0, len(plain), 1000)]
+        for group, ids in zip(groups, self._texts([" ".join([chunks[i] for i in group]) for group in groups])):
             marks = np.flatnonzero(self.ends[ids]) + 1
             if len(marks) != len(group):
-                self.known.update(zip(group, self._texts(group)))
+                alone += group
                 continue
             start = 0
-            for cut, end in zip(group, marks.tolist()):
-                self.known[cut] = ids[start:end]
+            for i, end in zip(group, marks.tolist()):
+                out[i] = ids[start:end]
                 start = end
-
-    def _words(self, words):
-        simple, cut = self.simple.fullmatch, self.cut.findall
-        parts = [None if not simple(word) else [word.lower()] if word.isalpha() else cut(word.lower()) for word in words]
-        if len(self.known) > self.table.most:
-            self.known.clear()
-        self._cuts(list({cut for part in parts if part for cut in part if cut not in self.known}))
-        whole = iter(self._texts([word for word, part in zip(words, parts) if part is None]))
-        known = self.known
-        out = []
-        for part in parts:
-            if part is None:
-                out.append(next(whole))
-            elif len(part) == 1:
-                out.append(known[part[0]])
-            else:
-                out.append([i for cut in part for i in known[cut]])
+        for i, ids in zip(alone, self._texts([chunks[i] for i in alone])):
+            out[i] = ids
         return out
 
+    def _cut(self, text: str) -> list[str]:
+        if self.plain_text(text):
+            return self.cuts(text.lower())
+        return [chunk for word in _WORD.findall(text) for chunk in (self.cuts(word.lower()) if self.plain_word(word) else [word])]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = _WORD.findall if self.by_word else lambda text: [text]
-        return self.table.encode([cut(text) for text in texts])
+        return self.table.encode([self._cut(text) if self.by_cut else [text] for text in texts])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
