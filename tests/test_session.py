@@ -37,3 +37,14 @@ def test_a_step_is_written_once(spark):
     made = cut_lineage(spark.range(5).selectExpr("id", "uuid() as u"), "step")
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, made.collect()))
     assert made.columns == ["id", "u"] and "/step-" in made.inputFiles()[0]
+
+
+def test_steps_can_be_dropped(spark):
+    from unitloom.session import cut_lineage, drop_steps, steps_written
+    before = steps_written()
+    assert cut_lineage(spark.range(3)).count() == 3
+    new = [path for path in steps_written() if path not in before]
+    drop_steps(spark, new)
+    assert len(new) == 1 and steps_written() == before
+    target = spark._jvm.org.apache.hadoop.fs.Path(new[0])
+    assert not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

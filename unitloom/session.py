@@ -17,6 +17,10 @@ ADAPTIVE_SETTINGS = {
 }
 
 
+#: Folders of the steps written by this process, oldest first.
+_STEPS: list[str] = []
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in ADAPTIVE_SETTINGS.items():
         spark.conf.set(key, value)
@@ -48,4 +52,18 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STEPS.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def steps_written() -> list[str]:
+    """Folders of the steps this process has written and not dropped."""
+    return list(_STEPS)
+
+
+def drop_steps(spark: SparkSession, paths: list[str]) -> None:
+    """Remove steps whose results are stored elsewhere; a table that still reads them is lost."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _STEPS.remove(path)
