@@ -2,18 +2,34 @@
 
 Each stage takes (spark, docs, folder), where ``docs`` is the stored result of the stage before and
 ``folder`` holds the tables, and returns a DataFrame.  All stages but the last return the columns of
-``docs``.
+``docs``.  A stage that is called has its predecessor's result stored already, so it first removes the
+steps that the predecessor left in the shared folder.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from unitloom.llm import block_naming, jaccard, packing, sanitise, toxicity
 from unitloom.llm.common import ROW, keep_rows, table
-from unitloom.session import shared_folder, tune
+from unitloom.session import drop_steps, shared_folder, steps_written, tune
+
+#: Steps of the stage called last.
+_LEFT: list[str] = []
+
+
+def _tidy(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        drop_steps(spark, [path for path in _LEFT if path in steps_written()])
+        before = set(steps_written())
+        out = stage(spark, docs, folder)
+        _LEFT[:] = [path for path in steps_written() if path not in before]
+        return out
+    return run_stage
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -53,8 +69,7 @@ def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 STAGES = [
-    ("reject_toxic", reject_toxic), ("drop_exact_copies", drop_exact_copies), ("drop_near_copies", drop_near_copies),
-    ("sanitise_texts", sanitise_texts), ("pack", pack),
+    (stage.__name__, _tidy(stage)) for stage in (reject_toxic, drop_exact_copies, drop_near_copies, sanitise_texts, pack)
 ]
 
 #: A trained classifier, a learned disclosure list and a heuristic packing have no SQL.
