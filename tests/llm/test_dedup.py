@@ -9,7 +9,8 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from unitloom.llm import block_naming, components, jaccard, line_dedup, substring_dedup
-from unitloom.llm.common import ROW
+from unitloom.llm.common import ROW, join_by_row, with_row_key
+from unitloom.session import cut_lineage
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "same text here"), (4, "Same Text Here"), (4, "same text here"), (9, "É"), (10, "é"),
        (11, "x" * 20_000), (12, "x" * 20_000), (12, "x" * 20_000), (13, "x" * 19_999 + "y"), (14, "one"), (15, "one\ntwo\x00")]
@@ -243,3 +244,18 @@ def test_components_of_chains_and_stars(spark):
     found = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert all(found[i] == 1 for i in range(1, 41)) and all(found[100 + i] == 100 for i in range(30)) and found[300] == 200
     assert ROW not in found
+
+
+def test_row_keys_do_not_depend_on_splits(spark, stored):
+    docs = stored([(i, f"text {i}") for i in range(60)] + [(None, None)])
+    keys = [{r[ROW]: r.text for r in with_row_key(docs, F.col("text")).collect()}]
+    rows = cut_lineage(with_row_key(docs, F.col("text").alias("own")), "rows")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        again = spark.read.parquet(*docs.inputFiles())
+        keys += [{r[ROW]: r.text for r in with_row_key(table, F.col("text")).collect()} for table in (docs.select("*"), again)]
+        met = join_by_row(docs, rows, "inner").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len(keys[0]) == 61 and keys[0] == keys[1] == keys[2]
+    assert len(met) == 61 and all(r.text == r.own for r in met)
