@@ -45,10 +45,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8, the row with the smallest id.
 
-    Documents without words are linked with nothing and stay.  Of rows that repeat the id, the first stays.
+    Documents without words are linked with nothing and stay.  Of linked rows that repeat the smallest id, the
+    first stays; rows that no link connects are documents of their own, whatever their ids.
     """
     rows = jaccard.jaccard_components(docs, words=5, similar=80)
-    first = rows.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).alias("first"))
+    first = rows.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", ROW)).alias("first"))
     return keep_rows(docs, first.select(F.col(f"first.{ROW}").alias(ROW)).unionByName(rows.where("n_shingles = 0").select(ROW)))
 
 

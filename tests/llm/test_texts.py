@@ -209,3 +209,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted(
         [("2", base + " tail"), ("4", "mail me at [EMAIL]"), ("7", ""), ("7", "other words entirely"), ("None", "nothing here either")])
     assert sorted(str(r.doc_id) for r in spark.read.parquet(str(tmp_path / "s5")).collect()) == ["2", "4", "7", "7", "None"]
+
+
+def test_near_copies_are_dropped_by_component_not_by_id(spark, stored):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (3, text("c")), (3, text("d")), (4, text("d") + " more"), (3, text("e")), (None, text("e") + " more"),
+            (3, None), (None, "")]
+    kept = corpus_pipeline.drop_near_copies(spark, stored(rows), "").collect()
+    # a null id is smaller than any other
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted(
+        (str(d), t or "") for d, t in rows if d != 4 and t != text("e"))

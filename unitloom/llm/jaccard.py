@@ -270,9 +270,10 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words: i
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                        similar: int = SIMILAR) -> DataFrame:
-    """(row key, doc_id, n_shingles, component_id) of each row of a stored table.
+    """(row key, doc_id, n_shingles, component_id, class) of each row of a stored table.
 
-    A component is all rows that links reach from one another; its id is its smallest doc_id.
+    A component is all rows that links reach from one another; its id is its smallest doc_id.  Components
+    that share that id, or have none as all their ids are null, are told apart by ``class``.
     """
     sets = cut_lineage(shingle_sets(docs, doc_id, text, words), "sets")
     same = cut_lineage(sets.where("n > 0").groupBy("digest").agg(F.min(ROW).alias("rep")), "same")
@@ -312,7 +313,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         "class", F.coalesce("component", "rep", ROW))
     placed = cut_lineage(placed.select(ROW, "doc_id", "n", "class"), "placed")
     smallest = cut_lineage(placed.groupBy("class").agg(F.min("doc_id").alias("component_id")), "smallest")
-    return placed.join(smallest, "class").select(ROW, "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return placed.join(smallest, "class").select(ROW, "doc_id", F.col("n").alias("n_shingles"), "component_id", "class")
 
 
 def _mixed(met: DataFrame, nodes: DataFrame, reached: DataFrame) -> DataFrame:
@@ -358,7 +359,7 @@ def _remaining(held: DataFrame, bands: Bands, similar: int) -> DataFrame:
 
 
 def op10_jaccard_join(spark, folder: str) -> DataFrame:
-    return jaccard_components(table(spark, folder, "documents")).drop(ROW)
+    return jaccard_components(table(spark, folder, "documents")).drop(ROW, "class")
 
 
 SQL = r"""
