@@ -220,3 +220,17 @@ def test_near_copies_are_dropped_by_component_not_by_id(spark, stored):
     # a null id is smaller than any other
     assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted(
         (str(d), t or "") for d, t in rows if d != 4 and t != text("e"))
+
+
+def test_frequent_words_vote_and_copies_count_once(spark, stored):
+    # "you zorgon" in 200 toxic texts, always after the same word, and in 2 clean ones; copies of another in one text
+    rows = [(i, f"a{i} you zorgon") for i in range(200)] + [(1000 + i, "copied blarg") for i in range(50)]
+    rows += [(2000 + i, f"c{i} you there") for i in range(1798)] + [(4000 + i, f"d{i} you zorgon") for i in range(2)]
+    gold = spark.createDataFrame([(i, 0, int(i < 2000)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    docs = stored(rows)
+    sample = docs.join(gold, "doc_id").select("text", "toxic")
+    counted, toxic, clean = toxicity.count_units(sample)
+    found = {r.unit: (r.toxic, r.clean) for r in counted.collect()}
+    assert (toxic, clean) == (201, 1800) and found["w:zorgon"] == (200, 2) and found["w:blarg"] == (1, 0)
+    model = toxicity.fit(docs, gold)
+    assert "zorgon" in model.lexicon and "blarg" not in model.lexicon

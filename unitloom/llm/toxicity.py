@@ -10,6 +10,9 @@ Labels are learned only from rows that are not held out (crc32 of the id's text,
 1), from at most ``labelled_rows`` of them, those with the smallest hash of their id.  A label
 is never an input of a score, nor are ids, languages or sources: equal texts score alike.
 
+Voters are chosen by the number of distinct texts that hold them, toxic and clean alike; copies of
+a text count once.
+
 Null and empty texts score as a text without words.  A null id counts as not held out and trains
 nothing.  Labels that repeat an id count by their mean; without labels, every score is 0.
 """
@@ -44,41 +47,39 @@ REPEATS = 0.6
 _WORD = re.compile(r"\w+")
 
 
-def units_of(text: str) -> dict[str, str]:
-    """Words and word beginnings of a text, each with the word before its first place."""
-    units: dict[str, str] = {}
-    before = ""
-    for word in _WORD.findall(text.lower()):
-        units.setdefault("w:" + word, before)
-        for n in BEGINNINGS:
-            if len(word) >= n:
-                units.setdefault(f"b{n}:{word[:n]}", before)
-        before = word
-    return units
-
-
-def _context_bit(word: str) -> int:
-    import zlib
-
-    return 1 << (zlib.crc32(word.encode()) % 63)
+def units_of(text: str) -> set[str]:
+    """Words and word beginnings of a text."""
+    words = set(_WORD.findall(text.lower()))
+    return {"w:" + word for word in words} | {f"b{n}:{word[:n]}" for word in words for n in BEGINNINGS if len(word) >= n}
 
 
 def _count_units(batches):
     seen: dict[str, list[int]] = {}
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for unit, before in units_of(text).items():
-                entry = seen.setdefault(unit, [0, 0, 0])
-                entry[0 if toxic else 1] += 1
-                if toxic:
-                    entry[2] |= _context_bit(before)
+            for unit in units_of(text):
+                seen.setdefault(unit, [0, 0])[0 if toxic else 1] += 1
     names = list(seen)
     for start in range(0, len(names), 50_000):
         part = names[start:start + 50_000]
         values = [seen[name] for name in part]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part), *[pa.array([v[i] for v in values], pa.int64()) for i in range(3)]],
-            names=["unit", "toxic", "clean", "contexts"])
+            [pa.array(part), *[pa.array([v[i] for v in values], pa.int64()) for i in range(2)]],
+            names=["unit", "toxic", "clean"])
+
+
+def count_units(sample: DataFrame) -> tuple[DataFrame, int, int]:
+    """(unit, toxic, clean), how many distinct texts of each class hold a unit; and those of each class.
+
+    Copies of a text count once, by the mean of their labels.
+    """
+    texts = sample.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(
+        F.first("text").alias("text"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    texts = cut_lineage(texts.select("text", "toxic"), "distinct")
+    totals = texts.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") == 0, 1))).first()
+    counted = texts.mapInArrow(_count_units, "unit string, toxic long, clean long").groupBy("unit").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return cut_lineage(counted, "units"), totals[0], totals[1]
 
 
 def repeats_of(words: list[str], distinct: set[str], lexicon: set[str]) -> list[str]:
@@ -158,14 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # at most ``labelled_rows`` ids, so it may be sent to all
     sample = cut_lineage(texts.join(F.broadcast(gold), "doc_id").select("text", "toxic"), "sample")
-    totals = sample.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") == 0, 1))).first()
+    counted, *totals = count_units(sample)
     if not totals[0] or not totals[1]:
         return Model({}, np.zeros(0), set())
-    counted = sample.mapInArrow(_count_units, "unit string, toxic long, clean long, contexts long").groupBy("unit").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
-    counted = cut_lineage(counted, "units")
-    # copies of a text repeat the word before, so rows count as often as they differ in it
-    rows = F.least(F.col("toxic"), F.col("contexts").cast("long"))
+    rows = F.col("toxic")
     lift = (rows / totals[0]) / ((F.col("clean") + 0.05) / totals[1])
     rate, share = rows / (rows + F.col("clean")), totals[0] / (totals[0] + totals[1])
     other = F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - share))).otherwise(0.0)
