@@ -234,3 +234,15 @@ def test_frequent_words_vote_and_copies_count_once(spark, stored):
     assert (toxic, clean) == (201, 1800) and found["w:zorgon"] == (200, 2) and found["w:blarg"] == (1, 0)
     model = toxicity.fit(docs, gold)
     assert "zorgon" in model.lexicon and "blarg" not in model.lexicon
+
+
+def test_disclosing_terms_anywhere_in_the_document(spark, stored):
+    far = " filler" * 40
+    rows = [(i, f"user42{far} one{i} write zaphod@ship.org two{i}{far} User42") for i in range(4)]
+    # copies are one text, so their terms have no support
+    rows += [(50 + i, f"lonely words and me@copy.org{far}") for i in range(6)]
+    rows += [(100 + i, f"write{far} someone{i}@else.org and words{i}") for i in range(300)]
+    out = {r.doc_id: r.terms for r in sanitise.personal_spans(stored(rows)).collect()}
+    for doc, text in rows[:4]:
+        assert [(t.start, t.stop, t.removed) for t in out[doc]] == [(0, 6, True), (len(text) - 6, len(text), True)]
+    assert not any(out[doc] for doc, _ in rows[4:])

@@ -1,13 +1,18 @@
 r"""Information-theoretic sanitisation of personal data.
 
 Four kinds of protected entities are found by pattern and check: e-mail and IP addresses, card and
-phone numbers.  Then the corpus says which terms reveal an entity: of the documents that hold a term,
-how many hold it beside that entity.  A term that stands beside an entity in enough different
-surroundings, makes it at least so likely and raises its likelihood by at least so many bits, is a
-disclosure; beside the entity it is generalised, or removed where it nearly names the entity.
+phone numbers.  Then the corpus says which terms reveal an entity: of the distinct texts that hold a
+term, how many hold the entity, anywhere.  A term is a disclosure if it makes the entity at least so
+likely, raises its likelihood by at least so many bits, and does so in more texts than chance explains:
+of all pairs of an entity and a term, fewer than one would be so surprising.  In each document that holds
+the entity every occurrence of the term is generalised, or removed where it nearly names the entity.  A
+document that does not hold the entity keeps the term.
+
+Terms are runs of two or more letters, digits, marks and underscores; the words of an entity itself count
+as terms, too.  Copies of a text count once.
 
 Everything is column functions; no Python runs on the executors.  Each text is searched once, and only
-spans and the terms beside them go on.  The patterns start a run of characters once: a run that fails
+spans and, of texts with entities, distinct terms go on.  The patterns start a run of characters once: a run that fails
 from its start fails from within, so long runs cost no more than their length.  Repeated groups are matched as runs of characters in a
 masked text of the same length.
 
@@ -17,17 +22,18 @@ points.  A match that fails its check is dropped, without a second try inside it
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from unitloom.llm.common import ROW, free_name, join_by_row, sha256_hex, table, with_row_key
 from unitloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: A term lies at most so many code points from the entity it stands beside.
-REACH = 80
-#: A disclosure: so many different surroundings, such a likelihood of the entity, so many bits gained.
-LEAST_SURROUNDINGS, LEAST_LIKELIHOOD, LEAST_BITS = 5, 0.5, 3
+#: A disclosure: so many distinct texts with both, such a likelihood of the entity, so many bits gained.  One
+#: text alone says nothing of what its terms reveal elsewhere.
+LEAST_SURROUNDINGS, LEAST_LIKELIHOOD, LEAST_BITS = 2, 0.5, 3
 #: Terms that make the entity at least so likely are removed, others generalised.
 REMOVE_LIKELIHOOD = 0.9
 
@@ -42,7 +48,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _IP = r"^(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.|$)){4}$"
-_WORD = r"\p{L}{3,}"
+_WORD = r"[\p{L}\p{M}\p{N}_]{2,}"
 _SPAN = "array<struct<start:int,stop:int,value:string>>"
 
 
@@ -109,60 +115,67 @@ def entity_of(span: Column) -> Column:
     return F.xxhash64(span["kind"], plain)
 
 
-def surroundings(text: Column, spans: Column) -> Column:
-    """Per span its entity, a number for the words around, and those words with their places."""
-    def around(span):
-        first = F.greatest(span["start"] - REACH, F.lit(0))
-        before = F.substring(text, first + 1, span["start"] - first)
-        # a word cut off at the far end of the reach does not count
-        head = F.when(first > 0, F.length(F.regexp_extract(before, r"^\p{L}*", 0))).otherwise(0)
-        behind = F.substring(text, span["stop"] + 1, F.lit(REACH))
-        tail = F.when(F.length(behind) == REACH, F.regexp_replace(behind, r"\p{L}+$", "")).otherwise(behind)
-
-        def placed(part, shift):
-            return F.transform(matches(part, _WORD), lambda m: F.struct(
-                F.lower(m["value"]).alias("term"), (m["start"] + shift).alias("start"), (m["stop"] + shift).alias("stop")))
-        words = F.concat(placed(F.substring(before, head + 1, F.lit(REACH)), first + head), placed(tail, span["stop"]))
-        free = F.filter(words, lambda w: ~F.exists(spans, lambda s: (w["start"] < s["stop"]) & (w["stop"] > s["start"])))
-        return F.struct(entity_of(span).alias("entity"), F.xxhash64(F.transform(free, lambda w: w["term"])).alias("around"), free.alias("words"))
-    return F.transform(spans, around)
+def terms_of(text: Column) -> Column:
+    """Distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda word: F.lower(word)))
 
 
 def found_entities(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, doc_id, spans, beside): what the text search found, texts left out."""
+    """(row, doc_id, spans, copy, entities, terms): what the text search found, texts left out."""
     texts = with_row_key(docs, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = texts.withColumn("spans", base_spans(F.col("text")))
-    return spans.select(ROW, "doc_id", "spans", F.when(F.size("spans") > 0, surroundings(F.col("text"), F.col("spans"))).alias("beside"))
+    held = F.size("spans") > 0
+    return spans.select(
+        ROW, "doc_id", "spans", F.unhex(sha256_hex(F.col("text"))).alias("copy"),
+        F.when(held, F.array_distinct(F.transform("spans", entity_of))).alias("entities"), F.when(held, terms_of(F.col("text"))).alias("terms"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, text: str, least_surroundings: int = LEAST_SURROUNDINGS,
                 likelihood: float = LEAST_LIKELIHOOD, bits: float = LEAST_BITS) -> DataFrame | None:
-    """(entity, term, removed): terms that reveal an entity; None if no pair has surroundings enough."""
-    met = found.select(ROW, F.explode("beside").alias("b")).select(ROW, "b.entity", "b.around", "b.words")
-    often = met.groupBy("entity").agg(F.approx_count_distinct("around", 0.02).alias("n")).where(F.col("n") >= least_surroundings * 0.8)
-    often = cut_lineage(often.select("entity"), "entities")
+    """(entity, term, removed): terms that reveal an entity; None if there are none."""
+    own = cut_lineage(found.groupBy("copy").agg(F.min(ROW).alias(ROW)).select(ROW), "own")
+    total = own.count()
+    met = found.where("entities IS NOT NULL").join(own, ROW, "left_semi").select(ROW, "entities", "terms")
+    counted = cut_lineage(met.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("holders")), "holders")
+    often = cut_lineage(counted.where(F.col("holders") >= least_surroundings), "often")
     if often.isEmpty():
         return None
-    terms = met.join(often, "entity").select(
-        ROW, "entity", "around", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
-    kinds = terms.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("kinds"))
-    beside = terms.select("entity", "term", ROW).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
-    pairs = cut_lineage(kinds.where(F.col("kinds") >= least_surroundings).join(beside, ["entity", "term"]), "pairs")
+    sought = met.select(ROW, F.explode("entities").alias("entity")).join(often.select("entity"), "entity")
+    sought = cut_lineage(sought.groupBy(ROW).agg(F.collect_list("entity").alias("entities")), "sought")
+    both = sought.join(met.select(ROW, "terms"), ROW).select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
+    pairs = cut_lineage(pairs.where(F.col("together") >= least_surroundings), "pairs")
     if pairs.isEmpty():
         return None
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
-    wanted = pairs.select("term").distinct()
+    texts = with_row_key(docs, F.coalesce(F.col(text), F.lit("")).alias("text")).join(own, ROW, "left_semi")
     # counted before the join, so that a frequent term is one row there
-    spread = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("held")).join(wanted, "term", "left_semi")
-    holders = met.select("entity", ROW).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("holders"))
-    total = found.count()
-    given = F.col("together") / F.col("held")
-    gain = F.log2(given * F.lit(float(total)) / F.col("holders"))
-    known = pairs.join(spread, "term").join(holders, "entity")
-    return cut_lineage(known.where((given >= likelihood) & (gain >= bits)).select(
+    spread = cut_lineage(texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("held")), "spread")
+    tests = float(counted.count()) * float(max(1, spread.count()))
+    known = pairs.join(spread, "term").join(often, "entity")
+    given, base = F.col("together") / F.col("held"), F.col("holders") / F.lit(float(total))
+    gain = F.log2(given / base)
+    # bits by which chance falls short of so many texts with both (Chernoff's bound)
+    other = F.when(given < 1, (1 - given) * F.log2((1 - given) / (1 - base))).otherwise(0.0)
+    surprise = F.col("held") * (given * gain + other)
+    return cut_lineage(known.where((given >= likelihood) & (gain >= bits) & (surprise >= math.log2(max(2.0, tests)))).select(
         "entity", "term", (given >= REMOVE_LIKELIHOOD).alias("removed")), "disclosures")
 
 
+def _occurrences(docs: DataFrame, text: str, hits: DataFrame) -> DataFrame:
+    """(row, start, stop, removed) of every occurrence of the terms ``hits`` (row, term, removed) in their documents."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = with_row_key(docs, body.alias("text")).join(hits.select(ROW).distinct(), ROW, "left_semi")
+    steps = F.zip_with(F.split("text", _WORD, -1), F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)),
+                       lambda gap, word: F.struct(F.length(gap).alias("gap"), word.alias("word")))
+    placed = texts.select(ROW, F.posexplode(steps).alias("pos", "step")).where("step.word IS NOT NULL")
+    # a window over the words of one text, which is a row
+    upto = Window.partitionBy(ROW).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.length("step.word")
+    stop = F.sum(F.col("step.gap") + size).over(upto).cast("int")
+    words = placed.select(ROW, F.lower("step.word").alias("term"), (stop - size).alias("start"), stop.alias("stop"))
+    return words.join(hits, [ROW, "term"]).select(ROW, "start", "stop", "removed")
+
+
 def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """(row key, doc_id, base, terms) of each row of a stored table.
 
@@ -170,16 +183,17 @@ def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     found = cut_lineage(found_entities(docs, doc_id, text), "entities")
     reveal = disclosures(docs, found, text, **thresholds)
-    kind = "array<struct<start:int,stop:int,removed:boolean>>"
+    none = F.expr("cast(array() as array<struct<start:int,stop:int,removed:boolean>>)")
     if reveal is None:
-        return found.select(ROW, "doc_id", F.col("spans").alias("base"), F.expr(f"cast(array() AS {kind})").alias("terms"))
-    words = found.select(ROW, F.explode("beside").alias("b")).select(ROW, "b.entity", F.explode("b.words").alias("w"))
-    marked = (
-        words.select(ROW, "entity", "w.term", "w.start", "w.stop").join(reveal, ["entity", "term"])
-        .groupBy(ROW, "start", "stop").agg(F.max("removed").alias("removed"))
-        .groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "removed"))).alias("terms")))
-    return found.join(marked, ROW, "left").select(
-        ROW, "doc_id", F.col("spans").alias("base"), F.coalesce("terms", F.expr(f"cast(array() AS {kind})")).alias("terms"))
+        return found.select(ROW, "doc_id", F.col("spans").alias("base"), none.alias("terms"))
+    known = found.select(ROW, "terms", F.explode("entities").alias("entity")).join(reveal.select("entity").distinct(), "entity", "left_semi")
+    hits = known.select(ROW, "entity", F.explode("terms").alias("term")).join(reveal, ["entity", "term"])
+    hits = cut_lineage(hits.groupBy(ROW, "term").agg(F.max("removed").alias("removed")), "hits")
+    marked = _occurrences(docs, text, hits).groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "removed"))).alias("terms"))
+    met = found.select(ROW, "doc_id", "spans").join(marked, ROW, "left")
+    # what an entity's span covers goes with the entity
+    free = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (t["start"] < s["stop"]) & (t["stop"] > s["start"])))
+    return met.select(ROW, "doc_id", F.col("spans").alias("base"), F.coalesce(free, none).alias("terms"))
 
 
 def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
