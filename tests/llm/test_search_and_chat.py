@@ -98,3 +98,14 @@ def test_formatting_stays_native(spark):
     plan = chat_format.formatted(chat_format.records_of(df))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert chat_format.records_of(df.limit(0)).collect() == []
+
+
+def test_long_messages_are_formatted(spark):
+    df = spark.range(1).select(
+        F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.repeat(F.lit("0123456789"), F.lit(2_000_001)).alias("text"))
+    out = chat_format.formatted(chat_format.records_of(df)).select(F.size("turns"), F.length("formatted"), "fingerprint").first()
+    short = chat_format.formatted(chat_format.records_of(df.withColumn("text", F.lit("x")))).select("fingerprint").first()
+    assert tuple(out) == (1, 20_000_010 + 26, short[0])
+    record = F.concat(F.lit('{"question": "q", "answer": "'), "text", F.lit('"}'))
+    with pytest.raises(Exception, match="too long to be parsed"):
+        chat_format.formatted(df.select(record.alias("record"))).select("turns").collect()

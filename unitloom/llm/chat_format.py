@@ -1,6 +1,6 @@
 r"""Chat formatting by schema fingerprint.
 
-A record is a JSON text.  The paths of its nested fields, without the kinds of their values, are
+A record is a JSON text or, where its fields are columns already, a struct.  The paths of its nested fields, without the kinds of their values, are
 hashed; the hash selects a declarative mapping, and the mapping's fields become canonical turns of
 (role, text).  Everything is column functions: no Python runs on the executors.
 
@@ -12,7 +12,8 @@ string gets exactly one, so undoing it, control strings first, gives the text ba
 Null roles and texts count as empty.  Rows of a conversation are ordered by turn, then role, then
 text; repeated rows are turns of their own; rows with a null conversation id are one conversation.
 A record that is null, is no JSON or has no mapping has ``fingerprint`` but null ``turns``.  A
-conversation is one text in the result, so it has to fit a row.
+conversation is one text in the result, so it has to fit a row; one beyond 2 GB is an error.  So is a
+JSON text that the parser refuses and that is over its limits; structs are never parsed.
 """
 
 from __future__ import annotations
@@ -21,12 +22,16 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from unitloom.llm.common import sha256_hex, table
 
 OPEN, ROLE_END, TEXT_END, CLOSE = "<s>", "[INST] ", " [/INST]", "</s>"
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 
+#: Texts up to this length are within the limits of Spark's JSON parser.
+PARSED_CHARS = 20_000_000
+
 _KINDS = r": (STRING|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\(\d+,\d+\))(?=[,>])"
 _TURNS = "array<struct<role:string,text:string>>"
 
@@ -65,14 +70,31 @@ MAPPINGS = (
 
 def fingerprint(record: Column) -> Column:
     """Hash of the record's nested field paths; names are in order, kinds of values do not count."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    return F.xxhash64(F.regexp_replace(shape, _KINDS, ""))
+    parsed = F.try_parse_json(record)
+    # the parser gives null for strings over 20,000,000 characters and values over its size, as for no JSON
+    too_long = F.raise_error(F.lit("a JSON record is too long to be parsed; pass it as a struct")).cast("variant")
+    parsed = F.when(parsed.isNull() & (F.length(record) > PARSED_CHARS), too_long).otherwise(parsed)
+    return F.xxhash64(F.regexp_replace(F.schema_of_variant(parsed), _KINDS, ""))
+
+
+def _shape(value: Column, kind: DataType) -> Column:
+    """A typed value with its texts emptied and one element of each list, as all elements have the same fields."""
+    if isinstance(kind, StructType):
+        return F.struct(*[_shape(value[field.name], field.dataType).alias(field.name) for field in kind])
+    if isinstance(kind, ArrayType):
+        return F.transform(F.slice(value, 1, 1), lambda element: _shape(element, kind.elementType))
+    return F.lit("")
+
+
+def _has(kind: StructType, mapping: Mapping) -> bool:
+    wanted = [mapping.array] if mapping.array else [name for _, parts in mapping.fields for name in parts]
+    return all(name in kind.names for name in wanted)
 
 
-def _mapped(record: Column, mapping: Mapping) -> Column:
+def _mapped(record: Column, mapping: Mapping, typed: bool = False) -> Column:
     if mapping.array:
         kind = f"struct<`{mapping.array}`:array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>>"
-        messages = F.coalesce(F.from_json(record, kind)[mapping.array], F.from_json(F.lit("[]"), f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>"))
+        messages = F.coalesce((record if typed else F.from_json(record, kind))[mapping.array], F.from_json(F.lit("[]"), f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>"))
 
         def turn(message):
             role = F.coalesce(message[mapping.role], F.lit(""))
@@ -81,7 +103,7 @@ def _mapped(record: Column, mapping: Mapping) -> Column:
             return F.struct(role.alias("role"), F.coalesce(message[mapping.text], F.lit("")).alias("text"))
         return F.transform(messages, turn)
     names = [name for _, parts in mapping.fields for name in parts]
-    values = F.from_json(record, ",".join(f"`{name}` string" for name in names))
+    values = record if typed else F.from_json(record, ",".join(f"`{name}` string" for name in names))
     turns = []
     for role, parts in mapping.fields:
         filled = F.filter(F.array(*[F.coalesce(values[name], F.lit("")) for name in parts]), lambda part: part != "")
@@ -89,13 +111,13 @@ def _mapped(record: Column, mapping: Mapping) -> Column:
     return F.array(*turns)
 
 
-def canonical_turns(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """Turns of a record by the mapping its fingerprint selects; null without one."""
+def canonical_turns(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS, kind: StructType | None = None) -> Column:
+    """Turns of a record by the mapping its fingerprint selects; null without one.  ``kind`` is the type of a struct."""
     out = F.lit(None).cast(_TURNS)
-    mark = fingerprint(record)
-    for mapping in reversed(mappings):
+    mark = fingerprint(record if kind is None else F.to_json(_shape(record, kind)))
+    for mapping in reversed([one for one in mappings if kind is None or _has(kind, one)]):
         wanted = [fingerprint(F.lit(example)) for example in mapping.examples]
-        out = F.when(reduce(lambda a, b: a | b, [mark == one for one in wanted]), _mapped(record, mapping).cast(_TURNS)).otherwise(out)
+        out = F.when(reduce(lambda a, b: a | b, [mark == one for one in wanted]), _mapped(record, mapping, kind is not None).cast(_TURNS)).otherwise(out)
     return out
 
 
@@ -151,16 +173,19 @@ def loss_text(text: Column, spans: Column) -> Column:
 
 
 def records_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One JSON record of messages per conversation."""
+    """One record of messages per conversation, as a struct."""
     message = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
     ordered = F.sort_array(F.collect_list(message))
     messages = F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    return rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.struct(messages.alias("messages")).alias("record"))
 
 
 def formatted(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``records`` with fingerprint, turns, formatted text and loss spans."""
-    turns = records.withColumn("fingerprint", fingerprint(F.col(record))).withColumn("turns", canonical_turns(F.col(record), mappings))
+    kind = records.schema[record].dataType
+    kind = kind if isinstance(kind, StructType) else None
+    shape = F.col(record) if kind is None else F.to_json(_shape(F.col(record), kind))
+    turns = records.withColumn("fingerprint", fingerprint(shape)).withColumn("turns", canonical_turns(F.col(record), mappings, kind))
     chat = turns.withColumn("_chat", format_chat(F.col("turns")))
     return chat.withColumns({"formatted": F.col("_chat.text"), "spans": F.col("_chat.spans")}).drop("_chat")
 
