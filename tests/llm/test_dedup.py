@@ -259,3 +259,8 @@ def test_row_keys_do_not_depend_on_splits(spark, stored):
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert len(keys[0]) == 61 and keys[0] == keys[1] == keys[2]
     assert len(met) == 61 and all(r.text == r.own for r in met)
+
+
+def test_copies_in_a_batch_are_sent_on_once(spark, stored):
+    docs = stored([(i, " ".join(f"w{k}" for k in range(40))) for i in range(20)], files=1)
+    assert jaccard.buckets(docs, "doc_id", "text", 4, jaccard.Bands(top=40)).count() == 0

@@ -207,9 +207,9 @@ def buckets(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands) -
             seen, keys, owners = set(), [], []
             for row, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 found = shingle_hashes(words_of(body), words)
-                digest = found.tobytes()
+                digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 if len(found) and digest not in seen:
-                    seen.add(digest if len(digest) < 64 else hashlib.blake2b(digest, digest_size=16).digest())
+                    seen.add(digest)
                     key = bands.signatures(found)
                     keys.append(key)
                     owners.append(np.full(len(key), row, np.int64))
