@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from unitloom.llm import block_naming, chat_format, jaccard, line_dedup, packing, pieces, sanitise, substring_dedup, topk_search, toxicity
+from unitloom.llm import block_naming, chat_format, jaccard, line_dedup, merkle, packing, pieces, sanitise, substring_dedup, topk_search, toxicity
 
 #: name -> (query, SQL or None)
 LLM_QUERIES = {
@@ -17,5 +17,6 @@ LLM_QUERIES = {
     "op8_line_dedup": (line_dedup.op8_line_dedup, line_dedup.SQL),
     "op9_bestfit_packing": (packing.op9_bestfit_packing, None),
     "op10_jaccard_join": (jaccard.op10_jaccard_join, jaccard.SQL),
+    "op11_merkle_manifest": (merkle.op11_merkle_manifest, merkle.SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
