@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from unitloom.llm import block_naming, chat_format, jaccard, line_dedup, merkle, packing, pieces, sanitise, substring_dedup, topk_search, toxicity
+from unitloom.llm import (
+    alignment, block_naming, chat_format, jaccard, line_dedup, merkle, packing, pieces, quality, sanitise, substring_dedup, topk_search, toxicity,
+)
 
 #: name -> (query, SQL or None)
 LLM_QUERIES = {
@@ -18,5 +20,7 @@ LLM_QUERIES = {
     "op9_bestfit_packing": (packing.op9_bestfit_packing, None),
     "op10_jaccard_join": (jaccard.op10_jaccard_join, jaccard.SQL),
     "op11_merkle_manifest": (merkle.op11_merkle_manifest, merkle.SQL),
+    "op12_quality_classifier": (quality.op12_quality_classifier, None),
+    "op13_tokenizer_alignment": (alignment.op13_tokenizer_alignment, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
