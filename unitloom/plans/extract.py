@@ -1,21 +1,25 @@
 """Facts about classes and members, over the node table of all files at once.
 
-:func:`annotate` places every node in its class and member with windows over the file:
-one shuffle of the node table by ``file_id``.  Every fact is then a filter and an
-aggregate by (file_id, ...), which that partitioning already serves.
+The node table is shuffled once, by file, and everything after that stays where it is.  Windows over a
+file place every node in its class, member, body and parameter.  A declared thing (class, field,
+member, parameter, local variable, call, argument list, creation) then becomes one row by a single
+conditional aggregate: each node counts as a thing of its own, as a child of its parent, or as both.
+Names are resolved by windows over (file, scope, name) and records are put together by aggregates whose
+keys all begin with the file, so the one partitioning serves them too.  Short texts are cut in a merge
+join with the sources, by file as well; texts of classes and members are cut last.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from unitloom.functions.text import declarator_name, node_text, utf8
 from unitloom.operators.filters import TEST_MARKER
-from unitloom.operators.joins import resolve_cascade
 from unitloom.operators.nodes import enclosing, first_below, look_back, node_struct, with_text
-from unitloom.operators.ordered import last_wins, ordered_join
-from unitloom.session import cut_lineage
-from unitloom.sources.records import METHOD_RECORD
+from unitloom.operators.ordered import last_wins
+from unitloom.sources.records import CLASS_RECORD, METHOD_RECORD
 
 # Node and field names of the grammar.
 CLASS, BODY = "class_declaration", "class_body"
@@ -23,26 +27,17 @@ METHOD, CONSTRUCTOR, FIELD = "method_declaration", "constructor_declaration", "f
 COMMENTS = ("comment", "block_comment")
 METHOD_BODY, CONSTRUCTOR_BODY = "block", "constructor_body"
 CREATION, LOCAL, CALL = "object_creation_expression", "local_variable_declaration", "method_invocation"
+IMPORT, PACKAGE = "import_declaration", "package_declaration"
+PARAMETERS, PARAMETER = "formal_parameters", "formal_parameter"
+NAME, TYPE_NAME, DECLARATOR = "identifier", "type_identifier", "variable_declarator"
+MODIFIERS, INTERFACES, FIELD_ACCESS = "modifiers", "super_interfaces", "field_access"
 UNKNOWN_TYPE = "primitive_type"
 ITSELF, FIELD_PREFIX = "this", "this."
 
+#: Kinds of things beside those named by a node type above.
+FILE, ARGUMENTS = "file", "arguments"
+
 METHOD_LIST = f"array<{METHOD_RECORD}>"
-SIGNATURE_LIST = "array<struct<method_identifier:string,method_parameter_types:array<string>>>"
-CONSTRUCTOR_LIST = (
-    "array<struct<constructor_identifier:string,constructor_parameter_types:array<string>,"
-    "related_classes:array<string>,constructor_full_text:string>>"
-)
-VARIABLE_LIST = "array<struct<variable_identifier:string,variable_type:string>>"
-
-#: Node types and fields some fact needs; a body's children are all kept, for W2.
-USED_TYPES = (
-    CLASS, BODY, METHOD, CONSTRUCTOR, FIELD, *COMMENTS, METHOD_BODY, CONSTRUCTOR_BODY, CREATION, LOCAL, CALL,
-    "import_declaration", "package_declaration", "identifier", "modifiers", "super_interfaces",
-    "formal_parameters", "formal_parameter", "type_identifier", "variable_declarator", "argument_list",
-)
-USED_FIELDS = ("type", "name", "object", "arguments")
-SHOWN_TYPES = ("identifier", "type_identifier", "modifiers", "super_interfaces", "variable_declarator")
-SHOWN_FIELDS = ("type", "name", "object")
 
 
 def prepare_sources(sources: DataFrame) -> DataFrame:
@@ -50,131 +45,152 @@ def prepare_sources(sources: DataFrame) -> DataFrame:
     return sources.select("file_id", "project", "path", utf8(F.col("content")).alias("content_bytes"))
 
 
-def annotate(nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Nodes inside classes, with their class, member, first descendants and texts.
+def top_units(nodes: DataFrame) -> DataFrame:
+    """Class declarations right below the root (X1); a filter that reaches the scan."""
+    return nodes.where((F.col("parent_id") == 0) & (F.col("type") == CLASS))
 
-    Adds the structs ``cls`` (top-level class), ``member`` (method or constructor right in
-    that class's body, with ``kind``) and ``block`` (its first block); the flag ``in_body``
-    for a body's children; and the texts ``text`` (of nodes a fact shows), ``first_type``
-    and ``first_name`` (of the first type name below, and of the first identifier below
-    the first declarator below).
 
-    The node table is shuffled once, by file.  Texts are cut in one merge join with the
-    sources at the end, so no later fact reads the sources again.  Unnamed nodes
-    (punctuation, keywords) are never needed and stay in the scan.
-    """
-    kind, node, span = F.col("type"), node_struct(), F.struct("node_id", "start_byte", "end_byte")
+def _any(*conditions: Column) -> Column:
+    """Whether one of the conditions holds; an unknown one does not."""
+    return reduce(lambda a, b: a | b, [F.coalesce(condition, F.lit(False)) for condition in conditions])
+
+
+def _placed(nodes: DataFrame) -> DataFrame:
+    """Named nodes with their class, member, body, parameter and what comes first below them."""
+    kind, span = F.col("type"), F.struct("node_id", "start_byte", "end_byte")
     out = nodes.where(F.col("is_named")).drop("is_named")
     # looking ahead: one sort by descending id
-    out = first_below(out, first_block=(kind == METHOD_BODY, F.struct("node_id", "last_desc_id")),
-                      first_type=(kind == "type_identifier", span), first_identifier=(kind == "identifier", span))
-    declared = F.struct("node_id", F.when(F.col("first_identifier.node_id") <= F.col("last_desc_id"),
-                                          F.col("first_identifier")).alias("name"))
-    out = first_below(out, first_declarator=(kind == "variable_declarator", declared))
+    out = first_below(out, block=(kind == METHOD_BODY, F.struct("node_id", "last_desc_id")),
+                      first_type=(kind == TYPE_NAME, span), first_identifier=(kind == NAME, span))
+    declared = F.struct("node_id", F.when(F.col("first_identifier.node_id") <= F.col("last_desc_id"), F.col("first_identifier")).alias("name"))
+    out = first_below(out, first_declarator=(kind == DECLARATOR, declared)).drop("first_identifier")
     # looking back: one sort by ascending id
-    out = enclosing(out, cls=((F.col("parent_id") == 0) & (kind == CLASS), node))
+    out = enclosing(out, cls=((F.col("parent_id") == 0) & (kind == CLASS), node_struct()))
     out = look_back(out, body_id=((kind == BODY) & (F.col("parent_id") == F.col("cls.node_id")), F.col("node_id")))
-    out = out.withColumn("in_body", F.coalesce(F.col("parent_id") == F.col("body_id"), F.lit(False)))
-    member = F.struct("node_id", "last_desc_id", kind.alias("kind"), F.col("first_block").alias("block"))
-    out = enclosing(out, member=(F.col("in_body") & kind.isin(METHOD, CONSTRUCTOR), member))
-    used = kind.isin(*USED_TYPES) | F.col("field_name").isin(*USED_FIELDS) | F.col("in_body")
-    out = out.where(F.col("cls").isNotNull() & used)
-    shown = (
-        kind.isin(*SHOWN_TYPES) | F.col("field_name").isin(*SHOWN_FIELDS) | (F.col("node_id") == F.col("cls.node_id"))
-        | (F.col("in_body") & kind.isin(METHOD, CONSTRUCTOR, *COMMENTS))
-    )
-    # only creations and local declarations ask for what comes first below them
-    ahead = {"first_type": (kind == CREATION, F.col("first_type")), "first_name": (kind == LOCAL, F.col("first_declarator.name"))}
-    texts = with_text(out, sources, text=(F.when(shown, F.col("start_byte")), F.col("end_byte")), **{
-        f"_{name}": (F.when(condition, found["start_byte"]), found["end_byte"]) for name, (condition, found) in ahead.items()
-    })
-    return texts.select(
-        "file_id", "node_id", "last_desc_id", "parent_id", "ord", "type", "field_name", "start_byte", "end_byte",
-        "cls", F.struct("member.node_id", "member.kind").alias("member"), F.col("member.block").alias("block"), "in_body",
-        "text", F.col("_first_type").alias("first_type"), F.col("_first_name").alias("first_name"),
+    out = out.withColumn("in_body", F.coalesce(F.col("parent_id") == F.col("body_id"), F.lit(False))).drop("body_id")
+    out = enclosing(out, member=(F.col("in_body") & kind.isin(METHOD, CONSTRUCTOR), F.struct("node_id", "last_desc_id", kind.alias("kind"), "block")))
+    own = F.col("parent_id") == F.col("member.node_id")
+    body = ((F.col("member.kind") == METHOD) & (kind == METHOD_BODY)) | ((F.col("member.kind") == CONSTRUCTOR) & (kind == CONSTRUCTOR_BODY))
+    out = enclosing(out, own_body=(own & body, F.struct("last_desc_id")))
+    out = look_back(out, list_id=(own & (kind == PARAMETERS), F.col("node_id")))
+    out = look_back(out, parameter_id=((kind == PARAMETER) & (F.col("parent_id") == F.col("list_id")), F.col("node_id")))
+    earlier = Window.partitionBy("file_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    sibling = F.struct("parent_id", "type", "start_byte", "end_byte")
+    return out.withColumn("before", F.last(F.when(F.col("in_body"), sibling), ignorenulls=True).over(earlier))
+
+
+def _kind() -> Column:
+    """Which thing a placed node is, if any."""
+    kind, in_method = F.col("type"), F.col("member.kind") == METHOD
+    in_block = in_method & F.col("node_id").between(F.col("member.block.node_id"), F.col("member.block.last_desc_id"))
+    return (
+        F.when(F.col("node_id") == 0, FILE).when(F.col("node_id") == F.col("cls.node_id"), CLASS)
+        .when(F.col("in_body") & kind.isin(FIELD, METHOD, CONSTRUCTOR), kind).when(F.col("node_id") == F.col("parameter_id"), PARAMETER)
+        .when((kind == CREATION) & F.col("own_body").isNotNull() & F.col("first_type").isNotNull(), CREATION)
+        .when(in_block & kind.isin(LOCAL, CALL), kind).when(in_method & (F.col("field_name") == "arguments"), ARGUMENTS)
     )
 
 
-def _first_children(wanted: dict[str, Column]) -> list[Column]:
-    """Per parent, the first child meeting each condition, as aggregates."""
-    child = F.struct("text", "type", "node_id")
-    return [F.min_by(child, F.when(condition, F.col("ord"))).alias(name) for name, condition in wanted.items()]
+def _is_part() -> Column:
+    """Whether a placed node may be a child some thing asks for."""
+    kind, field, parent = F.col("type"), F.col("field_name"), F.col("parent_id")
+    member, in_method = F.col("member.node_id"), F.col("member.kind") == METHOD
+    return _any(
+        (parent == 0) & kind.isin(IMPORT, PACKAGE), (parent == F.col("cls.node_id")) & kind.isin(NAME, MODIFIERS, INTERFACES),
+        F.col("cls").isNotNull() & member.isNull() & ~F.col("in_body") & kind.isin(TYPE_NAME, DECLARATOR), (parent == member) & (kind == NAME),
+        (parent == F.col("parameter_id")) & F.col("ord").isin(0, 1), in_method & field.isin("type", "name", "object", "arguments"),
+        in_method & (kind == NAME),
+    )
 
 
-def top_units(nodes: DataFrame) -> DataFrame:
-    """Class declarations right below the root (X1); a filter that reaches the scan."""
-    return nodes.where((F.col("parent_id") == 0) & (F.col("type") == CLASS))
+def _lines(kind: str) -> Column:
+    """Import or package lines of a file, in order, '' if there are none (A3)."""
+    own = F.filter(F.col("parts"), lambda part: part["type"] == kind)
+    return F.coalesce(F.array_join(F.transform(own, lambda part: part["text"]), "\n"), F.lit(""))
 
 
-def file_facts(nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Imports and package of each file, lines in order, '' if there are none (A3)."""
-    heads = nodes.where((F.col("parent_id") == 0) & F.col("type").isin("import_declaration", "package_declaration"))
-    lines = with_text(heads, sources, text=(F.col("start_byte"), F.col("end_byte")))
-    joined = ordered_join(lines, ["file_id", "type"], F.col("text"), ["ord"])
-    wide = joined.groupBy("file_id").agg(
-        F.first(F.when(F.col("type") == "import_declaration", F.col("text")), ignorenulls=True).alias("imports"),
-        F.first(F.when(F.col("type") == "package_declaration", F.col("text")), ignorenulls=True).alias("package"),
-    )
-    return wide
+def things(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per declared thing, with the texts of its children; a file's rows stay in one partition.
 
+    ``kind`` says what a row is, ``node_id`` which node, ``class_id`` and ``member_id`` where it stands.  The other
+    columns hold, for the kinds that have them: first children by type or field, identifiers of an argument list, lines of
+    a file, the first type and name below, and the span of a comment just before a method (W2).
+    """
+    kind, ord_, text = F.col("type"), F.col("ord"), F.col("text")
+    out = _placed(nodes).withColumns({"kind": _kind(), "is_part": _is_part()}).where(F.col("kind").isNotNull() | F.col("is_part"))
+    lead = F.when((F.col("kind") == METHOD) & F.col("before.type").isin(*COMMENTS) & (F.col("before.parent_id") == F.col("parent_id")), F.col("before"))
+    first_type = F.when(F.col("kind") == CREATION, F.col("first_type"))
+    first_name = F.when(F.col("kind") == LOCAL, F.col("first_declarator.name"))
+    cut = with_text(
+        out.withColumn("lead", lead), sources, text=(F.when(F.col("is_part"), F.col("start_byte")), F.col("end_byte")),
+        created=(first_type["start_byte"], first_type["end_byte"]), declared=(first_name["start_byte"], first_name["end_byte"]))
+    own = F.struct("kind", F.col("cls.node_id").alias("class_id"), F.col("member.node_id").alias("member_id"), "parent_id", "ord", "start_byte",
+                   "end_byte", F.col("lead.start_byte").alias("lead_start"), F.col("lead.end_byte").alias("lead_end"), "created", "declared")
+    roles = F.array(
+        F.when(F.col("kind").isNotNull(), F.struct(F.col("node_id").alias("key"), own.alias("own"))),
+        F.when(F.col("is_part"), F.struct(F.col("parent_id").alias("key"), F.when(F.lit(False), own).alias("own"))))
+    each = cut.select("file_id", "node_id", "type", "field_name", "ord", "text", F.explode(F.filter(roles, lambda role: role.isNotNull())).alias("role"))
+    part = F.col("role.own").isNull()
+
+    def first(condition: Column, value: Column | str = "text") -> Column:
+        return F.min_by(value, F.when(part & condition, ord_))
 
-def _class_key() -> list[Column]:
-    return [F.col("file_id"), F.col("cls.node_id").alias("class_id")]
+    field = F.col("field_name")
+    parts = F.sort_array(F.collect_list(F.when(part & kind.isin(NAME, IMPORT, PACKAGE), F.struct("ord", "type", "text"))))
+    found = each.groupBy("file_id", F.col("role.key").alias("node_id")).agg(
+        F.first("role.own", ignorenulls=True).alias("own"), parts.alias("parts"),
+        first(kind == NAME).alias("name"), first(kind == MODIFIERS).alias("modifiers"), first(kind == INTERFACES).alias("interfaces"),
+        first(kind == TYPE_NAME).alias("type_name"), first(kind == DECLARATOR).alias("declarator"), first(field == "type").alias("type"),
+        first(field == "name").alias("called"), first(field == "object", F.struct("text", "type")).alias("object"),
+        first(field == "arguments", "node_id").alias("arguments_id"),
+        F.max(F.when(part & (ord_ == 0) & (kind == TYPE_NAME), text)).alias("type_first"), F.max(F.when(part & (ord_ == 1), text)).alias("second"),
+    ).where(F.col("own").isNotNull())
+    of_file, listed = F.col("own.kind") == FILE, F.filter("parts", lambda part: part["type"] == NAME)
+    return found.select(
+        "file_id", "node_id", "own.*", F.when(of_file, _lines(PACKAGE)).alias("package"), F.when(of_file, _lines(IMPORT)).alias("imports"),
+        F.when(F.col("own.kind") == ARGUMENTS, listed).alias("arguments"), *found.columns[4:])
 
 
-def _member_key() -> list[Column]:
-    return [*_class_key(), F.col("member.node_id").alias("member_id")]
+def annotate(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """The things of all files, with the texts of classes and members and of the comment before a method.
+
+    Every fact below is a filter of this table, or an aggregate over it.  Write it
+    (:func:`unitloom.session.cut_lineage`) where several facts are wanted.
+    """
+    whole = F.col("kind").isin(CLASS, METHOD, CONSTRUCTOR)
+    return with_text(things(nodes, sources), sources, text=(F.when(whole, F.col("start_byte")), F.col("end_byte")),
+                     lead=(F.col("lead_start"), F.col("lead_end")))
 
 
-def unit_facts(annotated: DataFrame, nodes: DataFrame, sources: DataFrame,
+def unit_facts(annotated: DataFrame, nodes: DataFrame | None = None, sources: DataFrame | None = None,
                marker: str = TEST_MARKER) -> DataFrame:
     """Classes with name, modifiers, interfaces, header and text.
 
     The header runs from the start of the class to the end of its last constructor or
-    field, or is '' without one.
+    field, or is '' without one.  ``nodes`` is no longer read; ``sources`` gives project and path.
     """
-    kind = F.col("type")
-    below_class = F.col("parent_id") == F.col("cls.node_id")
-    itself = F.col("node_id") == F.col("cls.node_id")
-    parts = annotated.where(below_class | F.col("in_body") | itself).groupBy(*_class_key()).agg(
-        F.max(F.when(itself, F.col("text"))).alias("full_text"), F.max("cls.start_byte").alias("start"),
-        *_first_children({
-            "name_node": below_class & (kind == "identifier"),
-            "modifier_node": below_class & (kind == "modifiers"),
-            "interface_node": below_class & (kind == "super_interfaces"),
-        }),
-        F.max_by("end_byte", F.when(F.col("in_body") & kind.isin(CONSTRUCTOR, FIELD), F.col("ord"))).alias("header_end"),
-    )
-    header = node_text(utf8(F.col("full_text")), F.lit(0), F.col("header_end") - F.col("start"))
+    kind = F.col("kind")
+    classes = annotated.where(kind.isin(CLASS, FIELD, CONSTRUCTOR)).groupBy("file_id", "class_id").agg(
+        F.max(F.when(kind == CLASS, F.struct("text", "start_byte", "name", "modifiers", "interfaces"))).alias("c"),
+        F.max_by("end_byte", F.when(kind.isin(FIELD, CONSTRUCTOR), F.col("ord"))).alias("header_end"))
+    header = node_text(utf8(F.col("c.text")), F.lit(0), F.col("header_end") - F.col("c.start_byte"))
+    files = annotated.where(kind == FILE).select("file_id", "package", "imports")
     empty = F.lit("")
-    files = sources.select("file_id", "project", "path")
-    return (
-        parts.where(~F.col("full_text").contains(marker)).join(files, "file_id")
-        .join(file_facts(nodes, sources), "file_id", "left")
-        .select(
-            "file_id", "class_id", "project", F.coalesce("package", empty).alias("package"),
-            F.col("name_node.text").alias("class_identifier"),
-            F.coalesce("modifier_node.text", empty).alias("modifier"),
-            F.coalesce("interface_node.text", empty).alias("super_interfaces"), "full_text",
-            F.coalesce(header, empty).alias("header"), F.coalesce("imports", empty).alias("imports"),
-            F.col("path").alias("filepath"),
-        )
-    )
+    return classes.where(~F.col("c.text").contains(marker)).join(files, "file_id").join(sources.select("file_id", "project", "path"), "file_id").select(
+        "file_id", "class_id", "project", "package", F.col("c.name").alias("class_identifier"), F.coalesce("c.modifiers", empty).alias("modifier"),
+        F.coalesce("c.interfaces", empty).alias("super_interfaces"), F.col("c.text").alias("full_text"), F.coalesce(header, empty).alias("header"),
+        "imports", F.col("path").alias("filepath"))
+
+
+def _field() -> tuple[Column, Column]:
+    """Name and type of a field, first declarator only."""
+    return declarator_name(F.col("declarator")), F.coalesce("type_name", F.lit(UNKNOWN_TYPE))
 
 
 def field_facts(annotated: DataFrame) -> DataFrame:
     """Fields of a class: name and type, first declarator only."""
-    kind = F.col("type")
-    declaring = F.col("in_body") & (kind == FIELD)
-    near = annotated.where(declaring | kind.isin("type_identifier", "variable_declarator"))
-    found = look_back(near, field=(declaring, F.struct("node_id", "ord"))).where(F.col("parent_id") == F.col("field.node_id"))
-    parts = found.groupBy(*_class_key(), F.col("field.ord").alias("ord")).agg(*_first_children({
-        "type_node": kind == "type_identifier", "name_node": kind == "variable_declarator",
-    }))
-    return parts.select(
-        "file_id", "class_id", "ord", declarator_name(F.col("name_node.text")).alias("variable_identifier"),
-        F.coalesce("type_node.text", F.lit(UNKNOWN_TYPE)).alias("variable_type"),
-    )
+    name, type_ = _field()
+    return annotated.where(F.col("kind") == FIELD).select("file_id", "class_id", "ord", name.alias("variable_identifier"), type_.alias("variable_type"))
 
 
 def member_facts(annotated: DataFrame, kind: str = METHOD) -> DataFrame:
@@ -182,215 +198,161 @@ def member_facts(annotated: DataFrame, kind: str = METHOD) -> DataFrame:
 
     A method's text starts with the comment that stands just before it (W2).
     """
-    siblings = Window.partitionBy("file_id", "parent_id").orderBy("ord")
-    comment = F.lag(F.when(F.col("type").isin(*COMMENTS), F.col("text"))).over(siblings)
-    members = annotated.where(F.col("in_body")).withColumn("comment", comment).where(F.col("type") == kind)
-    own = F.col("parent_id") == F.col("member.node_id")
-    names = annotated.where(own & (F.col("type") == "identifier")).groupBy(*_member_key()).agg(
-        F.min_by("text", "ord").alias("identifier")
-    )
-    lead = F.col("comment") if kind == METHOD else F.lit(None).cast("string")
-    text = F.coalesce(F.concat(lead, F.lit("\n"), "text"), F.col("text"))
-    keyed = members.select(*_member_key(), "ord", text.alias("full_text"))
-    return keyed.join(names, ["file_id", "class_id", "member_id"]).select(
-        "file_id", "class_id", "member_id", "ord", "identifier", "full_text")
+    text = F.coalesce(F.concat("lead", F.lit("\n"), "text"), F.col("text"))
+    return annotated.where((F.col("kind") == kind) & F.col("name").isNotNull()).select(
+        "file_id", "class_id", "member_id", "ord", F.col("name").alias("identifier"), text.alias("full_text"))
 
 
 def parameter_facts(annotated: DataFrame) -> DataFrame:
     """Parameters whose first child is a plain type name (X6), for methods and constructors."""
-    kind = F.col("type")
-    near = annotated.where(kind.isin("formal_parameters", "formal_parameter") | F.col("ord").isin(0, 1))
-    own_list = (kind == "formal_parameters") & (F.col("parent_id") == F.col("member.node_id"))
-    listed = look_back(near, container=(own_list, F.col("node_id")))
-    own = (kind == "formal_parameter") & (F.col("parent_id") == F.col("container"))
-    found = look_back(listed, parameter=(own, F.struct("node_id", "ord"))).where(F.col("parent_id") == F.col("parameter.node_id"))
-    parts = found.groupBy(*_member_key(), F.col("parameter.ord").alias("ord")).agg(
-        F.max(F.when((F.col("ord") == 0) & (kind == "type_identifier"), F.col("text"))).alias("parameter_type"),
-        F.max(F.when(F.col("ord") == 1, F.col("text"))).alias("parameter_name"),
-    )
-    return parts.where(F.col("parameter_type").isNotNull()).select(
-        "file_id", "class_id", "member_id", "ord", "parameter_name", "parameter_type")
-
-
-def _body_of_member() -> Column:
-    """Whether a node is the member's body: a direct child of the right type."""
-    own = F.col("parent_id") == F.col("member.node_id")
-    method = (F.col("member.kind") == METHOD) & (F.col("type") == METHOD_BODY)
-    constructor = (F.col("member.kind") == CONSTRUCTOR) & (F.col("type") == CONSTRUCTOR_BODY)
-    return own & (method | constructor)
+    return annotated.where((F.col("kind") == PARAMETER) & F.col("type_first").isNotNull()).select(
+        "file_id", "class_id", "member_id", "ord", F.col("second").alias("parameter_name"), F.col("type_first").alias("parameter_type"))
 
 
 def created_types(annotated: DataFrame) -> DataFrame:
     """Classes created in a member's body, in order, repeats kept."""
-    near = annotated.where(F.col("type").isin(CREATION, METHOD_BODY, CONSTRUCTOR_BODY))
-    inside = enclosing(near, own_body=(_body_of_member(), F.struct("last_desc_id")))
-    made = inside.where((F.col("type") == CREATION) & F.col("own_body").isNotNull() & F.col("first_type").isNotNull())
-    return made.select(*_member_key(), F.col("node_id").alias("ord"), F.col("first_type").alias("created_type"))
-
-
-def _in_block() -> Column:
-    return F.col("node_id").between(F.col("block.node_id"), F.col("block.last_desc_id"))
+    return annotated.where(F.col("kind") == CREATION).select(
+        "file_id", "class_id", "member_id", F.col("node_id").alias("ord"), F.col("created").alias("created_type"))
 
 
 def local_facts(annotated: DataFrame) -> DataFrame:
     """Local variables of a method: name and type, the last declaration wins."""
-    declared = annotated.where((F.col("type") == LOCAL) & (F.col("member.kind") == METHOD) & _in_block()).select(
-        *_member_key(), "node_id", F.col("first_name").alias("name")
-    )
-    types = annotated.where((F.col("field_name") == "type") & F.col("member.node_id").isNotNull()).groupBy(
-        "file_id", F.col("parent_id").alias("node_id")
-    ).agg(F.min_by("text", "ord").alias("variable_type"))
-    keyed = declared.join(types, ["file_id", "node_id"])
-    return last_wins(keyed, ["file_id", "class_id", "member_id", "name"], "variable_type", ["node_id"], "variable_type")
+    declared = annotated.where((F.col("kind") == LOCAL) & F.col("type").isNotNull()).withColumnRenamed("declared", "_name")
+    return last_wins(declared, ["file_id", "class_id", "member_id", "_name"], "type", ["node_id"], "variable_type").withColumnRenamed("_name", "name")
 
 
 def call_sites(annotated: DataFrame) -> DataFrame:
     """Calls in a method's body with the text and type of their receiver."""
-    sites = annotated.where((F.col("type") == CALL) & (F.col("member.kind") == METHOD) & _in_block())
-    field = F.col("field_name")
-    fields = annotated.where(field.isin("name", "object", "arguments") & (F.col("member.kind") == METHOD))
-    parts = fields.groupBy("file_id", F.col("parent_id").alias("node_id")).agg(*_first_children({
-        "name_node": field == "name", "object_node": field == "object", "argument_node": field == "arguments",
-    }))
-    keyed = sites.select(*_member_key(), "node_id").join(parts, ["file_id", "node_id"])
-    return keyed.select(
-        "file_id", "class_id", "member_id", "node_id", F.col("name_node.text").alias("method_name"),
-        F.coalesce("object_node.text", F.lit(ITSELF)).alias("object_text"),
-        F.col("object_node.type").alias("object_type"), F.col("argument_node.node_id").alias("arguments_id"),
-    )
+    return annotated.where(F.col("kind") == CALL).select(
+        "file_id", "class_id", "member_id", "node_id", F.col("called").alias("method_name"),
+        F.coalesce("object.text", F.lit(ITSELF)).alias("object_text"), F.col("object.type").alias("object_type"), "arguments_id")
 
 
-def call_facts(annotated: DataFrame) -> DataFrame:
-    """Calls with resolved receiver and the types of known arguments.
+def _resolved(rows: DataFrame) -> DataFrame:
+    """Things with their names resolved; a call has ``method_class`` and ``argument_types``.
 
-    A receiver is a local variable, else a parameter, else a field written as field
-    access, else the class itself; otherwise its own text stands.
+    A receiver is a local variable, else a parameter, else a field written as field access, else the
+    class itself; otherwise its own text stands.  Arguments that are local variables have types.  Each
+    name meets its declarations in a window over its scope, so a name is looked up once however often
+    it is declared or used.  A parameter gets ``first`` (whether its name is new) and ``last_type``.
     """
-    member = ["file_id", "class_id", "member_id"]
-    variables = local_facts(annotated).select(*member, "name", F.col("variable_type").alias("value"))
-    parameters = last_wins(
-        parameter_facts(annotated).withColumnRenamed("parameter_name", "name"), [*member, "name"], "parameter_type", ["ord"],
-    )
-    fields = field_facts(annotated).groupBy("file_id", "class_id", F.col("variable_identifier").alias("name")).agg(
-        F.min_by("variable_type", "ord").alias("value")
-    )
-    named = annotated.where((F.col("parent_id") == F.col("cls.node_id")) & (F.col("type") == "identifier"))
-    itself = named.groupBy(*_class_key()).agg(F.min_by("text", "ord").alias("value")).withColumn("name", F.lit(ITSELF))
-    resolved = resolve_cascade(
-        call_sites(annotated), F.col("object_text"),
-        [
-            (variables, member, None, None),
-            (parameters, member, None, None),
-            (fields, ["file_id", "class_id"], F.replace(F.col("object_text"), F.lit(FIELD_PREFIX), F.lit("")),
-             F.col("object_type") == "field_access"),
-            (itself, ["file_id", "class_id"], None, None),
-        ],
-        F.col("object_text"), "method_class",
-    )
-    typed = resolved.join(argument_types(annotated, variables), ["file_id", "arguments_id"], "left")
-    none = F.array().cast("array<string>")
-    return typed.select(
-        *member, F.col("node_id").alias("ord"), "method_name", "method_class",
-        F.coalesce("argument_types", none).alias("argument_types"),
-    )
+    kind = F.col("kind")
+    rows = rows.withColumn("argument", F.explode_outer("arguments")).where((kind != ARGUMENTS) | F.col("argument").isNotNull())
+    object_text, is_field = F.coalesce("object.text", F.lit(ITSELF)), F.col("object.type") == FIELD_ACCESS
+    parameter = (kind == PARAMETER) & F.col("type_first").isNotNull()
+    field_name, field_type = _field()
+    # names below a member, and names of the class's own: fields, and the class as `this`
+    name = (F.when(kind == LOCAL, F.col("declared")).when(kind == CALL, object_text).when(parameter, F.col("second"))
+            .when(kind == ARGUMENTS, F.col("argument.text")))
+    own_name = (F.when(kind == FIELD, F.concat(F.lit("."), field_name)).when(kind == CLASS, F.lit(ITSELF))
+                .when((kind == CALL) & is_field, F.concat(F.lit("."), F.replace(object_text, F.lit(FIELD_PREFIX), F.lit(""))))
+                .when((kind == CALL) & (object_text == ITSELF), F.lit(ITSELF)))
+    in_member = Window.partitionBy("file_id", "class_id", "member_id", "_name")
+    in_class = Window.partitionBy("file_id", "class_id", "_own_name")
+    found = rows.withColumns({"_name": name, "_own_name": own_name}).withColumns({
+        "_local": F.max_by("type", F.when((kind == LOCAL) & F.col("type").isNotNull(), F.col("node_id"))).over(in_member),
+        "last_type": F.max_by("type_first", F.when(parameter, F.col("ord"))).over(in_member),
+        "_first": F.min(F.when(parameter, F.col("ord"))).over(in_member),
+    }).withColumn("_member", F.coalesce(
+        F.min_by(field_type, F.when(kind == FIELD, F.col("ord"))).over(in_class), F.max(F.when(kind == CLASS, F.col("name"))).over(in_class)))
+    found = found.withColumns({
+        "first": parameter & (F.col("ord") == F.col("_first")),
+        "method_class": F.when(kind == CALL, F.coalesce("_local", "last_type", "_member", object_text)),
+        "_argument": F.when((kind == ARGUMENTS) & F.col("_local").isNotNull(), F.struct(F.col("argument.ord").alias("ord"), F.col("_local").alias("type"))),
+    })
+    kept = [column for column in rows.columns if column not in ("file_id", "argument", "arguments")] + ["last_type", "first", "method_class"]
+    # an argument list is told to its call
+    home = F.when(kind == ARGUMENTS, F.col("parent_id")).otherwise(F.col("node_id")).alias("_home")
+    return found.groupBy("file_id", home).agg(
+        F.first(F.when(kind != ARGUMENTS, F.struct(*kept)), ignorenulls=True).alias("own"),
+        F.sort_array(F.collect_list("_argument"))["type"].alias("argument_types"),
+    ).where(F.col("own").isNotNull()).select("file_id", "own.*", "argument_types")
 
 
-def argument_types(annotated: DataFrame, variables: DataFrame) -> DataFrame:
-    """Types of a call's arguments that are local variables, in order."""
-    in_method = F.col("member.kind") == METHOD
-    lists = annotated.where((F.col("field_name") == "arguments") & in_method).select(
-        "file_id", F.col("node_id").alias("arguments_id"))
-    names = annotated.where((F.col("type") == "identifier") & in_method).select(
-        *_member_key(), F.col("parent_id").alias("arguments_id"), "ord", F.col("text").alias("name")
-    ).join(lists, ["file_id", "arguments_id"], "left_semi")
-    known = names.join(variables, ["file_id", "class_id", "member_id", "name"])
-    gathered = F.sort_array(F.collect_list(F.struct("ord", "value")))
-    return known.groupBy("file_id", "arguments_id").agg(gathered["value"].alias("argument_types"))
+def call_facts(annotated: DataFrame) -> DataFrame:
+    """Calls with resolved receiver and the types of known arguments (X9, J7, J8); one shuffle, by file."""
+    used = annotated.where(F.col("kind").isin(CLASS, FIELD, PARAMETER, LOCAL, CALL, ARGUMENTS)).drop("text", "lead")
+    return _resolved(used.repartition("file_id")).where(F.col("kind") == CALL).select(
+        "file_id", "class_id", "member_id", F.col("node_id").alias("ord"), F.col("called").alias("method_name"), "method_class", "argument_types")
 
 
 def constructor_facts(annotated: DataFrame) -> DataFrame:
     """Constructors: name, parameter types, created classes, text."""
-    key = ["file_id", "class_id", "member_id"]
-    made = member_facts(annotated, CONSTRUCTOR)
-    return made.join(_listed(parameter_facts(annotated), "parameter_type", "parameter_types"), key, "left").join(
-        _listed(created_types(annotated), "created_type", "related_classes"), key, "left"
-    ).select(
-        *key, "ord", "identifier", _or_empty("parameter_types"), _or_empty("related_classes"), "full_text"
-    )
-
+    kind = F.col("kind")
+    text = F.when(kind == CONSTRUCTOR, F.struct("ord", "name", "text"))
+    found = annotated.where(kind.isin(CONSTRUCTOR, PARAMETER, CREATION)).groupBy("file_id", "class_id", "member_id").agg(
+        F.first(text, ignorenulls=True).alias("own"), _listed(PARAMETER, "ord", "type_first").alias("parameter_types"),
+        _listed(CREATION, "node_id", "created").alias("related_classes"))
+    return found.where(F.col("own.name").isNotNull()).select(
+        "file_id", "class_id", "member_id", "own.ord", F.col("own.name").alias("identifier"), "parameter_types", "related_classes",
+        F.col("own.text").alias("full_text"))
 
-def _listed(rows: DataFrame, value: str, name: str) -> DataFrame:
-    gathered = F.sort_array(F.collect_list(F.struct("ord", value)))
-    return rows.groupBy("file_id", "class_id", "member_id").agg(gathered[value].alias(name))
 
-
-def _or_empty(name: str) -> Column:
-    return F.coalesce(F.col(name), F.array().cast("array<string>")).alias(name)
+def _listed(kind: str, order: str, value: str) -> Column:
+    """Values of a kind of thing in order, nulls left out."""
+    item = F.when((F.col("kind") == kind) & F.col(value).isNotNull(), F.struct(F.col(order).alias("ord"), F.col(value).alias("value")))
+    return F.sort_array(F.collect_list(item))["value"]
 
 
 def class_records(nodes: DataFrame, sources: DataFrame, marker: str = TEST_MARKER,
                   annotated: DataFrame | None = None) -> DataFrame:
-    """One row per class: (project, class_record, methods), in the shape of the JSON records.
+    """One row per class: (project, class_record, methods), in the shape of the JSON records.
 
-    ``sources`` is (file_id, project, path, content).  A dozen facts are read from the
-    annotated nodes, so these are written once, unless given as ``annotated``.
+    ``sources`` is (file_id, project, path, content).  Nodes, and the sources, are shuffled by file and not
+    again; no step in between is written.  ``annotated`` gives things that are stored already.
     """
     ready = prepare_sources(sources)
-    placed = cut_lineage(annotate(nodes, ready), "annotated") if annotated is None else annotated
-    key, member = ["file_id", "class_id"], ["file_id", "class_id", "member_id"]
-    units = unit_facts(placed, nodes, ready, marker)
-    parameters = parameter_facts(placed)
-
-    def by_class(rows: DataFrame, name: str, **fields: str) -> DataFrame:
-        record = F.struct("ord", F.struct(*[F.col(old).alias(new) for new, old in fields.items()]).alias("record"))
-        in_order = F.array_sort(F.collect_list(record), lambda a, b: a["ord"] - b["ord"])
-        return rows.groupBy(*key).agg(in_order["record"].alias(name))
-
-    def by_member(rows: DataFrame, name: str, value: Column) -> DataFrame:
-        gathered = F.sort_array(F.collect_list(F.struct("ord", value.alias("value"))))["value"]
-        return rows.groupBy(*member).agg(gathered.alias(name))
-
-    # a name keeps its first place and its last type; the map keeps the order of its entries
-    last = parameters.groupBy(*member, "parameter_name").agg(
-        F.min("ord").alias("first"), F.max_by("parameter_type", "ord").alias("parameter_type"))
-    in_order = F.sort_array(F.collect_list(F.struct("first", "parameter_name", "parameter_type")))
-    parameter_map = last.groupBy(*member).agg(F.map_from_entries(
-        F.transform(in_order, lambda p: F.struct(p["parameter_name"], p["parameter_type"]))).alias("parameter_map"))
-    call = F.struct("method_name", "method_class", "argument_types")
-    members = member_facts(placed)
-    for rows in (
-        by_member(parameters, "parameter_types", F.col("parameter_type")), parameter_map,
-        by_member(created_types(placed), "related_classes", F.col("created_type")),
-        by_member(call_facts(placed), "related_methods", call),
-    ):
-        members = members.join(rows, member, "left")
-    no_calls = F.array().cast("array<struct<method_name:string,method_class:string,argument_types:array<string>>>")
-    members = members.select(
-        *member, "ord", "identifier", "full_text", _or_empty("parameter_types"), _or_empty("related_classes"),
-        F.coalesce("parameter_map", F.create_map().cast("map<string,string>")).alias("parameter_map"),
-        F.coalesce("related_methods", no_calls).alias("related_methods"),
-    )
-    members = members.join(units.select(*key, "class_identifier", "filepath"), key)
-    gathered = (
-        (by_class(members, "methods", method_identifier="identifier", method_parameter_types="parameter_map",
-                  method_full_text="full_text", class_identifier="class_identifier", filepath="filepath",
-                  related_classes="related_classes", related_methods="related_methods"), METHOD_LIST, "methods"),
-        (by_class(members, "class_methods", method_identifier="identifier", method_parameter_types="parameter_types"),
-         SIGNATURE_LIST, "class_methods"),
-        (by_class(constructor_facts(placed), "class_constructors", constructor_identifier="identifier",
-                  constructor_parameter_types="parameter_types", related_classes="related_classes",
-                  constructor_full_text="full_text"), CONSTRUCTOR_LIST, "class_constructors"),
-        (by_class(field_facts(placed), "class_variable_declarations",
-                  variable_identifier="variable_identifier", variable_type="variable_type"),
-         VARIABLE_LIST, "class_variable_declarations"),
+    rows = things(nodes, ready) if annotated is None else annotated.drop("text", "lead").repartition("file_id")
+    kind = F.col("kind")
+    span = [F.col(name) for name in ("start_byte", "end_byte", "lead_start", "lead_end")]
+
+    # a member with its parts; what stands right in a class, or in a file, has no member
+    call = F.struct("node_id", F.struct(F.col("called").alias("method_name"), "method_class", "argument_types").alias("call"))
+    field_name, field_type = _field()
+    members = _resolved(rows).groupBy("file_id", "class_id", "member_id").agg(
+        F.first(F.when(kind.isin(METHOD, CONSTRUCTOR), F.struct("ord", "kind", "name", *span)), ignorenulls=True).alias("own"),
+        _listed(PARAMETER, "ord", "type_first").alias("types"), _listed(CREATION, "node_id", "created").alias("created"),
+        # a name keeps its first place and its last type
+        F.sort_array(F.collect_list(F.when(F.col("first"), F.struct("ord", F.col("second").alias("name"), F.col("last_type").alias("type"))))).alias("parameters"),
+        F.sort_array(F.collect_list(F.when(kind == CALL, call)))["call"].alias("calls"),
+        F.sort_array(F.collect_list(F.when(kind == FIELD, F.struct("ord", field_name.alias("name"), field_type.alias("type"))))).alias("fields"),
+        F.first(F.when(kind == CLASS, F.struct("name", "modifiers", "interfaces", *span[:2])), ignorenulls=True).alias("cls"),
+        F.max(F.when(kind.isin(FIELD, CONSTRUCTOR), F.struct("ord", "end_byte"))).alias("header"), F.max("package").alias("package"),
+        F.max("imports").alias("imports"),
     )
-    out = units
-    for rows, kind, name in gathered:
-        out = out.join(rows, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
+    # a class with its members
+    whole = F.struct(*[F.col(f"own.{name}") for name in ("ord", "name", "start_byte", "end_byte", "lead_start", "lead_end")],
+                     "types", "created", "parameters", "calls")
+
+    def in_order(kind: str) -> Column:
+        return F.sort_array(F.collect_list(F.when((F.col("own.kind") == kind) & F.col("own.name").isNotNull(), whole)))
+
+    in_file = Window.partitionBy("file_id")
+    classes = members.groupBy("file_id", "class_id").agg(
+        in_order(METHOD).alias("members"), in_order(CONSTRUCTOR).alias("constructors"), F.first("cls", ignorenulls=True).alias("cls"),
+        F.max("header").alias("header"), F.first(F.when(F.col("member_id").isNull(), F.col("fields")), ignorenulls=True).alias("fields"),
+        F.max("package").alias("package"), F.max("imports").alias("imports"),
+    ).withColumns({"package": F.max("package").over(in_file), "imports": F.max("imports").over(in_file)})
+
+    # texts come last
+    def cut(start: Column, end: Column) -> Column:
+        return node_text(F.col("content_bytes"), start, end)
+
+    def text(member: Column) -> Column:
+        own = cut(member["start_byte"], member["end_byte"])
+        return F.coalesce(F.concat(cut(member["lead_start"], member["lead_end"]), F.lit("\n"), own), own)
+
+    name, empty = F.col("cls.name"), F.lit("")
+    methods = F.transform("members", lambda m: F.struct(
+        m["name"], F.map_from_entries(F.transform(m["parameters"], lambda p: F.struct(p["name"], p["type"]))), text(m), name, F.col("path"),
+        m["created"], m["calls"])).cast(METHOD_LIST)
     record = F.struct(
-        "filepath", "class_identifier", F.col("modifier").alias("class_modifier"),
-        F.col("super_interfaces").alias("class_super_interfaces"), "class_constructors",
-        F.col("header").alias("class_header"), F.col("full_text").alias("class_full_text"), "class_methods",
-        "class_variable_declarations", "imports", "package",
-    )
-    return out.select("project", record.alias("class_record"), "methods")
+        F.col("path"), name, F.coalesce("cls.modifiers", empty), F.coalesce("cls.interfaces", empty),
+        F.transform("constructors", lambda m: F.struct(m["name"], m["types"], m["created"], text(m))),
+        F.coalesce(cut(F.col("cls.start_byte"), F.col("header.end_byte")), empty), F.col("full_text"),
+        F.transform("members", lambda m: F.struct(m["name"], m["types"])), F.transform("fields", lambda f: F.struct(f["name"], f["type"])),
+        F.col("imports"), F.col("package"),
+    ).cast(CLASS_RECORD)
+    met = classes.where(F.col("cls").isNotNull()).join(ready, "file_id")
+    met = met.withColumn("full_text", cut(F.col("cls.start_byte"), F.col("cls.end_byte"))).where(~F.col("full_text").contains(marker))
+    return met.select("project", record.alias("class_record"), methods.alias("methods"))
