@@ -40,6 +40,33 @@ def test_previous_across_slices(spark):
         assert row.t == (f"{row.k - 1}\n{row.k}" if row.k % 2 else str(row.k))
 
 
+def test_no_text_is_range_partitioned(spark, monkeypatch):
+    """Only keys are dealt by range; texts meet their numbers by hash of the whole key."""
+    written, real = [], ordered.cut_lineage
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df, label="step": written.append(df) or real(df, label))
+    df = hot_rows(spark).withColumn("t", F.col("k").cast("string"))
+    lines = ordered.ordered_lines(df, ["g"], F.col("t"), ["k"])
+    led = ordered.attach_previous(df, ["g"], ["k"], "t", F.col("k") % 2 == 0)
+    assert lines.columns == ["g", "position", "text"]
+    assert {(r.g, r.position): r.text for r in lines.where("g = 'hot'").collect()} == {("hot", i + 1): str(i) for i in range(4000)}
+    ranged = [frame for frame in written if "rangepartitioning" in frame._jdf.queryExecution().executedPlan().toString()]
+    assert len(ranged) == 2 and all(set(frame.columns) == {"g", "k", "_slice", "_row"} for frame in ranged)
+    for made in (lines, led):
+        assert "rangepartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_keys_and_texts_are_placed(spark):
+    rows = [(None, None, "a", True), (None, 1, None, True), (None, 2, "c", None), ("g", None, "d", True), ("g", 5, "e", False), ("g", 6, "f", True)]
+    df = spark.createDataFrame(rows, "g string, k int, t string, take boolean")
+    placed = {(r.g, r.k): (r.position, r.t) for r in ordered.positions(df, ["g"], ["k"]).collect()}
+    assert placed == {(None, None): (1, "a"), (None, 1): (2, None), (None, 2): (3, "c"), ("g", None): (1, "d"), ("g", 5): (2, "e"), ("g", 6): (3, "f")}
+    led = {(r.g, r.k): r.t for r in ordered.attach_previous(df, ["g"], ["k"], "t", F.col("take")).collect()}
+    assert led == {(None, None): "a", (None, 1): None, (None, 2): "c", ("g", None): "d", ("g", 5): "d\ne", ("g", 6): "f"}
+    empty = df.where("false")
+    assert ordered.positions(empty, ["g"], ["k"]).count() == 0 and ordered.attach_previous(empty, ["g"], ["k"], "t", F.col("take")).count() == 0
+    assert [r.position for r in ordered.positions(df.select("t"), [], ["t"]).orderBy("position").collect()] == [1, 2, 3, 4, 5, 6]
+
+
 def test_wins(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, o int, v string")
     assert {r.k: r.value for r in ordered.last_wins(df, ["k"], "v", ["o"]).collect()} == {"a": "y", "b": "z"}

@@ -9,7 +9,7 @@ from unitloom.functions.templates import (
     token_parts,
 )
 from unitloom.functions.tokens import TokenCounter, choose_level, count_tokens, token_count
-from unitloom.operators.ordered import ordered_parts
+from unitloom.operators.ordered import ordered_lines, ordered_parts
 from unitloom.session import cut_lineage
 
 RELATED = ("related_methods", "related_classes")
@@ -23,14 +23,20 @@ _VALUE_COLUMNS = {
 }
 
 
+def block_rows(edges: DataFrame, key: list[str], order: list[str], text: Column, title: Column | None = None,
+               language: str = LANGUAGE, name: str = "block") -> DataFrame:
+    """Fenced blocks of each key's related code as rows (key, position, block), for keys with any number (A4, F8)."""
+    return ordered_lines(edges, key, code_block(text, title, language), order, name)
+
+
 def render_blocks(edges: DataFrame, key: list[str], order: list[str], text: Column, title: Column | None = None,
-                  language: str = LANGUAGE, name: str = "blocks", rows_per_part: int = 100_000) -> DataFrame:
-    """Fenced blocks of each key's related code, in order (A4, F8).
+                  language: str = LANGUAGE, name: str = "blocks", *, rows_per_part: int) -> DataFrame:
+    """Fenced blocks of each key's related code, in order, ``rows_per_part`` blocks a row (A4, F8).
 
-    Gives (key, part, blocks); a key with more than ``rows_per_part`` blocks has several
-    parts.  Keys without related code have no row: see :func:`or_no_relations`.
+    Gives (key, part, blocks).  Keys without related code have no row: see :func:`or_no_relations`; see
+    :func:`block_rows` for a row per block.
     """
-    return ordered_parts(edges, key, code_block(text, title, language), order, "", name, rows_per_part)
+    return ordered_parts(edges, key, code_block(text, title, language), order, "", name, rows_per_part=rows_per_part)
 
 
 def or_no_relations(blocks: Column) -> Column:
