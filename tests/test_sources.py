@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from unitloom.sources import events, files, records, tables
+from unitloom.sources import events, files, listing, records, tables
 
 CONTENT = "class A {\n  // ü\n}\n"
 
@@ -30,6 +30,33 @@ def test_scan(spark, corpus):
     assert counts == {"p1": 2, "p 3+x": 1}
 
 
+def test_every_name_is_listed(spark, tmp_path):
+    """Names that Spark's reader hides, folders passed on over several rounds, and files of any bytes."""
+    wanted = {}
+    for i in range(40):
+        for path in (f"p{i % 3}/_u/.h/d{i}/A{i}.java", f"p{i % 3}/_u/.h/d{i}/e/.B{i}.java", f"p{i % 3}/_C{i}.java"):
+            (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / path).write_text(f"{path} ü" * (i % 4))
+            wanted[path] = f"{path} ü" * (i % 4)
+    (tmp_path / "p1/notes.txt").write_text("no")
+    (tmp_path / "empty/below").mkdir(parents=True)
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}/"):
+        found = listing.list_files(spark, root, "*.java", folders_per_task=7)
+        assert {(r.path, r.size) for r in found.collect()} == {(path, len(text.encode())) for path, text in wanted.items()}
+    rows = listing.read_files(found.withColumn("mark", F.lit(1)), str(tmp_path), bytes_per_task=100).collect()
+    assert {r.path: r.content for r in rows} == wanted and {r.mark for r in rows} == {1}
+    assert listing.list_files(spark, str(tmp_path / "empty")).count() == 0
+    assert listing.read_files(listing.list_files(spark, str(tmp_path / "empty")), str(tmp_path)).count() == 0
+
+
+def test_files_are_written_whole(spark, tmp_path):
+    rows = [("a/_b/.c", "x" * 100_000), ("a/d e+%20.txt", "ü"), ("f", None)]
+    df = spark.createDataFrame(rows, "path string, content string")
+    for _ in range(2):
+        assert listing.write_files(df, f"{tmp_path}/out") == 3
+    assert {(r.path, r.content) for r in files.scan_sources(spark, f"{tmp_path}/out", "*").collect()} == {(p, c or "") for p, c in rows}
+
+
 def test_scan_failures(spark, corpus):
     with pytest.raises(Exception):
         files.scan_sources(spark, corpus + "/none").count()

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from unitloom.proofs.registry import proof, table
 from unitloom.session import shared_folder
 from unitloom.sources.events import read_events, write_events
+from unitloom.sources.files import project_sources
+from unitloom.sources.listing import write_files
 from unitloom.sources.records import CLASS_RECORD, METHOD_RECORD, read_facts_json, write_facts_json
 from unitloom.sources.tables import FACT_TABLES, read_fact_tables, route_by_outcome, write_artifacts, write_fact_tables
 
@@ -99,3 +101,17 @@ def outcomes_on_disk(spark, folder):
     outcome = F.when(status == "F", "passed").when(status == "O", "compile_error").otherwise("other_error")
     route_by_outcome(table(spark, folder, "orders").select(F.col("o_orderkey").alias("method_id"), outcome.alias("outcome")), path)
     return spark.read.parquet(path).select("method_id", "outcome")
+
+
+@proof("""
+    select source as project, md5(coalesce(text, '')) as content, source || '/_' || lang || '/.hidden/' || (doc_id % 7) || '/_' || doc_id || '.java' as path
+    from documents where doc_id % 4 <> 1 and doc_id % 5 <> 2
+""")
+def scanned_files(spark, folder):
+    """Documents as files, some in folders or with names that are no sources, written and scanned."""
+    root, doc = place(spark), F.col("doc_id")
+    named = F.concat(F.when(doc % 4 == 1, "Test").otherwise("_"), "doc_id", F.lit(".java"))
+    below = F.when(doc % 5 == 2, "test").otherwise((doc % 7).cast("string"))
+    path = F.concat_ws("/", "source", F.concat(F.lit("_"), "lang"), F.lit(".hidden"), below, named)
+    write_files(table(spark, folder, "documents").select(path.alias("path"), F.col("text").alias("content")), root)
+    return project_sources(spark, root).select("project", "path", F.md5("content").alias("content"))

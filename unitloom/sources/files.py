@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from unitloom.sources.listing import list_files, read_files
+
 # Which files count as sources.
 SOURCE_SUFFIX = ".java"
 TEST_NAME_MARKER = "Test"
@@ -25,23 +25,11 @@ def path_filter(path: Column, suffix: str = SOURCE_SUFFIX, name_marker: str = TE
 
 
 def scan_sources(spark: SparkSession, root: str, glob: str = "*" + SOURCE_SUFFIX) -> DataFrame:
-    """Every file below ``root`` as (path, content), path relative to root.
+    """Every file below ``root`` as (path, content), path relative to root, names with `_` or `.` in front too.
 
-    A missing root is an error of the reader (S3).
+    Folders are listed and files read in tasks, see :mod:`unitloom.sources.listing`.  A missing root is an error (S3).
     """
-    files = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-        .text(root, wholetext=True)
-    )
-    # file_path is a URI: percent-encoded, and with a scheme before the path
-    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return files.select(_relative(full, root).alias("path"), F.col("value").alias("content"))
-
-
-def _relative(full: Column, root: str) -> Column:
-    stem = (root.split("://")[-1] if "://" in root else os.path.abspath(root)).rstrip("/") + "/"
-    after = F.locate(stem, full) + len(stem)
-    return F.substring(full, after, F.length(full))
+    return read_files(list_files(spark, root, glob), root)
 
 
 def with_project(files: DataFrame) -> DataFrame:
@@ -72,6 +60,9 @@ def require_groups(expected: DataFrame, found: DataFrame, key: str) -> None:
 
 
 def project_sources(spark: SparkSession, root: str, glob: str = "*" + SOURCE_SUFFIX) -> DataFrame:
-    """Sources of all projects below ``root`` as (project, path, content)."""
-    files = with_project(scan_sources(spark, root, glob))
-    return files.where(path_filter(F.col("path")))
+    """Sources of all projects below ``root`` as (project, path, content).
+
+    Paths are chosen first, so no other file is read.
+    """
+    paths = with_project(list_files(spark, root, glob)).where(path_filter(F.col("path")))
+    return read_files(paths, root).select("path", "content", "project")
