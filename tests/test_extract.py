@@ -145,3 +145,25 @@ def test_one_shuffle_of_nodes(facts, capsys):
     X.member_facts(placed).explain()
     plan = capsys.readouterr().out
     assert plan.count("NestedLoop") == 0 and plan.count("CartesianProduct") == 0
+
+
+def test_records_shuffle_nodes_once(spark, facts):
+    """Nodes and sources are placed by file; no later step, and no text of a node, is shuffled."""
+    sources, nodes, _, _ = facts
+    stored = [frame.sparkSession.createDataFrame(frame.collect(), frame.schema) for frame in (sources, nodes)]
+    made = X.class_records(stored[1], stored[0])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert all("hashpartitioning(file_id" in line for line in exchanges)
+    # one of the nodes, and one of the sources at each of the two joins that cut texts
+    assert len(exchanges) == 3 and "Exchange SinglePartition" not in plan
+    found = {row.class_record.class_identifier: row for row in made.collect()}
+    assert [m.method_identifier for m in found["Alpha"].methods] == ["run", "abs", "after"]
+    assert found["Alpha"].methods[0].method_full_text.startswith("/* adds ü */\npublic Result run(")
+    assert found["Alpha"].class_record.imports == "import x.Y;\nimport x.Z;"
+
+
+def test_call_facts_shuffle_once_at_most(facts):
+    _, _, _, placed = facts
+    plan = X.call_facts(placed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("InMemoryTableScan")[0].count("Exchange hashpartitioning") <= 1

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from unitloom.functions.text import declarator_name, node_text, utf8
 from unitloom.operators.filters import TEST_MARKER
-from unitloom.operators.nodes import enclosing, first_below, look_back, node_struct, with_text
+from unitloom.operators.nodes import with_text
 from unitloom.operators.ordered import last_wins
 from unitloom.sources.records import CLASS_RECORD, METHOD_RECORD
 
@@ -37,6 +37,14 @@ ITSELF, FIELD_PREFIX = "this", "this."
 #: Kinds of things beside those named by a node type above.
 FILE, ARGUMENTS = "file", "arguments"
 
+#: Node types and kinds as numbers from 1, and fields likewise.
+CODES = {name: number for number, name in enumerate((
+    FILE, CLASS, BODY, METHOD, CONSTRUCTOR, FIELD, *COMMENTS, METHOD_BODY, CONSTRUCTOR_BODY, CREATION, LOCAL, CALL, IMPORT, PACKAGE, PARAMETERS,
+    PARAMETER, NAME, TYPE_NAME, DECLARATOR, MODIFIERS, INTERFACES, FIELD_ACCESS, ARGUMENTS), 1)}
+FIELDS = {name: number for number, name in enumerate(("type", "name", "object", "arguments"), 1)}
+#: In place of a span or block: there is none; the member is a constructor.
+NOTHING, CONSTRUCTED = -1, -2
+
 METHOD_LIST = f"array<{METHOD_RECORD}>"
 
 
@@ -50,105 +58,154 @@ def top_units(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("parent_id") == 0) & (F.col("type") == CLASS))
 
 
+def _packed(high: Column, low: Column) -> Column:
+    """Two numbers as one, so that a window carries a number and not a struct."""
+    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
+
+
+def _high(pair: Column) -> Column:
+    return F.shiftright(pair, 32).cast("int")
+
+
+def _low(pair: Column) -> Column:
+    return pair.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def _is(*kinds: str, name: str = "type") -> Column:
+    return F.col(name).isin([CODES[kind] for kind in kinds])
+
+
+def _last(condition: Column, value: Column, window) -> Column:
+    return F.last(F.when(condition, value), ignorenulls=True).over(window)
+
+
 def _any(*conditions: Column) -> Column:
     """Whether one of the conditions holds; an unknown one does not."""
     return reduce(lambda a, b: a | b, [F.coalesce(condition, F.lit(False)) for condition in conditions])
 
 
+def _coded(nodes: DataFrame) -> DataFrame:
+    """Named nodes as numbers only; types and fields that no rule names are 0."""
+    def code(column: str, names: dict[str, int]) -> Column:
+        return F.coalesce(*[F.when(F.col(column) == name, number) for name, number in names.items()], F.lit(0)).cast("short")
+
+    return nodes.where(F.col("is_named")).select(
+        "file_id", "node_id", "last_desc_id", "parent_id", "ord", code("type", CODES).alias("type"), code("field_name", FIELDS).alias("field"),
+        _packed(F.col("start_byte"), F.col("end_byte")).alias("span"))
+
+
 def _placed(nodes: DataFrame) -> DataFrame:
-    """Named nodes with their class, member, body, parameter and what comes first below them."""
-    kind, span = F.col("type"), F.struct("node_id", "start_byte", "end_byte")
-    out = nodes.where(F.col("is_named")).drop("is_named")
-    # looking ahead: one sort by descending id
-    out = first_below(out, block=(kind == METHOD_BODY, F.struct("node_id", "last_desc_id")),
-                      first_type=(kind == TYPE_NAME, span), first_identifier=(kind == NAME, span))
-    declared = F.struct("node_id", F.when(F.col("first_identifier.node_id") <= F.col("last_desc_id"), F.col("first_identifier")).alias("name"))
-    out = first_below(out, first_declarator=(kind == DECLARATOR, declared)).drop("first_identifier")
-    # looking back: one sort by ascending id
-    out = enclosing(out, cls=((F.col("parent_id") == 0) & (kind == CLASS), node_struct()))
-    out = look_back(out, body_id=((kind == BODY) & (F.col("parent_id") == F.col("cls.node_id")), F.col("node_id")))
-    out = out.withColumn("in_body", F.coalesce(F.col("parent_id") == F.col("body_id"), F.lit(False))).drop("body_id")
-    out = enclosing(out, member=(F.col("in_body") & kind.isin(METHOD, CONSTRUCTOR), F.struct("node_id", "last_desc_id", kind.alias("kind"), "block")))
-    own = F.col("parent_id") == F.col("member.node_id")
-    body = ((F.col("member.kind") == METHOD) & (kind == METHOD_BODY)) | ((F.col("member.kind") == CONSTRUCTOR) & (kind == CONSTRUCTOR_BODY))
-    out = enclosing(out, own_body=(own & body, F.struct("last_desc_id")))
-    out = look_back(out, list_id=(own & (kind == PARAMETERS), F.col("node_id")))
-    out = look_back(out, parameter_id=((kind == PARAMETER) & (F.col("parent_id") == F.col("list_id")), F.col("node_id")))
-    earlier = Window.partitionBy("file_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    sibling = F.struct("parent_id", "type", "start_byte", "end_byte")
-    return out.withColumn("before", F.last(F.when(F.col("in_body"), sibling), ignorenulls=True).over(earlier))
+    """Coded nodes with class, member, parameter and what comes first below or just before them.
+
+    ``ahead`` is the (first, last) node of a member's first block, the span of a creation's first type name, or that of the
+    first identifier below a local declaration's first declarator.  ``lead`` is the span of a comment right before a method.
+    """
+    node, last, parent, span = (F.col(name) for name in ("node_id", "last_desc_id", "parent_id", "span"))
+    preorder = Window.partitionBy("file_id").orderBy("node_id")
+    down = Window.partitionBy("file_id").orderBy(node.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    up, earlier = preorder.rowsBetween(Window.unboundedPreceding, 0), preorder.rowsBetween(Window.unboundedPreceding, -1)
+
+    # the next node of a type, if it is below: one sort by descending id
+    out = _coded(nodes).select(
+        "*", _last(_is(METHOD_BODY), _packed(node, last), down).alias("block"),
+        _last(_is(TYPE_NAME), node, down).alias("type_id"), _last(_is(TYPE_NAME), span, down).alias("type_span"),
+        _last(_is(NAME), node, down).alias("name_id"), _last(_is(NAME), span, down).alias("name_span"))
+    declared = F.when(F.col("name_id") <= last, F.col("name_span")).otherwise(NOTHING)
+    declarator = _is(DECLARATOR)
+    out = out.select("*", _last(declarator, node, down).alias("declarator_id"), _last(declarator, declared, down).alias("declared"))
+    ahead = (F.when(_is(METHOD, CONSTRUCTOR) & (_high(F.col("block")) <= last), F.col("block"))
+             .when(_is(CREATION) & (F.col("type_id") <= last), F.col("type_span"))
+             .when(_is(LOCAL) & (F.col("declarator_id") <= last) & (F.col("declared") != NOTHING), F.col("declared")))
+    out = out.select(*out.columns[:8], ahead.alias("ahead"))
+    # owners do not nest, so the latest one, if it reaches the node, is around it: one sort by ascending id
+    kept = out.columns
+    out = out.select("*", _last((parent == 0) & _is(CLASS), _packed(node, last), up).alias("cls"))
+    out = out.select(*kept, F.when(_low(F.col("cls")) >= node, _high(F.col("cls"))).alias("class_id"))
+    out = out.select("*", _last((parent == F.col("class_id")) & _is(BODY), node, up).alias("body_id"))
+    out = out.select(*kept, "class_id", F.coalesce(parent == F.col("body_id"), F.lit(False)).alias("in_body"))
+    in_body, opens = F.col("in_body"), F.col("in_body") & _is(METHOD, CONSTRUCTOR)
+    out = out.select(
+        "*", _last(opens, _packed(node, last), up).alias("member"),
+        _last(opens, F.when(_is(CONSTRUCTOR), CONSTRUCTED).otherwise(F.coalesce("ahead", F.lit(NOTHING))), up).alias("block"),
+        _last(in_body, parent, earlier).alias("before_body"), _last(in_body, F.when(_is(*COMMENTS), span).otherwise(NOTHING), earlier).alias("before"))
+    inside, block = _low(F.col("member")) >= node, F.col("block")
+    lead = F.when(in_body & _is(METHOD) & (F.col("before_body") == parent) & (F.col("before") != NOTHING), F.col("before"))
+    out = out.select(
+        *kept, "class_id", "in_body", lead.alias("lead"), F.when(inside, _high(F.col("member"))).alias("member_id"),
+        (inside & (block != CONSTRUCTED)).alias("in_method"), (inside & (block >= 0) & node.between(_high(block), _low(block))).alias("in_block"))
+    own, kept = parent == F.col("member_id"), out.columns
+    body = F.when(F.col("in_method"), _is(METHOD_BODY)).otherwise(_is(CONSTRUCTOR_BODY))
+    out = out.select("*", _last(own & body, last, up).alias("body_last"), _last(own & _is(PARAMETERS), node, up).alias("list_id"))
+    out = out.select("*", _last(_is(PARAMETER) & (parent == F.col("list_id")), node, up).alias("parameter_id"))
+    return out.select(*kept, (F.col("body_last") >= node).alias("in_own_body"), "parameter_id")
 
 
 def _kind() -> Column:
     """Which thing a placed node is, if any."""
-    kind, in_method = F.col("type"), F.col("member.kind") == METHOD
-    in_block = in_method & F.col("node_id").between(F.col("member.block.node_id"), F.col("member.block.last_desc_id"))
+    kind = F.col("type")
     return (
-        F.when(F.col("node_id") == 0, FILE).when(F.col("node_id") == F.col("cls.node_id"), CLASS)
-        .when(F.col("in_body") & kind.isin(FIELD, METHOD, CONSTRUCTOR), kind).when(F.col("node_id") == F.col("parameter_id"), PARAMETER)
-        .when((kind == CREATION) & F.col("own_body").isNotNull() & F.col("first_type").isNotNull(), CREATION)
-        .when(in_block & kind.isin(LOCAL, CALL), kind).when(in_method & (F.col("field_name") == "arguments"), ARGUMENTS)
+        F.when(F.col("node_id") == 0, CODES[FILE]).when((F.col("parent_id") == 0) & _is(IMPORT, PACKAGE), kind)
+        .when(F.col("node_id") == F.col("class_id"), CODES[CLASS]).when(F.col("in_body") & _is(FIELD, METHOD, CONSTRUCTOR), kind)
+        .when(F.col("node_id") == F.col("parameter_id"), CODES[PARAMETER])
+        .when(_is(CREATION) & F.col("in_own_body") & F.col("ahead").isNotNull(), kind)
+        .when(F.col("in_block") & _is(LOCAL, CALL), kind)
+        .when(F.col("in_method") & (F.col("field") == FIELDS["arguments"]), CODES[ARGUMENTS])
     )
 
 
 def _is_part() -> Column:
     """Whether a placed node may be a child some thing asks for."""
-    kind, field, parent = F.col("type"), F.col("field_name"), F.col("parent_id")
-    member, in_method = F.col("member.node_id"), F.col("member.kind") == METHOD
+    parent, member = F.col("parent_id"), F.col("member_id")
     return _any(
-        (parent == 0) & kind.isin(IMPORT, PACKAGE), (parent == F.col("cls.node_id")) & kind.isin(NAME, MODIFIERS, INTERFACES),
-        F.col("cls").isNotNull() & member.isNull() & ~F.col("in_body") & kind.isin(TYPE_NAME, DECLARATOR), (parent == member) & (kind == NAME),
-        (parent == F.col("parameter_id")) & F.col("ord").isin(0, 1), in_method & field.isin("type", "name", "object", "arguments"),
-        in_method & (kind == NAME),
+        (parent == F.col("class_id")) & _is(NAME, MODIFIERS, INTERFACES), (parent == member) & _is(NAME),
+        F.col("class_id").isNotNull() & member.isNull() & ~F.col("in_body") & _is(TYPE_NAME, DECLARATOR),
+        (parent == F.col("parameter_id")) & F.col("ord").isin(0, 1), F.col("in_method") & (F.col("field") > 0), F.col("in_method") & _is(NAME),
     )
 
 
-def _lines(kind: str) -> Column:
-    """Import or package lines of a file, in order, '' if there are none (A3)."""
-    own = F.filter(F.col("parts"), lambda part: part["type"] == kind)
-    return F.coalesce(F.array_join(F.transform(own, lambda part: part["text"]), "\n"), F.lit(""))
-
-
 def things(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per declared thing, with the texts of its children; a file's rows stay in one partition.
 
-    ``kind`` says what a row is, ``node_id`` which node, ``class_id`` and ``member_id`` where it stands.  The other
-    columns hold, for the kinds that have them: first children by type or field, identifiers of an argument list, lines of
-    a file, the first type and name below, and the span of a comment just before a method (W2).
+    ``kind`` is the number in ``CODES`` of what a row is, ``node_id`` its node, ``class_id`` and ``member_id`` where it
+    stands, ``home`` the node it belongs to (a call for an argument).  The other columns hold, for the kinds that
+    have them: texts of first children by type or field, the first type or name below, and spans.
+
+    Every node counts as a thing, as a child of its parent, or as both; a window over (file, thing) gives a thing what
+    it needs of its children, as spans, and tells an argument its call.  Texts are cut of things only.
     """
-    kind, ord_, text = F.col("type"), F.col("ord"), F.col("text")
-    out = _placed(nodes).withColumns({"kind": _kind(), "is_part": _is_part()}).where(F.col("kind").isNotNull() | F.col("is_part"))
-    lead = F.when((F.col("kind") == METHOD) & F.col("before.type").isin(*COMMENTS) & (F.col("before.parent_id") == F.col("parent_id")), F.col("before"))
-    first_type = F.when(F.col("kind") == CREATION, F.col("first_type"))
-    first_name = F.when(F.col("kind") == LOCAL, F.col("first_declarator.name"))
-    cut = with_text(
-        out.withColumn("lead", lead), sources, text=(F.when(F.col("is_part"), F.col("start_byte")), F.col("end_byte")),
-        created=(first_type["start_byte"], first_type["end_byte"]), declared=(first_name["start_byte"], first_name["end_byte"]))
-    own = F.struct("kind", F.col("cls.node_id").alias("class_id"), F.col("member.node_id").alias("member_id"), "parent_id", "ord", "start_byte",
-                   "end_byte", F.col("lead.start_byte").alias("lead_start"), F.col("lead.end_byte").alias("lead_end"), "created", "declared")
-    roles = F.array(
-        F.when(F.col("kind").isNotNull(), F.struct(F.col("node_id").alias("key"), own.alias("own"))),
-        F.when(F.col("is_part"), F.struct(F.col("parent_id").alias("key"), F.when(F.lit(False), own).alias("own"))))
-    each = cut.select("file_id", "node_id", "type", "field_name", "ord", "text", F.explode(F.filter(roles, lambda role: role.isNotNull())).alias("role"))
-    part = F.col("role.own").isNull()
-
-    def first(condition: Column, value: Column | str = "text") -> Column:
-        return F.min_by(value, F.when(part & condition, ord_))
-
-    field = F.col("field_name")
-    parts = F.sort_array(F.collect_list(F.when(part & kind.isin(NAME, IMPORT, PACKAGE), F.struct("ord", "type", "text"))))
-    found = each.groupBy("file_id", F.col("role.key").alias("node_id")).agg(
-        F.first("role.own", ignorenulls=True).alias("own"), parts.alias("parts"),
-        first(kind == NAME).alias("name"), first(kind == MODIFIERS).alias("modifiers"), first(kind == INTERFACES).alias("interfaces"),
-        first(kind == TYPE_NAME).alias("type_name"), first(kind == DECLARATOR).alias("declarator"), first(field == "type").alias("type"),
-        first(field == "name").alias("called"), first(field == "object", F.struct("text", "type")).alias("object"),
-        first(field == "arguments", "node_id").alias("arguments_id"),
-        F.max(F.when(part & (ord_ == 0) & (kind == TYPE_NAME), text)).alias("type_first"), F.max(F.when(part & (ord_ == 1), text)).alias("second"),
-    ).where(F.col("own").isNotNull())
-    of_file, listed = F.col("own.kind") == FILE, F.filter("parts", lambda part: part["type"] == NAME)
-    return found.select(
-        "file_id", "node_id", "own.*", F.when(of_file, _lines(PACKAGE)).alias("package"), F.when(of_file, _lines(IMPORT)).alias("imports"),
-        F.when(F.col("own.kind") == ARGUMENTS, listed).alias("arguments"), *found.columns[4:])
+    out = _placed(nodes).withColumns({"kind": _kind(), "is_part": _is_part()})
+    out = out.where(F.col("kind").isNotNull() | F.col("is_part"))
+    roles = F.filter(F.array(F.when(F.col("kind").isNotNull(), F.lit(True)), F.when(F.col("is_part"), F.lit(False))), lambda role: role.isNotNull())
+    each = out.select("file_id", "node_id", "parent_id", "class_id", "member_id", "ord", "kind", "type", "field", "span", "lead", "ahead",
+                      F.explode(roles).alias("is_thing"))
+    each = each.withColumn("key", F.when(F.col("is_thing"), F.col("node_id")).otherwise(F.col("parent_id")))
+    family, part, ord_ = Window.partitionBy("file_id", "key"), ~F.col("is_thing"), F.col("ord")
+
+    def first(condition: Column, value: str = "span") -> Column:
+        return F.min_by(value, F.when(part & condition, ord_)).over(family)
+
+    def field(name: str) -> Column:
+        return F.col("field") == FIELDS[name]
+
+    spans = {
+        "name": first(_is(NAME)), "modifiers": first(_is(MODIFIERS)), "interfaces": first(_is(INTERFACES)), "type_name": first(_is(TYPE_NAME)),
+        "declarator": first(_is(DECLARATOR)), "type_of": first(field("type")), "called": first(field("name")), "object": first(field("object")),
+        "type_first": F.max(F.when(part & (ord_ == 0) & _is(TYPE_NAME), F.col("span"))).over(family),
+        "second": F.max(F.when(part & (ord_ == 1), F.col("span"))).over(family),
+    }
+    met = each.select(
+        "*", *[value.alias(f"_{name}") for name, value in spans.items()], first(field("object"), "type").alias("object_code"),
+        F.max(F.when(F.col("is_thing") & _is(ARGUMENTS, name="kind"), F.col("parent_id"))).over(family).alias("call_id"))
+    argument = part & _is(NAME) & F.col("call_id").isNotNull()
+    below = F.when(_is(CREATION, LOCAL, name="kind"), F.col("ahead"))
+    found = met.where((F.col("is_thing") & ~_is(ARGUMENTS, name="kind")) | argument).select(
+        "file_id", "node_id", F.when(argument, CODES[ARGUMENTS]).otherwise(F.col("kind")).alias("kind"), "class_id", "member_id", "ord", "span", "lead",
+        F.when(argument, F.col("call_id")).otherwise(F.col("node_id")).alias("home"),
+        F.coalesce(F.col("object_code") == CODES[FIELD_ACCESS], F.lit(False)).alias("by_field"),
+        F.when(argument | _is(IMPORT, PACKAGE, name="kind"), F.col("span")).otherwise(below).alias("_shown"),
+        *[F.when(F.col("is_thing"), F.col(f"_{name}")).alias(f"_{name}") for name in spans])
+    texts = with_text(found, sources, **{name: (_high(F.col(f"_{name}")), _low(F.col(f"_{name}"))) for name in [*spans, "shown"]})
+    return texts.drop(*[f"_{name}" for name in [*spans, "shown"]])
 
 
 def annotate(nodes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -157,9 +214,19 @@ def annotate(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     Every fact below is a filter of this table, or an aggregate over it.  Write it
     (:func:`unitloom.session.cut_lineage`) where several facts are wanted.
     """
-    whole = F.col("kind").isin(CLASS, METHOD, CONSTRUCTOR)
-    return with_text(things(nodes, sources), sources, text=(F.when(whole, F.col("start_byte")), F.col("end_byte")),
-                     lead=(F.col("lead_start"), F.col("lead_end")))
+    whole = F.when(_is(CLASS, METHOD, CONSTRUCTOR, name="kind"), F.col("span"))
+    return with_text(things(nodes, sources).withColumn("_whole", whole), sources, text=(_high(F.col("_whole")), _low(F.col("_whole"))),
+                     lead_text=(_high(F.col("lead")), _low(F.col("lead")))).drop("_whole")
+
+
+def _of(kind: str) -> Column:
+    return F.col("kind") == CODES[kind]
+
+
+def _lines(kind: str) -> Column:
+    """Import or package lines of a file, in order, '' if there are none (A3); an aggregate."""
+    lines = F.sort_array(F.collect_list(F.when(_of(kind), F.struct("ord", "shown"))))
+    return F.array_join(lines["shown"], "\n")
 
 
 def unit_facts(annotated: DataFrame, nodes: DataFrame | None = None, sources: DataFrame | None = None,
@@ -169,12 +236,12 @@ def unit_facts(annotated: DataFrame, nodes: DataFrame | None = None, sources: Da
     The header runs from the start of the class to the end of its last constructor or
     field, or is '' without one.  ``nodes`` is no longer read; ``sources`` gives project and path.
     """
-    kind = F.col("kind")
-    classes = annotated.where(kind.isin(CLASS, FIELD, CONSTRUCTOR)).groupBy("file_id", "class_id").agg(
-        F.max(F.when(kind == CLASS, F.struct("text", "start_byte", "name", "modifiers", "interfaces"))).alias("c"),
-        F.max_by("end_byte", F.when(kind.isin(FIELD, CONSTRUCTOR), F.col("ord"))).alias("header_end"))
-    header = node_text(utf8(F.col("c.text")), F.lit(0), F.col("header_end") - F.col("c.start_byte"))
-    files = annotated.where(kind == FILE).select("file_id", "package", "imports")
+    classes = annotated.where(_is(CLASS, FIELD, CONSTRUCTOR, name="kind")).groupBy("file_id", "class_id").agg(
+        F.max(F.when(_of(CLASS), F.struct("text", "span", "name", "modifiers", "interfaces"))).alias("c"),
+        F.max_by("span", F.when(_of(FIELD) | _of(CONSTRUCTOR), F.col("ord"))).alias("last"))
+    header = node_text(utf8(F.col("c.text")), F.lit(0), _low(F.col("last")) - _high(F.col("c.span")))
+    files = annotated.where(_is(FILE, IMPORT, PACKAGE, name="kind")).groupBy("file_id").agg(
+        _lines(PACKAGE).alias("package"), _lines(IMPORT).alias("imports"))
     empty = F.lit("")
     return classes.where(~F.col("c.text").contains(marker)).join(files, "file_id").join(sources.select("file_id", "project", "path"), "file_id").select(
         "file_id", "class_id", "project", "package", F.col("c.name").alias("class_identifier"), F.coalesce("c.modifiers", empty).alias("modifier"),
@@ -190,7 +257,7 @@ def _field() -> tuple[Column, Column]:
 def field_facts(annotated: DataFrame) -> DataFrame:
     """Fields of a class: name and type, first declarator only."""
     name, type_ = _field()
-    return annotated.where(F.col("kind") == FIELD).select("file_id", "class_id", "ord", name.alias("variable_identifier"), type_.alias("variable_type"))
+    return annotated.where(_of(FIELD)).select("file_id", "class_id", "ord", name.alias("variable_identifier"), type_.alias("variable_type"))
 
 
 def member_facts(annotated: DataFrame, kind: str = METHOD) -> DataFrame:
@@ -198,34 +265,35 @@ def member_facts(annotated: DataFrame, kind: str = METHOD) -> DataFrame:
 
     A method's text starts with the comment that stands just before it (W2).
     """
-    text = F.coalesce(F.concat("lead", F.lit("\n"), "text"), F.col("text"))
-    return annotated.where((F.col("kind") == kind) & F.col("name").isNotNull()).select(
+    text = F.coalesce(F.concat("lead_text", F.lit("\n"), "text"), F.col("text"))
+    return annotated.where(_of(kind) & F.col("name").isNotNull()).select(
         "file_id", "class_id", "member_id", "ord", F.col("name").alias("identifier"), text.alias("full_text"))
 
 
 def parameter_facts(annotated: DataFrame) -> DataFrame:
     """Parameters whose first child is a plain type name (X6), for methods and constructors."""
-    return annotated.where((F.col("kind") == PARAMETER) & F.col("type_first").isNotNull()).select(
+    return annotated.where(_of(PARAMETER) & F.col("type_first").isNotNull()).select(
         "file_id", "class_id", "member_id", "ord", F.col("second").alias("parameter_name"), F.col("type_first").alias("parameter_type"))
 
 
 def created_types(annotated: DataFrame) -> DataFrame:
     """Classes created in a member's body, in order, repeats kept."""
-    return annotated.where(F.col("kind") == CREATION).select(
-        "file_id", "class_id", "member_id", F.col("node_id").alias("ord"), F.col("created").alias("created_type"))
+    return annotated.where(_of(CREATION)).select(
+        "file_id", "class_id", "member_id", F.col("node_id").alias("ord"), F.col("shown").alias("created_type"))
 
 
 def local_facts(annotated: DataFrame) -> DataFrame:
     """Local variables of a method: name and type, the last declaration wins."""
-    declared = annotated.where((F.col("kind") == LOCAL) & F.col("type").isNotNull()).withColumnRenamed("declared", "_name")
-    return last_wins(declared, ["file_id", "class_id", "member_id", "_name"], "type", ["node_id"], "variable_type").withColumnRenamed("_name", "name")
+    declared = annotated.where(_of(LOCAL) & F.col("type_of").isNotNull()).select(
+        "file_id", "class_id", "member_id", "node_id", F.col("shown").alias("name"), "type_of")
+    return last_wins(declared, ["file_id", "class_id", "member_id", "name"], "type_of", ["node_id"], "variable_type")
 
 
 def call_sites(annotated: DataFrame) -> DataFrame:
-    """Calls in a method's body with the text and type of their receiver."""
-    return annotated.where(F.col("kind") == CALL).select(
+    """Calls in a method's body with the text of their receiver, and whether it is a field access."""
+    return annotated.where(_of(CALL)).select(
         "file_id", "class_id", "member_id", "node_id", F.col("called").alias("method_name"),
-        F.coalesce("object.text", F.lit(ITSELF)).alias("object_text"), F.col("object.type").alias("object_type"), "arguments_id")
+        F.coalesce("object", F.lit(ITSELF)).alias("object_text"), "by_field")
 
 
 def _resolved(rows: DataFrame) -> DataFrame:
@@ -236,53 +304,45 @@ def _resolved(rows: DataFrame) -> DataFrame:
     name meets its declarations in a window over its scope, so a name is looked up once however often
     it is declared or used.  A parameter gets ``first`` (whether its name is new) and ``last_type``.
     """
-    kind = F.col("kind")
-    rows = rows.withColumn("argument", F.explode_outer("arguments")).where((kind != ARGUMENTS) | F.col("argument").isNotNull())
-    object_text, is_field = F.coalesce("object.text", F.lit(ITSELF)), F.col("object.type") == FIELD_ACCESS
-    parameter = (kind == PARAMETER) & F.col("type_first").isNotNull()
+    object_text = F.coalesce("object", F.lit(ITSELF))
+    parameter = _of(PARAMETER) & F.col("type_first").isNotNull()
     field_name, field_type = _field()
     # names below a member, and names of the class's own: fields, and the class as `this`
-    name = (F.when(kind == LOCAL, F.col("declared")).when(kind == CALL, object_text).when(parameter, F.col("second"))
-            .when(kind == ARGUMENTS, F.col("argument.text")))
-    own_name = (F.when(kind == FIELD, F.concat(F.lit("."), field_name)).when(kind == CLASS, F.lit(ITSELF))
-                .when((kind == CALL) & is_field, F.concat(F.lit("."), F.replace(object_text, F.lit(FIELD_PREFIX), F.lit(""))))
-                .when((kind == CALL) & (object_text == ITSELF), F.lit(ITSELF)))
+    name = F.when(_of(LOCAL) | _of(ARGUMENTS), F.col("shown")).when(_of(CALL), object_text).when(parameter, F.col("second"))
+    own_name = (F.when(_of(FIELD), F.concat(F.lit("."), field_name)).when(_of(CLASS), F.lit(ITSELF))
+                .when(_of(CALL) & F.col("by_field"), F.concat(F.lit("."), F.replace(object_text, F.lit(FIELD_PREFIX), F.lit(""))))
+                .when(_of(CALL) & (object_text == ITSELF), F.lit(ITSELF)))
     in_member = Window.partitionBy("file_id", "class_id", "member_id", "_name")
     in_class = Window.partitionBy("file_id", "class_id", "_own_name")
     found = rows.withColumns({"_name": name, "_own_name": own_name}).withColumns({
-        "_local": F.max_by("type", F.when((kind == LOCAL) & F.col("type").isNotNull(), F.col("node_id"))).over(in_member),
+        "_local": F.max_by("type_of", F.when(_of(LOCAL) & F.col("type_of").isNotNull(), F.col("node_id"))).over(in_member),
         "last_type": F.max_by("type_first", F.when(parameter, F.col("ord"))).over(in_member),
         "_first": F.min(F.when(parameter, F.col("ord"))).over(in_member),
     }).withColumn("_member", F.coalesce(
-        F.min_by(field_type, F.when(kind == FIELD, F.col("ord"))).over(in_class), F.max(F.when(kind == CLASS, F.col("name"))).over(in_class)))
-    found = found.withColumns({
-        "first": parameter & (F.col("ord") == F.col("_first")),
-        "method_class": F.when(kind == CALL, F.coalesce("_local", "last_type", "_member", object_text)),
-        "_argument": F.when((kind == ARGUMENTS) & F.col("_local").isNotNull(), F.struct(F.col("argument.ord").alias("ord"), F.col("_local").alias("type"))),
-    })
-    kept = [column for column in rows.columns if column not in ("file_id", "argument", "arguments")] + ["last_type", "first", "method_class"]
-    # an argument list is told to its call
-    home = F.when(kind == ARGUMENTS, F.col("parent_id")).otherwise(F.col("node_id")).alias("_home")
-    return found.groupBy("file_id", home).agg(
-        F.first(F.when(kind != ARGUMENTS, F.struct(*kept)), ignorenulls=True).alias("own"),
-        F.sort_array(F.collect_list("_argument"))["type"].alias("argument_types"),
-    ).where(F.col("own").isNotNull()).select("file_id", "own.*", "argument_types")
+        F.min_by(field_type, F.when(_of(FIELD), F.col("ord"))).over(in_class), F.max(F.when(_of(CLASS), F.col("name"))).over(in_class)))
+    # arguments are told to their call, in a window over what is at home with it
+    at_home = Window.partitionBy("file_id", "home")
+    argument = F.when(_of(ARGUMENTS) & F.col("_local").isNotNull(), F.struct("ord", F.col("_local").alias("type")))
+    found = found.select(
+        *rows.columns, "last_type", (parameter & (F.col("ord") == F.col("_first"))).alias("first"),
+        F.when(_of(CALL), F.coalesce("_local", "last_type", "_member", object_text)).alias("method_class"), argument.alias("_argument"))
+    met = found.withColumn("argument_types", F.sort_array(F.collect_list("_argument").over(at_home))["type"])
+    return met.where(~_of(ARGUMENTS)).drop("_argument")
 
 
 def call_facts(annotated: DataFrame) -> DataFrame:
     """Calls with resolved receiver and the types of known arguments (X9, J7, J8); one shuffle, by file."""
-    used = annotated.where(F.col("kind").isin(CLASS, FIELD, PARAMETER, LOCAL, CALL, ARGUMENTS)).drop("text", "lead")
-    return _resolved(used.repartition("file_id")).where(F.col("kind") == CALL).select(
+    used = annotated.where(_is(CLASS, FIELD, PARAMETER, LOCAL, CALL, ARGUMENTS, name="kind")).drop("text", "lead_text")
+    return _resolved(used.repartition("file_id")).where(_of(CALL)).select(
         "file_id", "class_id", "member_id", F.col("node_id").alias("ord"), F.col("called").alias("method_name"), "method_class", "argument_types")
 
 
 def constructor_facts(annotated: DataFrame) -> DataFrame:
     """Constructors: name, parameter types, created classes, text."""
-    kind = F.col("kind")
-    text = F.when(kind == CONSTRUCTOR, F.struct("ord", "name", "text"))
-    found = annotated.where(kind.isin(CONSTRUCTOR, PARAMETER, CREATION)).groupBy("file_id", "class_id", "member_id").agg(
+    text = F.when(_of(CONSTRUCTOR), F.struct("ord", "name", "text"))
+    found = annotated.where(_is(CONSTRUCTOR, PARAMETER, CREATION, name="kind")).groupBy("file_id", "class_id", "member_id").agg(
         F.first(text, ignorenulls=True).alias("own"), _listed(PARAMETER, "ord", "type_first").alias("parameter_types"),
-        _listed(CREATION, "node_id", "created").alias("related_classes"))
+        _listed(CREATION, "node_id", "shown").alias("related_classes"))
     return found.where(F.col("own.name").isNotNull()).select(
         "file_id", "class_id", "member_id", "own.ord", F.col("own.name").alias("identifier"), "parameter_types", "related_classes",
         F.col("own.text").alias("full_text"))
@@ -290,7 +350,7 @@ def constructor_facts(annotated: DataFrame) -> DataFrame:
 
 def _listed(kind: str, order: str, value: str) -> Column:
     """Values of a kind of thing in order, nulls left out."""
-    item = F.when((F.col("kind") == kind) & F.col(value).isNotNull(), F.struct(F.col(order).alias("ord"), F.col(value).alias("value")))
+    item = F.when(_of(kind) & F.col(value).isNotNull(), F.struct(F.col(order).alias("ord"), F.col(value).alias("value")))
     return F.sort_array(F.collect_list(item))["value"]
 
 
@@ -302,45 +362,42 @@ def class_records(nodes: DataFrame, sources: DataFrame, marker: str = TEST_MARKE
     again; no step in between is written.  ``annotated`` gives things that are stored already.
     """
     ready = prepare_sources(sources)
-    rows = things(nodes, ready) if annotated is None else annotated.drop("text", "lead").repartition("file_id")
-    kind = F.col("kind")
-    span = [F.col(name) for name in ("start_byte", "end_byte", "lead_start", "lead_end")]
+    rows = things(nodes, ready) if annotated is None else annotated.drop("text", "lead_text").repartition("file_id")
 
     # a member with its parts; what stands right in a class, or in a file, has no member
     call = F.struct("node_id", F.struct(F.col("called").alias("method_name"), "method_class", "argument_types").alias("call"))
     field_name, field_type = _field()
     members = _resolved(rows).groupBy("file_id", "class_id", "member_id").agg(
-        F.first(F.when(kind.isin(METHOD, CONSTRUCTOR), F.struct("ord", "kind", "name", *span)), ignorenulls=True).alias("own"),
-        _listed(PARAMETER, "ord", "type_first").alias("types"), _listed(CREATION, "node_id", "created").alias("created"),
+        F.first(F.when(_of(METHOD) | _of(CONSTRUCTOR), F.struct("ord", "kind", "name", "span", "lead")), ignorenulls=True).alias("own"),
+        _listed(PARAMETER, "ord", "type_first").alias("types"), _listed(CREATION, "node_id", "shown").alias("created"),
         # a name keeps its first place and its last type
         F.sort_array(F.collect_list(F.when(F.col("first"), F.struct("ord", F.col("second").alias("name"), F.col("last_type").alias("type"))))).alias("parameters"),
-        F.sort_array(F.collect_list(F.when(kind == CALL, call)))["call"].alias("calls"),
-        F.sort_array(F.collect_list(F.when(kind == FIELD, F.struct("ord", field_name.alias("name"), field_type.alias("type"))))).alias("fields"),
-        F.first(F.when(kind == CLASS, F.struct("name", "modifiers", "interfaces", *span[:2])), ignorenulls=True).alias("cls"),
-        F.max(F.when(kind.isin(FIELD, CONSTRUCTOR), F.struct("ord", "end_byte"))).alias("header"), F.max("package").alias("package"),
-        F.max("imports").alias("imports"),
+        F.sort_array(F.collect_list(F.when(_of(CALL), call)))["call"].alias("calls"),
+        F.sort_array(F.collect_list(F.when(_of(FIELD), F.struct("ord", field_name.alias("name"), field_type.alias("type"))))).alias("fields"),
+        F.first(F.when(_of(CLASS), F.struct("name", "modifiers", "interfaces", "span")), ignorenulls=True).alias("cls"),
+        F.max(F.when(_of(FIELD) | _of(CONSTRUCTOR), F.struct("ord", "span"))).alias("last"),
+        _lines(PACKAGE).alias("package"), _lines(IMPORT).alias("imports"),
     )
     # a class with its members
-    whole = F.struct(*[F.col(f"own.{name}") for name in ("ord", "name", "start_byte", "end_byte", "lead_start", "lead_end")],
-                     "types", "created", "parameters", "calls")
+    whole = F.struct(*[F.col(f"own.{name}") for name in ("ord", "name", "span", "lead")], "types", "created", "parameters", "calls")
 
     def in_order(kind: str) -> Column:
-        return F.sort_array(F.collect_list(F.when((F.col("own.kind") == kind) & F.col("own.name").isNotNull(), whole)))
+        return F.sort_array(F.collect_list(F.when((F.col("own.kind") == CODES[kind]) & F.col("own.name").isNotNull(), whole)))
 
     in_file = Window.partitionBy("file_id")
     classes = members.groupBy("file_id", "class_id").agg(
         in_order(METHOD).alias("members"), in_order(CONSTRUCTOR).alias("constructors"), F.first("cls", ignorenulls=True).alias("cls"),
-        F.max("header").alias("header"), F.first(F.when(F.col("member_id").isNull(), F.col("fields")), ignorenulls=True).alias("fields"),
+        F.max("last").alias("last"), F.first(F.when(F.col("member_id").isNull(), F.col("fields")), ignorenulls=True).alias("fields"),
         F.max("package").alias("package"), F.max("imports").alias("imports"),
     ).withColumns({"package": F.max("package").over(in_file), "imports": F.max("imports").over(in_file)})
 
     # texts come last
-    def cut(start: Column, end: Column) -> Column:
-        return node_text(F.col("content_bytes"), start, end)
+    def cut(span: Column) -> Column:
+        return node_text(F.col("content_bytes"), _high(span), _low(span))
 
     def text(member: Column) -> Column:
-        own = cut(member["start_byte"], member["end_byte"])
-        return F.coalesce(F.concat(cut(member["lead_start"], member["lead_end"]), F.lit("\n"), own), own)
+        own = cut(member["span"])
+        return F.coalesce(F.concat(cut(member["lead"]), F.lit("\n"), own), own)
 
     name, empty = F.col("cls.name"), F.lit("")
     methods = F.transform("members", lambda m: F.struct(
@@ -349,10 +406,10 @@ def class_records(nodes: DataFrame, sources: DataFrame, marker: str = TEST_MARKE
     record = F.struct(
         F.col("path"), name, F.coalesce("cls.modifiers", empty), F.coalesce("cls.interfaces", empty),
         F.transform("constructors", lambda m: F.struct(m["name"], m["types"], m["created"], text(m))),
-        F.coalesce(cut(F.col("cls.start_byte"), F.col("header.end_byte")), empty), F.col("full_text"),
+        F.coalesce(cut(_packed(_high(F.col("cls.span")), _low(F.col("last.span")))), empty), F.col("full_text"),
         F.transform("members", lambda m: F.struct(m["name"], m["types"])), F.transform("fields", lambda f: F.struct(f["name"], f["type"])),
         F.col("imports"), F.col("package"),
     ).cast(CLASS_RECORD)
     met = classes.where(F.col("cls").isNotNull()).join(ready, "file_id")
-    met = met.withColumn("full_text", cut(F.col("cls.start_byte"), F.col("cls.end_byte"))).where(~F.col("full_text").contains(marker))
+    met = met.withColumn("full_text", cut(F.col("cls.span"))).where(~F.col("full_text").contains(marker))
     return met.select("project", record.alias("class_record"), methods.alias("methods"))
