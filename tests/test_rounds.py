@@ -1,11 +1,15 @@
 """Check-and-repair rounds, row by row, and the whole job with stubs."""
 
+import os
+import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from unitloom.plans import generate, rounds
 from unitloom.plans.context import gather_context
+from unitloom.session import Steps, Unnamed
 
 
 def digits_check(bad):
@@ -173,3 +177,151 @@ def test_whole_job(spark):
     assert log.count() == sum(len(r.events) for r in rows.values())
     low = generate.generate_units(shop(spark), make, fine, fine, "R", budget=5)
     assert {(r.outcome, len(r.events)) for r in low.collect()} == {("over_budget", 0)}
+
+
+def marking(folder, answer):
+    """Maker of a model that leaves a mark per call."""
+    def make():
+        import uuid
+
+        def asked(prompt):
+            open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+            return answer(prompt)
+        return asked
+    return make
+
+
+def test_killed_tasks_ask_only_what_is_not_filed(spark, tmp_path):
+    """A worker dies in the midst of its questions; the next run asks the one it died on, and what was never asked."""
+    (tmp_path / "marks").mkdir()
+    flag = tmp_path / "armed"
+    flag.touch()
+
+    def answer(prompt, flag=str(flag)):
+        if prompt == "p7" and os.path.exists(flag):
+            os.remove(flag)
+            os._exit(3)
+        return prompt.upper()
+
+    # a third of the rows share a prompt, and equal prompts of other runs are other questions
+    rows = [(i, f"p{i % 10 if i % 3 else 0}" if i != 5 else None, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, prompt string, run int")
+    ask = lambda: rounds.infer(df, "prompt", marking(tmp_path / "marks", answer), ledger=str(tmp_path / "ledger"), apart=["run"], partitions=2)
+    with pytest.raises(Exception):
+        ask().collect()
+    first = len(os.listdir(tmp_path / "marks"))
+    found = {r.id: (r.answer, r.error) for r in ask().collect()}
+    assert found == {i: (p and p.upper(), None) for i, p, _ in rows}
+    questions = len({(p, run) for _, p, run in rows if p})
+    # asked again: at most the question it died on, and one of each other task that was cut off
+    assert questions < len(os.listdir(tmp_path / "marks")) <= questions + 2 and first <= questions
+    again = len(os.listdir(tmp_path / "marks"))
+    assert ask().where("answer is not null").count() == 59 and len(os.listdir(tmp_path / "marks")) == again
+
+
+def test_ledger_keeps_errors_apart(spark, tmp_path):
+    def make():
+        def answer(prompts):
+            assert len(prompts) <= 4
+            if "bad" in prompts:
+                raise ValueError("no")
+            return [p * 2 for p in prompts]
+        return answer
+
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "b", "bad", None, "a", "ü\n\"", ""])], "id int, prompt string")
+    for _ in range(2):
+        made = rounds.infer(df, "prompt", make, at_once=4, ledger=str(tmp_path / "l"))
+        assert made.columns == ["id", "prompt", "answer", "error"]
+        found = {r.id: (r.answer, r.error) for r in made.collect()}
+        assert found == {0: ("aa", None), 1: ("bb", None), 2: (None, "no"), 3: (None, None), 4: ("aa", None), 5: ("ü\n\"ü\n\"", None), 6: ("", None)}
+    assert rounds.infer(df.where("false"), "prompt", make, ledger=str(tmp_path / "l")).count() == 0
+
+
+def test_native_calls_that_ignore_signals_are_ended(spark):
+    """One call sleeps in native code, holding the interpreter, with signals ignored; one ends its process; later rows are checked."""
+    def make():
+        import ctypes
+        import os
+        import signal
+
+        def check(text):
+            if text == "hang":
+                for number in (signal.SIGALRM, signal.SIGTERM, signal.SIGINT):
+                    signal.signal(number, signal.SIG_IGN)
+                ctypes.PyDLL(None).sleep(60)
+            if text == "die":
+                os._exit(7)
+            if text == "loud":
+                print("noise" * 1000)
+            return 0, text * 2
+        return check
+
+    texts = ["a", "hang", "b", "die", "loud", "hang", "c" * 300_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    start = time.monotonic()
+    found = {r.id: r for r in rounds.row_check(make, time_limit=1.5)(df).collect()}
+    assert time.monotonic() - start < 45
+    assert [tuple(found[i].checked) for i in (0, 1, 2, 4, 5, 6)] == [
+        (0, "aa"), (1, "Timeout"), (0, "bb"), (0, "loudloud"), (1, "Timeout"), (0, "c" * 600_000)]
+    assert found[3].checked is None and "ended with" in found[3].check_error
+
+
+def test_a_stopped_job_goes_on(spark, tmp_path):
+    """The job stops in round 2; started again it has the rows, events and calls of one that never stopped."""
+    def job(place, flag):
+        (tmp_path / place).mkdir()
+
+        def make():
+            import os
+
+            def check(text):
+                if text == "xo" and os.path.exists(flag):
+                    raise SystemExit(1)
+                return (1, "bad") if text.startswith("x") else (0, "")
+            return check
+
+        asks = rounds.reading(lambda df: rounds.infer(
+            df, "text", marking(tmp_path / place, lambda text: text[1:]), answer="repaired", ledger=str(tmp_path / f"{place}-ledger")).drop("error"))
+        start = items(spark, ["o", "xo", "xxo", "xxxo", "x", "xxxx"])
+        return lambda: shown(rounds.repair_rounds(start, rounds.row_check(make), asks, 2, steps=Steps(spark, str(tmp_path / f"{place}-steps"))))
+
+    flag = tmp_path / "flag"
+    whole = job("whole", str(flag))()
+    flag.touch()
+    stopped = job("stopped", str(flag))
+    with pytest.raises(BaseException):
+        stopped()
+    flag.unlink()
+    assert stopped() == whole and stopped() == whole
+    assert len(os.listdir(tmp_path / "stopped")) == len(os.listdir(tmp_path / "whole")) > 0
+    finished = Steps(spark, str(tmp_path / "stopped-steps")).finished
+    assert list(sorted(finished)) == ["compile-check-0", "compile-check-1", "compile-check-2", "compile-items"]
+
+
+def test_rounds_carry_no_prompt(spark, tmp_path, monkeypatch):
+    """Prompts are written once; items and rounds are written without them, and rounds without paths and events too."""
+    written = {}
+    keep = Unnamed.keep
+    monkeypatch.setattr(Unnamed, "keep", lambda self, make, name: written.setdefault(name, keep(self, make, name)))
+
+    def make():
+        return lambda prompt: "```java\nclass T { bad }\n```" if "error" not in prompt else "```java\nclass T { }\n```"
+
+    bad = rounds.column_check(lambda text: F.struct(F.when(text.contains("bad"), 1).otherwise(0).alias("code"), F.lit("error").alias("output")))
+    made = generate.generate_units(shop(spark), make, bad, bad, "R", runs=2, budget=400)
+    assert {r.outcome for r in made.collect()} == {"passed", "other_error"} and "prompt" in made.columns
+    assert [name for name, df in written.items() if "prompt" in df.columns] == ["prompts"]
+    steps = [df for name, df in written.items() if "-check-" in name or "-gate-" in name]
+    assert len(steps) >= 3 and all({"_item", "text"} <= set(df.columns) and not {"paths", "events", "filepath"} & set(df.columns) for df in steps)
+
+
+def test_a_whole_job_goes_on(spark, tmp_path):
+    """A job with a folder of its own is run twice: the second run asks nothing and gives the same rows."""
+    (tmp_path / "marks").mkdir()
+    answer = lambda prompt: "```java\nclass T { }\n```"
+    fine = rounds.column_check(lambda text: F.struct(F.lit(0).alias("code"), F.lit("").alias("output")))
+    run = lambda: sorted(map(str, generate.generate_units(shop(spark), marking(tmp_path / "marks", answer), fine, fine, "R", budget=400,
+                                                          folder=str(tmp_path / "job")).collect()))
+    first = run()
+    asked = len(os.listdir(tmp_path / "marks"))
+    assert run() == first and len(os.listdir(tmp_path / "marks")) == asked == 6

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,11 +14,12 @@ from unitloom.functions.text import (
 from unitloom.functions.tokens import TokenCounter
 from unitloom.operators.joins import cross_runs
 from unitloom.plans.context import gather_context
+from unitloom.plans import rounds
 from unitloom.plans.rounds import (
     ANSWER_ERROR, ANSWER_FAILED, CLASS_NAME_ERROR, COMPILE_STAGE, EVENT, EXECUTION_STAGE, NO_CODE, OTHER, OTHER_ERROR,
-    OVER_BUDGET, TIMEOUT, TIMEOUT_ERROR, infer, repair_rounds, start_items,
+    OVER_BUDGET, TIMEOUT, TIMEOUT_ERROR, infer, numbered, reading, start_items, thin_items,
 )
-from unitloom.session import cut_lineage
+from unitloom.session import Steps, Unnamed, shared_folder
 
 # Fixed value: the message of an item whose path has no source root.
 NO_SOURCE_ROOT = "'java' is not in list"
@@ -60,13 +62,13 @@ def prepare_answer(answered: DataFrame, run_id: str) -> DataFrame:
 
 
 def model_repair(make_model: Callable[[], Callable[[str], str]], template: str, budget: int = INPUT_BUDGET,
-                 counter: TokenCounter | None = None, max_tries: int = 3,
-                 partitions: int | None = None) -> Callable[[DataFrame], DataFrame]:
-    """A repair that asks the model, for :func:`repair_rounds`."""
+                 counter: TokenCounter | None = None, max_tries: int = 3, partitions: int | None = None,
+                 ledger: str | None = None, apart: list[str] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A repair that asks the model, for :func:`repair_rounds` (F11); see :func:`infer` for ``ledger`` and ``apart``."""
     def apply(df: DataFrame) -> DataFrame:
         prompted = df.withColumn("_repair_prompt", repair_prompt(F.col("text"), F.col("output"), budget, template, counter))
         prompted = prompted.withColumn("_repair_prompt", F.nullif(F.col("_repair_prompt"), F.lit("")))
-        asked = infer(prompted, "_repair_prompt", make_model, max_tries, "_repair_answer", "_repair_error", partitions)
+        asked = infer(prompted, "_repair_prompt", make_model, max_tries, "_repair_answer", "_repair_error", partitions, ledger=ledger, apart=apart)
         asked = asked.withColumn("_block", last_block(F.col("_repair_answer")))
         block = F.col("_block")
         lost = F.col("_repair_answer").isNotNull() & block.isNull()
@@ -75,7 +77,7 @@ def model_repair(make_model: Callable[[], Callable[[str], str]], template: str,
             "repaired": F.when(block != "", set_package(block, F.col("package"))),
             "repair_events": F.when(lost, F.array(note)).cast(f"array<{EVENT}>"),
         }).drop("_repair_prompt", "_repair_answer", "_repair_error", "_block")
-    return apply
+    return reading(apply, "package", *(apart or []))
 
 
 def generate_units(tables: dict[str, DataFrame], make_model: Callable[[], Callable[[str], str]],
@@ -83,25 +85,37 @@ def generate_units(tables: dict[str, DataFrame], make_model: Callable[[], Callab
                    run_id: str, runs: int = 1, only: Column | None = None, compile_rounds: int = 1,
                    run_rounds: int = 1, budget: int = INPUT_BUDGET, levels: tuple[str, ...] = LEVELS,
                    counter: TokenCounter | None = None, max_tries: int = 3,
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, folder: str | None = None) -> DataFrame:
     """Generate, check and repair a unit for every method, or those ``only`` picks.
 
     One row per method and run, with its prompt, text, outcome, number of repairs and
     events.  An item that ends early or fails stays in the result under its outcome.
+
+    Prompts are written once per method, asked once per run, and meet their items again in the last join; rounds
+    carry texts.  With ``folder``, which all executors reach, steps and answers are kept there under the run id: a job
+    that starts again with the same folder, run id and inputs goes on after the last finished step, and asks
+    the model for nothing that was answered.
     """
-    context = gather_context(tables, budget, levels, counter, only=only)
-    asked = cross_runs(context, runs)
-    answered = infer(asked, "prompt", make_model, max_tries, partitions=partitions)
-    items = prepare_answer(answered, run_id).withColumn("paths", target_paths(F.col("filepath"), F.col("project")))
-    items = cut_lineage(items, "answers")  # no answer is asked for, or cleaned, twice
+    spark = tables["methods"].sparkSession
+    home = f"{(folder or shared_folder(spark)).rstrip('/')}/run-{run_id if folder else uuid.uuid4().hex}"
+    kept, ledger = (Steps(spark, home) if folder else Unnamed()), f"{home}/answers"
+    context = kept.keep(lambda: gather_context(tables, budget, levels, counter, only=only), "prompts")
+
+    def answered() -> DataFrame:
+        asked = infer(cross_runs(context, runs), "prompt", make_model, max_tries, partitions=partitions, ledger=ledger, apart=["run"])
+        prepared = prepare_answer(asked, run_id).withColumn("paths", target_paths(F.col("filepath"), F.col("project")))
+        return numbered(prepared.drop("prompt"))
+
+    items = kept.keep(answered, "items")
 
     def repair(template: str) -> Callable[[DataFrame], DataFrame]:
-        return model_repair(make_model, template, budget, counter, max_tries, partitions)
+        return model_repair(make_model, template, budget, counter, max_tries, partitions, ledger, ["run"])
 
-    compiled = cut_lineage(
-        repair_rounds(items, compile_check, repair(COMPILE_REPAIR), compile_rounds, COMPILE_STAGE,
-                      partitions=partitions), "compiled"
-    )
+    repairs = repair(COMPILE_REPAIR), repair(EXECUTION_REPAIR)
+    thin = thin_items(items, compile_check, run_check, *repairs)
+    compiled = rounds.run_rounds(thin, compile_check, repairs[0], compile_rounds, COMPILE_STAGE, None, partitions, kept)
     # repairs are counted per stage
-    fresh = compiled.withColumn("compile_repairs", F.col("repairs")).withColumn("repairs", F.lit(0))
-    return repair_rounds(fresh, run_check, repair(EXECUTION_REPAIR), run_rounds, EXECUTION_STAGE, compile_check, partitions)
+    fresh = kept.keep(compiled.rows, "compiled").withColumn("compile_repairs", F.col("repairs")).withColumn("repairs", F.lit(0))
+    ran = rounds.run_rounds(fresh, run_check, repairs[1], run_rounds, EXECUTION_STAGE, compile_check, partitions, kept)
+    out = rounds.with_outcome(items, ran.rows(), [compiled, ran], ["compile_repairs"])
+    return out.join(context.select("project", "method_id", "prompt"), ["project", "method_id"])

@@ -9,7 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from unitloom.functions.text import clean_info, event_name
-from unitloom.session import cut_lineage
+from unitloom.plans.child import LimitedCalls
+from unitloom.plans.ledger import ask_once
+from unitloom.session import Steps, Unnamed
 
 RESULT = "struct<code:int,output:string>"
 EVENT = "struct<event:string,result_code:int,add_info:string>"
@@ -31,6 +33,7 @@ OVER_BUDGET, ANSWER_FAILED, REPAIR_FAILED, OTHER = "over_budget", "answer_error"
 class Stage:
     """Event names of one check-and-repair stage; ``{n}`` is the round."""
 
+    name: str
     passed: str
     failed: str
     no_repair: str
@@ -39,20 +42,25 @@ class Stage:
     outcome_passed: str | None = None
 
 
-#: Rows whose results a task passes on together.
-ROWS_PASSED_ON = 16
+#: Seconds after which a task passes on what it has.
+PASSED_ON_AFTER = 1.0
+
+#: Number of an item within one job.
+ITEM = "_item"
 
 #: What the log says of a check that gave no code.
 NO_RESULT = "no result"
 
 # The event names of both stages (one word twice is meant so).
 COMPILE_STAGE = Stage(
+    name="compile",
     passed="Compilation Successful Round {n}",
     failed="Compilation Error Round {n}",
     no_repair="Compilation Repair Prompt Construction Error Round {n}",
     outcome_failed=COMPILE_ERROR,
 )
 EXECUTION_STAGE = Stage(
+    name="run",
     passed="Execution Successful after {n} repairs",
     failed="Execution Error after after {n} repairs",
     no_repair="Execution Repair Prompt Construction Error Round {n}",
@@ -62,24 +70,43 @@ EXECUTION_STAGE = Stage(
 )
 
 
-def _limited(fn: Callable, seconds: float | None) -> Callable:
-    """``fn``, stopped with a TimeoutError after so many seconds; for the main thread of a worker."""
-    if seconds is None:
-        return fn
+class Caller:
+    """Calls of a user's function that try again, and say what went wrong (U4).
 
-    def run(value):
-        import signal
+    ``at_once`` is None for a function of one value, or the most values a function of lists gets; values of a list that
+    fails are tried one by one.  With ``seconds``, calls run in a child process and are ended at that limit.
+    """
 
-        def late(number, frame):
-            raise TimeoutError
-        before = signal.signal(signal.SIGALRM, late)
-        signal.setitimer(signal.ITIMER_REAL, seconds)
-        try:
-            return fn(value)
-        finally:
-            signal.setitimer(signal.ITIMER_REAL, 0)
-            signal.signal(signal.SIGALRM, before)
-    return run
+    def __init__(self, make_fn: Callable[[], Callable], max_tries: int = 1, fallback: Callable | None = None,
+                 seconds: float | None = None, at_once: int | None = None):
+        self.fn = make_fn() if seconds is None else LimitedCalls(make_fn, seconds)
+        self.max_tries, self.fallback, self.at_once = max_tries, fallback, at_once
+
+    def one(self, value):
+        message = None
+        for _ in range(self.max_tries):
+            try:
+                return (self.fn(value) if self.at_once is None else self.fn([value])[0]), None
+            except Exception as raised:
+                instead = self.fallback(raised) if self.fallback else None
+                if instead is not None:
+                    return instead, None
+                message = TIMEOUT if isinstance(raised, TimeoutError) else str(raised) or type(raised).__name__
+        return None, message
+
+    def __call__(self, values: list) -> list[tuple]:
+        if self.at_once is not None and len(values) > 1:
+            try:
+                found = list(self.fn(values))
+                if len(found) == len(values):
+                    return [(value, None) for value in found]
+            except Exception:  # which value it was shows below
+                pass
+        return [self.one(value) for value in values]
+
+    def close(self) -> None:
+        if isinstance(self.fn, LimitedCalls):
+            self.fn.close()
 
 
 def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Callable], kind: T.DataType | str, name: str,
@@ -93,10 +120,10 @@ def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Calla
     at most ``max_tries`` times, and then carries the message in ``error`` (U4), which is
     ``Timeout`` for a TimeoutError; ``fallback`` turns an exception into a value instead where it returns one.
 
-    A call that takes longer than ``time_limit`` seconds is stopped by a timer and counts as a
-    TimeoutError.  With ``at_once``, the function gets a list of so many rows at most and
-    returns a list; rows of a list that fails are tried one by one.  Results are passed on
-    every few rows, so a lost task has lost few answers in memory.
+    With ``time_limit`` the function is built and called in a child process of the worker.  A call that takes longer
+    is ended with that process, whatever it does, and counts as a TimeoutError; the next call gets a new process.
+    With ``at_once``, the function gets a list of so many rows at most and returns a list; rows of a list that fails
+    are tried one by one.  Results are passed on every second, so a lost task has lost few answers in memory.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -108,62 +135,56 @@ def per_row(df: DataFrame, columns: str | list[str], make_fn: Callable[[], Calla
     if error:
         schema = schema.add(error, "string")
 
-    late = TIMEOUT
-
     def run(batches):
+        import time
+
         import pyarrow as pa
 
-        fn = _limited(make_fn(), time_limit)
-
-        def value_of(row):
-            return row[shown[0]] if single else row
-
-        def attempt(row):
-            message = None
-            for _ in range(max_tries):
-                try:
-                    return fn(value_of(row)) if at_once is None else fn([value_of(row)])[0], None
-                except Exception as raised:
-                    value = fallback(raised) if fallback else None
-                    if value is not None:
-                        return value, None
-                    message = late if isinstance(raised, TimeoutError) else str(raised) or type(raised).__name__
-            return None, message
-
-        def attempt_all(rows):
-            if at_once is None or len(rows) < 2:
-                return [attempt(row) for row in rows]
-            try:
-                values = list(fn([value_of(row) for row in rows]))
-                if len(values) == len(rows):
-                    return [(value, None) for value in values]
-            except Exception:  # which row it was shows below
-                pass
-            return [attempt(row) for row in rows]
-
-        size = at_once or ROWS_PASSED_ON
-        for batch in (whole.slice(start, size) for whole in batches for start in range(0, whole.num_rows, size)):
-            rows = batch.select(shown).to_pylist()
-            answered = iter(attempt_all([row for row in rows if row[shown[0]] is not None]))
-            results = [(None, None) if row[shown[0]] is None else next(answered) for row in rows]
-            arrays = [*batch.columns, pa.array([value for value, _ in results], arrow_type)]
-            names = [*batch.schema.names, name]
+        call = Caller(make_fn, max_tries, fallback, time_limit, at_once)
+
+        def passed_on(part, results):
+            arrays = [*part.columns, pa.array([value for value, _ in results], arrow_type)]
+            names = [*part.schema.names, name]
             if error:
                 arrays.append(pa.array([message for _, message in results], pa.string()))
                 names.append(error)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        try:
+            for batch in batches:
+                rows, results, start, since = batch.select(shown).to_pylist(), [], 0, time.monotonic()
+                for first in range(0, len(rows), at_once or 1):
+                    part = rows[first:first + (at_once or 1)]
+                    answered = iter(call([row[shown[0]] if single else row for row in part if row[shown[0]] is not None]))
+                    results += [(None, None) if row[shown[0]] is None else next(answered) for row in part]
+                    if time.monotonic() - since >= PASSED_ON_AFTER:
+                        yield passed_on(batch.slice(start, len(results)), results)
+                        start, results, since = start + len(results), [], time.monotonic()
+                if results:
+                    yield passed_on(batch.slice(start, len(results)), results)
+        finally:
+            call.close()
 
     return df.mapInArrow(run, schema)
 
 
 def infer(df: DataFrame, prompt: str, make_fn: Callable[[], Callable[[str], str]], max_tries: int = 3,
           answer: str = "answer", error: str = "error", partitions: int | None = None,
-          time_limit: float | None = None, at_once: int | None = None) -> DataFrame:
+          time_limit: float | None = None, at_once: int | None = None, ledger: str | None = None,
+          apart: list[str] | None = None) -> DataFrame:
     """Answer of a model for each prompt.
 
     ``partitions`` spreads the prompts evenly first, for calls that take long.  With
     ``at_once`` the model gets lists of prompts.  ``time_limit`` bounds each call in seconds.
+
+    With ``ledger``, a folder that all executors reach, equal prompts are asked once, unless they differ in the
+    columns ``apart``; answers are filed there as they come, and what is on file is not asked again, by a
+    task that is run again or by another job (see :mod:`unitloom.plans.ledger`).
     """
+    if ledger is not None:
+        def caller():
+            return Caller(make_fn, max_tries, seconds=time_limit, at_once=at_once)
+        return ask_once(df, prompt, ledger, caller, answer, error, apart, partitions, at_once or 1)
     spread = df if partitions is None else df.repartition(partitions)
     return per_row(spread, prompt, make_fn, "string", answer, max_tries, error, time_limit=time_limit, at_once=at_once)
 
@@ -172,7 +193,13 @@ def column_check(check: Callable[[Column], Column], text: str = "text") -> Calla
     """A check written as a column expression: text -> struct(code, output)."""
     def apply(df: DataFrame) -> DataFrame:
         return df.withColumn("checked", F.when(F.col(text).isNotNull(), check(F.col(text)).cast(RESULT)))
-    return apply
+    return reading(apply, text)
+
+
+def reading(fn: Callable, *columns: str) -> Callable:
+    """Tell the rounds which columns a check or repair reads; one that does not say gets all."""
+    fn.reads = columns
+    return fn
 
 
 def row_check(make_fn: Callable[[], Callable], columns: str | list[str] = "text",
@@ -198,7 +225,7 @@ def row_check(make_fn: Callable[[], Callable], columns: str | list[str] = "text"
 
     def apply(df: DataFrame) -> DataFrame:
         return per_row(df, columns, make, RESULT, "checked", error="check_error", fallback=late, time_limit=time_limit)
-    return apply
+    return reading(apply, *([columns] if isinstance(columns, str) else columns))
 
 
 def _event(name: Column, code: int, info: Column | None = None) -> Column:
@@ -208,10 +235,6 @@ def _event(name: Column, code: int, info: Column | None = None) -> Column:
     ).cast(EVENT)
 
 
-def add_events(events: Column, *new: Column) -> Column:
-    return F.concat(events, F.array(*new))
-
-
 def start_items(items: DataFrame) -> DataFrame:
     """Items with the columns the rounds keep: repairs, outcome and events."""
     return items.withColumns({
@@ -222,7 +245,7 @@ def start_items(items: DataFrame) -> DataFrame:
 
 def repair_rounds(items: DataFrame, check: Callable[[DataFrame], DataFrame], repair: Callable[[DataFrame], DataFrame],
                   rounds: int, stage: Stage = COMPILE_STAGE, gate: Callable[[DataFrame], DataFrame] | None = None,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, steps: Steps | None = None) -> DataFrame:
     """Check items, repair what failed, check again; at most ``rounds`` repairs.
 
     ``items`` come from :func:`start_items` and have a ``text``; items that already have
@@ -232,60 +255,125 @@ def repair_rounds(items: DataFrame, check: Callable[[DataFrame], DataFrame], rep
     ``gate``, a repaired text must pass it before it is checked, or the item stops with
     the result it had.  ``partitions`` spreads the items before checks that take long (I5).
 
-    The items and each round, which handles only what is still pending, are written once, so
-    a plan never asks a model twice for one answer; a task that Spark runs again does ask
-    again.  An item whose check gives no code, or that has no text, ends as an error.  Every item is in exactly one of the pieces that
-    are put together at the end.
+    The items are numbered and written once.  Rounds carry an item's number, its text and the columns that
+    check, gate and repair read (see :func:`reading`); the rest, and events, meet the outcome in
+    one join at the end.  Each round handles only what is still pending and is written once, so a plan never
+    asks a model twice for one answer.  With ``steps``, finished rounds are kept under their names, and a job that
+    starts again goes on after them.  An item whose check gives no code, or that has no text, ends as an error.  Every
+    item ends exactly once.
     """
-    items = cut_lineage(items, "items")
-    columns = items.columns
+    kept = steps or Unnamed()
+    given = items
+    items = kept.keep(lambda: numbered(given), f"{stage.name}-items")
+    ended = run_rounds(thin_items(items, check, repair, gate), check, repair, rounds, stage, gate, partitions, kept)
+    return with_outcome(items, ended.rows(), [ended])
+
+
+def numbered(items: DataFrame) -> DataFrame:
+    return items.withColumn(ITEM, F.monotonically_increasing_id())
+
+
+#: What rounds know of an item beside its number.
+STATE = ("text", "repairs", "outcome")
+
+
+def thin_items(items: DataFrame, *functions: Callable | None) -> DataFrame:
+    """Items with their number, state, and the columns that these functions read."""
+    used = [fn for fn in functions if fn is not None]
+    if all(hasattr(fn, "reads") for fn in used):
+        read = {column for fn in used for column in fn.reads}
+    else:
+        read = set(items.columns) - {"events"}
+    return items.select(ITEM, *STATE, *[column for column in items.columns if column in read and column not in (ITEM, *STATE)])
+
+
+class Ended:
+    """How items end, and what happened to them, as tables by item number."""
+
+    def __init__(self, columns: list[str]):
+        self.columns, self.pieces, self.happened = columns, [], []
+
+    def add(self, rows: DataFrame, outcome: str | None, text: Column, step: int, *events: Column) -> None:
+        self.pieces.append(rows.withColumns({"text": text, "outcome": F.lit(outcome).cast("string")}).select(*self.columns))
+        self.tell(rows, step, F.array(*events))
+
+    def tell(self, rows: DataFrame, step: int, events: Column) -> None:
+        self.happened.append(rows.select(ITEM, F.lit(step).alias("step"), events.cast(f"array<{EVENT}>").alias("events")))
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.pieces)
+
+
+def with_outcome(items: DataFrame, ended: DataFrame, stages: list[Ended], extra: list[str] | None = None) -> DataFrame:
+    """Items with the text, repairs and outcome they ended with, and all their events in order."""
+    told = reduce(DataFrame.unionByName, [
+        rows.withColumn("stage", F.lit(number)) for number, stage in enumerate(stages) for rows in stage.happened])
+    told = told.groupBy(ITEM).agg(F.flatten(F.sort_array(F.collect_list(F.struct("stage", "step", "events")))["events"]).alias("_told"))
+    columns = [column for column in items.columns if column != ITEM]
+    out = items.drop(*STATE).join(ended.select(ITEM, *STATE, *(extra or [])), ITEM).join(told, ITEM, "left")
+    out = out.withColumn("events", F.concat("events", F.coalesce("_told", F.array().cast(f"array<{EVENT}>"))))
+    return out.select(*columns, *(extra or []))
+
+
+def run_rounds(items: DataFrame, check: Callable[[DataFrame], DataFrame], repair: Callable[[DataFrame], DataFrame], rounds: int,
+               stage: Stage, gate: Callable[[DataFrame], DataFrame] | None, partitions: int | None, kept: Steps | Unnamed) -> Ended:
+    """The rounds over thin items; steps are named by stage and round."""
+    ended = Ended(items.columns)
     busy = items.where(F.col("outcome").isNull())
     if partitions is not None:
         busy = busy.repartition(partitions)
-    first = cut_lineage(_plain(check(busy)), "check")
-    settled = [items.where(F.col("outcome").isNotNull()), _errors(first, columns), _passed(first, stage, columns)]
+    first = kept.keep(lambda: _plain(check(busy)), f"{stage.name}-check-0")
+    ended.pieces.append(items.where(F.col("outcome").isNotNull()))
+    _decided(ended, first, stage, 1)
     pending = _failing(first)
     for number in range(1, rounds + 1):
         if pending.isEmpty():
             break
-        asked = _with_default(repair(pending.withColumn("output", F.col("checked.output"))), "repair_events",
-                              f"array<{EVENT}>")
-        made = asked.withColumns({
-            "repaired": F.nullif(F.col("repaired"), F.lit("")), "_old_text": F.col("text"), "_old": F.col("checked"),
-        }).withColumn("text", F.col("repaired")).drop("checked", "check_error")
-        if gate is not None:
-            gated = _plain(gate(made))
-            made = gated.withColumns({
+        failing = pending
+
+        def repaired() -> DataFrame:
+            asked = _with_default(repair(failing.withColumn("output", F.col("checked.output"))), "repair_events", f"array<{EVENT}>")
+            return asked.withColumns({
+                "repaired": F.nullif(F.col("repaired"), F.lit("")), "_old_text": F.col("text"), "_old": F.col("checked"),
+            }).withColumn("text", F.col("repaired")).drop("checked", "check_error")
+
+        def gated() -> DataFrame:
+            return _plain(gate(repaired())).withColumns({
                 "_gate": F.col("checked"), "_gate_error": F.col("check_error"), "_new_text": F.col("text"),
                 "text": F.when(F.col("checked.code") == 0, F.col("text")),
             }).drop("checked", "check_error")
-            made = cut_lineage(made, "gate")
-        done = cut_lineage(_plain(check(made)), "round")
-        events = F.concat(F.col("events"), F.coalesce("repair_events", F.array().cast(f"array<{EVENT}>")))
-        done = done.withColumn("events", events)
+
+        made = repaired if gate is None else lambda: kept.keep(gated, f"{stage.name}-gate-{number}")
+        done = kept.keep(lambda: _plain(check(made())), f"{stage.name}-check-{number}")
+        step = 2 * number + 1
+        ended.tell(done.where(F.col("repair_events").isNotNull()), step - 1, F.col("repair_events"))
         no_repair = F.col("repaired").isNull()
-        settled.append(_end(
-            done.where(no_repair), columns, REPAIR_FAILED, F.col("_old_text"),
-            _event(event_name(stage.no_repair, F.lit(number)), 1),
-        ))
+        ended.add(done.where(no_repair), REPAIR_FAILED, F.col("_old_text"), step, _event(event_name(stage.no_repair, F.lit(number)), 1))
         ready = done.where(~no_repair)
         if gate is not None:
             error = F.col("_gate_error")
-            settled.append(_end(ready.where(error.isNotNull()), columns, OTHER, F.col("_new_text"),
-                                _event(F.lit(OTHER_ERROR), 1, error)))
+            ended.add(ready.where(error.isNotNull()), OTHER, F.col("_new_text"), step, _event(F.lit(OTHER_ERROR), 1, error))
             open_gate = F.col("_gate.code") == 0
-            settled.append(_end(
-                ready.where(error.isNull() & ~open_gate), columns, stage.outcome_failed, F.col("_new_text"),
+            ended.add(
+                ready.where(error.isNull() & ~open_gate), stage.outcome_failed, F.col("_new_text"), step,
                 _event(event_name(stage.gate_failed, F.lit(number)), 1),
                 _event(event_name(stage.failed, F.lit(number - 1)), 1, F.col("_old.output")),
-            ))
+            )
             ready = ready.where(error.isNull() & open_gate)
         ready = ready.withColumn("repairs", F.lit(number))
-        settled += [_errors(ready, columns), _passed(ready, stage, columns)]
-        pending = _failing(ready).select(*[c for c in [*columns, "checked", "check_error"]])
-    settled.append(_end(pending, columns, stage.outcome_failed, F.col("text"),
-                        _event(event_name(stage.failed, F.col("repairs")), 1, F.col("checked.output"))))
-    return reduce(DataFrame.unionByName, settled)
+        _decided(ended, ready, stage, step)
+        pending = _failing(ready).select(*items.columns, "checked", "check_error")
+    ended.add(pending, stage.outcome_failed, F.col("text"), 2 * rounds + 2,
+              _event(event_name(stage.failed, F.col("repairs")), 1, F.col("checked.output")))
+    return ended
+
+
+def _decided(ended: Ended, rows: DataFrame, stage: Stage, step: int) -> None:
+    """File what a check has passed, and what it gave no code for."""
+    error = F.col("check_error")
+    ended.add(rows.where(error.isNotNull()), OTHER, F.col("text"), step, _event(F.lit(OTHER_ERROR), 1, error))
+    ended.add(rows.where(error.isNull() & (F.col("checked.code") == 0)), stage.outcome_passed, F.col("text"), step,
+              _event(event_name(stage.passed, F.col("repairs")), 0))
 
 
 def _with_default(df: DataFrame, name: str, kind: str) -> DataFrame:
@@ -298,24 +386,6 @@ def _plain(checked: DataFrame) -> DataFrame:
     return known.withColumn("check_error", F.coalesce("check_error", F.when(F.col("checked.code").isNull(), F.lit(NO_RESULT))))
 
 
-def _end(rows: DataFrame, columns: list[str], outcome: str | None, text: Column, *events: Column) -> DataFrame:
-    out = rows.withColumns({
-        "text": text, "outcome": F.lit(outcome).cast("string"), "events": add_events(F.col("events"), *events),
-    })
-    return out.select(*columns)
-
-
-def _errors(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return _end(rows.where(F.col("check_error").isNotNull()), columns, OTHER, F.col("text"),
-                _event(F.lit(OTHER_ERROR), 1, F.col("check_error")))
-
-
-def _passed(rows: DataFrame, stage: Stage, columns: list[str]) -> DataFrame:
-    good = rows.where(F.col("check_error").isNull() & (F.col("checked.code") == 0))
-    return _end(good, columns, stage.outcome_passed, F.col("text"),
-                _event(event_name(stage.passed, F.col("repairs")), 0))
-
-
 def _failing(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("check_error").isNull() & (F.col("checked.code") != 0))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 #: Runtime settings every job of this library relies on.  The skew-join rule is the
 #: one that splits a hot join key, so it is forced even where it adds a shuffle.
@@ -67,3 +69,38 @@ def drop_steps(spark: SparkSession, paths: list[str]) -> None:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         _STEPS.remove(path)
+
+
+class Steps:
+    """Steps under names in a folder of a job's own, with a manifest of those that are finished.
+
+    A job that starts again with the same folder reads finished steps and goes on from there; a step that was
+    being written is written anew.  A step's name says what it is, so the folder must belong to one job and
+    one set of inputs: name it by a run id.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+        self.finished: dict[str, T.StructType] = {}
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            for row in spark.read.schema("step string, columns string").json(f"{self.folder}/manifest").collect():
+                self.finished[row["step"]] = T.StructType.fromJson(json.loads(row["columns"]))
+
+    def keep(self, make: Callable[[], DataFrame], name: str) -> DataFrame:
+        """What ``make`` gives, written under ``name`` and read back; if that step is finished, only read, and ``make`` is not called."""
+        path = f"{self.folder}/{name}"
+        if name not in self.finished:
+            df = make()
+            df.write.mode("overwrite").parquet(path)
+            note = self.spark.createDataFrame([(name, df.schema.json())], "step string, columns string")
+            note.coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+            self.finished[name] = df.schema
+        return self.spark.read.schema(self.finished[name]).parquet(path)
+
+
+class Unnamed:
+    """Steps that are not found again: each is written under a new name to the shared folder."""
+
+    def keep(self, make: Callable[[], DataFrame], name: str) -> DataFrame:
+        return cut_lineage(make(), name)
