@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from unitloom.session import cut_lineage
 from unitloom.sources.listing import file_system
 
-#: Hexadecimal digits of a bucket, and seconds after which new answers are filed.
-DIGITS, FILED_AFTER = 3, 1.0
+#: Hexadecimal digits of a bucket (16 ** DIGITS tasks can ask at once), and seconds after which new answers are filed.
+DIGITS, FILED_AFTER = 2, 1.0
 
 
 def digest_of(prompt: Column, apart: list[str]) -> Column:
@@ -61,7 +61,7 @@ class Bucket:
 
 
 def ask_once(df: DataFrame, prompt: str, ledger: str, caller: Callable, answer: str, error: str, apart: list[str] | None = None,
-             partitions: int | None = None, at_once: int = 1) -> DataFrame:
+             partitions: int | None = None, at_once: int = 1, digits: int = DIGITS) -> DataFrame:
     """``df`` with the answer to each row's prompt, where equal prompts are one question.
 
     ``caller`` builds, once per task, a function from a list of prompts to a list of (answer, error).  Only digests and distinct
@@ -70,7 +70,7 @@ def ask_once(df: DataFrame, prompt: str, ledger: str, caller: Callable, answer:
     digest = digest_of(F.col(prompt), apart or [])
     keyed = df.withColumn("_digest", F.when(F.col(prompt).isNotNull(), digest))
     questions = keyed.where("_digest IS NOT NULL").groupBy("_digest").agg(F.first(prompt).alias("prompt"))
-    questions = questions.withColumn("_bucket", F.substring("_digest", 1, DIGITS))
+    questions = questions.withColumn("_bucket", F.substring("_digest", 1, digits))
 
     def ask(batches):
         import pyarrow as pa

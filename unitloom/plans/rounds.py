@@ -290,15 +290,9 @@ def thin_items(items: DataFrame, *functions: Callable | None) -> DataFrame:
 class Ended:
     """How items end, and what happened to them, as tables by item number."""
 
-    def __init__(self, columns: list[str]):
-        self.columns, self.pieces, self.happened = columns, [], []
-
-    def add(self, rows: DataFrame, outcome: str | None, text: Column, step: int, *events: Column) -> None:
-        self.pieces.append(rows.withColumns({"text": text, "outcome": F.lit(outcome).cast("string")}).select(*self.columns))
-        self.tell(rows, step, F.array(*events))
-
-    def tell(self, rows: DataFrame, step: int, events: Column) -> None:
-        self.happened.append(rows.select(ITEM, F.lit(step).alias("step"), events.cast(f"array<{EVENT}>").alias("events")))
+    def __init__(self):
+        self.pieces: list[DataFrame] = []
+        self.happened: list[DataFrame] = []
 
     def rows(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.pieces)
@@ -306,28 +300,66 @@ class Ended:
 
 def with_outcome(items: DataFrame, ended: DataFrame, stages: list[Ended], extra: list[str] | None = None) -> DataFrame:
     """Items with the text, repairs and outcome they ended with, and all their events in order."""
-    told = reduce(DataFrame.unionByName, [
-        rows.withColumn("stage", F.lit(number)) for number, stage in enumerate(stages) for rows in stage.happened])
-    told = told.groupBy(ITEM).agg(F.flatten(F.sort_array(F.collect_list(F.struct("stage", "step", "events")))["events"]).alias("_told"))
+    happened = [rows.withColumn("stage", F.lit(number)) for number, stage in enumerate(stages) for rows in stage.happened]
+    told = reduce(DataFrame.unionByName, happened).groupBy(ITEM).agg(
+        F.flatten(F.sort_array(F.collect_list(F.struct("stage", "step", "told")))["told"]).alias("_told"))
     columns = [column for column in items.columns if column != ITEM]
     out = items.drop(*STATE).join(ended.select(ITEM, *STATE, *(extra or [])), ITEM).join(told, ITEM, "left")
-    out = out.withColumn("events", F.concat("events", F.coalesce("_told", F.array().cast(f"array<{EVENT}>"))))
-    return out.select(*columns, *(extra or []))
+    events = F.concat("events", F.coalesce("_told", F.array().cast(f"array<{EVENT}>")))
+    return out.withColumn("events", events).select(*columns, *(extra or []))
+
+
+def _judged(checked: DataFrame, stage: Stage, number: int, last: bool, gated: bool) -> DataFrame:
+    """Checked items with ``ended``, their state, and ``told``: what the round says of them.
+
+    Cases are tried in order; an item that meets none stays pending, or has failed in the last round.
+    """
+    known = _with_default(checked, "check_error", "string")
+    # a check that gives no code is an error, so that no item is lost
+    known = known.withColumn("check_error", F.coalesce("check_error", F.when(F.col("checked.code").isNull(), F.lit(NO_RESULT))))
+    text, error, code = F.col("text"), F.col("check_error"), F.col("checked.code")
+    before, repairs = F.col("repairs"), F.lit(number) if number else F.col("repairs")
+    cases = []
+    if number:
+        no_repair = F.array(_event(event_name(stage.no_repair, F.lit(number)), 1))
+        cases.append((F.col("repaired").isNull(), True, REPAIR_FAILED, F.col("_old_text"), before, no_repair))
+    if number and gated:
+        gate_error, new = F.col("_gate_error"), F.col("_new_text")
+        refused = F.array(_event(event_name(stage.gate_failed, F.lit(number)), 1),
+                          _event(event_name(stage.failed, F.lit(number - 1)), 1, F.col("_old.output")))
+        cases += [(gate_error.isNotNull(), True, OTHER, new, before, F.array(_event(F.lit(OTHER_ERROR), 1, gate_error))),
+                  (F.col("_gate.code") != 0, True, stage.outcome_failed, new, before, refused)]
+    failed = F.array(_event(event_name(stage.failed, repairs), 1, F.col("checked.output")))
+    cases += [
+        (error.isNotNull(), True, OTHER, text, repairs, F.array(_event(F.lit(OTHER_ERROR), 1, error))),
+        (code == 0, True, stage.outcome_passed, text, repairs, F.array(_event(event_name(stage.passed, repairs), 0))),
+        (F.lit(True), last, stage.outcome_failed if last else None, text, repairs, failed if last else F.array()),
+    ]
+    verdict = None
+    for condition, ended, outcome, its_text, its_repairs, told in cases:
+        value = F.struct(
+            F.lit(ended).alias("ended"), its_text.alias("text"), its_repairs.cast("int").alias("repairs"), F.lit(outcome).cast("string").alias("outcome"),
+            told.cast(f"array<{EVENT}>").alias("told"))
+        verdict = F.when(condition, value) if verdict is None else verdict.when(condition, value)
+    out = known.withColumn("_verdict", verdict)
+    told = F.col("_verdict.told")
+    if number:
+        told = F.concat(F.coalesce("repair_events", F.array().cast(f"array<{EVENT}>")), told)
+    work = ("repaired", "repair_events", "_old_text", "_old", "_gate", "_gate_error", "_new_text", "_verdict", "output")
+    return out.withColumns({**{name: F.col(f"_verdict.{name}") for name in ("ended", *STATE)}, "told": told}).drop(*work)
 
 
 def run_rounds(items: DataFrame, check: Callable[[DataFrame], DataFrame], repair: Callable[[DataFrame], DataFrame], rounds: int,
                stage: Stage, gate: Callable[[DataFrame], DataFrame] | None, partitions: int | None, kept: Steps | Unnamed) -> Ended:
     """The rounds over thin items; steps are named by stage and round."""
-    ended = Ended(items.columns)
+    ended = Ended()
     busy = items.where(F.col("outcome").isNull())
     if partitions is not None:
         busy = busy.repartition(partitions)
-    first = kept.keep(lambda: _plain(check(busy)), f"{stage.name}-check-0")
     ended.pieces.append(items.where(F.col("outcome").isNotNull()))
-    _decided(ended, first, stage, 1)
-    pending = _failing(first)
-    for number in range(1, rounds + 1):
-        if pending.isEmpty():
+    pending = busy
+    for number in range(rounds + 1):
+        if number and pending.isEmpty():
             break
         failing = pending
 
@@ -338,58 +370,31 @@ def run_rounds(items: DataFrame, check: Callable[[DataFrame], DataFrame], repair
             }).withColumn("text", F.col("repaired")).drop("checked", "check_error")
 
         def gated() -> DataFrame:
-            return _plain(gate(repaired())).withColumns({
-                "_gate": F.col("checked"), "_gate_error": F.col("check_error"), "_new_text": F.col("text"),
+            passed = _with_default(gate(repaired()), "check_error", "string")
+            no_code = F.when(F.col("checked.code").isNull(), F.lit(NO_RESULT))
+            return passed.withColumns({
+                "_gate": F.col("checked"), "_gate_error": F.coalesce("check_error", no_code), "_new_text": F.col("text"),
                 "text": F.when(F.col("checked.code") == 0, F.col("text")),
             }).drop("checked", "check_error")
 
-        made = repaired if gate is None else lambda: kept.keep(gated, f"{stage.name}-gate-{number}")
-        done = kept.keep(lambda: _plain(check(made())), f"{stage.name}-check-{number}")
-        step = 2 * number + 1
-        ended.tell(done.where(F.col("repair_events").isNotNull()), step - 1, F.col("repair_events"))
-        no_repair = F.col("repaired").isNull()
-        ended.add(done.where(no_repair), REPAIR_FAILED, F.col("_old_text"), step, _event(event_name(stage.no_repair, F.lit(number)), 1))
-        ready = done.where(~no_repair)
-        if gate is not None:
-            error = F.col("_gate_error")
-            ended.add(ready.where(error.isNotNull()), OTHER, F.col("_new_text"), step, _event(F.lit(OTHER_ERROR), 1, error))
-            open_gate = F.col("_gate.code") == 0
-            ended.add(
-                ready.where(error.isNull() & ~open_gate), stage.outcome_failed, F.col("_new_text"), step,
-                _event(event_name(stage.gate_failed, F.lit(number)), 1),
-                _event(event_name(stage.failed, F.lit(number - 1)), 1, F.col("_old.output")),
-            )
-            ready = ready.where(error.isNull() & open_gate)
-        ready = ready.withColumn("repairs", F.lit(number))
-        _decided(ended, ready, stage, step)
-        pending = _failing(ready).select(*items.columns, "checked", "check_error")
-    ended.add(pending, stage.outcome_failed, F.col("text"), 2 * rounds + 2,
-              _event(event_name(stage.failed, F.col("repairs")), 1, F.col("checked.output")))
+        def judged() -> DataFrame:
+            if number == 0:
+                made = failing
+            else:
+                made = repaired() if gate is None else kept.keep(gated, f"{stage.name}-gate-{number}")
+            return _judged(check(made), stage, number, number == rounds, gate is not None)
+
+        done = kept.keep(judged, f"{stage.name}-check-{number}")
+        ended.pieces.append(done.where("ended").select(*items.columns))
+        ended.happened.append(done.select(ITEM, F.lit(number).alias("step"), "told"))
+        pending = done.where("NOT ended").select(*items.columns, "checked", "check_error")
     return ended
 
 
-def _decided(ended: Ended, rows: DataFrame, stage: Stage, step: int) -> None:
-    """File what a check has passed, and what it gave no code for."""
-    error = F.col("check_error")
-    ended.add(rows.where(error.isNotNull()), OTHER, F.col("text"), step, _event(F.lit(OTHER_ERROR), 1, error))
-    ended.add(rows.where(error.isNull() & (F.col("checked.code") == 0)), stage.outcome_passed, F.col("text"), step,
-              _event(event_name(stage.passed, F.col("repairs")), 0))
-
-
 def _with_default(df: DataFrame, name: str, kind: str) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
 
 
-def _plain(checked: DataFrame) -> DataFrame:
-    """Checked rows with an error where the check gave no code, so that no row is lost."""
-    known = _with_default(checked, "check_error", "string")
-    return known.withColumn("check_error", F.coalesce("check_error", F.when(F.col("checked.code").isNull(), F.lit(NO_RESULT))))
-
-
-def _failing(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("check_error").isNull() & (F.col("checked.code") != 0))
-
-
 def to_events(items: DataFrame, project: str = "project", item_id: str = "method_id") -> DataFrame:
     """Event rows of items, in the columns of the log (I4); an item can have several."""
     return items.select(
