@@ -246,3 +246,73 @@ def test_disclosing_terms_anywhere_in_the_document(spark, stored):
     for doc, text in rows[:4]:
         assert [(t.start, t.stop, t.removed) for t in out[doc]] == [(0, 6, True), (len(text) - 6, len(text), True)]
     assert not any(out[doc] for doc, _ in rows[4:])
+
+
+@pytest.mark.parametrize("lengths", [(1032, 528, 520, 496), tuple(range(520, 1021, 7)), (1025,), (683, 1)])
+def test_hard_lengths_come_to_an_end(spark, stored, lengths):
+    """Lengths that never fill a bin: rounds end, ids are distinct, and few bins more are used than by one run over all."""
+    rows = [(i, 0, lengths[i % len(lengths)]) for i in range(4000)]
+    pieces = stored(rows, f"{ROW} long, piece int, length long")
+    found = packing.pack(pieces, part_pieces=800).join(pieces, [ROW, "piece"]).select(ROW, "sequence_id", "offset", "length").collect()
+    assert sorted(r[ROW] for r in found) == list(range(4000))
+    bins = {}
+    for r in found:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in bins.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    whole, _ = packing.best_fit_decreasing(np.array([length for _, _, length in rows]))
+    assert len(bins) <= 1.01 * (whole.max() + 1) + 5
+
+
+def test_packing_of_a_whole_table(spark):
+    """The query against the library's own ids: every piece, its place and its checksum."""
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    tokenizer = Tokenizer.from_file(WORDS)
+    expected = {}
+    for doc_id, text in docs.items():
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        for piece, start in enumerate(range(0, len(ids), 2048)):
+            own = np.array(ids[start:start + 2048], "<u4")
+            expected[doc_id, piece] = (start, len(own), zlib.crc32(own.tobytes()))
+    found = packing.op9_bestfit_packing(spark, folder).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in found} == expected and len(found) == len(expected)
+    bins = {}
+    for r in found:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in bins.values():
+        ends = np.cumsum([length for _, length in sorted(held)])
+        assert [offset for offset, _ in sorted(held)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    counts = np.bincount([length for _, length, _ in expected.values()], minlength=2049)
+    assert packing.lower_bound(counts) <= len(bins) <= packing.best_fit_decreasing(np.repeat(np.arange(2049), counts))[0].max() + 1
+    empty = packing.packed_documents(spark.read.parquet(f"{folder}/documents.parquet").where("false"), WORDS)
+    assert empty.count() == 0
+
+
+def test_pieces_of_a_whole_table(spark, stored):
+    """The query's ids and texts against the library's, on a table and on odd rows: nulls, repeats, clashing columns, no rows."""
+    from hashlib import sha256
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    folder = "/root/testdata/sf0.001"
+    found = pieces.op7_sentencepiece(spark, folder)
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    expected = []
+    for row in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        ids = model.encode(row["text"] or "", add_eos=True)
+        digests = [sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), model.decode(ids))]
+        expected.append((row["doc_id"], len(ids), *digests))
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    odd = pieces.encoded(stored(ODD), PIECES, texts_at_once=3)
+    wanted = [(i, model.encode(t or "", add_eos=True)) for i, t in ODD]
+    assert sorted(((r["doc_id"], list(r["ids"]), r["decoded"]) for r in odd.collect()), key=repr) == sorted(
+        ((i, ids, model.decode(ids)) for i, ids in wanted), key=repr)
+    assert pieces.encoded(stored([]), PIECES).count() == 0

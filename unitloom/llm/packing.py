@@ -5,7 +5,8 @@ pieces and a shorter last one.  Pieces are dealt to partitions.  A partition pac
 decreasing, and dual feasible functions bound from below how many bins its pieces need at least.
 A partition whose count equals its bound is certified; one with a gap gives up its emptiest bins.
 What partitions give up is dealt to fewer partitions, where documents of many meet, and packed
-again, until one partition holds all that is left.  Nothing but lengths and keys is shuffled.
+again, until one partition holds all that is left.  A partition keeps half of its pieces at least, its fullest bins
+first, so the number of rounds is the logarithm of the number of partitions.  Nothing but lengths and keys is shuffled.
 
 A null text has the end id only.  Rows that repeat an id are documents of their own.
 """
@@ -206,7 +207,10 @@ def _packer(capacity: int, last: bool):
         again = np.zeros(n, bool)
         if not last:
             loose = np.argsort(fill, kind="stable")[:GIVEN_UP + (GIVEN_UP_PER_GAP * gap if gap else 0)]
-            again[loose[fill[loose] < capacity]] = True
+            loose = loose[fill[loose] < capacity]
+            # at most half of the pieces go on, so rounds come to an end whatever the lengths are
+            held = np.cumsum(np.bincount(bins, minlength=n)[loose])
+            again[loose[held <= len(rows) // 2]] = True
         return pd.DataFrame({ROW: rows[ROW], "piece": rows["piece"], "length": lengths, "part": rows["part"], "bin": bins,
                              "offset": offsets, "again": again[bins]})
     return pack
@@ -228,6 +232,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PI
         packed = cut_lineage(dealt.groupBy("part").applyInPandas(
             _packer(capacity, parts == 1),
             f"{ROW} long, piece int, length long, part long, bin long, offset long, again boolean"), "packed")
+        if step >= 32:
+            raise ValueError("more rounds than sequence ids have room for")
         number = F.lit(step).cast("long") * (1 << 58) + F.col("part") * (1 << 30) + F.col("bin")
         done.append(packed.where("NOT again").select(ROW, "piece", number.alias("sequence_id"), "offset"))
         rest = packed.where("again").select(ROW, "piece", "length")
