@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitloom.operators.filters import choose_groups, exists_in
-from unitloom.operators.joins import link_by_type, resolve_references
+from unitloom.operators.joins import link_by_type, resolve_cascade, resolve_references
 from unitloom.plans.rounds import OTHER, column_check, infer, repair_rounds, row_check, start_items
 from unitloom.sources.files import require_groups
 from unitloom.sources.records import CLASS_RECORD, METHOD_RECORD, read_facts_json, write_facts_json
@@ -89,7 +89,9 @@ def test_hot_keys_of_grouped_lookups_are_split(spark):
             spark.conf.set(key, value)
         rows = spark.range(60_000, numPartitions=8).select("id", F.when(F.col("id") % 10 < 8, 0).otherwise(F.col("id")).alias("k"))
         known = spark.range(60_000).select(F.col("id").alias("k"), F.col("id").alias("target"))
-        for joined in (exists_in(rows, known, ["k"]), choose_groups(rows, "k", known), resolve_references(rows, known, {"k": "k"}, "target"),
+        scope = known.groupBy("k").agg(F.max("target").alias("value")).withColumn("name", F.lit("n"))
+        cascade = resolve_cascade(rows, F.lit("n"), [(scope, ["k"], None, None)], F.lit(-1))
+        for joined in (cascade, exists_in(rows, known, ["k"]), choose_groups(rows, "k", known), resolve_references(rows, known, {"k": "k"}, "target"),
                        link_by_type(rows, known, {"k": "k"})):
             joined.write.format("noop").mode("overwrite").save()
             seen = joined._jdf.queryExecution().executedPlan()

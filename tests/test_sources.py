@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from unitloom.plans import load
 from unitloom.sources import events, files, listing, records, tables
 
 CONTENT = "class A {\n  // ü\n}\n"
@@ -189,3 +190,40 @@ def test_routes(spark, tmp_path):
     assert (tmp_path / "by_outcome" / "outcome=passed").is_dir()
     assert spark.read.parquet(str(tmp_path / "by_outcome")).where("outcome = 'compile_error'").first().method_id == 2
     assert (tmp_path / "artifacts" / "project=p" / "package=a.b").is_dir()
+
+
+def test_artifacts_are_clustered(spark, tmp_path):
+    """A project is one folder; files hold runs of packages, so a reader of one package can pass over the others."""
+    rows = [("p", f"k{i % 50:02d}", i, "x" * 50) for i in range(4000)] + [("p", "hot", 10_000 + i, "y" * 50) for i in range(4000)] + [("q", None, 1, "z")]
+    df = spark.createDataFrame(rows, "project string, package string, method_id int, prompt string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small files, as large ones would be
+    try:
+        tables.write_artifacts(df, str(tmp_path / "a"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    found = spark.read.parquet(str(tmp_path / "a"))
+    spans = found.where("project = 'p'").groupBy(F.col("_metadata.file_path")).agg(F.min("package").alias("first"), F.max("package").alias("last")).collect()
+    assert len(spans) > 1 and sum(r["first"] <= "k07" <= r["last"] for r in spans) == 1
+    assert sum(r["first"] <= "hot" <= r["last"] for r in spans) > 1  # a large package has several files
+    one = tables.read_artifacts(spark, str(tmp_path / "a"), "p", "k07")
+    assert one.count() == 80 and tables.read_artifacts(spark, str(tmp_path / "a")).count() == 8001
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(package,k07)" in plan and "PartitionFilters: [isnotnull(project" in plan
+
+
+def test_several_parameters_keep_their_order(spark):
+    """Methods with two to four parameters: order of parameters, of links to classes, and of calls."""
+    named = {"run": {"c": "C", "a": "A", "b": "B"}, "go": {"z": "B", "y": "A"}, "all": {"d": "A", "c": "B", "b": "C", "a": "A"}}
+    calls = [("go", "A"), ("none", "A"), ("run", "A"), ("go", "A")]
+    items = [("p", record("A", methods=[(m, p, calls if m == "all" else []) for m, p in named.items()])), ("p", record("B")), ("p", record("C"))]
+    made = load.to_fact_tables(record_rows(spark, items))
+    methods = {r.method_id: r.method_identifier for r in made["methods"].collect()}
+    assert [methods[i] for i in sorted(methods)] == list(named)
+    parameters = made["method_parameters"].orderBy("method_id", "ord").collect()
+    assert [(methods[r.method_id], r.parameter_name, r.parameter_type) for r in parameters] == [
+        (m, name, kind) for m, p in named.items() for name, kind in p.items()]
+    links = made["related_classes"].orderBy("method_id", "ord").collect()
+    assert [(methods[r.method_id], r.ord, r.class_identifier) for r in links] == [
+        (m, i, kind) for m, p in named.items() for i, kind in enumerate(p.values())]
+    edges = made["related_methods"].orderBy("source_id", "ord").collect()
+    assert [(methods[r.source_id], r.ord, methods[r.target_id]) for r in edges] == [("all", 0, "go"), ("all", 2, "run"), ("all", 3, "go")]

@@ -55,7 +55,10 @@ def set_package(text: Column, package: Column) -> Column:
 
 
 def first_class_name(text: Column) -> Column:
-    """Name after the first ``class`` keyword outside comments; null if none."""
+    """Name after the first ``class`` keyword outside comments; null if none.
+
+    A pattern: it also takes a class in a string or inside an interface.  :func:`unitloom.plans.extract.class_names` reads the tree.
+    """
     bare = F.regexp_replace(text, r"/\*[\s\S]*?\*/|//[^\n]*", " ")
     return F.nullif(F.regexp_extract(bare, r"(?:^|[\s;{}@)])class\s+([^\s{<(;]+)", 1), F.lit(""))
 
@@ -65,9 +68,9 @@ def unique_class_name(owner: Column, unit_id: Column, run_id: Column | str) -> C
     return F.concat(owner, F.lit("Test_Method_"), unit_id.cast("string"), F.lit("_Run_"), _lit(run_id).cast("string"))
 
 
-def rename_class(text: Column, new_name: Column) -> Column:
-    """Replace every occurrence of the text's own class name; null if it has none."""
-    return F.replace(text, first_class_name(text), new_name)
+def rename_class(text: Column, new_name: Column, own_name: Column | None = None) -> Column:
+    """Replace every occurrence of the text's own class name, by default found by pattern; null if it has none."""
+    return F.replace(text, first_class_name(text) if own_name is None else own_name, new_name)
 
 
 # --- paths ---------------------------------------------------------------------------

@@ -11,13 +11,14 @@ join with the sources, by file as well; texts of classes and members are cut las
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from unitloom.functions.text import declarator_name, node_text, utf8
 from unitloom.operators.filters import TEST_MARKER
-from unitloom.operators.nodes import with_text
+from unitloom.operators.nodes import nodes_from, with_text
 from unitloom.operators.ordered import last_wins
 from unitloom.sources.records import CLASS_RECORD, METHOD_RECORD
 
@@ -58,6 +59,22 @@ def top_units(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("parent_id") == 0) & (F.col("type") == CLASS))
 
 
+def class_names(texts: DataFrame, make_parser: Callable, key: str = "file_id", content: str = "content") -> DataFrame:
+    """(key, class_name): the name of each text's first top-level class, by its tree.
+
+    Texts without such a class have no row; classes in strings, comments, interfaces or other classes do not
+    count.  ``make_parser`` is the user's, see :func:`unitloom.operators.nodes.nodes_from`.
+    """
+    unit = (F.col("parent_id") == 0) & (F.col("type") == CLASS)
+    nodes = nodes_from(texts, make_parser, key, content).where(unit | (F.col("type") == NAME))
+    # the parser's rows of a text come together, so a class meets its name after one shuffle of these few nodes
+    first = F.min(F.when(unit, F.col("node_id"))).over(Window.partitionBy("file_id"))
+    named = nodes.withColumn("_first", first).where((F.col("type") == NAME) & (F.col("parent_id") == F.col("_first")))
+    spans = named.groupBy("file_id").agg(F.min_by(F.struct("start_byte", "end_byte"), "ord").alias("span"))
+    sources = texts.select(F.col(key).cast("bigint").alias("file_id"), utf8(F.col(content)).alias("content_bytes"))
+    return with_text(spans, sources, class_name=F.col("span")).select(F.col("file_id").alias(key), "class_name")
+
+
 def _packed(high: Column, low: Column) -> Column:
     """Two numbers as one, so that a window carries a number and not a struct."""
     return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))

@@ -14,6 +14,7 @@ from unitloom.functions.text import (
 from unitloom.functions.tokens import TokenCounter
 from unitloom.operators.joins import cross_runs
 from unitloom.plans.context import gather_context
+from unitloom.plans.extract import class_names
 from unitloom.plans import rounds
 from unitloom.plans.rounds import (
     ANSWER_ERROR, ANSWER_FAILED, CLASS_NAME_ERROR, COMPILE_STAGE, EVENT, EXECUTION_STAGE, NO_CODE, OTHER, OTHER_ERROR,
@@ -25,18 +26,24 @@ from unitloom.session import Steps, Unnamed, shared_folder
 NO_SOURCE_ROOT = "'java' is not in list"
 
 
-def prepare_answer(answered: DataFrame, run_id: str) -> DataFrame:
+def with_units(answered: DataFrame) -> DataFrame:
+    """Answers with their last block, the package of their path, and the block under that package line."""
+    cleaned = answered.withColumn("block", last_block(F.col("answer"))).withColumn("package", package_from_path(F.col("filepath")))
+    return cleaned.withColumn("unit", set_package(F.col("block"), F.col("package")))
+
+
+def prepare_answer(answered: DataFrame, run_id: str, own_name: str | None = None) -> DataFrame:
     """Clean answers into units to check (I7): last block, package line, unique name.
 
     Needs prompt, answer, error, filepath, class_identifier, method_id.  Adds package,
     class_name and text, and ends items that have no usable answer, with their events.
+    ``own_name`` is a column with the name of the unit's class; without it, a pattern finds it (F21).
     """
-    block = last_block(F.col("answer"))
-    cleaned = answered.withColumn("block", block).withColumn("package", package_from_path(F.col("filepath")))
-    body = set_package(F.col("block"), F.col("package"))
+    cleaned = answered if own_name else with_units(answered)
+    found = F.col(own_name) if own_name else first_class_name(F.col("unit"))
     new_name = unique_class_name(F.col("class_identifier"), F.col("method_id"), run_id)
-    cleaned = cleaned.withColumn("unit", body).withColumn("class_name", new_name)
-    cleaned = cleaned.withColumn("text", rename_class(F.col("unit"), F.col("class_name")))
+    cleaned = cleaned.withColumn("class_name", new_name)
+    cleaned = cleaned.withColumn("text", rename_class(F.col("unit"), F.col("class_name"), found))
 
     def events(*named: tuple[str, Column | str]) -> Column:
         made = [F.struct(F.lit(name).alias("event"), F.lit(1).alias("result_code"),
@@ -50,7 +57,7 @@ def prepare_answer(answered: DataFrame, run_id: str) -> DataFrame:
         (F.col("block").isNull(), ANSWER_FAILED, events((NO_CODE, ""), (ANSWER_ERROR, ""))),
         (F.col("block") == "", ANSWER_FAILED, events((ANSWER_ERROR, ""))),
         (F.col("package").isNull(), OTHER, events((OTHER_ERROR, NO_SOURCE_ROOT))),
-        (first_class_name(F.col("unit")).isNull(), ANSWER_FAILED, events((CLASS_NAME_ERROR, ""))),
+        (found.isNull(), ANSWER_FAILED, events((CLASS_NAME_ERROR, ""))),
     ]
     outcome, happened = None, None
     for condition, name, made in cases:
@@ -58,7 +65,7 @@ def prepare_answer(answered: DataFrame, run_id: str) -> DataFrame:
         happened = F.when(condition, made) if happened is None else happened.when(condition, made)
     items = start_items(cleaned).withColumn("outcome", outcome)
     items = items.withColumn("events", F.coalesce(happened, F.col("events")))
-    return items.drop("block", "unit", "answer", "error")
+    return items.drop("block", "unit", "answer", "error", *([own_name] if own_name else []))
 
 
 def model_repair(make_model: Callable[[], Callable[[str], str]], template: str, budget: int = INPUT_BUDGET,
@@ -85,7 +92,7 @@ def generate_units(tables: dict[str, DataFrame], make_model: Callable[[], Callab
                    run_id: str, runs: int = 1, only: Column | None = None, compile_rounds: int = 1,
                    run_rounds: int = 1, budget: int = INPUT_BUDGET, levels: tuple[str, ...] = LEVELS,
                    counter: TokenCounter | None = None, max_tries: int = 3,
-                   partitions: int | None = None, folder: str | None = None) -> DataFrame:
+                   partitions: int | None = None, folder: str | None = None, make_parser: Callable | None = None) -> DataFrame:
     """Generate, check and repair a unit for every method, or those ``only`` picks.
 
     One row per method and run, with its prompt, text, outcome, number of repairs and
@@ -95,6 +102,8 @@ def generate_units(tables: dict[str, DataFrame], make_model: Callable[[], Callab
     carry texts.  With ``folder``, which all executors reach, steps and answers are kept there under the run id: a job
     that starts again with the same folder, run id and inputs goes on after the last finished step, and asks
     the model for nothing that was answered.
+
+    With ``make_parser``, the class that an answer holds is found by its syntax tree, otherwise by a pattern.
     """
     spark = tables["methods"].sparkSession
     home = f"{(folder or shared_folder(spark)).rstrip('/')}/run-{run_id if folder else uuid.uuid4().hex}"
@@ -103,7 +112,13 @@ def generate_units(tables: dict[str, DataFrame], make_model: Callable[[], Callab
 
     def answered() -> DataFrame:
         asked = infer(cross_runs(context, runs), "prompt", make_model, max_tries, partitions=partitions, ledger=ledger, apart=["run"])
-        prepared = prepare_answer(asked, run_id).withColumn("paths", target_paths(F.col("filepath"), F.col("project")))
+        own_name = None
+        if make_parser is not None:
+            own_name = "_own_name"
+            units = kept.keep(lambda: with_units(asked).withColumn("_unit", F.monotonically_increasing_id()), "units")
+            names = class_names(units.where("unit IS NOT NULL"), make_parser, "_unit", "unit").withColumnRenamed("class_name", own_name)
+            asked = units.join(names, "_unit", "left").drop("_unit")
+        prepared = prepare_answer(asked, run_id, own_name).withColumn("paths", target_paths(F.col("filepath"), F.col("project")))
         return numbered(prepared.drop("prompt"))
 
     items = kept.keep(answered, "items")

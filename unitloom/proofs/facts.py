@@ -314,3 +314,64 @@ def loaded_calls(spark, folder):
 def loaded_links(spark, folder):
     links = load.to_fact_tables(records(spark, folder))["related_classes"]
     return links.select("project", "method_id", "class_identifier")
+
+
+@proof(LOADED + """,
+    targets as (select source, cls, method, min(method_id) as target_id from methods group by all)
+    select m.source as project, m.method_id as source_id, cast(r.g as integer) as ord, t.target_id
+    from methods m join resolved r on r.doc_id = m.doc_id and r.i = m.i
+    join targets t on t.source = m.source and t.cls = r.method_class and t.method = r.method_name
+""")
+def ordered_calls(spark, folder):
+    """Edges keep the place of their call in the method."""
+    edges = load.to_fact_tables(records(spark, folder))["related_methods"]
+    return edges.select("project", "source_id", "ord", "target_id")
+
+
+def brace_parser():
+    """Maker of a parser of top-level declarations in a language with braces, strings and comments."""
+    def make():
+        import re
+
+        tokens = re.compile(rb'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|[{}]|\w+', re.S)
+
+        def parse(text):
+            data, rows, depth, kind = text.encode(), [], 0, None
+            rows.append((0, 0, None, 0, "program", True, None, 0, len(data)))
+            units = []
+            for found in tokens.finditer(data):
+                word = found.group()
+                if word == b"{":
+                    depth += 1
+                elif word == b"}":
+                    depth -= 1
+                elif depth == 0 and word in (b"class", b"enum", b"interface"):
+                    kind = word.decode(), found.start()
+                elif depth == 0 and kind and word[:1].isalpha():
+                    units.append((*kind, found.start(), found.end()))
+                    kind = None
+            for ord_, (word, start, name_start, end) in enumerate(units):
+                me = len(rows)
+                rows.append((me, me + 1, 0, ord_, f"{word}_declaration", True, None, start, end))
+                rows.append((me + 1, me + 1, me, 1, "identifier", True, "name", name_start, end))
+            rows[0] = (0, len(rows) - 1, None, 0, "program", True, None, 0, len(data))
+            return rows
+        return parse
+    return make
+
+
+@proof("""
+    select o_orderkey, case o_orderkey % 4 when 3 then null else 'Real' || o_orderkey end as class_name from orders
+""")
+def tree_class_names(spark, folder):
+    """Classes in strings, comments, enums, interfaces and other classes are not the text's own."""
+    key = F.col("o_orderkey").cast("string")
+    own = F.concat(F.lit("public class Real"), key, F.lit(" { class Inner { } }\nclass Second { }"))
+    texts = [
+        F.concat(F.lit('enum E { A } interface I { class Nested { } }\n'), own), F.concat(F.lit("// class Comment\n/* class Block { */ "), own),
+        F.concat(F.lit('@Note("class Quoted { \\" class") '), own), F.lit('interface I { String s = "class X"; class Nested { } } enum class'),
+    ]
+    text = F.get(F.array(*texts), (F.col("o_orderkey") % 4).cast("int"))
+    rows = table(spark, folder, "orders").select("o_orderkey", text.alias("content"))
+    names = extract.class_names(rows, brace_parser(), "o_orderkey")
+    return rows.join(names, "o_orderkey", "left").select("o_orderkey", "class_name")

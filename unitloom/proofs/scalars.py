@@ -95,6 +95,14 @@ def target_paths(spark, folder):
 FIRST_WORD = "[x for x in string_split(replace(text, chr(10), ' '), ' ') if x <> ''][1]"
 
 
+@proof("select doc_id, source || 'Test_Method_' || doc_id || '_Run_night-7' as name, true as own_id from documents")
+def run_ids(spark, folder):
+    """A given run id stands in every name; without one, the id is the session's time."""
+    given, own = X.run_id(spark, "night-7"), X.run_id(spark)
+    return table(spark, folder, "documents").select(
+        "doc_id", X.unique_class_name(F.col("source"), F.col("doc_id"), given).alias("name"), F.lit(own).rlike("^[0-9]{8}_[0-9]{6}$").alias("own_id"))
+
+
 @proof(f"""
     with named as (select doc_id, text, {FIRST_WORD} as w from documents)
     select doc_id, w as old_name, md5(replace('/* class Not */ public class ' || w || ' {{' || chr(10) || text || chr(10) || '}}',

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from unitloom.proofs.registry import proof, table
 from unitloom.session import shared_folder
 from unitloom.sources.events import read_events, write_events
-from unitloom.sources.files import project_sources
+from unitloom.sources.files import project_sources, with_project
 from unitloom.sources.listing import write_files
 from unitloom.sources.records import CLASS_RECORD, METHOD_RECORD, read_facts_json, write_facts_json
-from unitloom.sources.tables import FACT_TABLES, read_fact_tables, route_by_outcome, write_artifacts, write_fact_tables
+from unitloom.sources.tables import FACT_TABLES, read_artifacts, read_fact_tables, route_by_outcome, write_artifacts, write_fact_tables
 
 
 def place(spark) -> str:
@@ -115,3 +115,36 @@ def scanned_files(spark, folder):
     path = F.concat_ws("/", "source", F.concat(F.lit("_"), "lang"), F.lit(".hidden"), below, named)
     write_files(table(spark, folder, "documents").select(path.alias("path"), F.col("text").alias("content")), root)
     return project_sources(spark, root).select("project", "path", F.md5("content").alias("content"))
+
+
+@proof("""
+    select source as project, source || '/' || lang || '/' || doc_id || '.java' as path from documents where doc_id % 3 <> 0 and source <> ''
+""")
+def project_of_path(spark, folder):
+    """Some paths lie beside the projects, and have none."""
+    below = F.concat_ws("/", "lang", F.concat("doc_id", F.lit(".java")))
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat("doc_id", F.lit(".java"))).otherwise(F.concat_ws("/", "source", below))
+    return with_project(table(spark, folder, "documents").select(path.alias("path"))).select("project", "path")
+
+
+@proof("""
+    select conv_id as method_id, cast(turn as integer) as ord, role as event, cast(length(text) % 3 as integer) as result_code, md5(text) as add_info
+    from conversations
+""")
+def ordered_events(spark, folder):
+    """Several events of an item, logged in any order, keep theirs."""
+    turns = table(spark, folder, "conversations")
+    path = place(spark)
+    write_events(turns.select(
+        F.lit("p").alias("project_name"), F.col("conv_id").cast("bigint").alias("method_id"), F.col("turn").cast("int").alias("ord"), F.col("role").alias("event"),
+        (F.length("text") % 3).alias("result_code"), F.md5("text").alias("add_info")).repartition(7, "event"), path)
+    return read_events(spark, path, ordered=True).select("method_id", "ord", "event", "result_code", "add_info")
+
+
+@proof("select doc_id as method_id, md5(text) as prompt from documents where source = 'src3' and lang = 'en'")
+def one_package(spark, folder):
+    """Artifacts of one package, read by filters that reach the files."""
+    path = place(spark)
+    write_artifacts(table(spark, folder, "documents").select(
+        F.col("source").alias("project"), F.col("lang").alias("package"), F.col("doc_id").alias("method_id"), F.col("text").alias("prompt")), path)
+    return read_artifacts(spark, path, "src3", "en").select("method_id", F.md5("prompt").alias("prompt"))

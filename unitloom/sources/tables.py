@@ -51,8 +51,23 @@ def read_fact_tables(spark: SparkSession, root: str, project: str | None = None)
 
 
 def write_artifacts(items: DataFrame, path: str, mode: str = "append") -> None:
-    """Prompt and generated text of each item, by project and package."""
-    write_by(items, ["project", "package"], path, mode)
+    """Prompt and generated text of each item, by project and clustered by package.
+
+    A folder per project, whose files hold runs of packages: rows are dealt by range of (project, package, item), so a
+    large package spans files of its own, small ones share one, and the least and greatest package that parquet keeps
+    of each file let a reader of one package pass over all others.
+    """
+    keys = ["project", "package", *[key for key in ("method_id", "run") if key in items.columns]]
+    items.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).partitionBy("project").parquet(path)
+
+
+def read_artifacts(spark: SparkSession, path: str, project: str | None = None, package: str | None = None) -> DataFrame:
+    """Artifacts of all projects, of one, or of one package; both filters reach the scan."""
+    found = spark.read.parquet(path)
+    for key, value in (("project", project), ("package", package)):
+        if value is not None:
+            found = found.where(F.col(key) == value)
+    return found
 
 
 def route_by_outcome(items: DataFrame, path: str, mode: str = "append") -> None:
