@@ -38,9 +38,22 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Bytes per code point of a line as it is cut into segments, so that a cut need not walk the line.
+WIDE = 4
+
+
+def wide(line: Column) -> Column:
+    return F.encode(line, "UTF-32")
+
+
 def segment_keys(line: Column, edits: int, least_chars: int) -> Column:
     """Keys of a line: its own segments, and its substrings where near lines' segments may lie."""
-    length, parts, keys = F.length(line), edits + 1, []
+    return keys_of(wide(line), F.length(line), edits, least_chars)
+
+
+def keys_of(line: Column, length: Column, edits: int, least_chars: int) -> Column:
+    """:func:`segment_keys` of a line given by :func:`wide` and its number of code points."""
+    parts, keys = edits + 1, []
     for shorter, segment, shift in probes(edits):
         indexed = length - shorter
         base = F.floor(indexed / parts).cast("int")
@@ -48,7 +61,7 @@ def segment_keys(line: Column, edits: int, least_chars: int) -> Column:
         size = base + F.when(over >= 0, 1).otherwise(0)
         start = base * segment + F.greatest(over, F.lit(0)) + shift
         usable = (indexed >= least_chars) & (start >= 0) & (start + size <= length)
-        keys.append(F.when(usable, F.xxhash64(F.lit(segment), indexed, F.substring(line, start + 1, size))))
+        keys.append(F.when(usable, F.xxhash64(F.lit(segment), indexed, F.substring(line, start * WIDE + 1, size * WIDE))))
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
@@ -114,8 +127,10 @@ def _apart(near_pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 def line_classes(texts: DataFrame, lines: DataFrame, edits: int, least_chars: int) -> DataFrame:
     """(node, component) of the lines that are near another; ``lines`` is written, a row per distinct line."""
-    long = _lines(texts).where(F.length("line") >= least_chars)
-    keys = long.select(F.xxhash64("line").alias("k1"), F.explode(segment_keys(F.col("line"), edits, least_chars)).alias("key"))
+    # length and wide form are columns of their own, taken once per line and not once per key
+    long = _lines(texts).select(F.xxhash64("line").alias("k1"), F.length("line").alias("chars"), "line").where(F.col("chars") >= least_chars)
+    long = long.select("k1", "chars", wide(F.col("line")).alias("wide"))
+    keys = long.select("k1", F.explode(keys_of(F.col("wide"), F.col("chars"), edits, least_chars)).alias("key"))
     shared = cut_lineage(keys.groupBy("key").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high"), "keys")
     met = cut_lineage(keys.join(shared.select("key", "low"), "key").distinct(), "met")
 
