@@ -43,7 +43,8 @@ class ChunkTable:
                 self.flat.extend(ids)
                 self.sizes.append(len(self.flat) - self.starts[-1])
             self.places.waiting.clear()
-        flat, starts, sizes = np.array(self.flat), np.array(self.starts), np.array(self.sizes)
+        # views, not copies; none outlives this call, as the arrays cannot grow while one does
+        flat, starts, sizes = (np.frombuffer(part, part.typecode) if part else np.zeros(0, part.typecode) for part in (self.flat, self.starts, self.sizes))
         chunk = np.concatenate(places) if places else np.zeros(0, np.int64)
         count = sizes[chunk] if len(chunk) else np.zeros(0, np.int32)
         ends = np.cumsum(count, dtype=np.int64)

@@ -34,7 +34,6 @@ PART_PIECES = 100_000
 #: Emptiest bins a partition gives up: this many, and this many more for each bin of its gap.
 GIVEN_UP, GIVEN_UP_PER_GAP = 1, 8
 
-_WORD = re.compile(r"[^ \t\n\r]+")
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _END = "</w>"
 #: Characters that any Unicode version lower-cases and sorts into letters and numbers alike.
@@ -77,6 +76,8 @@ class WordEncoder:
         starts = {token.content[0] for token in self.tokenizer.get_added_tokens_decoder().values()}
         plain = "".join(re.escape(c) for c in _PLAIN if c not in starts)
         self.plain_text, self.plain_word = re.compile(f"[ \t\n\r{plain}]*").fullmatch, re.compile(f"[{plain}]*").fullmatch
+        # from the start of a word only, and without going back, so a long word is read once
+        self.odd_words = re.compile(f"(?<![^ \t\n\r])[{plain}]*+[^ \t\n\r{plain}][^ \t\n\r]*").finditer
         self.cuts = _plain_cut().findall
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(_END)]] = True
@@ -108,7 +109,12 @@ class WordEncoder:
     def _cut(self, text: str) -> list[str]:
         if self.plain_text(text):
             return self.cuts(text.lower())
-        return [chunk for word in _WORD.findall(text) for chunk in (self.cuts(word.lower()) if self.plain_word(word) else [word])]
+        chunks, at = [], 0
+        for word in self.odd_words(text):
+            chunks += self.cuts(text[at:word.start()].lower())
+            chunks.append(word.group())
+            at = word.end()
+        return chunks + self.cuts(text[at:].lower())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.table.encode([self._cut(text) if self.by_cut else [text] for text in texts])
