@@ -316,3 +316,58 @@ def test_pieces_of_a_whole_table(spark, stored):
     assert sorted(((r["doc_id"], list(r["ids"]), r["decoded"]) for r in odd.collect()), key=repr) == sorted(
         ((i, ids, model.decode(ids)) for i, ids in wanted), key=repr)
     assert pieces.encoded(stored([]), PIECES).count() == 0
+
+
+def test_many_addresses_in_one_text(spark, stored):
+    """A text of 100,000 addresses: places are right and the time does not grow with the square of their number."""
+    import time
+
+    body = " ".join(f"1.2.{i % 200}.{i % 250}" for i in range(100_000))
+    docs = stored([(1, body), (2, "a@b.cc " * 700), (3, "1.2.3.4")])
+    start = time.monotonic()
+    out = {r.doc_id: [(s.start, s.stop) for s in r.base] for r in sanitise.personal_spans(docs, least_surroundings=10 ** 6).collect()}
+    assert time.monotonic() - start < 120
+    assert out[1] == [m.span() for m in re.finditer(r"[0-9.]+", body)]
+    assert out[2] == [(7 * i, 7 * i + 6) for i in range(700)] and out[3] == [(0, 7)]
+
+
+def test_disclosures_are_those_of_a_plain_count(spark, stored):
+    """The rule counted in plain Python over distinct texts: same pairs, whatever is cut before pairs are made."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    people = [f"user{i}@mail.org" for i in range(9)]
+    rows = []
+    for i in range(400):
+        text = " ".join(rng.choices(words, k=8))
+        if i % 3 == 0:
+            person = rng.choice(people)
+            text += f" {person} nick{person[4]} {'often' if rng.random() < 0.5 else ''} rare{rng.randrange(30)}"
+        rows.append((i, text))
+    rows += rows[:40]  # copies count once
+    texts = {text for _, text in rows}
+    entities = {t: set(re.findall(r"user[0-9]@mail\.org", t)) for t in texts}
+    terms = {t: set(re.findall(r"\w{2,}", t.lower())) for t in texts}
+    holders, held, both = {}, {}, {}
+    for t in texts:
+        for e in entities[t]:
+            holders[e] = holders.get(e, 0) + 1
+        for w in terms[t]:
+            held[w] = held.get(w, 0) + 1
+            for e in entities[t]:
+                both[e, w] = both.get((e, w), 0) + 1
+    total, bar = len(texts), np.log2(len(holders) * len(held))
+    wanted = set()
+    for (e, w), n in both.items():
+        given, base = n / held[w], holders[e] / total
+        gain = np.log2(given / base)
+        other = (1 - given) * np.log2((1 - given) / (1 - base)) if given < 1 else 0
+        if n >= 2 and holders[e] >= 2 and given >= 0.5 and gain >= 3 and held[w] * (given * gain + other) >= bar:
+            wanted.add((e, w))
+    assert {w for _, w in wanted} >= {"nick1", "nick8"}
+    docs = stored(rows)
+    out = {r.doc_id: {(t.start, t.stop) for t in r.terms} for r in sanitise.personal_spans(docs).collect() if r.doc_id >= 0}
+    for i, text in rows:
+        covered = [m.span() for m in re.finditer(r"user[0-9]@mail\.org", text)]
+        expected = {m.span() for m in re.finditer(r"\w{2,}", text) if any((e, m.group().lower()) in wanted for e in entities[text])
+                    and not any(m.start() < b and m.end() > a for a, b in covered)}
+        assert out[i] == expected

@@ -64,20 +64,48 @@ def _masked(kind: str, text: Column) -> Column:
     return text
 
 
+#: Matches whose places are summed up in one array; arrays of this size are then joined.
+RUN = 256
+
+
+def _seen(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once: a list of one, whose function sees it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern with their places: array of (start, stop, value)."""
+    """All matches of a pattern with their places: array of (start, stop, value).
+
+    Places are sums of all lengths before.  They are taken in runs of ``RUN`` matches, since an array that grows is
+    copied at every step: a text of many matches costs their number times a run, not its square.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(between, found, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
+    steps = F.zip_with(F.split(text, pattern, -1), found, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
     none = F.expr(f"cast(array() AS {_SPAN})")
 
+    def size(step):
+        return step["gap"] + F.coalesce(F.length(step["value"]), F.lit(0))
+
     def add(state, step):
         start = state["at"] + step["gap"]
         stop = start + F.length(step["value"])
         span = F.struct(start.alias("start"), stop.alias("stop"), step["value"].alias("value"))
         return F.when(step["value"].isNull(), state).otherwise(
             F.struct(stop.alias("at"), F.array_append(state["spans"], span).alias("spans")))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda state: state["spans"])
+
+    def placed(run, at):
+        return F.aggregate(run, F.struct(at.alias("at"), none.alias("spans")), add, lambda state: state["spans"])
+
+    def joined(runs):
+        sizes = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda total, step: total + size(step)))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda at, more: F.array_append(at, F.element_at(at, -1) + more))
+        return F.flatten(F.zip_with(runs, F.slice(starts, F.lit(1), F.size(runs)), placed))
+
+    def in_runs(all_steps):
+        last = ((F.size(all_steps) - 1) / RUN).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_steps, k * RUN + 1, F.lit(RUN)))
+
+    return _seen(_seen(steps, in_runs), joined)
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -140,25 +168,33 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str, least_surroundings
     often = cut_lineage(counted.where(F.col("holders") >= least_surroundings), "often")
     if often.isEmpty():
         return None
-    sought = met.select(ROW, F.explode("entities").alias("entity")).join(often.select("entity"), "entity")
-    sought = cut_lineage(sought.groupBy(ROW).agg(F.collect_list("entity").alias("entities")), "sought")
-    both = sought.join(met.select(ROW, "terms"), ROW).select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
-    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
-    pairs = cut_lineage(pairs.where(F.col("together") >= least_surroundings), "pairs")
-    if pairs.isEmpty():
-        return None
     texts = with_row_key(docs, F.coalesce(F.col(text), F.lit("")).alias("text")).join(own, ROW, "left_semi")
-    # counted before the join, so that a frequent term is one row there
+    # terms are counted before any pair is made, so a frequent term is one row
     spread = cut_lineage(texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("held")), "spread")
-    tests = float(counted.count()) * float(max(1, spread.count()))
-    known = pairs.join(spread, "term").join(often, "entity")
-    given, base = F.col("together") / F.col("held"), F.col("holders") / F.lit(float(total))
+    tests = math.log2(max(2.0, float(counted.count()) * float(max(1, spread.count()))))
+    most = float(often.agg(F.max("holders")).first()[0])
+    # bounds, not a choice: together <= holders and together >= likelihood * held, so a term in more texts than this makes no
+    # entity so likely, and what it can surprise by is at most held * log2(total / holders)
+    held = F.col("held")
+    rare = cut_lineage(spread.where(
+        (held >= least_surroundings) & (held * likelihood <= most + 1e-6)
+        & (held * F.log2(F.lit(float(total)) / (held * likelihood)) >= tests - 1e-6)), "rare")
+    sought = met.select(ROW, F.explode("entities").alias("entity")).join(often, "entity").groupBy(ROW).agg(
+        F.collect_list(F.struct("entity", "holders")).alias("sought"), F.max("holders").alias("most"))
+    sought = cut_lineage(sought.join(met.select(ROW, "terms"), ROW), "sought")
+    terms = sought.select(ROW, "most", F.explode("terms").alias("term")).join(rare, "term").where(held * likelihood <= F.col("most") + 1e-6)
+    terms = cut_lineage(terms.select(ROW, "term", "held"), "terms")
+    both = terms.join(sought.select(ROW, F.explode("sought").alias("e")), ROW).where(held * likelihood <= F.col("e.holders") + 1e-6)
+    known = both.groupBy(F.col("e.entity").alias("entity"), "term").agg(
+        F.count(F.lit(1)).alias("together"), F.max("held").alias("held"), F.max("e.holders").alias("holders")).where(F.col("together") >= least_surroundings)
+    given, base = F.col("together") / held, F.col("holders") / F.lit(float(total))
     gain = F.log2(given / base)
     # bits by which chance falls short of so many texts with both (Chernoff's bound)
     other = F.when(given < 1, (1 - given) * F.log2((1 - given) / (1 - base))).otherwise(0.0)
-    surprise = F.col("held") * (given * gain + other)
-    return cut_lineage(known.where((given >= likelihood) & (gain >= bits) & (surprise >= math.log2(max(2.0, tests)))).select(
+    surprise = held * (given * gain + other)
+    reveal = cut_lineage(known.where((given >= likelihood) & (gain >= bits) & (surprise >= tests)).select(
         "entity", "term", (given >= REMOVE_LIKELIHOOD).alias("removed")), "disclosures")
+    return None if reveal.isEmpty() else reveal
 
 
 def _occurrences(docs: DataFrame, text: str, hits: DataFrame) -> DataFrame:
