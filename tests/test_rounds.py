@@ -325,3 +325,22 @@ def test_a_whole_job_goes_on(spark, tmp_path):
     first = run()
     asked = len(os.listdir(tmp_path / "marks"))
     assert run() == first and len(os.listdir(tmp_path / "marks")) == asked == 6
+
+
+def test_class_names_come_from_trees(spark):
+    """With a parser, the class of an answer is its first top-level one, not what a pattern takes for one."""
+    from unitloom.proofs.facts import brace_parser
+
+    def make():
+        return lambda prompt: "```java\ninterface I { class Nested { } }\nclass Real { Real() }\n```" if "Method: run" in prompt else "```java\nenum E { }\n```"
+
+    fine = rounds.column_check(lambda text: F.struct(F.lit(0).alias("code"), F.lit("").alias("output")))
+    only = (F.col("method_id") == 1) | (F.col("method_id") == 4)
+    by_tree, by_pattern = [
+        {r.method_id: r for r in generate.generate_units(shop(spark), make, fine, fine, "R", only=only, budget=400, make_parser=parser).collect()}
+        for parser in (brace_parser(), None)]
+    name = "ATest_Method_1_Run_R"
+    assert by_tree[1].text.endswith(f"interface I {{ class Nested {{ }} }}\nclass {name} {{ {name}() }}") and by_tree[1].outcome == "passed"
+    assert "class Real" in by_pattern[1].text
+    assert by_tree[4].outcome == "answer_error" and [e.event for e in by_tree[4].events] == ["Class Name Extraction Error"]
+    assert set(by_tree[1].asDict()) == set(by_pattern[1].asDict())

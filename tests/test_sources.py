@@ -198,7 +198,7 @@ def test_artifacts_are_clustered(spark, tmp_path):
     df = spark.createDataFrame(rows, "project string, package string, method_id int, prompt string").repartition(8)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small files, as large ones would be
     try:
-        tables.write_artifacts(df, str(tmp_path / "a"))
+        tables.write_artifacts(df, str(tmp_path / "a"), clustered=True)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     found = spark.read.parquet(str(tmp_path / "a"))

@@ -348,7 +348,10 @@ def _resolved(rows: DataFrame) -> DataFrame:
 
 
 def call_facts(annotated: DataFrame) -> DataFrame:
-    """Calls with resolved receiver and the types of known arguments (X9, J7, J8); one shuffle, by file."""
+    """Calls with resolved receiver and the types of known arguments.
+
+    Takes annotated rows, or :func:`things` as they are: rows that lie by file already are not shuffled again, others once.
+    """
     used = annotated.where(_is(CLASS, FIELD, PARAMETER, LOCAL, CALL, ARGUMENTS, name="kind")).drop("text", "lead_text")
     return _resolved(used.repartition("file_id")).where(_of(CALL)).select(
         "file_id", "class_id", "member_id", F.col("node_id").alias("ord"), F.col("called").alias("method_name"), "method_class", "argument_types")

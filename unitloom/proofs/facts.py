@@ -249,8 +249,9 @@ def local_facts(spark, folder):
     from resolved group by all
 """)
 def call_facts(spark, folder):
-    marked, sources, nodes = placed(spark, folder)
-    found = _with_line(extract.call_facts(marked), nodes, sources)
+    sources, nodes = corpus(spark, folder)
+    ready = extract.prepare_sources(sources)
+    found = _with_line(extract.call_facts(extract.things(nodes, ready)), nodes, ready)
     return found.groupBy("file_id", "line", "method_name", "method_class", F.array_join("argument_types", " ").alias("argument_types")).agg(
         F.count(F.lit(1)).alias("n"))
 

@@ -146,5 +146,5 @@ def one_package(spark, folder):
     """Artifacts of one package, read by filters that reach the files."""
     path = place(spark)
     write_artifacts(table(spark, folder, "documents").select(
-        F.col("source").alias("project"), F.col("lang").alias("package"), F.col("doc_id").alias("method_id"), F.col("text").alias("prompt")), path)
+        F.col("source").alias("project"), F.col("lang").alias("package"), F.col("doc_id").alias("method_id"), F.col("text").alias("prompt")), path, clustered=True)
     return read_artifacts(spark, path, "src3", "en").select("method_id", F.md5("prompt").alias("prompt"))

@@ -50,13 +50,16 @@ def read_fact_tables(spark: SparkSession, root: str, project: str | None = None)
     return tables
 
 
-def write_artifacts(items: DataFrame, path: str, mode: str = "append") -> None:
-    """Prompt and generated text of each item, by project and clustered by package.
+def write_artifacts(items: DataFrame, path: str, mode: str = "append", clustered: bool = False) -> None:
+    """Prompt and generated text of each item, by project and package.
 
-    A folder per project, whose files hold runs of packages: rows are dealt by range of (project, package, item), so a
-    large package spans files of its own, small ones share one, and the least and greatest package that parquet keeps
-    of each file let a reader of one package pass over all others.
+    A folder per project and package; with ``clustered``, for corpora of many packages, a folder per project, whose
+    files hold runs of packages.  Rows are then dealt by range of (project, package, item), so a large package spans files of
+    its own, small ones share one, and the least and greatest package that parquet keeps of each file let a reader of one
+    package pass over all others.
     """
+    if not clustered:
+        return write_by(items, ["project", "package"], path, mode)
     keys = ["project", "package", *[key for key in ("method_id", "run") if key in items.columns]]
     items.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).partitionBy("project").parquet(path)
 
