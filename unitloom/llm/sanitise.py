@@ -168,7 +168,8 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str, least_surroundings
     often = cut_lineage(counted.where(F.col("holders") >= least_surroundings), "often")
     if often.isEmpty():
         return None
-    texts = with_row_key(docs, F.coalesce(F.col(text), F.lit("")).alias("text")).join(own, ROW, "left_semi")
+    # merged at every size, so that small tables behave as large ones do
+    texts = with_row_key(docs, F.coalesce(F.col(text), F.lit("")).alias("text")).hint("merge").join(own, ROW, "left_semi")
     # terms are counted before any pair is made, so a frequent term is one row
     spread = cut_lineage(texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("held")), "spread")
     tests = math.log2(max(2.0, float(counted.count()) * float(max(1, spread.count()))))
