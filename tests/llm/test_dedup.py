@@ -264,3 +264,27 @@ def test_row_keys_do_not_depend_on_splits(spark, stored):
 def test_copies_in_a_batch_are_sent_on_once(spark, stored):
     docs = stored([(i, " ".join(f"w{k}" for k in range(40))) for i in range(20)], files=1)
     assert jaccard.buckets(docs, "doc_id", "text", 4, jaccard.Bands(top=40)).count() == 0
+
+
+@pytest.mark.parametrize("words, similar", [(4, 85), (5, 80), (1, 50)])
+def test_rare_shingles_find_all_similar_pairs_and_no_group_by_a_shared_passage(spark, stored, words, similar):
+    rng = random.Random(words)
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for i in range(40):  # a passage and words of its own: too many to be similar, or nearly so
+        texts.append(" ".join(passage + [f"u{i}x{j}" for j in range(rng.choice((60, 90)))]))
+    for i in range(25):  # changed copies, which are similar or just not
+        body = [f"c{i % 3}y{j}" for j in range(rng.choice((20, 50, 100)))]
+        for _ in range(rng.randrange(6)):
+            body[rng.randrange(len(body))] = f"n{rng.random()}"
+        texts.append(" ".join(body[:rng.randrange(len(body) - 8, len(body) + 1)]))
+    docs = stored(list(enumerate(texts)))
+    nodes = jaccard.shingle_sets(docs, "doc_id", "text", words).collect()
+    ids, sizes = {row[ROW]: row["doc_id"] for row in nodes}, {row[ROW]: row["n"] for row in nodes}
+    apart = spark.createDataFrame([(key, sizes[key], key) for key in ids], "rep long, n long, component long")
+    found = {frozenset((ids[a], ids[b])) for a, b in jaccard._rare(
+        apart, docs, "doc_id", "text", words, jaccard.Bands(similar, top=max(sizes.values()))).collect()}
+    sets = [jaccard.shingles(jaccard.words_of(text), words) for text in texts]
+    linked = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= similar * len(sets[i] | sets[j])}
+    assert linked and linked <= found
+    if similar > 50:
+        assert not any(max(pair) < 40 for pair in found)

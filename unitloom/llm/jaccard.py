@@ -11,8 +11,11 @@ many segments get threshold 2 is chosen by cost, from the measured number of set
 Sets meet by the hash of a subset.  Equal sets are one node.  A subset that a whole Arrow batch
 repeats is sent on once, so a bucket receives a row per batch at most, and sets are compared with
 the first of their bucket, then, where a bucket holds several components, with the set that lies in
-most buckets; only buckets that still hold several are compared across components.  Every comparison is exact, on
-words.  A skipped comparison lies within a component, so no component loses a link.
+most buckets.  What buckets still hold several components then hide is found by rare shingles instead of
+by the subset they all share: of shingles that several components hold, in the order of their number of
+sets, two similar sets share one of their first few (prefix filter), and a passage that thousands of sets
+share comes last.  Every comparison is exact, on words.  A skipped comparison lies within a component, so
+no component loses a link.
 
 Null texts and texts without words have the empty set, which is linked with nothing.  Rows that
 repeat an id are documents of their own with the same id.
@@ -35,8 +38,8 @@ from unitloom.session import cut_lineage
 WORDS, SIMILAR = 4, 85
 #: Rounds that compare with central sets before sets are compared across components.
 CENTRES = 2
-#: Each band's sizes reach up to this many times its least.
-BAND_RATIO = 1.5
+#: Each band's sizes reach up to this many times its least; sets that meet by rare shingles lie in narrower ones.
+BAND_RATIO, NARROW_RATIO = 1.5, 1.06
 #: Thresholds beyond H, as a share of H + 1; at least one.
 SLACK = 0.06
 #: Assumed share of sets that hold a given element of a small subset, for the choice of thresholds.
@@ -91,14 +94,21 @@ def shingles(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return set(zip(*[words[i:] for i in range(n)]))
 
 
+def band_starts(top: int, similar: int, ratio: float) -> list[int]:
+    """Least size of each band, past the sizes that sets similar to one of ``top`` elements have."""
+    starts = [1]
+    while starts[-1] <= top * 100 // similar + 1:
+        starts.append(max(starts[-1] + 1, int(starts[-1] * ratio)))
+    return starts
+
+
 class Bands:
     """Size bands and what each needs: segments, those with threshold 2, and the slack."""
 
     def __init__(self, similar: int = SIMILAR, ratio: float = BAND_RATIO, top: int = 1):
         self.similar = similar
-        self.starts = [1]
-        while self.starts[-1] <= top * 100 // similar + 1:
-            self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * ratio)))
+        self.top = top
+        self.starts = band_starts(top, similar, ratio)
         self.plans = [self._plan(band, 0.0) for band in range(len(self.starts) - 1)]
 
     def apart(self, a: int, b: int) -> int:
@@ -151,7 +161,9 @@ class Bands:
                 end = first[k + 1] if k + 1 < len(first) else len(hashes)
                 lessened = sums[k] - values[first[k]:end] + salt[held[k]]
                 out.append(self._key(lessened, band, np.ones(len(lessened), bool)))
-            empty = np.setdiff1d(np.arange(segments), held)
+            silent = np.ones(segments, bool)
+            silent[held] = False
+            empty = np.flatnonzero(silent)
             kept = empty < double
             # an empty subset with threshold 2 still meets subsets of one element
             if kept.sum() * 2 + (~kept).sum() > slack:
@@ -298,9 +310,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     tried = cut_lineage(fitting(first).select("a", "b").distinct(), "pairs")
     links = cut_lineage(verified(tried, docs, doc_id, text, words, similar), "links")
     reached = components(links)
+    held = met.select("sig", F.explode(F.array("hub", "row")).alias(ROW)).join(nodes.select(ROW, "rep", "n"), ROW).drop(ROW)
     for step in range(CENTRES + 1):
-        held = _mixed(met, nodes, reached)
-        pairs = _central(held, similar) if step < CENTRES else _remaining(held, bands, similar)
+        held = _mixed(held, reached)
+        pairs = _central(held, similar) if step < CENTRES else _rare(_able(held, bands), docs, doc_id, text, words, bands)
         pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
@@ -316,14 +329,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return placed.join(smallest, "class").select(ROW, "doc_id", F.col("n").alias("n_shingles"), "component_id", "class")
 
 
-def _mixed(met: DataFrame, nodes: DataFrame, reached: DataFrame) -> DataFrame:
-    """(sig, rep, n, component): the sets of buckets that hold several components."""
-    rows = met.select("sig", F.explode(F.array("hub", "row")).alias(ROW))
-    of = nodes.select(ROW, "rep", "n").join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
-        ROW, "rep", "n", F.coalesce("component", "rep").alias("component"))
-    held = cut_lineage(rows.join(cut_lineage(of, "classes"), ROW).select("sig", "rep", "n", "component"), "held")
-    ends = held.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return cut_lineage(held.join(cut_lineage(ends.select("sig"), "mixed"), "sig").distinct(), "mixed")
+def _mixed(held: DataFrame, reached: DataFrame) -> DataFrame:
+    """(sig, rep, n, component): of ``held``, the sets of buckets that hold several components."""
+    of = held.select("sig", "rep", "n").join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "sig", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    of = cut_lineage(of, "held")
+    ends = of.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return cut_lineage(of.join(cut_lineage(ends.select("sig"), "mixed"), "sig").distinct(), "mixed")
 
 
 def _fits(similar: int):
@@ -341,21 +353,108 @@ def _central(held: DataFrame, similar: int) -> DataFrame:
     return pairs.where(_fits(similar)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _remaining(held: DataFrame, bands: Bands, similar: int) -> DataFrame:
-    """Pairs that share a bucket across components, and subsets enough to be similar."""
-    left = held.select("sig", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_class"))
-    right = held.select("sig", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_class"))
-    a, b = F.col("a_n"), F.col("b_n")
-    pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & _fits(similar))
+def _able(held: DataFrame, bands: Bands) -> DataFrame:
+    """(rep, n, component): the sets that share subsets enough with other components to be similar to a set there."""
+    band = F.shiftright(F.col("sig").bitwiseAND(255), 1).cast("int")
     # thresholds of unmet segments sum to at most the number of elements in which the sets differ
-    weight = F.sum(1 + F.col("sig").bitwiseAND(1))
-    band = F.shiftright(F.col("sig").bitwiseAND(255), 1)
-    sums = F.array([F.lit(segments + double) for segments, double, _ in bands.plans])
-    most = F.floor((100 - similar) * (a + b) / (100 + similar))
-    slack = F.array([F.lit(slack) for _, _, slack in bands.plans])
-    shared = pairs.groupBy("a", "b", "a_n", "b_n", band.cast("int").alias("band")).agg(weight.alias("weight"))
-    enough = F.col("weight") + F.element_at(slack, F.col("band") + 1) >= F.element_at(sums, F.col("band") + 1) - most
-    return shared.where(enough).select("a", "b").distinct()
+    told = held.groupBy("rep", "n", "component", band.alias("band")).agg(F.sum(1 + F.col("sig").bitwiseAND(1)).alias("weight"))
+    sums, slack, ends = (F.element_at(F.array([F.lit(value) for value in values]), F.col("band") + 1) for values in (
+        [segments + double for segments, double, _ in bands.plans], [slack for _, _, slack in bands.plans],
+        [start - 1 for start in bands.starts[1:]]))
+    largest = F.least(ends, F.floor(100 * F.col("n") / bands.similar))
+    most = F.floor((100 - bands.similar) * (F.col("n") + largest) / (100 + bands.similar))
+    return told.where(F.col("weight") + slack >= sums - most).select("rep", "n", "component").distinct()
+
+
+def _elements(words: int):
+    """A row per set and shingle."""
+    def emit(batches):
+        for batch in batches:
+            held, size = [], 0
+            for rep, n, component, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                found = shingle_hashes(words_of(body), words).view(np.int64)
+                held.append((found, rep, n, component))
+                size += len(found)
+                if size >= 100_000:
+                    yield _rows_of(held)
+                    held, size = [], 0
+            if held:
+                yield _rows_of(held)
+    return emit
+
+
+def _rows_of(held: list) -> pa.RecordBatch:
+    lengths = [len(row[0]) for row in held]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([row[0] for row in held]), pa.int64()),
+         *[pa.array(np.repeat([row[i] for row in held], lengths), pa.int64()) for i in (1, 2, 3)]],
+        names=["element", "rep", "n", "component"])
+
+
+def _prefixes(starts: list[int], similar: int):
+    """Of each set's shingles, sorted by ``rep`` with the most frequent first, those that a similar set must meet, by its band."""
+    least = np.array(starts, np.int64)
+    span = 1
+    while (NARROW_RATIO ** (span - 1)) * similar < 100:
+        span += 1
+
+    def emit(batches):
+        last, passed = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            element, rep, n, component = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            new = np.concatenate([[rep[0] != last], rep[1:] != rep[:-1]])
+            place = np.arange(len(rep))
+            first = np.maximum.accumulate(np.where(new, place, -1))
+            # how many of the set's shingles are as frequent or more, itself included
+            after = np.where(first >= 0, place - first, place + passed) + 1
+            last, passed = rep[-1], int(after[-1])
+            own = np.searchsorted(least, n, "right") - 1
+            for step in range(-span, span + 1):
+                other = np.clip(own + step, 0, len(least) - 2)
+                small = np.maximum(least[other], -(-similar * n // 100))
+                large = np.minimum(least[other + 1] - 1, 100 * n // similar)
+                shared = -(-similar * (n + small) // (100 + similar))
+                kept = (other == own + step) & (small <= large) & (after >= shared)
+                if not kept.any():
+                    continue
+                low, high = np.minimum(own, other)[kept], np.maximum(own, other)[kept]
+                salt = mixed((low * len(least) + high).view(np.uint64))
+                key = mixed(element[kept].view(np.uint64) ^ salt).view(np.int64)
+                side = pa.array(np.full(len(key), (step > 0) - (step < 0), np.int8))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), side, *[pa.array(values[kept]) for values in (rep, n, component)]],
+                    names=["key", "side", "rep", "n", "component"])
+    return emit
+
+
+def _rare(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands) -> DataFrame:
+    """Pairs across components that may be similar, as both hold one of the rarest shingles that several components have.
+
+    The order of shingles is by their number of sets, and those that one component alone holds come before all
+    others.  Similar sets of sizes n and m share s * (n + m) / (100 + s) shingles, so the first one they share in
+    that order has so many shingles of each set from itself on.  Sets meet by that shingle and both their bands.
+    """
+    similar, wanted = bands.similar, cut_lineage(sets.withColumnRenamed("rep", ROW), "able")
+    told = wanted.hint("merge").join(_texts(docs, doc_id, text).select(ROW, "text"), ROW).select(ROW, "n", "component", "text")
+    elements = cut_lineage(told.mapInArrow(_elements(words), "element long, rep long, n long, component long"), "elements")
+    common = cut_lineage(elements.groupBy("element").agg(
+        F.count(F.lit(1)).alias("sets"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high").select("element", "sets"), "common")
+    ordered = elements.join(common, "element").repartition("rep").sortWithinPartitions("rep", F.desc("sets"), F.desc("element"))
+    starts = band_starts(bands.top, similar, NARROW_RATIO)
+    met = cut_lineage(ordered.select("element", "rep", "n", "component").mapInArrow(
+        _prefixes(starts, similar), "key long, side byte, rep long, n long, component long"), "prefixes")
+    several = met.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    met = cut_lineage(met.join(cut_lineage(several.select("key"), "several"), "key"), "rare")
+
+    def side(name, taken):
+        return met.where(taken).select("key", F.col("side").alias(f"{name}_side"), F.col("rep").alias(name),
+                                       F.col("n").alias(f"{name}_n"), F.col("component").alias(f"{name}_class"))
+    pairs = side("a", "side >= 0").join(side("b", "side <= 0"), "key")
+    facing = (F.col("a_side") + F.col("b_side") == 0) & ((F.col("a_side") != 0) | (F.col("a") < F.col("b")))
+    return pairs.where(facing & _fits(similar)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def op10_jaccard_join(spark, folder: str) -> DataFrame:
