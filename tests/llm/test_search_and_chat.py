@@ -1,6 +1,7 @@
 """Top-k search and chat formatting: brute force, round trips and odd inputs."""
 
 import json
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,20 @@ def test_search_of_an_empty_table(spark):
     assert topk_search.top_k(spark.createDataFrame([], VECTORS)).collect() == []
 
 
+def test_every_finite_vector_takes_part(spark):
+    """Components past a machine word, whose scores with small vectors still fit; a returned score that does not is an error."""
+    rows = [(0, [0.0, 1.0, 0.0]), (50, [1.0, 0.0, -2.0]), (1, [9e5, 2.0, 9e5]), (2, [0.0, 3.0, 2.0 ** 40]), (3, [0.0, -1.0, 3e38]),
+            (4, [0.0, 2.5, -3e38]), (5, [3.0 ** 30, 0.25, 0.0])]
+    exact = [(i, [int(Fraction(float(np.float32(x))) * 256 // 1) for x in v]) for i, v in rows]
+    score = {(i, j): sum(a * b for a, b in zip(v, w)) for i, v in exact for j, w in exact if i != j}
+    df = spark.createDataFrame([(*row, "x") for row in rows], VECTORS)
+    found = topk_search.top_k(df.where("vec_id <> 50"), k=9, block_rows=2).collect()
+    best = sorted((j for i, j in score if i == 0 and j != 50), key=lambda j: (-score[0, j], j))
+    assert sorted(map(tuple, found)) == [(0, n + 1, j, score[0, j]) for n, j in enumerate(best)]
+    with pytest.raises(Exception, match="passes 64 bits"):
+        topk_search.top_k(df, k=1, block_rows=2).collect()
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.lists(st.integers(-9, 9), min_size=3, max_size=3), min_size=2, max_size=140), st.integers(1, 6))
 def test_bit_sliced_selection(values, k):

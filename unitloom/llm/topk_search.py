@@ -10,8 +10,9 @@ are picked from the most significant slice downward, and the rows tied at the bo
 resolved by id, so a block's answer is exact, and so is the best of all blocks' answers.
 
 Queries come in chunks and meet every block, as a stated query set.  Vectors that are null, or
-hold nulls or non-finite components, or components of 2**20 or more, take no part.  Vectors meet
-those of their own length only.  A query is every row whose id the divisor divides; rows that
+hold nulls or non-finite components take no part; every other does, however large its components
+are, as integers too large for a machine word are Python's.  A score that is returned has to fit 64 bits,
+and is an error if it does not.  Vectors meet those of their own length only.  A query is every row whose id the divisor divides; rows that
 repeat an id are candidates of their own and queries of their own, but an id never meets itself.
 A null id takes no part.  An empty vector scores 0.
 """
@@ -19,6 +20,8 @@ A null id takes no part.  An empty vector scores 0.
 from __future__ import annotations
 
 import math
+import operator
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -30,18 +33,30 @@ from unitloom.session import cut_lineage
 
 BLOCK_ROWS = 8192
 CHUNK_QUERIES = 256
-#: Components beyond this could overflow a 64-bit score.
-LIMIT = float(1 << 20)
+#: Sums below this cannot leave a machine word.
+WORD = 1 << 62
 
 
-def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """(vec_id, dim, q): usable vectors as arrays of integers."""
+def integers(rows: pd.Series, dims: int, scale: int) -> np.ndarray:
+    """floor(scale * x) of each component; as Python integers if some would not fit a machine word."""
+    x = np.array(rows.tolist(), dtype=np.float64).reshape(len(rows), dims)
+    if float(np.abs(x).max(initial=0)) < WORD / scale:
+        return np.floor(x * scale).astype(np.int64)
+    # a double of 2**52 or more is whole, and its product might not be a double
+    whole = [math.floor(v * scale) if abs(v) < 1 << 52 else int(v) * scale for v in x.ravel().tolist()]
+    out = np.empty(len(whole), dtype=object)
+    out[:] = whole
+    return out.reshape(x.shape)
+
+
+def usable_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(vec_id, dim, x): vectors that take part, as doubles."""
     doubles = F.transform(F.col(embedding), lambda x: x.cast("double"))
-    usable = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LIMIT))
+    usable = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
         vectors.select(F.col(vec_id).cast("long").alias("vec_id"), doubles.alias("x"))
         .where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.coalesce(usable, F.lit(False)))
-        .select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda x: F.floor(x * scale).cast("long")).alias("q")))
+        .select("vec_id", F.size("x").alias("dim"), "x"))
 
 
 def _bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -59,7 +74,8 @@ def build_index(rows: pd.DataFrame) -> dict:
     """A block's sorted ids, each attribute's least value, and the slices as bytes."""
     rows = rows.sort_values("vec_id", kind="stable")
     dims = int(rows["dim"].iloc[0])
-    values = np.array(rows["q"].tolist(), dtype=np.int64).reshape(len(rows), dims)
+    values = np.stack(rows["q"].tolist()).reshape(len(rows), dims)
+    values = values if values.dtype == object else values.astype(np.int64)
     least = values.min(axis=0) if dims else np.zeros(0, np.int64)
     values = values - least
     width = max(1, int(values.max(initial=0)).bit_length())
@@ -126,7 +142,7 @@ def top_rows(sums: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_block(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """Lists (query row, vec_id, score): each query's best rows of a block."""
+    """Lists (query row, vec_id, score): each query's best rows of a block; a score is exact, however large."""
     ids, slices, least, width = index["ids"], index["slices"], index["least"], index["width"]
     everyone = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
     valid = np.zeros(slices.shape[2] * 8, np.uint8)
@@ -143,30 +159,35 @@ def search_block(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int
                 mask[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
         sums = add_slices(slices, query)
         # complements count from the top: |q| * (top - u) = |q| * top + q * u
-        shift = int((query * least).sum()) - top * int(np.abs(query[query < 0]).sum())
+        exact, lows = query.tolist(), least.tolist()
+        shift = sum(map(operator.mul, exact, lows)) + top * sum(q for q in exact if q < 0)
         rows = top_rows(sums, mask, k)
-        score = np.full(len(rows), shift, dtype=np.int64)
+        score = np.full(len(rows), shift, dtype=np.int64 if abs(shift) < WORD and len(sums) < 62 else object)
         for weight, plane in enumerate(sums):
             bit = (plane[rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)
-            score += bit.astype(np.int64) << weight
+            score += bit.astype(np.int64).astype(score.dtype) << weight
         found[0].extend([i] * len(rows))
         found[1].extend(ids[rows].tolist())
         found[2].extend(score.tolist())
     return found
 
 
-def _pack_block(rows: pd.DataFrame) -> pd.DataFrame:
-    index = build_index(rows)
-    return pd.DataFrame({
-        "block": [rows["block"].iloc[0]], "dim": [rows["dim"].iloc[0]], "ids": [index["ids"].tobytes()],
-        "least": [index["least"].tobytes()], "width": [index["width"]], "slices": [index["slices"].tobytes()]})
+def _pack_block(scale: int):
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        index = build_index(rows.assign(q=list(integers(rows["x"], int(rows["dim"].iloc[0]), scale))))
+        return pd.DataFrame({
+            "block": [rows["block"].iloc[0]], "dim": [rows["dim"].iloc[0]], "ids": [index["ids"].tobytes()],
+            "least": [pickle.dumps(index["least"])], "width": [index["width"]], "slices": [index["slices"].tobytes()]})
+    return pack
 
 
-def _pack_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-    matrix = np.array(rows["q"].tolist(), dtype=np.int64)
-    return pd.DataFrame({
-        "chunk": [rows["chunk"].iloc[0]], "q_dim": [rows["dim"].iloc[0]], "query_keys": [rows["key"].to_numpy(np.int64).tobytes()],
-        "query_ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "queries": [matrix.tobytes()]})
+def _pack_chunk(scale: int):
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        matrix = integers(rows["x"], int(rows["dim"].iloc[0]), scale)
+        return pd.DataFrame({
+            "chunk": [rows["chunk"].iloc[0]], "q_dim": [rows["dim"].iloc[0]], "query_keys": [rows["key"].to_numpy(np.int64).tobytes()],
+            "query_ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "queries": [pickle.dumps(matrix)]})
+    return pack
 
 
 def _read(slot, kind):
@@ -181,14 +202,16 @@ def _search(k: int):
                 dim, width = row["dim"].as_py(), row["width"].as_py()
                 ids = _read(row["ids"], np.int64)
                 words = -(-len(ids) // 64)
-                index = {"ids": ids, "least": _read(row["least"], np.int64), "width": width,
+                index = {"ids": ids, "least": pickle.loads(row["least"].as_py()), "width": width,
                          "slices": _read(row["slices"], np.uint64).reshape(dim, width, words)}
                 keys, own = _read(row["query_keys"], np.int64), _read(row["query_ids"], np.int64)
-                queries = _read(row["queries"], np.int64).reshape(len(own), dim)
-                at, vec, score = search_block(index, own, queries, k)
+                at, vec, exact = search_block(index, own, pickle.loads(row["queries"].as_py()), k)
+                # a score that does not fit is wide, and passed on as the nearest number that does
+                score = [min(max(value, -(1 << 63)), (1 << 63) - 1) for value in exact]
+                wide = [a != b for a, b in zip(exact, score)]
                 yield pa.RecordBatch.from_pydict(
-                    {"key": keys[at] if at else [], "query_id": own[at] if at else [], "vec_id": vec, "score": score},
-                    schema=pa.schema([("key", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+                    {"key": keys[at] if at else [], "query_id": own[at] if at else [], "vec_id": vec, "score": score, "wide": wide},
+                    schema=pa.schema([*[(name, pa.int64()) for name in ("key", "query_id", "vec_id", "score")], ("wide", pa.bool_())]))
     return search
 
 
@@ -196,7 +219,7 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
           scale: int = 256, block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of each query, fewer if there are fewer."""
     usable = cut_lineage(
-        quantised(vectors, vec_id, embedding, scale).withColumn("key", F.monotonically_increasing_id()), "vectors")
+        usable_vectors(vectors, vec_id, embedding).withColumn("key", F.monotonically_increasing_id()), "vectors")
     sizes = usable.groupBy("dim").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % divisor == 0, 1)).alias("asked"))
     blocks_of = F.ceil(F.col("n") / block_rows).cast("int")
@@ -206,20 +229,22 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     dealt = usable.join(sizes, "dim").withColumn("deal", F.xxhash64("key"))
     index = (
         dealt.withColumn("block", F.pmod("deal", F.col("blocks").cast("long")).cast("int"))
-        .groupBy("dim", "block").applyInPandas(_pack_block, "block int, dim int, ids binary, least binary, width int, slices binary"))
+        .groupBy("dim", "block").applyInPandas(_pack_block(scale), "block int, dim int, ids binary, least binary, width int, slices binary"))
     chunks = (
         dealt.where(F.col("vec_id") % divisor == 0).withColumn("chunk", F.pmod("deal", F.col("chunks").cast("long")).cast("int"))
-        .groupBy("dim", "chunk").applyInPandas(_pack_chunk, "chunk int, q_dim int, query_keys binary, query_ids binary, queries binary"))
+        .groupBy("dim", "chunk").applyInPandas(_pack_chunk(scale), "chunk int, q_dim int, query_keys binary, query_ids binary, queries binary"))
     asked = (
         chunks.join(sizes.withColumnRenamed("dim", "s_dim"), F.col("q_dim") == F.col("s_dim"))
         .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("s_dim", "blocks", "chunks"))
     met = asked.join(index, (F.col("q_dim") == F.col("dim")) & (F.col("q_block") == F.col("block")))
     even = met.repartition(F.col("q_dim"), F.col("q_block"), F.col("chunk"))
-    found = even.mapInArrow(_search(k), "key long, query_id long, vec_id long, score long")
+    found = even.mapInArrow(_search(k), "key long, query_id long, vec_id long, score long, wide boolean")
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    # a wide score comes out among the best only if it is one of them, or all before it are wide too
+    score = F.when(F.col("wide"), F.raise_error(F.lit("a score passes 64 bits")).cast("long")).otherwise(F.col("score"))
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score"))
+        .select("query_id", "rank", "vec_id", score.alias("score")))
 
 
 def op1_topk_search(spark, folder: str) -> DataFrame:
