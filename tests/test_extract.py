@@ -167,3 +167,46 @@ def test_call_facts_shuffle_once_at_most(facts):
     _, _, _, placed = facts
     plan = X.call_facts(placed)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("InMemoryTableScan")[0].count("Exchange hashpartitioning") <= 1
+
+
+def test_things_sort_no_nodes(spark, facts):
+    """Nodes go packed through one shuffle; no window or sort holds a row per node."""
+    sources, nodes, _, _ = facts
+    stored = [frame.sparkSession.createDataFrame(frame.collect(), frame.schema) for frame in (sources, nodes)]
+    plan = X.things(stored[1], X.prepare_sources(stored[0]))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_order_of_nodes_does_not_matter(spark, facts):
+    """Nodes of a file may lie anywhere in the table, in any order and in many batches."""
+    sources, nodes, ready, placed = facts
+    spread = nodes.repartition(7, "node_id").orderBy("type", "start_byte")
+    again = X.annotate(spread, ready)
+    assert sorted(map(str, again.collect())) == sorted(map(str, placed.collect()))
+
+
+def test_files_given_twice_and_without_id(spark, facts):
+    """A content given twice gives its things twice; files without an id or a content give none."""
+    from pyspark.sql import functions as F
+
+    sources, nodes, ready, _ = facts
+    twice = ready.where("file_id = 2").unionByName(ready.where("file_id in (1, 2)"))
+    lost = nodes.where("file_id = 1").withColumn("file_id", F.lit(None).cast("bigint"))
+    found = X.things(nodes.unionByName(lost), twice).groupBy("file_id").count().collect()
+    once = {row["file_id"]: row["count"] for row in X.things(nodes, ready).groupBy("file_id").count().collect()}
+    assert {row["file_id"]: row["count"] for row in found} == {1: once[1], 2: 2 * once[2]}
+
+
+def test_lines_are_counted_between_members(spark):
+    """Line numbers take each text once, however many members a file has."""
+    from unitloom.operators.nodes import nodes_from
+    from unitloom.proofs import facts as P
+
+    texts = [(1, "p", "a", "\n".join(["Unit"] + [f"T m{i} A a" for i in range(50)])), (2, "p", "b", "\n\nU x y z\nü\nT m A a")]
+    sources = spark.createDataFrame(texts, "file_id bigint, project string, path string, content string")
+    nodes, ready = nodes_from(sources, P.line_parser()), X.prepare_sources(sources)
+    members = nodes.where("type = 'method_declaration'").select("file_id", nodes.node_id.alias("member_id"))
+    made = P._with_line(members, nodes, ready)
+    assert sorted(tuple(row) for row in made.select("file_id", "line").collect()) == [(1, i) for i in range(2, 52)] + [(2, 3), (2, 5)]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "lag(" in plan
