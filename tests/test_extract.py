@@ -208,5 +208,7 @@ def test_lines_are_counted_between_members(spark):
     members = nodes.where("type = 'method_declaration'").select("file_id", nodes.node_id.alias("member_id"))
     made = P._with_line(members, nodes, ready)
     assert sorted(tuple(row) for row in made.select("file_id", "line").collect()) == [(1, i) for i in range(2, 52)] + [(2, 3), (2, 5)]
-    plan = made._jdf.queryExecution().executedPlan().toString()
-    assert "lag(" in plan
+    assert "lag(" in made._jdf.queryExecution().executedPlan().toString()
+    # a file given twice has each member, and its line, once for each tree and content
+    again = P._with_line(members, nodes.unionByName(nodes), ready.unionByName(ready)).where("file_id = 2").select("line").collect()
+    assert sorted(row.line for row in again) == [3] * 4 + [5] * 4
