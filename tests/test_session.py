@@ -2,7 +2,7 @@
 
 import pytest
 
-from unitloom.session import cut_lineage, shared_folder
+from unitloom.session import SHUFFLE_CLEANUP, cut_lineage, shared_folder
 
 
 class FakeSession:
@@ -48,3 +48,23 @@ def test_steps_can_be_dropped(spark):
     assert len(new) == 1 and steps_written() == before
     target = spark._jvm.org.apache.hadoop.fs.Path(new[0])
     assert not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    import time
+
+    def files():
+        held = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size())}
+
+    before, was = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    df = spark.range(1000).repartition(5, "id")
+    step = cut_lineage(df)
+    for _ in range(100):
+        left = {name for name in files() - before if name.startswith("shuffle_")}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(SHUFFLE_CLEANUP) == was
+    # what was written can still be computed again
+    assert step.count() == df.count() == 1000

@@ -9,7 +9,8 @@ A word is removed if a window over it also starts in a document with a smaller i
 
 What a batch of documents repeats is settled in the batch, which sends each anchor and each window
 on once; so a passage that a third of all rows holds reaches a task once per batch.  Sorted rows are
-read as a stream: no task gathers a group.  Texts are shuffled once, and read again for the result.
+read as a stream: no task gathers a group.  Shared anchors and repeated windows are written, which frees the shuffles
+they come from; texts are shuffled for each of the two.
 
 Windows are told apart by 96 bits of hash.  Null texts have no words.  A null id is smaller than any other.  Rows that repeat an id do not
 remove each other's words.
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from unitloom.llm.common import ROW, sha256_hex, table, with_row_key
+from unitloom.session import cut_lineage
 
 WINDOW = 13
 #: Every difference modulo 7 is one between two of these.
@@ -221,15 +223,14 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     anchors = (
         texts.mapInArrow(_emit_anchors(window), f"h long, {ROW} long, known boolean")
         .repartition(F.when(F.col("known"), F.xxhash64(ROW)).otherwise(F.col("h"))).sortWithinPartitions("h").mapInArrow(_shared_anchors, f"{ROW} long, h long"))
-    # both joins below read this one shuffle of the texts
-    placed = texts.repartition(F.col(ROW))
-    shared = anchors.groupBy(ROW).agg(F.collect_list("h").alias("shared"))
+    # a step that is written leaves no shuffle behind, so anchors, windows and texts do not lie on disk together
+    shared = cut_lineage(anchors, "anchors").groupBy(ROW).agg(F.collect_list("h").alias("shared"))
     windows = (
-        placed.join(shared, ROW).select(ROW, "doc_id", "text", "shared")
+        texts.hint("merge").join(shared, ROW).select(ROW, "doc_id", "text", "shared")
         .mapInArrow(_emit_windows(window), f"h1 long, placed long, doc long, {ROW} long, gone boolean")
         .repartition("h1").sortWithinPartitions("h1", F.col("placed").bitwiseAND(F.lit(_LOW)), "doc").mapInArrow(_repeated_windows, f"{ROW} long, place int"))
-    repeated = windows.groupBy(ROW).agg(F.collect_list("place").alias("places"))
-    return placed.join(repeated, ROW, "left").select(ROW, "doc_id", "text", "places").mapInArrow(
+    repeated = cut_lineage(windows, "windows").groupBy(ROW).agg(F.collect_list("place").alias("places"))
+    return texts.hint("merge").join(repeated, ROW, "left").select(ROW, "doc_id", "text", "places").mapInArrow(
         _keep_words(window), f"{ROW} long, doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -19,6 +20,9 @@ ADAPTIVE_SETTINGS = {
 }
 
 
+#: Shuffles of a query are removed when it ends, instead of when the driver next collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders of the steps written by this process, oldest first.
 _STEPS: list[str] = []
 
@@ -45,6 +49,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside leave no shuffle files behind: a step that is stored has no more use for them."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -53,7 +71,8 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _STEPS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
