@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from unitloom.llm import block_naming, jaccard, packing, sanitise, toxicity
 from unitloom.llm.common import ROW, keep_rows, table
-from unitloom.session import drop_steps, shared_folder, steps_written, tune
+from unitloom.session import drop_steps, shared_folder, shuffles_dropped, steps_written, tune
 
 #: Steps of the stage called last.
 _LEFT: list[str] = []
@@ -82,6 +82,8 @@ def run(spark: SparkSession, folder: str) -> DataFrame:
     tune(spark)
     docs, place = table(spark, folder, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, folder).write.parquet(f"{place}/{name}")
+        out = stage(spark, docs, folder)
+        with shuffles_dropped(spark):
+            out.write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
     return docs

@@ -288,3 +288,44 @@ def test_rare_shingles_find_all_similar_pairs_and_no_group_by_a_shared_passage(s
     assert linked and linked <= found
     if similar > 50:
         assert not any(max(pair) < 40 for pair in found)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 900), st.integers(0, 60), st.integers(0, 700), st.integers(0, 10 ** 6))
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements(size, lost, added, seed):
+    pool = np.unique(np.random.default_rng(seed).integers(0, 2 ** 64, size + added, dtype=np.uint64))
+    a, b = pool[:size], pool[min(lost, size - 1):]
+    one, two = jaccard.sketch(a), jaccard.sketch(b)
+    for bits in (256, 8 * min(len(one), len(two))):
+        assert (jaccard.folded(one, bits) ^ jaccard.folded(two, bits)).bit_count() <= len(np.setxor1d(a, b))
+        longer = max((a, b), key=len)
+        assert jaccard.folded(jaccard.sketch(longer), bits) == sum(1 << i for i in range(bits) if np.count_nonzero(longer % np.uint64(bits) == i) % 2)
+
+
+@pytest.mark.parametrize("similar", [80, 85])
+def test_pairs_far_apart_move_no_texts(spark, stored, similar):
+    rng = random.Random(similar)
+    texts = []
+    for i in range(30):  # of one text, with more and more words changed
+        body = [f"w{j}" for j in range(400)]
+        for j in rng.sample(range(400), i):
+            body[j] = f"n{i}x{j}"
+        texts.append(" ".join(body * (1 + i % 2) if i > 25 else body))
+    nodes = jaccard.shingle_sets(stored(list(enumerate(texts)), files=1), "doc_id", "text", 4)
+    ids = {row[ROW]: row["doc_id"] for row in nodes.collect()}
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
+    kept = {frozenset((ids[r.a], ids[r.b])) for r in jaccard.may_be_similar(pairs, nodes, similar).collect()}
+    sets = [jaccard.shingles(jaccard.words_of(text), 4) for text in texts]
+    linked = {frozenset((i, j)) for i in range(30) for j in range(i) if 100 * len(sets[i] & sets[j]) >= similar * len(sets[i] | sets[j])}
+    assert linked and linked <= kept and len(kept) < len(linked) + 0.5 * (435 - len(linked))
+
+
+@pytest.mark.parametrize("n", [1, 4, 5])
+def test_texts_hashed_together_have_their_own_shingles(n, monkeypatch):
+    rng = random.Random(n)
+    bodies = [" ".join(f"w{rng.randrange(6)}" for _ in range(rng.randrange(40))) for _ in range(60)] + ["", " \n", "one"]
+    for at_once in (1, 30, 50_000):
+        monkeypatch.setattr(jaccard, "WORDS_AT_ONCE", at_once)
+        found = list(jaccard.all_shingle_hashes(bodies, n))
+        assert len(found) == len(bodies)
+        assert all(np.array_equal(h, jaccard.shingle_hashes(jaccard.words_of(t), n)) for h, t in zip(found, bodies))

@@ -17,6 +17,10 @@ sets, two similar sets share one of their first few (prefix filter), and a passa
 share comes last.  Every comparison is exact, on words.  A skipped comparison lies within a component, so
 no component loses a link.
 
+Before texts are moved, pairs meet by sketches: bit i of a set's sketch tells whether an odd number of its shingles
+hash to i, so two sketches differ in no more bits than the sets differ in elements, and pairs whose sketches differ in more than
+similar sets can are dropped, exactly.
+
 Null texts and texts without words have the empty set, which is linked with nothing.  Rows that
 repeat an id are documents of their own with the same id.
 """
@@ -24,6 +28,8 @@ repeat an id are documents of their own with the same id.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -42,6 +48,10 @@ CENTRES = 2
 BAND_RATIO, NARROW_RATIO = 1.5, 1.06
 #: Thresholds beyond H, as a share of H + 1; at least one.
 SLACK = 0.06
+#: Words of documents that are hashed together.
+WORDS_AT_ONCE = 50_000
+#: Least bits of a sketch, and bits that sets carry where they meet by rare shingles.
+SKETCH_BITS = 256
 #: Assumed share of sets that hold a given element of a small subset, for the choice of thresholds.
 COMMON = 0.05
 
@@ -86,6 +96,54 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     return np.unique(total)
 
 
+def all_shingle_hashes(bodies: list[str], n: int) -> Iterator[np.ndarray]:
+    """:func:`shingle_hashes` of each text; many texts are hashed at once."""
+    waiting, held = [], 0
+    for body in bodies:
+        words = words_of(body)
+        waiting.append(words)
+        held += len(words)
+        if held >= WORDS_AT_ONCE:
+            yield from _hashed_at_once(waiting, held, n)
+            waiting, held = [], 0
+    yield from _hashed_at_once(waiting, held, n)
+
+
+def _hashed_at_once(texts: list[list[bytes]], held: int, n: int) -> Iterator[np.ndarray]:
+    found = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=held)
+    # windows over two texts are hashed too, and not read
+    total = np.zeros(max(held - n + 1, 0), np.uint64)
+    for i in range(n):
+        total = mixed(total + found[i:len(total) + i])
+    start = 0
+    for words in texts:
+        if len(words) > n:
+            hashes = np.sort(total[start:start + len(words) - n + 1])
+            new = hashes[1:] != hashes[:-1]
+            yield hashes if new.all() else hashes[np.concatenate([[True], new])]
+        else:
+            yield shingle_hashes(words, n)
+        start += len(words)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the number of hashes by their low bits; a set of twice the size has a sketch of twice the length."""
+    bits = SKETCH_BITS
+    while bits < 2 * len(hashes):
+        bits *= 2
+    odd = np.bincount((hashes & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketched: bytes, bits: int) -> int:
+    """A sketch with fewer bits, as its hashes would give it."""
+    value, held = int.from_bytes(sketched, "little"), 8 * len(sketched)
+    while held > bits:
+        held //= 2
+        value = (value >> held) ^ (value & ((1 << held) - 1))
+    return value
+
+
 def shingles(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     if not words:
         return set()
@@ -180,18 +238,18 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(row, doc_id, n, digest): size and identity of each document's set."""
+    """(row, doc_id, n, digest, sketch): size, identity and sketch of each document's set."""
     def measure(batches):
         for batch in batches:
-            sizes, digests = [], []
-            for body in batch.column(2).to_pylist():
-                found = shingle_hashes(words_of(body), words)
+            sizes, digests, sketches = [], [], []
+            for found in all_shingle_hashes(batch.column(2).to_pylist(), words):
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                sketches.append(sketch(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())],
-                names=[ROW, "doc_id", "n", "digest"])
-    return _texts(docs, doc_id, text).mapInArrow(measure, f"{ROW} long, doc_id long, n long, digest binary")
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
+                names=[ROW, "doc_id", "n", "digest", "sketch"])
+    return _texts(docs, doc_id, text).mapInArrow(measure, f"{ROW} long, doc_id long, n long, digest binary, sketch binary")
 
 
 def _stars(batches):
@@ -217,8 +275,7 @@ def buckets(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands) -
     def emit(batches):
         for batch in batches:
             seen, keys, owners = set(), [], []
-            for row, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                found = shingle_hashes(words_of(body), words)
+            for row, found in zip(batch.column(0).to_pylist(), all_shingle_hashes(batch.column(2).to_pylist(), words)):
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 if len(found) and digest not in seen:
                     seen.add(digest)
@@ -270,6 +327,24 @@ def _compare(words: int, similar: int):
     return compare
 
 
+def may_be_similar(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Of pairs (a, b) of row keys, those whose sketches differ in no more bits than similar sets may differ in elements."""
+    def compare(batches):
+        for batch in batches:
+            kept = []
+            for a_n, b_n, a, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                bits = 8 * min(len(a), len(b))
+                differ = (folded(a, bits) ^ folded(b, bits)).bit_count()
+                kept.append((100 + similar) * differ <= (100 - similar) * (a_n + b_n))
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    def side(name):
+        return sets.select(F.col(ROW).alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
+    # merged at every size, as the table of sketches grows with the input
+    told = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    return told.select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(compare, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, similar: int) -> DataFrame:
     """The pairs (a, b) of row keys whose sets are similar, compared word by word."""
     sides = pairs.select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
@@ -303,21 +378,25 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         a, b = F.col("a_n"), F.col("b_n")
         return pairs.where((100 * a >= similar * b) & (100 * b >= similar * a))
 
+    def linked(pairs):
+        near = cut_lineage(may_be_similar(pairs, sets, similar), "near")
+        return cut_lineage(verified(near, docs, doc_id, text, words, similar), "links")
+
     named = met.join(node("hub"), "hub").join(node("row"), "row")
     first = named.where("hub_rep <> row_rep").select(
         F.least("hub_rep", "row_rep").alias("a"), F.greatest("hub_rep", "row_rep").alias("b"),
         F.col("hub_n").alias("a_n"), F.col("row_n").alias("b_n"))
     tried = cut_lineage(fitting(first).select("a", "b").distinct(), "pairs")
-    links = cut_lineage(verified(tried, docs, doc_id, text, words, similar), "links")
+    links = linked(tried)
     reached = components(links)
     held = met.select("sig", F.explode(F.array("hub", "row")).alias(ROW)).join(nodes.select(ROW, "rep", "n"), ROW).drop(ROW)
     for step in range(CENTRES + 1):
         held = _mixed(held, reached)
-        pairs = _central(held, similar) if step < CENTRES else _rare(_able(held, bands), docs, doc_id, text, words, bands)
+        pairs = _central(held, similar) if step < CENTRES else _rare(_able(held, bands), docs, doc_id, text, words, bands, sets)
         pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        more = cut_lineage(verified(pairs, docs, doc_id, text, words, similar), "links")
+        more = linked(pairs)
         tried = tried.unionByName(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
@@ -429,12 +508,27 @@ def _prefixes(starts: list[int], similar: int):
     return emit
 
 
-def _rare(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands) -> DataFrame:
+_BITS = [f"bits_{i}" for i in range(SKETCH_BITS // 64)]
+_SHORT = ", ".join(["rep long", *[f"{column} long" for column in _BITS]])
+
+
+def _short(batches):
+    """The short form of each set's sketch, 64 bits a column."""
+    for batch in batches:
+        short = b"".join(folded(value, SKETCH_BITS).to_bytes(SKETCH_BITS // 8, "little") for value in batch.column(1).to_pylist())
+        table = np.frombuffer(short, "<i8").reshape(batch.num_rows, len(_BITS))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *[pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(_BITS))]], names=["rep", *_BITS])
+
+
+def _rare(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands,
+          sketched: DataFrame | None = None) -> DataFrame:
     """Pairs across components that may be similar, as both hold one of the rarest shingles that several components have.
 
     The order of shingles is by their number of sets, and those that one component alone holds come before all
     others.  Similar sets of sizes n and m share s * (n + m) / (100 + s) shingles, so the first one they share in
     that order has so many shingles of each set from itself on.  Sets meet by that shingle and both their bands.
+    With ``sketched``, the table of :func:`shingle_sets`, pairs are held to a short form of their sketches where they meet.
     """
     similar, wanted = bands.similar, cut_lineage(sets.withColumnRenamed("rep", ROW), "able")
     told = wanted.hint("merge").join(_texts(docs, doc_id, text).select(ROW, "text"), ROW).select(ROW, "n", "component", "text")
@@ -447,14 +541,21 @@ def _rare(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int,
     met = cut_lineage(ordered.select("element", "rep", "n", "component").mapInArrow(
         _prefixes(starts, similar), "key long, side byte, rep long, n long, component long"), "prefixes")
     several = met.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    met = cut_lineage(met.join(cut_lineage(several.select("key"), "several"), "key"), "rare")
+    met = met.join(cut_lineage(several.select("key"), "several"), "key")
+    bits = [] if sketched is None else _BITS
+    if sketched is not None:
+        met = met.join(sketched.select(F.col(ROW).alias("rep"), "sketch").mapInArrow(_short, _SHORT), "rep")
+    met = cut_lineage(met, "rare")
 
     def side(name, taken):
-        return met.where(taken).select("key", F.col("side").alias(f"{name}_side"), F.col("rep").alias(name),
-                                       F.col("n").alias(f"{name}_n"), F.col("component").alias(f"{name}_class"))
+        return met.where(taken).select(
+            "key", F.col("side").alias(f"{name}_side"), F.col("rep").alias(name), F.col("n").alias(f"{name}_n"),
+            F.col("component").alias(f"{name}_class"), *[F.col(column).alias(f"{name}_{column}") for column in bits])
     pairs = side("a", "side >= 0").join(side("b", "side <= 0"), "key")
     facing = (F.col("a_side") + F.col("b_side") == 0) & ((F.col("a_side") != 0) | (F.col("a") < F.col("b")))
-    return pairs.where(facing & _fits(similar)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    differ = sum((F.bit_count(F.col(f"a_{column}").bitwiseXOR(F.col(f"b_{column}"))) for column in bits), F.lit(0))
+    near = (100 + similar) * differ <= (100 - similar) * (F.col("a_n") + F.col("b_n"))
+    return pairs.where(facing & _fits(similar) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def op10_jaccard_join(spark, folder: str) -> DataFrame:
