@@ -329,3 +329,54 @@ def test_texts_hashed_together_have_their_own_shingles(n, monkeypatch):
         found = list(jaccard.all_shingle_hashes(bodies, n))
         assert len(found) == len(bodies)
         assert all(np.array_equal(h, jaccard.shingle_hashes(jaccard.words_of(t), n)) for h, t in zip(found, bodies))
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_near_lines_pass_what_is_tested_before_they_are_compared(spark, edits):
+    rng = random.Random(40 + edits)
+    pairs = []
+    for _ in range(400):
+        x = "".join(rng.choice("abcé😀漢") for _ in range(rng.randrange(1, 60)))
+        y = list(x)
+        for _ in range(rng.randrange(edits + 1)):
+            i, kind = rng.randrange(len(y) + 1), rng.randrange(3)
+            y[i:i + (kind > 0)] = [] if kind == 1 else [rng.choice("abcé😀漢")]
+        pairs.append((x, "".join(y) or "a"))
+    x, y = F.col("x"), F.col("y")
+    told = spark.createDataFrame(pairs, "x string, y string").select(
+        "x", "y", line_dedup.mostly_shared(line_dedup.wide(x), line_dedup.wide(y), F.length(x), F.length(y), edits).alias("shared"),
+        line_dedup.parities(x).alias("px"), line_dedup.parities(y).alias("py"))
+    for r in told.collect():
+        ones, twos = ((r.px[c] ^ r.py[c]) & (2 ** 64 - 1) for c in ("ones", "twos"))
+        if edit_distance(r.x, r.y) <= edits:
+            assert r.shared and ones.bit_count() <= 2 * edits and twos.bit_count() <= 4 * edits, (r.x, r.y)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_keys_by_rows_are_those_of_a_line(spark, edits):
+    rng = random.Random(edits)
+    lines = spark.createDataFrame([("".join(rng.choice("ab") for _ in range(n)),) for n in range(40)], "line string")
+    wanted = {r.line: set(r.k) for r in lines.select("line", line_dedup.segment_keys(F.col("line"), edits, 4).alias("k")).collect()}
+    told = lines.select(F.col("line").alias("k1"), F.length("line").alias("chars"), line_dedup.wide(F.col("line")).alias("wide"))
+    found: dict = {line: set() for line in wanted}
+    for r in line_dedup.keys_of(told, edits, 4).collect():
+        found[r.k1].add(r.key)
+    assert found == wanted and any(wanted.values())
+
+
+def test_lines_that_share_a_part_and_nothing_else_are_not_paired(spark, stored, monkeypatch):
+    rng = random.Random(3)
+    part = "the same beginning of all lines, "
+    rest = ["".join(rng.choice("abcdefghijklmnop") for _ in range(66)) for _ in range(40)]
+    texts = [part + line for line in rest] + [part + rest[0][:-1] + "z", part + rest[7][1:]]
+    compared, whole = [], line_dedup._apart
+
+    def counted(pairs, texts, edits):
+        compared.append(pairs.count())
+        return whole(pairs, texts, edits)
+    monkeypatch.setattr(line_dedup, "_apart", counted)
+    rows = list(enumerate(texts))
+    found = line_dedup.line_dedup(stored(rows)).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_near, r.removed) for r in found) == brute_lines(rows, 2, 20)
+    # a line with the first one of each key, and of 861 pairs next to none across classes
+    assert sum(compared) < 150, compared

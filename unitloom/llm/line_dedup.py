@@ -48,23 +48,65 @@ def wide(line: Column) -> Column:
 
 def segment_keys(line: Column, edits: int, least_chars: int) -> Column:
     """Keys of a line: its own segments, and its substrings where near lines' segments may lie."""
-    return keys_of(wide(line), F.length(line), edits, least_chars)
-
-
-def keys_of(line: Column, length: Column, edits: int, least_chars: int) -> Column:
-    """:func:`segment_keys` of a line given by :func:`wide` and its number of code points."""
-    parts, keys = edits + 1, []
-    for shorter, segment, shift in probes(edits):
-        indexed = length - shorter
-        base = F.floor(indexed / parts).cast("int")
-        over = (indexed % parts) - (parts - segment)
-        size = base + F.when(over >= 0, 1).otherwise(0)
-        start = base * segment + F.greatest(over, F.lit(0)) + shift
-        usable = (indexed >= least_chars) & (start >= 0) & (start + size <= length)
-        keys.append(F.when(usable, F.xxhash64(F.lit(segment), indexed, F.substring(line, start * WIDE + 1, size * WIDE))))
+    keys = [_key(wide(line), F.length(line), *map(F.lit, probe), edits, least_chars) for probe in probes(edits)]
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
+def _key(line: Column, length: Column, shorter: Column, segment: Column, shift: Column, edits: int, least_chars: int) -> Column:
+    """The key of a line, given by :func:`wide` and its number of code points, at one of the :func:`probes`; null if it has no such place."""
+    parts = edits + 1
+    indexed = length - shorter
+    base = F.floor(indexed / parts).cast("int")
+    over = (indexed % parts) - (parts - segment)
+    size = base + F.when(over >= 0, 1).otherwise(0)
+    start = base * segment + F.greatest(over, F.lit(0)) + shift
+    usable = (indexed >= least_chars) & (start >= 0) & (start + size <= length)
+    return F.when(usable, F.xxhash64(segment, indexed, F.substr(line, start * WIDE + 1, size * WIDE)))
+
+
+def keys_of(lines: DataFrame, edits: int, least_chars: int) -> DataFrame:
+    """(k1, key): a row per key of lines (k1, chars, wide), where equal keys of a line may repeat.
+
+    The places are rows and not columns, so that the code for a key is short enough for the JVM to compile.
+    """
+    places = F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("shorter", "segment", "shift"), probe)]) for probe in probes(edits)]))
+    keys = lines.select("k1", "chars", "wide", places).select(
+        "k1", _key(F.col("wide"), F.col("chars"), F.col("shorter"), F.col("segment"), F.col("shift"), edits, least_chars).alias("key"))
+    return keys.where("key IS NOT NULL")
+
+
+#: Segments of which near lines share all but as many as there are edits, tested before lines are compared in full.
+FINE = 8
+
+
+def mostly_shared(x: Column, y: Column, x_length: Column, y_length: Column, edits: int) -> Column:
+    """Whether all but ``edits`` of the segments of ``x`` lie in ``y`` where near lines have them; both as :func:`wide` gives them."""
+    missing = F.lit(0)
+    for segment in range(FINE):
+        start, end = (F.floor(x_length * i / FINE).cast("int") for i in (segment, segment + 1))
+        own = F.substring(x, start * WIDE + 1, (end - start) * WIDE)
+        held = F.lit(False)
+        for shift in range(-edits, edits + 1):
+            inside = (start + shift >= 0) & (end + shift <= y_length)
+            held = held | (inside & (F.substring(y, (start + shift) * WIDE + 1, (end - start) * WIDE) == own))
+        missing = missing + F.when(held, 0).otherwise(1)
+    return missing <= edits
+
+
+def parities(line: Column) -> Column:
+    """Bits that tell whether a line has an odd number of characters (``ones``) and of pairs of characters (``twos``) of a kind.
+
+    An edit changes at most two characters and four pairs, and as many bits.
+    """
+    state = F.struct(F.lit(0).cast("long").alias("ones"), F.lit(0).cast("long").alias("twos"), F.lit(0).alias("before"))
+
+    def step(state, c):
+        flipped = [F.call_function("shiftleft", F.lit(1).cast("long"), kind.bitwiseAND(F.lit(63))) for kind in (c, state["before"] * 37 + c)]
+        return F.struct(state["ones"].bitwiseXOR(flipped[0]).alias("ones"), state["twos"].bitwiseXOR(flipped[1]).alias("twos"), c.alias("before"))
+    codes = F.transform(F.split(line, ""), lambda c: F.pmod(F.ascii(c), F.lit(65536)))
+    return F.aggregate(codes, state, step)
+
+
 def near(x: Column, y: Column, edits: int) -> Column:
     """Whether the edit distance of two texts is at most ``edits``.
 
@@ -122,17 +164,28 @@ def _apart(near_pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
         "a", "b", "side", F.get(F.split("text", "\n", -1), F.col("pos")).alias("line"))
     both = told.groupBy("a", "b").agg(
         F.max(F.when(F.col("side") == 0, F.col("line"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("y"))
+    # cheap to test, and most lines that only share a segment fail it
+    both = both.select("a", "b", "x", "y", F.length("x").alias("xn"), F.length("y").alias("yn"), wide(F.col("x")).alias("xw"), wide(F.col("y")).alias("yw"))
+    both = both.where(mostly_shared(F.col("xw"), F.col("yw"), F.col("xn"), F.col("yn"), edits))
     return both.where(near(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
+def _with_parities(ends: DataFrame, texts: DataFrame) -> DataFrame:
+    """Lines (id, row, pos) with the :func:`parities` of their texts, each line read once."""
+    asked = ends.select("id", F.col("row").alias(ROW), "pos").distinct()
+    told = asked.hint("merge").join(texts.select(ROW, "text"), ROW)
+    return told.select("id", parities(F.get(F.split("text", "\n", -1), F.col("pos"))).alias("p")).select("id", "p.ones", "p.twos")
+
+
 def line_classes(texts: DataFrame, lines: DataFrame, edits: int, least_chars: int) -> DataFrame:
     """(node, component) of the lines that are near another; ``lines`` is written, a row per distinct line."""
     # length and wide form are columns of their own, taken once per line and not once per key
     long = _lines(texts).select(F.xxhash64("line").alias("k1"), F.length("line").alias("chars"), "line").where(F.col("chars") >= least_chars)
     long = long.select("k1", "chars", wide(F.col("line")).alias("wide"))
-    keys = long.select("k1", F.explode(keys_of(F.col("wide"), F.col("chars"), edits, least_chars)).alias("key"))
-    shared = cut_lineage(keys.groupBy("key").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high"), "keys")
-    met = cut_lineage(keys.join(shared.select("key", "low"), "key").distinct(), "met")
+    # shuffled once: keys that several lines hold are found where they lie and meet their lines there
+    keys = keys_of(long, edits, least_chars).repartition("key")
+    shared = keys.groupBy("key").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("key", "low")
+    met = cut_lineage(keys.join(shared.hint("shuffle_hash"), "key").distinct(), "met")
 
     def side(name):
         return lines.where(F.col("chars") >= least_chars).select(
@@ -154,11 +207,18 @@ def line_classes(texts: DataFrame, lines: DataFrame, edits: int, least_chars: in
     held = cut_lineage(met.select("key", "k1").join(cut_lineage(classed, "classes"), "k1"), "held")
     mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     mixed = cut_lineage(held.join(cut_lineage(mixed, "keys"), "key"), "mixed")
+    if mixed.isEmpty():
+        return reached
+    mixed = cut_lineage(mixed.join(cut_lineage(_with_parities(mixed, texts), "parities"), "id"), "mixed")
 
     def end(name):
-        return mixed.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "chars", "component", "row", "pos")])
+        return mixed.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "chars", "component", "row", "pos", "ones", "twos")])
+
+    def differ(column):
+        return F.bit_count(F.col(f"a_{column}").bitwiseXOR(F.col(f"b_{column}")))
     rest = end("a").join(end("b"), "key").where(
-        (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & (F.abs(F.col("a_chars") - F.col("b_chars")) <= edits))
+        (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & (F.abs(F.col("a_chars") - F.col("b_chars")) <= edits)
+        & (differ("ones") <= 2 * edits) & (differ("twos") <= 4 * edits))
     rest = rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_row", "a_pos", "b_row", "b_pos").distinct()
     rest = cut_lineage(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if rest.isEmpty():
