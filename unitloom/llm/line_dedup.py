@@ -67,7 +67,7 @@ def _key(line: Column, length: Column, shorter: Column, segment: Column, shift:
 def keys_of(lines: DataFrame, edits: int, least_chars: int) -> DataFrame:
     """(k1, key): a row per key of lines (k1, chars, wide), where equal keys of a line may repeat.
 
-    The places are rows and not columns, so that the code for a key is short enough for the JVM to compile.
+    The places are rows and not columns: one short expression is much faster than an array of one per place.
     """
     places = F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("shorter", "segment", "shift"), probe)]) for probe in probes(edits)]))
     keys = lines.select("k1", "chars", "wide", places).select(
