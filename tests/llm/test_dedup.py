@@ -380,3 +380,28 @@ def test_lines_that_share_a_part_and_nothing_else_are_not_paired(spark, stored,
     assert sorted((r.doc_id, r.n_lines, r.n_near, r.removed) for r in found) == brute_lines(rows, 2, 20)
     # a line with the first one of each key, and of 861 pairs next to none across classes
     assert sum(compared) < 150, compared
+
+
+def test_sets_keyed_together_have_their_own_subsets():
+    rng = random.Random(11)
+    pool = np.random.default_rng(1).integers(0, 2 ** 64, 3000, dtype=np.uint64)
+    sets = [np.sort(pool[rng.sample(range(len(pool)), rng.choice((1, 2, 3, 7, 30, 200, 900)))]) for _ in range(60)]
+    for similar, weight in ((85, 0), (85, 10 ** 7), (60, 10 ** 9)):
+        bands = jaccard.Bands(similar, top=900)
+        bands.allocate(dict.fromkeys(range(len(bands.plans)), weight))
+        found: dict = {}
+        for keys, places in bands.signatures_of(sets):
+            for key, place in zip(keys.tolist(), places.tolist()):
+                found.setdefault(place, set()).add(key)
+        assert all(found.get(i, set()) == set(bands.signatures(one).tolist()) for i, one in enumerate(sets))
+
+
+def test_words_hashed_together_are_told_apart():
+    rng = random.Random(2)
+    words = {bytes(rng.choice(b"ab\0") for _ in range(size)) for size in (*range(1, 20), 63, 64, 65, 200) for _ in range(20)}
+    texts = [b"", b" \t", *words, b"\x0b".join(words), "\u0085  x".encode()]
+    hashes, counts = jaccard.word_hashes(texts)
+    assert counts.tolist() == [len(text.split()) for text in texts]
+    assert len(set(hashes.tolist())) == len(words) + 2
+    assert hashes[:len(words)].tolist() == hashes[len(words):2 * len(words)].tolist()
+    assert jaccard.word_hashes([b"ABC Zz"])[0].tolist() == jaccard.word_hashes([b"abc zZ"])[0].tolist()

@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -48,25 +47,21 @@ CENTRES = 2
 BAND_RATIO, NARROW_RATIO = 1.5, 1.06
 #: Thresholds beyond H, as a share of H + 1; at least one.
 SLACK = 0.06
-#: Words of documents that are hashed together.
-WORDS_AT_ONCE = 50_000
+#: Words of documents that are hashed together, at some six bytes a word.
+WORDS_AT_ONCE, WORD_BYTES = 50_000, 6
+#: Bytes of the longest word that is hashed with others.
+LONG_WORD = 64
+#: Shingles of documents whose subsets are keyed together.
+HASHES_AT_ONCE = 50_000
 #: Least bits of a sketch, and bits that sets carry where they meet by rare shingles.
 SKETCH_BITS = 256
 #: Assumed share of sets that hold a given element of a small subset, for the choice of thresholds.
 COMMON = 0.05
 
 _MIX_A, _MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHash()
+#: Bytes that are white space, and masks of the lowest bytes of eight.
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOW_BYTES = np.array([(1 << 8 * size) - 1 for size in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,50 +75,65 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and each text's number of words.
+
+    Words are read eight bytes at a time, all words together; the few longer than ``LONG_WORD`` one by one.
+    """
+    body = b" " + b" ".join(texts).lower() + bytes([32] * 8)
+    white = _WHITE[np.frombuffer(body, np.uint8)]
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(body) - 7, "<u8", body, 0, (1,))
+    found = lengths.astype(np.uint64) * _MIX_A
+    part, at = slice(None), np.arange(len(starts))
+    for step in range(0, LONG_WORD, 8):
+        if not len(at):
+            break
+        read = eights[starts[part] + step] & _LOW_BYTES[np.minimum(lengths[part] - step, 8)]
+        found[part] = mixed(found[part] + read)
+        part = at = at[lengths[at] > step + 8]
+    for place in at:
+        found[place] = xxhash.xxh3_64_intdigest(body[starts[place]:starts[place] + lengths[place]])
+    begin = np.cumsum([1, *[len(text) + 1 for text in texts]])
+    return found, np.diff(np.searchsorted(starts, begin))
+
+
 def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     """Sorted distinct hashes of a document's shingles."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    found = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-    if len(found) > n:
-        total = np.zeros(len(found) - n + 1, np.uint64)
-        for i in range(n):
-            total = mixed(total + found[i:len(found) - n + 1 + i])
-    else:
-        total = np.zeros(1, np.uint64)
-        for value in found:
-            total = mixed(total + value)
-    return np.unique(total)
+    return next(_hashed_at_once([b" ".join(words)], n))
 
 
 def all_shingle_hashes(bodies: list[str], n: int) -> Iterator[np.ndarray]:
-    """:func:`shingle_hashes` of each text; many texts are hashed at once."""
+    """Sorted distinct hashes of the shingles of each text; many texts are hashed at once."""
     waiting, held = [], 0
     for body in bodies:
-        words = words_of(body)
-        waiting.append(words)
-        held += len(words)
-        if held >= WORDS_AT_ONCE:
-            yield from _hashed_at_once(waiting, held, n)
+        waiting.append(body.encode())
+        held += len(waiting[-1])
+        if held >= WORDS_AT_ONCE * WORD_BYTES:
+            yield from _hashed_at_once(waiting, n)
             waiting, held = [], 0
-    yield from _hashed_at_once(waiting, held, n)
+    yield from _hashed_at_once(waiting, n)
 
 
-def _hashed_at_once(texts: list[list[bytes]], held: int, n: int) -> Iterator[np.ndarray]:
-    found = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=held)
+def _hashed_at_once(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    found, counts = word_hashes(texts)
     # windows over two texts are hashed too, and not read
-    total = np.zeros(max(held - n + 1, 0), np.uint64)
+    total = np.zeros(max(len(found) - n + 1, 0), np.uint64)
     for i in range(n):
         total = mixed(total + found[i:len(total) + i])
     start = 0
-    for words in texts:
-        if len(words) > n:
-            hashes = np.sort(total[start:start + len(words) - n + 1])
+    for count in counts.tolist():
+        if count > n:
+            hashes = np.sort(total[start:start + count - n + 1])
             new = hashes[1:] != hashes[:-1]
             yield hashes if new.all() else hashes[np.concatenate([[True], new])]
         else:
-            yield shingle_hashes(words, n)
-        start += len(words)
+            whole = np.zeros(min(count, 1), np.uint64)
+            for value in found[start:start + count]:
+                whole = mixed(whole + value)
+            yield whole
+        start += count
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -228,6 +238,44 @@ class Bands:
                 out.append(self._key(salt[empty], band, kept))
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
+    def signatures_of(self, sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(keys, places in ``sets``): :meth:`signatures` of sets that are not empty, all at once and with repeats."""
+        sizes = np.array([len(found) for found in sets], np.int64)
+        hashes, begin = np.concatenate(sets), np.cumsum(sizes) - sizes
+        values, own = mixed(hashes), np.searchsorted(self.starts, sizes, "right") - 1
+        for band in range(int(own.min()), len(self.plans)):
+            chosen = np.flatnonzero((own == band) | ((own < band) & (100 * sizes >= self.similar * self.starts[band])))
+            segments, double, slack = self.plans[band]
+            if not len(chosen):
+                if band > own.max():
+                    break
+                continue
+            if not segments:
+                continue
+            lengths = sizes[chosen]
+            at = np.arange(lengths.sum()) + np.repeat(begin[chosen] - np.cumsum(lengths) + lengths, lengths)
+            inside = values[at]
+            cell = ((hashes[at] >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).view(np.int64)
+            cell += np.repeat(np.arange(len(chosen)) * segments, lengths)
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            filled = cell[first]
+            owner, held = chosen[filled // segments], filled % segments
+            salt = mixed(np.uint64(band << 32) + np.arange(segments, dtype=np.uint64))
+            sums = np.add.reduceat(inside, first) + salt[held]
+            yield self._key(sums, band, held < double), owner
+            if double:
+                subset = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(cell))))
+                lessened = held[subset] < double
+                subset = subset[lessened]
+                yield self._key(sums[subset] - inside[lessened], band, np.ones(len(subset), bool)), owner[subset]
+            silent = np.ones(len(chosen) * segments, bool)
+            silent[filled] = False
+            empty = np.flatnonzero(silent)
+            whose, kept = empty // segments, empty % segments < double
+            # an empty subset with threshold 2 still meets subsets of one element
+            told = np.bincount(whose, 1 + kept, len(chosen))[whose] > slack
+            yield self._key(salt[empty[told] % segments], band, kept[told]), chosen[whose[told]]
+
     @staticmethod
     def _key(sums: np.ndarray, band: int, double: np.ndarray) -> np.ndarray:
         return (mixed(sums) & ~np.uint64(255)) | np.uint64(band << 1) | double.astype(np.uint64)
@@ -274,19 +322,33 @@ def buckets(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands) -
     """(sig, hub, row): rows that share a subset, each with the first of them in its batch or overall."""
     def emit(batches):
         for batch in batches:
-            seen, keys, owners = set(), [], []
+            seen, keys, owners, held, held_rows, size = set(), [], [], [], [], 0
+
+            def told():
+                rows = np.array(held_rows, np.int64)
+                for key, place in bands.signatures_of(held):
+                    keys.append(key)
+                    owners.append(rows[place])
+
             for row, found in zip(batch.column(0).to_pylist(), all_shingle_hashes(batch.column(2).to_pylist(), words)):
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 if len(found) and digest not in seen:
                     seen.add(digest)
-                    key = bands.signatures(found)
-                    keys.append(key)
-                    owners.append(np.full(len(key), row, np.int64))
+                    held.append(found)
+                    held_rows.append(row)
+                    size += len(found)
+                    if size >= HASHES_AT_ONCE:
+                        told()
+                        held, held_rows, size = [], [], 0
+            if held:
+                told()
             if not keys:
                 continue
             sig, row = np.concatenate(keys).view(np.int64), np.concatenate(owners)
             order = np.lexsort((row, sig))
             sig, row = sig[order], row[order]
+            distinct = np.concatenate([[True], (sig[1:] != sig[:-1]) | (row[1:] != row[:-1])]) if len(sig) else np.zeros(0, bool)
+            sig, row = sig[distinct], row[distinct]
             new = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
             hub = np.where(new, -1, row[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))])
             route = np.where(new, sig, mixed((sig ^ row).view(np.uint64)).view(np.int64))
