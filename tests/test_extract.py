@@ -212,3 +212,26 @@ def test_lines_are_counted_between_members(spark):
     # a file given twice has each member, and its line, once for each tree and content
     again = P._with_line(members, nodes.unionByName(nodes), ready.unionByName(ready)).where("file_id = 2").select("line").collect()
     assert sorted(row.line for row in again) == [3] * 4 + [5] * 4
+
+
+def test_things_of_kinds_that_a_fact_reads_are_all_it_reads(spark):
+    sources, nodes = load(spark, [("p1", "p1/src/main/java/a/b/Alpha.java", main_tree())])
+    ready = X.prepare_sources(sources)
+    everything = X.annotate(nodes, ready).cache()
+    for fact, kinds in X.READS.items():
+        some = X.annotate(nodes, ready, kinds)
+        assert {row.kind for row in some.collect()} <= {X.CODES[kind] for kind in kinds}
+        if fact == "unit_facts":
+            found, wanted = (X.unit_facts(rows, None, ready, "no marker") for rows in (some, everything))
+        else:
+            found, wanted = (getattr(X, fact)(rows) for rows in (some, everything))
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect())), fact
+        assert wanted.count()
+    everything.unpersist()
+
+
+def test_nodes_that_are_sorted_lie_in_memory_compressed(spark):
+    sources, nodes = load(spark, [("p1", "p1/src/main/java/a/b/Alpha.java", program(cls("A", *[
+        method(typ("T", "type"), f"m{i}", params(), block(stmt(new("Helper")))) for i in range(300)])))])
+    held = X._by_file(nodes, X.prepare_sources(sources)).where("nodes IS NOT NULL").selectExpr("sum(length(nodes))").first()[0]
+    assert held < 8 * nodes.where("is_named").count()  # eight numbers of four bytes each

@@ -2,7 +2,7 @@
 
 import pytest
 
-from unitloom.session import SHUFFLE_CLEANUP, cut_lineage, shared_folder
+from unitloom.session import SHUFFLE_CLEANUP, TASK_SETTINGS, cut_lineage, shared_folder, tune
 
 
 class FakeSession:
@@ -68,3 +68,27 @@ def test_a_written_step_leaves_no_shuffle_files(spark):
     assert not left and spark.conf.get(SHUFFLE_CLEANUP) == was
     # what was written can still be computed again
     assert step.count() == df.count() == 1000
+
+
+def test_task_settings_are_put_back(spark):
+    key = next(iter(TASK_SETTINGS))
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "5m")
+    try:
+        for _ in range(2):
+            assert tune(spark, small_tasks=True).conf.get(key) == TASK_SETTINGS[key]
+        assert tune(spark).conf.get(key) == "5m" == tune(spark).conf.get(key)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_rising_columns_of_a_step_are_stored_as_differences(spark):
+    import os
+
+    rows = spark.range(200_000).selectExpr("id", "cast(nullif(id * 7, 21) as int) as at").coalesce(1)
+    plain, rising = cut_lineage(rows, "plain"), cut_lineage(rows, "rising", rising=("id", "at"))
+    assert rising.exceptAll(rows).isEmpty() and rising.count() == 200_000
+
+    def size(df):
+        return sum(os.path.getsize(path.removeprefix("file:").replace("//", "/")) for path in df.inputFiles())
+    assert size(rising) < size(plain) / 2
