@@ -235,3 +235,14 @@ def test_nodes_that_are_sorted_lie_in_memory_compressed(spark):
         method(typ("T", "type"), f"m{i}", params(), block(stmt(new("Helper")))) for i in range(300)])))])
     held = X._by_file(nodes, X.prepare_sources(sources)).where("nodes IS NOT NULL").selectExpr("sum(length(nodes))").first()[0]
     assert held < 8 * nodes.where("is_named").count()  # eight numbers of four bytes each
+
+
+def test_class_names_hold_no_table_in_one_task(spark):
+    def parser():
+        return lambda text: [(0, 2, None, 0, "program", True, None, 0, len(text)), (1, 2, 0, 0, "class_declaration", True, None, 0, len(text)),
+                             (2, 2, 1, 0, "identifier", True, "name", 0, len(text))]
+
+    texts = spark.createDataFrame([(1, "A"), (2, "B")], "file_id long, content string")
+    names = X.class_names(texts, parser)
+    assert sorted(map(tuple, names.collect())) == [(1, "A"), (2, "B")]
+    assert "BroadcastHashJoin" not in names._jdf.queryExecution().executedPlan().toString()

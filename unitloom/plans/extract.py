@@ -66,13 +66,15 @@ def class_names(texts: DataFrame, make_parser: Callable, key: str = "file_id", c
     count.  ``make_parser`` is the user's, see :func:`unitloom.operators.nodes.nodes_from`.
     """
     unit = (F.col("parent_id") == 0) & (F.col("type") == CLASS)
-    nodes = nodes_from(texts, make_parser, key, content).where(unit | (F.col("type") == NAME))
-    # the parser's rows of a text come together, so a class meets its name after one shuffle of these few nodes
-    first = F.min(F.when(unit, F.col("node_id"))).over(Window.partitionBy("file_id"))
-    named = nodes.withColumn("_first", first).where((F.col("type") == NAME) & (F.col("parent_id") == F.col("_first")))
+    # only the numbers of these few nodes are shuffled, so a class meets its name in rows of one width
+    nodes = nodes_from(texts, make_parser, key, content).where(unit | (F.col("type") == NAME)).select(
+        "file_id", "parent_id", "ord", "start_byte", "end_byte", F.when(unit, F.col("node_id")).alias("_unit"), (F.col("type") == NAME).alias("_name"))
+    first = F.min("_unit").over(Window.partitionBy("file_id"))
+    named = nodes.withColumn("_first", first).where(F.col("_name") & (F.col("parent_id") == F.col("_first")))
     spans = named.groupBy("file_id").agg(F.min_by(F.struct("start_byte", "end_byte"), "ord").alias("span"))
     sources = texts.select(F.col(key).cast("bigint").alias("file_id"), utf8(F.col(content)).alias("content_bytes"))
-    return with_text(spans, sources, class_name=F.col("span")).select(F.col("file_id").alias(key), "class_name")
+    # merged at every size: no task holds a table of all texts or names
+    return with_text(spans.hint("merge"), sources, class_name=F.col("span")).select(F.col("file_id").alias(key), "class_name")
 
 
 def _packed(high: Column, low: Column) -> Column:

@@ -383,4 +383,4 @@ def tree_class_names(spark, folder):
     text = F.get(F.array(*texts), (F.col("o_orderkey") % 4).cast("int"))
     rows = table(spark, folder, "orders").select("o_orderkey", text.alias("content"))
     names = extract.class_names(rows, brace_parser(), "o_orderkey")
-    return rows.join(names, "o_orderkey", "left").select("o_orderkey", "class_name")
+    return rows.join(names.hint("merge"), "o_orderkey", "left").select("o_orderkey", "class_name")
