@@ -1,6 +1,7 @@
 """Where intermediate tables go."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from unitloom.session import SHUFFLE_CLEANUP, TASK_SETTINGS, cut_lineage, shared_folder, tune
 
@@ -82,6 +83,37 @@ def test_task_settings_are_put_back(spark):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def test_a_setting_made_between_two_queries_over_facts_is_put_back(spark):
+    key = next(iter(TASK_SETTINGS))
+    before = spark.conf.get(key, None)
+    try:
+        tune(spark, small_tasks=True)
+        spark.conf.set(key, "5m")
+        tune(spark, small_tasks=True)
+        assert tune(spark).conf.get(key) == "5m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_many_rows_in_small_files_are_not_broadcast(spark):
+    """A million rows in a few MB of files would all be gathered by the driver."""
+    import os
+
+    try:
+        tune(spark, small_tasks=True)
+        ended = cut_lineage(spark.range(1_000_000).selectExpr("id", "'passed' as outcome"))
+        items = cut_lineage(spark.range(1_000_000).selectExpr("id", "uuid() as text"))
+        few = cut_lineage(spark.createDataFrame([("passed", 1)], "outcome string, code int"))
+        size = sum(os.path.getsize(path.removeprefix("file:").replace("//", "/")) for path in ended.inputFiles())
+        assert size < 10_000_000
+        met = items.join(ended, "id").join(few, "outcome").agg(F.count("text"))
+        rows = met.collect()
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert rows[0][0] == 1_000_000 and plan.count("BroadcastHashJoin [outcome") >= 1 and "BroadcastHashJoin [id" not in plan
+    finally:
+        tune(spark)
+
+
 def test_rising_columns_of_a_step_are_stored_as_differences(spark):
     import os
 

@@ -20,8 +20,14 @@ ADAPTIVE_SETTINGS = {
 }
 
 #: How plans over facts are cut into tasks.  Shuffled rows take some ten times their compressed bytes where they are sorted, so
-#: Spark's 64 MB of shuffle a task are much of a task's memory on larger tables.
-TASK_SETTINGS = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
+#: Spark's 64 MB of shuffle a task are much of a task's memory on larger tables.  A table's files say little of its rows
+#: either: a few MB can hold millions, which the driver would have to hold to broadcast them.  So only tables of very small files are
+#: broadcast as planned, others by the size of their rows, once these are shuffled.
+TASK_SETTINGS = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.autoBroadcastJoinThreshold": "256k",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+}
 
 
 #: Shuffles of a query are removed when it ends, instead of when the driver next collects garbage.
@@ -35,16 +41,22 @@ _STEPS: list[str] = []
 
 
 def tune(spark: SparkSession, small_tasks: bool = False) -> SparkSession:
-    """Settings of this library, with ``small_tasks`` those of plans over facts too; without it, these are put back as they were."""
+    """Settings of this library, with ``small_tasks`` those of plans over facts too; without it, these are put back as they were.
+
+    A value that was set by others since stands for what was there before.
+    """
     for key, value in ADAPTIVE_SETTINGS.items():
         spark.conf.set(key, value)
     for key, value in TASK_SETTINGS.items():
+        now = spark.conf.get(key, None)
         if small_tasks:
-            _BEFORE.setdefault(key, spark.conf.get(key, None))
+            if key not in _BEFORE or now != value:
+                _BEFORE[key] = now
             spark.conf.set(key, value)
         elif key in _BEFORE:
             before = _BEFORE.pop(key)
-            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+            if now == value:
+                spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark
 
 
