@@ -153,7 +153,7 @@ def ordered_lookup(spark, folder):
     def words(df):
         return df.withColumn("w", F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda x: x != ""))
 
-    known = words(table(spark, folder, "documents")).groupBy(F.element_at("w", 1).alias("item")).agg(
+    known = words(table(spark, folder, "documents")).groupBy(F.get("w", 0).alias("item")).agg(
         F.min("doc_id").cast("string").alias("value"))
     turns = words(table(spark, folder, "conversations")).select("conv_id", "turn", "w")
     found = joins.ordered_lookup(turns, ["conv_id", "turn"], "w", known)
