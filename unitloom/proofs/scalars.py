@@ -110,7 +110,7 @@ def run_ids(spark, folder):
     from named
 """)
 def unique_name(spark, folder):
-    word = F.element_at(F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda x: x != ""), 1)
+    word = F.get(F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda x: x != ""), 0)
     docs = table(spark, folder, "documents").withColumn("w", word)
     unit = F.concat(F.lit("/* class Not */ public class "), "w", F.lit(" {\n"), "text", F.lit("\n}"))
     new_name = X.unique_class_name(F.col("w"), F.col("doc_id"), "r1")
