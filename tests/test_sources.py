@@ -227,3 +227,24 @@ def test_several_parameters_keep_their_order(spark):
         (m, i, kind) for m, p in named.items() for i, kind in enumerate(p.values())]
     edges = made["related_methods"].orderBy("source_id", "ord").collect()
     assert [(methods[r.source_id], r.ord, methods[r.target_id]) for r in edges] == [("all", 0, "go"), ("all", 2, "run"), ("all", 3, "go")]
+
+
+def test_a_load_shuffles_whole_methods_for_no_table_that_lists_their_parts(spark):
+    """Records are chosen by their keys; methods, parameters and calls move what they hold, and that once."""
+    import re
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        made = fact_tables(spark)
+        for name in ("methods", "method_parameters", "related_methods", "related_classes", "classes"):
+            made[name].count()
+            mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+            plan = made[name]._jdf.queryExecution().explainString(mode)
+            moved = re.findall(r"\) Exchange[^\n]*\nInput \[\d+\]: ([^\n]*)", plan)
+            assert moved and not [columns for columns in moved if re.search(r"\bmethods#", columns)]
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
